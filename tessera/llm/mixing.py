@@ -6,8 +6,8 @@ documents are dealt to at most ``FANOUT`` blocks by a seeded hash, so a hot sour
 1. ``source_targets``: weights 1, 2, 3, ... by source order share 100 % of all words; a target stops
    at ``max_repeats`` times its source and the excess is reshared (water filling in closed form).
 2. ``block_quotas``: each source's permuted blocks, pass after pass, up to its target. The block in which
-   the target ends is cut at a sub-block, and that at a document, so that the words taken differ
-   from the target by at most half a document.
+   the target ends is cut at a sub-block, and that at a document; what is then still missing is filled by
+   the one document, of those that the last pass leaves out, whose size comes nearest to it.
 3. ``splitting_tree``: the exact block quotas are split among 2**depth output shards. Each node draws
    its left child's counts from the multivariate hypergeometric law (inverse CDF of a seeded hash,
    source after source); the right child gets the rest.
@@ -83,7 +83,8 @@ def block_quotas(placed: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """(blocks, edges) of ``placed`` (skey, block, sub, h, doc_id, size, source_size, target, n_blocks).
 
     blocks: skey, block, n_blocks, whole (complete passes), rank, done, cut. edges: skey, block, and up to which
-    sub-block (sub_order) and document (last: struct of h and doc_id) the cut block is taken."""
+    sub-block (sub_order) and document (last: struct of h and doc_id) the cut block is taken, and the words
+    still missing then."""
     per = placed.groupBy("skey", "block").agg(F.sum("size").alias("words"), *(F.max(c).alias(c) for c in ("source_size", "target", "n_blocks")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     per = per.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -94,8 +95,10 @@ def block_quotas(placed: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     cut = subs.where("cut").select("skey", "block", "sub", F.col("left").alias("rest"), F.col("order").alias("sub_order"))
     order = W.partitionBy("skey", "block", "sub").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     docs = inner.drop("rest").join(cut, ["skey", "block", "sub"]).withColumn("upto", F.sum("size").over(order))
-    half_in = F.col("upto") - F.col("size") / 2 <= F.col("rest")
-    edges = docs.groupBy("skey", "block").agg(F.max("sub_order").alias("sub_order"), F.max(F.when(half_in, F.struct("h", "doc_id"))).alias("last"))
+    within = F.col("upto") <= F.col("rest")
+    edges = docs.groupBy("skey", "block").agg(
+        F.max("sub_order").alias("sub_order"), F.max(F.when(within, F.struct("h", "doc_id"))).alias("last"),
+        (F.max("rest") - F.coalesce(F.max(F.when(within, F.col("upto"))), F.lit(0))).alias("missing"))
     return blocks, edges
 
 
@@ -172,15 +175,25 @@ def mix_plan(docs: DataFrame, max_repeats: float = 3.0, seed: int = 42, shard_wo
     depth = max(1, int(max(1, words / shard_words) - 1).bit_length())
     dealt = splitting_tree(quotas, depth, seed).select("skey", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("draw"))
     deals = drawn.join(dealt, ["skey", "draw"]).groupBy("skey", "block").agg(
-        F.sort_array(F.collect_list(F.struct("epoch", "shard", (F.col("cut") & (F.col("epoch") == F.col("whole"))).alias("partial")))).alias("deals"))
-    deals = deals.join(edges, ["skey", "block"], "left")
-    rows = placed.join(deals, ["skey", "block"], "left")
+        F.sort_array(F.collect_list(F.struct("epoch", "shard", (F.col("cut") & (F.col("epoch") == F.col("whole"))).alias("partial"), (F.col("epoch") == F.col("whole")).alias("last")))).alias("deals"))
+    edges = materialize(edges)
+    rows = placed.join(deals, ["skey", "block"], "left").join(edges.withColumnRenamed("block", "cut_block"), "skey", "left")
     sub_order = F.xxhash64(F.lit(seed), "skey", "block", "sub")
-    in_cut = (sub_order < F.col("sub_order")) | ((sub_order == F.col("sub_order")) & (F.struct("h", "doc_id") <= F.col("last")))
-    # without an edge row the cut block's sub-blocks are all within the quota
-    in_cut = F.when(F.col("sub_order").isNull(), True).otherwise(F.coalesce(in_cut, F.lit(False)))
-    taken = F.when(in_cut, F.col("deals")).otherwise(F.filter("deals", lambda x: ~x["partial"]))
-    taken = F.transform(F.coalesce(taken, F.array().cast("array<struct<epoch:int,shard:bigint,partial:boolean>>")), lambda x: F.struct(x["epoch"].alias("epoch"), x["shard"].alias("shard")))
+    in_cut = (sub_order < F.col("sub_order")) | ((sub_order == F.col("sub_order")) & F.coalesce(F.struct("h", "doc_id") <= F.col("last"), F.lit(False)))
+    # without an edge row all of the cut block is within the quota
+    dealt_all = F.when(F.col("block") == F.col("cut_block"), in_cut).otherwise(True)
+    none = F.array().cast("array<struct<epoch:int,shard:bigint,partial:boolean,last:boolean>>")
+    rows = rows.withColumn("deals", F.filter(F.coalesce("deals", none), lambda x: dealt_all | ~x["partial"]))
+    rows = materialize(rows.select("doc_id", "h", "skey", "size", "source_size", "target", "deals", "missing"))
+    # the filler takes the place of what the cut block lacks, in the shard that the block went to
+    off = F.abs(F.col("size") - F.col("missing"))
+    spare = (off < F.col("missing")) & ~F.exists("deals", lambda x: x["last"])
+    filler = rows.where(spare).groupBy("skey").agg(F.min(F.struct(off.alias("off"), "h", "doc_id")).alias("f"))
+    place = drawn.where(F.col("cut") & (F.col("epoch") == F.col("whole"))).join(dealt, ["skey", "draw"]).select("skey", F.struct(F.col("epoch"), F.col("shard")).alias("place"))
+    rows = rows.join(filler.join(place, "skey"), "skey", "left")
+    deals_of = F.transform("deals", lambda x: F.struct(x["epoch"].alias("epoch"), x["shard"].alias("shard")))
+    fills = F.coalesce((F.col("h") == F.col("f.h")) & F.col("doc_id").eqNullSafe(F.col("f.doc_id")), F.lit(False))
+    taken = F.when(fills, F.concat(deals_of, F.array("place"))).otherwise(deals_of)
     return rows.select("doc_id", "h", "size", "source_size", "target", taken.alias("deals"))
 
 
