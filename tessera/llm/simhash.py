@@ -218,25 +218,30 @@ def link_forest(fps: np.ndarray, radius: int, refs: np.ndarray | None = None) ->
     table = distance_table(fps, refs)
     n = len(fps)
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    todo = [np.arange(n)]
+    todo = [(np.arange(n), 0)]
+
+    def best_split(idx: np.ndarray, columns: list[np.ndarray]) -> tuple[int, np.ndarray, int]:
+        size, best, at = len(idx), idx, 0
+        for d in columns:
+            m = int(np.partition(d, len(d) // 2)[len(d) // 2])
+            for cut in (m - 1, m):
+                larger = max(int(np.count_nonzero(d <= cut + radius)), int(np.count_nonzero(d > cut)))
+                if larger < size:
+                    size, best, at = larger, d, cut
+        return size, best, at
+
     while todo:
-        idx = todo.pop()
+        idx, depth = todo.pop()
         if len(idx) < 2:
             continue
         if len(idx) > LEAF:
-            best, cut = None, len(idx)
-            columns = [table[idx, c] for c in range(table.shape[1])]
-            own = fps[idx[:: max(1, len(idx) // 8)][:8]]
-            columns += list(distance_table(fps[idx], own).T)
-            for d in columns:
-                m = int(np.partition(d, len(d) // 2)[len(d) // 2])
-                for at in (m - 1, m):
-                    size = max(int((d <= at + radius).sum()), int((d > at).sum()))
-                    if size < cut:
-                        best, cut = (d, at), size
-            if best is not None and cut <= 0.85 * len(idx):
-                d, at = best
-                todo += [idx[d <= at + radius], idx[d > at]]
+            width = table.shape[1]
+            size, d, at = best_split(idx, [table[idx, (4 * depth + c) % width] for c in range(4)])
+            if size > 0.75 * len(idx):
+                own = fps[idx[:: max(1, len(idx) // 8)][:8]]
+                size, d, at = best_split(idx, [*(table[idx, c] for c in range(width)), *distance_table(fps[idx], own).T])
+            if size <= 0.85 * len(idx):
+                todo += [(idx[d <= at + radius], depth + 1), (idx[d > at], depth + 1)]
                 continue
         for p in range(0, len(idx), 512):
             for q in range(p, len(idx), 512):
