@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import mixing, simhash, tokens
+from . import langid, mixing, simhash, tokens, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -26,6 +26,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -34,8 +38,13 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_counts": op2_token_counts, "op3_simhash_dedup": op3_simhash_dedup, "op7_byte_bpe": op7_byte_bpe, "op9_mix_sources": op9_mix_sources}
+    own = (op2_token_counts, op3_simhash_dedup, op6_language_id, op7_byte_bpe, op9_mix_sources, op10_toxicity)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
