@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import langid, mixing, simhash, tokens, toxicity
+from . import ann, embed_dedup, langid, mixing, simhash, tokens, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -17,6 +17,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = tokens.lengths(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return tokens.length_histogram(encoded)
@@ -26,6 +31,10 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_token_counts, op3_simhash_dedup, op6_language_id, op7_byte_bpe, op9_mix_sources, op10_toxicity)
+    own = (op1_nearest_neighbours, op2_token_counts, op3_simhash_dedup, op4_embedding_dedup, op6_language_id, op7_byte_bpe, op9_mix_sources, op10_toxicity)
     return {f.__name__: f for f in own}
 
 
