@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import ann, embed_dedup, langid, mixing, simhash, tokens, toxicity
+from . import ann, embed_dedup, exact_spans, langid, mixing, simhash, tokens, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -43,6 +43,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_spans.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_nearest_neighbours, op2_token_counts, op3_simhash_dedup, op4_embedding_dedup, op6_language_id, op7_byte_bpe, op9_mix_sources, op10_toxicity)
+    own = (op1_nearest_neighbours, op2_token_counts, op3_simhash_dedup, op4_embedding_dedup, op6_language_id, op7_byte_bpe, op8_repeated_spans, op9_mix_sources, op10_toxicity)
     return {f.__name__: f for f in own}
 
 
