@@ -196,22 +196,22 @@ def held_out(doc_id) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def predict(docs: DataFrame, net: ByteCNN | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score. The network reads ``text`` alone."""
-    rows = docs.select(*keep, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text")
-    names = [*keep, "lang_pred", "score"]
+def predict(docs: DataFrame, net: ByteCNN | None, keep: tuple[str, ...] = ("doc_id",), to: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of ``docs`` with the prediction and its score in columns ``to``. The network reads ``text`` alone."""
+    rows = docs.select(F.struct(*keep).alias("row"), F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = batch.column("text").to_pylist()
             on = [i for i, t in enumerate(texts) if t is not None and net is not None]
             out = [(UNKNOWN, 0.0)] * len(texts)
             for i, got in zip(on, net.predict([texts[i] for i in on]) if on else [], strict=True):
                 out[i] = got
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=["row", "pred", "score"])
 
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    judged = rows.mapInArrow(run, f"row {kind}, pred string, score double")
+    return judged.select(*(F.col("row").getField(c).alias(c) for c in keep), F.col("pred").alias(to[0]), F.col("score").alias(to[1]))
 
 
 def identify(docs: DataFrame) -> DataFrame:

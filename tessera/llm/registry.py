@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import ann, embed_dedup, exact_spans, langid, mixing, simhash, tokens, toxicity
+from . import ann, embed_dedup, exact_spans, fuzzy_lines, langid, mixing, simhash, tokens, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -35,6 +35,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_nearest_neighbours, op2_token_counts, op3_simhash_dedup, op4_embedding_dedup, op6_language_id, op7_byte_bpe, op8_repeated_spans, op9_mix_sources, op10_toxicity)
+    own = (op1_nearest_neighbours, op2_token_counts, op3_simhash_dedup, op4_embedding_dedup, op5_fuzzy_lines, op6_language_id, op7_byte_bpe, op8_repeated_spans, op9_mix_sources, op10_toxicity)
     return {f.__name__: f for f in own}
 
 

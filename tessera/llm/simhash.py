@@ -297,3 +297,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(lowest, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one with the smallest doc_id.
+
+    Rows with a null doc_id stay only where their group has no other id; rows that repeat the kept id stay."""
+    kept = near_duplicates(docs, width, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")

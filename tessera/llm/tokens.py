@@ -153,10 +153,6 @@ BOUND_SCHEMA = CHUNK_SCHEMA + ", marks binary"
 IDS_SCHEMA = "doc_id long, ids binary"
 
 
-def _string(values) -> pa.Array:
-    return pa.array(values, pa.large_string() if sum(len(v) for v in values) > 1 << 28 else pa.string())
-
-
 def _encoded(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int, finish, schema: str) -> DataFrame:
     """``finish(doc_ids, [ids, ...], bpe)`` turned into rows of ``schema``, for every row of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -238,15 +234,21 @@ def decode(ids: DataFrame, path: str, pattern: str) -> DataFrame:
     return ids.select("doc_id", "ids").mapInArrow(back, "doc_id long, bytes binary")
 
 
-def digests(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: each text encoded, and its ids decoded, in one pass."""
+def digests(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: each text encoded, and its ids decoded, in one pass; with
+    ``with_ids`` also ids, as little-endian unsigned 32-bit integers."""
 
     def finish(doc_ids, ids, bpe):
-        return pa.RecordBatch.from_arrays(
-            [doc_ids, pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string())],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _encoded(docs, path, pattern, chunk, overlap, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        raw = [x.tobytes() for x in ids]
+        columns = {
+            "doc_id": doc_ids, "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string())}
+        if with_ids:
+            columns["ids"] = pa.array(raw, pa.binary())
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return _encoded(docs, path, pattern, chunk, overlap, finish, schema)
 
 
 def lengths(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
