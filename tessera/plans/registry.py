@@ -1,17 +1,332 @@
-"""The panel engine's registered queries and their SQL counterparts."""
+"""The panel engine's registered queries and their SQL counterparts.
+
+Each query is registered with the SQL text that gives the same rows; doubles are rounded on both sides."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import additive, did, effects, event_time, panel
+from ..sources import panels
+from . import sql
+from .spec import FitOptions, PanelSpec
 
 FLAGSHIP = "gsc_event_att"
+SPEC = PanelSpec(y="y", d="d", unit="unit", time="time", x=(), group="region")
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_sql: dict[str, str] = {}
+
+
+def registered(text: str | None = None):
+    def put(f):
+        _queries[f.__name__] = f
+        if text is not None:
+            _sql[f.__name__] = text
+        return f
+
+    return put
+
+
+def r4(column: str | Column) -> Column:
+    c = F.col(column) if isinstance(column, str) else column
+    return F.round(c, 4)
+
+
+def prepared(spark: SparkSession, sf_dir: str, name: str, reversals: bool = False, **options) -> DataFrame:
+    return panel.prepare(panels.panel(spark, sf_dir, name, reversals), SPEC, FitOptions(min_t0=0, **options))
+
+
+def imputed(spark: SparkSession, sf_dir: str, name: str = "supplier_quarter", **options) -> DataFrame:
+    """Cells of the flagship panel with the never-treated closed-form counterfactual."""
+    return effects.with_effect(additive.never_treated(prepared(spark, sf_dir, name, **options)))
+
+
+# --- panel shaping and event time ---------------------------------------------------------------------------
+
+
+@registered("WITH " + sql.cells("supplier_month") + " SELECT unit, time_ix, ROUND(y, 6) AS y, d, i_obs, ever FROM cells")
+def panel_densify(spark, sf_dir):
+    cells = prepared(spark, sf_dir, "supplier_month")
+    return cells.select("unit", "time_ix", F.round("y", 6).alias("y"), "d", "i_obs", "ever")
+
+
+def _balanced_panel(name):
+    def query(spark, sf_dir):
+        return prepared(spark, sf_dir, name).select("unit", "time_ix", F.round("y", 6).alias("y"), "d", "i_obs")
+
+    query.__name__ = f"panel_{name}"
+    return query
+
+
+for _name in ("nation_quarter", "nation_month", "user_day", "supplier_quarter"):
+    registered("WITH " + sql.cells(_name) + " SELECT unit, time_ix, ROUND(y, 6) AS y, d, i_obs FROM cells")(_balanced_panel(_name))
+
+
+@registered("WITH " + sql.masked("user_day", True) + " SELECT unit, time_ix, d, t_on, t_off FROM base")
+def event_time_reversals(spark, sf_dir):
+    return prepared(spark, sf_dir, "user_day", True).select("unit", "time_ix", "d", "t_on", "t_off")
+
+
+@registered("WITH " + sql.masked("user_day", True) + """
+SELECT unit, time_ix, CASE WHEN MAX(d) OVER (PARTITION BY unit ORDER BY time_ix ROWS UNBOUNDED PRECEDING) = 1 AND COALESCE(d, 0) = 0 THEN 1 ELSE 0 END AS reversed FROM base""")
+def reversal_cells(spark, sf_dir):
+    cells = prepared(spark, sf_dir, "user_day", True)
+    return cells.select("unit", "time_ix", F.coalesce(event_time.reversal().cast("int"), F.lit(0)).alias("reversed"))
+
+
+@registered("WITH " + sql.masked("supplier_quarter") + """,
+f AS (SELECT *, MIN(CASE WHEN d = 1 THEN time_ix END) OVER (PARTITION BY unit) AS first_treat FROM base)
+SELECT unit, time_ix, first_treat, CASE WHEN first_treat IS NULL THEN 'Control' WHEN first_treat BETWEEN 10 AND 11 THEN 'Cohort:10-11' WHEN first_treat BETWEEN 12 AND 13 THEN 'Cohort:12-13' ELSE 'Cohort:Other' END AS cohort,
+  t_on AS time_to_treatment, t_off AS time_to_exit FROM f""")
+def cohorts_by_interval(spark, sf_dir):
+    cells = prepared(spark, sf_dir, "supplier_quarter")
+    out = event_time.with_cohorts(cells, [(10, 11), (12, 13)])
+    return out.select("unit", "time_ix", "first_treat", "cohort", "time_to_treatment", "time_to_exit")
+
+
+@registered("WITH " + sql.masked("supplier_quarter") + """,
+f AS (SELECT *, MIN(CASE WHEN d = 1 THEN time_ix END) OVER (PARTITION BY unit) AS first_ FROM base)
+SELECT CASE WHEN first_ IS NULL THEN 'Control' ELSE 'Cohort:' || CAST(first_ AS VARCHAR) END AS cohort, COUNT(DISTINCT unit) AS n_units, COUNT(*) AS n_cells FROM f GROUP BY 1""")
+def cohort_sizes(spark, sf_dir):
+    out = event_time.with_cohorts(prepared(spark, sf_dir, "supplier_quarter"), start0=True)
+    return out.groupBy("cohort").agg(F.count_distinct("unit").alias("n_units"), F.count(F.lit(1)).alias("n_cells"))
+
+
+@registered("WITH " + sql.masked("supplier_quarter") + """
+SELECT unit, time_ix, CAST(time_ix - SUM(1 - mx) OVER (PARTITION BY unit) AS INT) AS rel_time
+FROM (SELECT *, MAX(COALESCE(d, 0)) OVER (PARTITION BY unit ORDER BY time_ix ROWS UNBOUNDED PRECEDING) AS mx FROM base)""")
+def relative_time(spark, sf_dir):
+    return event_time.with_relative_time(prepared(spark, sf_dir, "supplier_quarter")).select("unit", "time_ix", "rel_time")
+
+
+@registered("""SELECT * FROM (VALUES ('duplicate_key', CAST(0 AS BIGINT)), ('treatment_not_binary', 0), ('treatment_constant', 0), ('group_changes_in_unit', 0), ('x1_constant_within_unit', 0), ('x1_constant_within_time', 0)) t(check_name, n_bad)""")
+def panel_checks(spark, sf_dir):
+    spec = PanelSpec(y="y", d="d", unit="unit", time="time", x=("x1",), group="region")
+    return panel.violations(panels.panel(spark, sf_dir, "supplier_month"), spec)
+
+
+@registered("WITH " + sql.masked("user_day", True) + """,
+k AS (SELECT *, CASE WHEN COALESCE(d, 0) = 0 AND MAX(COALESCE(d, 0)) OVER (PARTITION BY unit ORDER BY time_ix RANGE BETWEEN 2 PRECEDING AND 1 PRECEDING) = 1 THEN 1 ELSE 0 END AS is_carry FROM base),
+u AS (SELECT unit, time_ix, is_carry, CASE WHEN ii = 1 AND is_carry = 0 THEN 1 ELSE 0 END AS ii FROM k)
+SELECT * FROM u WHERE time_ix IN (SELECT time_ix FROM u GROUP BY time_ix HAVING SUM(ii) > 0)""")
+def carryover_mask(spark, sf_dir):
+    return prepared(spark, sf_dir, "user_day", True, carryover_rm=2).select("unit", "time_ix", "is_carry", "ii")
+
+
+@registered("WITH " + sql.masked("supplier_month", True) + """
+SELECT unit, time_ix, CASE WHEN COALESCE(t_on BETWEEN -2 AND 0, FALSE) THEN 0 ELSE ii END AS ii, CASE WHEN i_obs = 0 THEN 3 WHEN COALESCE(t_on BETWEEN -2 AND 0, FALSE) THEN 5 WHEN COALESCE(d, 0) = 1 THEN 1 ELSE 2 END AS obs_status FROM base""")
+def placebo_mask(spark, sf_dir):
+    return panel.status(prepared(spark, sf_dir, "supplier_month", True, placebo=(-2, 0))).select("unit", "time_ix", "ii", "obs_status")
+
+
+@registered("WITH " + sql.masked("supplier_month", True) + """
+SELECT unit, time_ix, CASE WHEN COALESCE(t_off BETWEEN 1 AND 2, FALSE) THEN 0 ELSE ii END AS ii, CASE WHEN i_obs = 0 THEN 3 WHEN COALESCE(t_off BETWEEN 1 AND 2, FALSE) THEN 5 WHEN COALESCE(d, 0) = 1 THEN 1 ELSE 2 END AS obs_status FROM base""")
+def carryover_test_mask(spark, sf_dir):
+    return panel.status(prepared(spark, sf_dir, "supplier_month", True, carryover=(1, 2))).select("unit", "time_ix", "ii", "obs_status")
+
+
+@registered("WITH " + sql.masked("user_day") + """,
+n AS (SELECT *, SUM(ii) OVER (PARTITION BY unit) AS usable, SUM(1 - i_obs) OVER (PARTITION BY unit) AS missing FROM base),
+s AS (SELECT * FROM n WHERE usable >= 12 AND missing <= 8), ok AS (SELECT time_ix FROM s GROUP BY time_ix HAVING SUM(ii) > 0)
+SELECT unit, time_ix, ii FROM s WHERE time_ix IN (SELECT time_ix FROM ok)""")
+def unit_period_screens(spark, sf_dir):
+    options = FitOptions(min_t0=12, max_missing=8)
+    return panel.prepare(panels.panel(spark, sf_dir, "user_day"), SPEC, options).select("unit", "time_ix", "ii")
+
+
+@registered("WITH " + sql.masked("supplier_month", True) + """,
+e AS (SELECT *, SUM(CASE WHEN t_on = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY unit ORDER BY time_ix DESC ROWS UNBOUNDED PRECEDING) AS spell FROM base),
+e2 AS (SELECT *, CASE WHEN t_on <= 1 THEN spell ELSE spell + 1 END AS entry FROM e),
+n AS (SELECT *, SUM(CASE WHEN t_on BETWEEN -3 AND 4 AND i_obs = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY unit, entry) AS n FROM e2)
+SELECT unit, time_ix, CASE WHEN t_on BETWEEN -3 AND 4 AND n = 8 THEN 1 ELSE 0 END AS balanced FROM n""")
+def balanced_window(spark, sf_dir):
+    return prepared(spark, sf_dir, "supplier_month", True, balance=(-3, 4)).select("unit", "time_ix", "balanced")
+
+
+# --- effects under the never-treated closed form ------------------------------------------------------------
+
+GSC = "WITH " + sql.never_treated()
+
+
+@registered(GSC + " SELECT t_on AS event_time, ROUND(AVG(eff), 4) AS att, COUNT(eff) AS n_cells FROM fit WHERE t_on IS NOT NULL GROUP BY t_on")
+def gsc_event_att(spark, sf_dir):
+    return effects.by_event_time(imputed(spark, sf_dir)).select("event_time", r4("att").alias("att"), "n_cells")
+
+
+@registered(GSC + " SELECT unit, time_ix, ROUND(y0, 4) AS y0, ROUND(eff, 4) AS eff FROM fit")
+def gsc_cells(spark, sf_dir):
+    return imputed(spark, sf_dir).select("unit", "time_ix", r4("y0").alias("y0"), r4("eff").alias("eff"))
+
+
+@registered(GSC + """ SELECT ROUND(AVG(CASE WHEN d = 1 THEN eff END), 4) AS att_avg, ROUND(AVG(CASE WHEN d = 1 THEN eff END), 4) AS att_avg_w, COUNT(CASE WHEN d = 1 THEN eff END) AS n_treated,
+ ROUND(SQRT(AVG(CASE WHEN ever = 1 AND COALESCE(d, 0) = 0 AND ii = 1 THEN eff * eff END)), 4) AS rmse FROM fit""")
+def gsc_overall(spark, sf_dir):
+    out = effects.overall(imputed(spark, sf_dir))
+    return out.select(r4("att_avg").alias("att_avg"), r4("att_avg_w").alias("att_avg_w"), "n_treated", r4("rmse").alias("rmse"))
+
+
+@registered(GSC + " SELECT ROUND(AVG(m), 4) AS att_avg_unit, COUNT(m) AS n_units FROM (SELECT AVG(eff) AS m FROM fit WHERE d = 1 GROUP BY unit HAVING COUNT(*) = COUNT(eff))")
+def gsc_unit_average(spark, sf_dir):
+    return effects.unit_average(imputed(spark, sf_dir)).select(r4("att_avg_unit").alias("att_avg_unit"), "n_units")
+
+
+@registered(GSC + " SELECT CAST(time AS VARCHAR) AS time, ROUND(AVG(eff), 4) AS att, COUNT(eff) AS n_cells FROM fit WHERE d = 1 GROUP BY 1")
+def gsc_calendar_att(spark, sf_dir):
+    return effects.by_calendar(imputed(spark, sf_dir)).select(F.col("time").cast("string").alias("time"), r4("att").alias("att"), "n_cells")
+
+
+@registered(GSC + " SELECT g, ROUND(AVG(eff), 4) AS att, COUNT(eff) AS n_cells FROM fit WHERE d = 1 GROUP BY 1")
+def gsc_group_att(spark, sf_dir):
+    return effects.by_group(imputed(spark, sf_dir)).select("g", r4("att").alias("att"), "n_cells")
+
+
+@registered(GSC + " SELECT g, t_on AS event_time, ROUND(AVG(eff), 4) AS att, COUNT(eff) AS n_cells FROM fit WHERE t_on IS NOT NULL GROUP BY 1, 2")
+def gsc_group_event_att(spark, sf_dir):
+    return effects.by_event_time(imputed(spark, sf_dir), keys=("g",)).select("g", "event_time", r4("att").alias("att"), "n_cells")
+
+
+@registered(GSC + """, e AS (SELECT t_on AS event_time, AVG(eff) AS att, COUNT(eff) AS n_cells FROM fit WHERE t_on BETWEEN 1 AND 8 GROUP BY 1)
+SELECT event_time, ROUND(SUM(att * n_cells) OVER o / SUM(n_cells) OVER o * COUNT(*) OVER o, 3) AS att_cumu, n_cells FROM e WINDOW o AS (ORDER BY event_time)""")
+def gsc_cumulative_att(spark, sf_dir):
+    out = effects.cumulative(effects.by_event_time(imputed(spark, sf_dir)), (1, 8))
+    return out.select("event_time", F.round("att_cumu", 3).alias("att_cumu"), "n_cells")
+
+
+@registered(GSC + """, e AS (SELECT t_on AS event_time, SUM(eff) AS s, COUNT(eff) AS n_cells FROM fit WHERE t_on BETWEEN 1 AND 8 AND d = 1 GROUP BY 1)
+SELECT event_time, ROUND(SUM(s) OVER o / SUM(n_cells) OVER o * COUNT(*) OVER o, 3) AS cumulative, n_cells FROM e WINDOW o AS (ORDER BY event_time)""")
+def gsc_effect_cumulative(spark, sf_dir):
+    cells = event_time.with_relative_time(imputed(spark, sf_dir)).where("ever = 1")
+    return effects.subgroup_cumulative(cells, (1, 8)).select("event_time", F.round("cumulative", 3).alias("cumulative"), "n_cells")
+
+
+@registered(GSC + " SELECT t_on AS event_time, ROUND(AVG(eff) / AVG(y - eff), 5) AS aptt, COUNT(eff) AS n_cells FROM fit WHERE d = 1 AND t_on IS NOT NULL AND eff IS NOT NULL GROUP BY 1")
+def gsc_aptt(spark, sf_dir):
+    return effects.proportional(imputed(spark, sf_dir)).select("event_time", F.round("aptt", 5).alias("aptt"), "n_cells")
+
+
+@registered(GSC + """ SELECT t_on AS event_time, ROUND(AVG(CASE WHEN y > 0 AND y0 > 0 THEN LN(y) - LN(y0) END), 5) AS log_att, COUNT(CASE WHEN y > 0 AND y0 > 0 THEN 1 END) AS n_cells,
+ COUNT(CASE WHEN NOT (y > 0 AND y0 > 0) THEN 1 END) AS n_dropped FROM fit WHERE d = 1 AND t_on IS NOT NULL AND eff IS NOT NULL GROUP BY 1""")
+def gsc_log_att(spark, sf_dir):
+    return effects.logarithmic(imputed(spark, sf_dir)).select("event_time", F.round("log_att", 5).alias("log_att"), "n_cells", "n_dropped")
+
+
+@registered(GSC + " SELECT t_on AS event_time, ROUND(STDDEV_SAMP(eff), 4) AS sd, COUNT(eff) AS n_cells FROM fit WHERE t_on <= 0 GROUP BY 1")
+def gsc_pre_period_sd(spark, sf_dir):
+    return effects.pre_period_sd(imputed(spark, sf_dir)).select("event_time", r4("sd").alias("sd"), "n_cells")
+
+
+@registered(GSC + " SELECT t_on AS event_time, COUNT(DISTINCT unit) AS n_units FROM fit WHERE t_on IS NOT NULL AND i_obs = 1 GROUP BY 1")
+def treated_unit_counts(spark, sf_dir):
+    return effects.treated_units(imputed(spark, sf_dir))
+
+
+@registered(GSC + """ SELECT t_on AS at, ROUND(AVG(CASE WHEN y0 IS NOT NULL AND i_obs = 1 THEN y END), 4) AS treated_avg, ROUND(AVG(CASE WHEN i_obs = 1 THEN y0 END), 4) AS counterfactual_avg,
+ COUNT(CASE WHEN y0 IS NOT NULL AND i_obs = 1 THEN y END) AS n_cells FROM fit WHERE ever = 1 AND t_on IS NOT NULL AND (t_on <= 0 OR d = 1) GROUP BY 1""")
+def gsc_average_paths(spark, sf_dir):
+    return effects.paths(imputed(spark, sf_dir)).select("at", r4("treated_avg").alias("treated_avg"), r4("counterfactual_avg").alias("counterfactual_avg"), "n_cells")
+
+
+@registered(GSC + " SELECT x1 AS level, ROUND(AVG(eff), 4) AS att, COUNT(eff) AS n_cells FROM fit WHERE d = 1 AND x1 IS NOT NULL GROUP BY 1")
+def gsc_by_moderator(spark, sf_dir):
+    spec = PanelSpec(y="y", d="d", unit="unit", time="time", x=("x1",), group="region")
+    cells = panel.prepare(panels.panel(spark, sf_dir, "supplier_quarter"), spec, FitOptions(min_t0=0))
+    out = effects.by_moderator(effects.with_effect(additive.never_treated(cells)), "x1")
+    return out.select("level", r4("att").alias("att"), "n_cells")
+
+
+def _means_query(force):
+    def query(spark, sf_dir):
+        cells = effects.with_effect(additive.with_means(prepared(spark, sf_dir, "supplier_month", True), force))
+        return effects.by_event_time(cells).select("event_time", r4("att").alias("att"), "n_cells")
+
+    query.__name__ = f"means_{force}_event_att"
+    return query
+
+
+for _force in ("none", "unit", "time"):
+    registered("WITH " + sql.means("supplier_month", _force, True) + " SELECT t_on AS event_time, ROUND(AVG(eff), 4) AS att, COUNT(eff) AS n_cells FROM fit WHERE t_on IS NOT NULL GROUP BY t_on")(_means_query(_force))
+
+
+@registered("WITH " + sql.means("supplier_month", "unit", True) + " SELECT t_off AS event_time, ROUND(AVG(eff), 4) AS att, COUNT(eff) AS n_cells FROM fit WHERE t_off IS NOT NULL GROUP BY t_off")
+def means_unit_exit_att(spark, sf_dir):
+    cells = effects.with_effect(additive.with_means(prepared(spark, sf_dir, "supplier_month", True), "unit"))
+    return effects.by_event_time(cells, "t_off").select("event_time", r4("att").alias("att"), "n_cells")
+
+
+# --- difference-in-differences comparators ------------------------------------------------------------------
+
+ABSORBING = "WITH " + sql.masked("supplier_quarter") + """,
+f AS (SELECT unit, time_ix, y, MIN(CASE WHEN d = 1 THEN time_ix END) OVER (PARTITION BY unit) AS first_, MIN(time_ix) OVER (PARTITION BY unit) AS start_ FROM base WHERE i_obs = 1),
+a AS (SELECT unit, time_ix, y, first_, CASE WHEN time_ix >= first_ THEN 1 ELSE 0 END AS d FROM f WHERE first_ IS NULL OR first_ > start_)"""
+
+
+@registered(ABSORBING + """,
+z AS (SELECT d - AVG(d) OVER (PARTITION BY unit) - AVG(d) OVER (PARTITION BY time_ix) + AVG(d) OVER () AS dd, y - AVG(y) OVER (PARTITION BY unit) - AVG(y) OVER (PARTITION BY time_ix) + AVG(y) OVER () AS yd FROM a)
+SELECT ROUND(SUM(dd * yd) / SUM(dd * dd), 4) AS att, COUNT(*) AS n_cells FROM z""")
+def did_twfe(spark, sf_dir):
+    return did.twfe(prepared(spark, sf_dir, "supplier_quarter")).select(r4("att").alias("att"), "n_cells")
+
+
+@registered(ABSORBING + """,
+c AS (SELECT DISTINCT first_ AS stack FROM a WHERE first_ IS NOT NULL), s AS (SELECT a.*, c.stack FROM a JOIN c ON a.first_ = c.stack OR a.first_ IS NULL),
+z AS (SELECT d - AVG(d) OVER (PARTITION BY stack, unit) - AVG(d) OVER (PARTITION BY stack, time_ix) + AVG(d) OVER (PARTITION BY stack) AS dd, y - AVG(y) OVER (PARTITION BY stack, unit) - AVG(y) OVER (PARTITION BY stack, time_ix) + AVG(y) OVER (PARTITION BY stack) AS yd FROM s)
+SELECT ROUND(SUM(dd * yd) / SUM(dd * dd), 4) AS att, COUNT(*) AS n_cells FROM z""")
+def did_stacked(spark, sf_dir):
+    return did.stacked(prepared(spark, sf_dir, "supplier_quarter")).select(r4("att").alias("att"), "n_cells")
+
+
+def _group_time_sql(control: str) -> str:
+    allowed = "x.first_ IS NULL" if control == "never" else "(x.first_ IS NULL OR x.first_ > GREATEST(t.time_ix, t.ref)) AND x.first_ IS DISTINCT FROM t.cohort"
+    return ABSORBING + f""",
+g AS (SELECT first_ AS cohort, time_ix, AVG(y) AS y, COUNT(*) AS n_units FROM a WHERE first_ IS NOT NULL GROUP BY 1, 2),
+t0 AS (SELECT *, CASE WHEN time_ix >= cohort THEN cohort - 1 ELSE time_ix - 1 END AS ref FROM g),
+t AS (SELECT t0.*, r.y AS y_ref FROM t0 JOIN g r ON r.cohort = t0.cohort AND r.time_ix = t0.ref WHERE ref >= 1),
+k AS (SELECT t.cohort, t.time_ix, AVG(CASE WHEN x.time_ix = t.time_ix THEN x.y END) AS c_now, AVG(CASE WHEN x.time_ix = t.ref THEN x.y END) AS c_ref FROM t JOIN a x ON {allowed} AND (x.time_ix = t.time_ix OR x.time_ix = t.ref) GROUP BY 1, 2),
+gt AS (SELECT t.cohort, t.time_ix, CAST(t.time_ix - t.cohort + 1 AS INT) AS event_time, (t.y - t.y_ref) - (k.c_now - k.c_ref) AS att, t.n_units FROM t JOIN k USING (cohort, time_ix))"""
+
+
+@registered(_group_time_sql("never") + " SELECT cohort, time_ix, event_time, ROUND(att, 4) AS att, n_units FROM gt")
+def did_group_time_never(spark, sf_dir):
+    out = did.group_time(prepared(spark, sf_dir, "supplier_quarter"), "never")
+    return out.select("cohort", "time_ix", "event_time", r4("att").alias("att"), "n_units")
+
+
+@registered(_group_time_sql("notyet") + " SELECT cohort, time_ix, event_time, ROUND(att, 4) AS att, n_units FROM gt")
+def did_group_time_notyet(spark, sf_dir):
+    out = did.group_time(prepared(spark, sf_dir, "supplier_quarter"), "notyet")
+    return out.select("cohort", "time_ix", "event_time", r4("att").alias("att"), "n_units")
+
+
+@registered(_group_time_sql("notyet") + " SELECT event_time, ROUND(SUM(att * n_units) / SUM(n_units), 4) AS att, CAST(SUM(n_units) AS BIGINT) AS n_units FROM gt GROUP BY 1")
+def did_dynamic_notyet(spark, sf_dir):
+    out = did.aggregated(did.group_time(prepared(spark, sf_dir, "supplier_quarter"), "notyet"))
+    return out.select("event_time", r4("att").alias("att"), "n_units")
+
+
+@registered(ABSORBING + """,
+g AS (SELECT first_ AS cohort, time_ix, AVG(y) AS y, COUNT(*) AS n_units FROM a WHERE first_ IS NOT NULL GROUP BY 1, 2), c AS (SELECT time_ix, AVG(y) AS y FROM a WHERE first_ IS NULL GROUP BY 1),
+i AS (SELECT CAST(g.time_ix - g.cohort + 1 AS INT) AS event_time, (g.y - r.y) - (c.y - cr.y) AS att, g.n_units FROM g JOIN g r ON r.cohort = g.cohort AND r.time_ix = g.cohort - 1 JOIN c ON c.time_ix = g.time_ix JOIN c cr ON cr.time_ix = g.cohort - 1)
+SELECT event_time, ROUND(SUM(att * n_units) / SUM(n_units), 4) AS att, CAST(SUM(n_units) AS BIGINT) AS n_units FROM i GROUP BY 1""")
+def did_interaction_weighted(spark, sf_dir):
+    out = did.interaction_weighted(prepared(spark, sf_dir, "supplier_quarter"))
+    return out.select("event_time", r4("att").alias("att"), "n_units")
+
+
+@registered("WITH " + sql.masked("user_day", True) + """,
+l AS (SELECT unit, time_ix, d, y, lag(d) OVER w AS d0, y - lag(y) OVER w AS dy, lag(time_ix) OVER w AS t0 FROM base WHERE i_obs = 1 WINDOW w AS (PARTITION BY unit ORDER BY time_ix)),
+p AS (SELECT time_ix, d0, AVG(CASE WHEN d <> d0 THEN dy END) AS moved, AVG(CASE WHEN d = d0 THEN dy END) AS stayed, COUNT(CASE WHEN d <> d0 THEN 1 END) AS n FROM l WHERE t0 = time_ix - 1 GROUP BY 1, 2)
+SELECT ROUND(SUM(CASE WHEN d0 = 0 THEN 1 ELSE -1 END * (moved - stayed) * n) / SUM(n), 4) AS did_m, CAST(SUM(n) AS BIGINT) AS n_switchers FROM p WHERE moved IS NOT NULL AND stayed IS NOT NULL""")
+def did_switchers(spark, sf_dir):
+    return did.switchers(prepared(spark, sf_dir, "user_day", True)).select(r4("did_m").alias("did_m"), "n_switchers")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
