@@ -104,7 +104,7 @@ def with_carry(cells: DataFrame, k: int) -> DataFrame:
     """Add is_carry: among the first k periods after a treated one, itself not treated."""
     if not k:
         return cells.withColumn("is_carry", F.lit(0))
-    recent = F.max(F.coalesce(F.col("d"), F.lit(0))).over(W.partitionBy("unit").orderBy("time_ix").rangeBetween(-k, -1))
+    recent = F.coalesce(F.max(F.coalesce(F.col("d"), F.lit(0))).over(W.partitionBy("unit").orderBy("time_ix").rangeBetween(-k, -1)), F.lit(0))
     return cells.withColumn("is_carry", ((recent == 1) & (F.coalesce(F.col("d"), F.lit(0)) == 0)).cast("int"))
 
 

@@ -56,14 +56,14 @@ def panel_densify(spark, sf_dir):
 
 def _balanced_panel(name):
     def query(spark, sf_dir):
-        return prepared(spark, sf_dir, name).select("unit", "time_ix", F.round("y", 6).alias("y"), "d", "i_obs")
+        return prepared(spark, sf_dir, name).select("unit", "time_ix", F.round("y", 9).alias("y"), "d", "i_obs")
 
     query.__name__ = f"panel_{name}"
     return query
 
 
 for _name in ("nation_quarter", "nation_month", "user_day", "supplier_quarter"):
-    registered("WITH " + sql.cells(_name) + " SELECT unit, time_ix, ROUND(y, 6) AS y, d, i_obs FROM cells")(_balanced_panel(_name))
+    registered("WITH " + sql.cells(_name) + " SELECT unit, time_ix, ROUND(y, 9) AS y, d, i_obs FROM cells")(_balanced_panel(_name))
 
 
 @registered("WITH " + sql.masked("user_day", True) + " SELECT unit, time_ix, d, t_on, t_off FROM base")
