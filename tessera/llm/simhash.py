@@ -32,7 +32,9 @@ from .common import connected_components, materialize
 
 SEED = 42
 #: Bytes of normalised text that are hashed at once.
-SLAB = 1 << 20
+SLAB = 1 << 18
+#: Hashes whose bits are counted at once (a multiple of 255): small enough to stay in the cache.
+BLOCK = 255 * 64
 #: Fixed values of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 #: Values of a pivot distance in a cell, classes that a cell should hold, and a leaf.
@@ -40,8 +42,6 @@ CELL, CELL_ROWS, LEAF = 5, 4096, 256
 N_PIVOTS = 48
 
 _NORMAL = bytes((b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b) for b in range(256))
-#: Byte -> its 8 bits as 8 bytes of a 64-bit integer.
-_SPREAD = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -84,11 +84,14 @@ def xxh64_slices(data: bytes, starts: np.ndarray, ends: np.ndarray, seed: int =
 
 def _bit_counts(h: np.ndarray, segments: np.ndarray) -> np.ndarray:
     """(len(segments), 64) counts of set bits of h[segments[i]:segments[i + 1]]; no segment is empty."""
-    bounds = np.append(segments, len(h))
     # byte-wide counters hold 255 at most: cut the segments into pieces that short
-    pieces = np.unique(np.concatenate([segments, *(np.arange(a, b, 255) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a > 255)]))
-    spread = _SPREAD[h.view(np.uint8).reshape(-1, 8)]
-    counts = np.add.reduceat(spread, pieces, axis=0).view(np.uint8).reshape(len(pieces), 64)
+    pieces = np.unique(np.concatenate([segments, np.arange(0, len(h), 255)]))
+    counts = np.empty((len(pieces), 64), np.uint8)
+    for low in range(0, len(h), BLOCK):
+        # a byte for each bit; eight of these counters are added as one 64-bit integer
+        spread = np.unpackbits(h[low : low + BLOCK].view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
+        i, j = np.searchsorted(pieces, (low, low + BLOCK))
+        counts[i:j] = np.add.reduceat(spread, pieces[i:j] - low, axis=0).view(np.uint8).reshape(-1, 64)
     return np.add.reduceat(counts.astype(np.int64), np.searchsorted(pieces, segments), axis=0)
 
 
