@@ -324,6 +324,118 @@ def did_switchers(spark, sf_dir):
     return did.switchers(prepared(spark, sf_dir, "user_day", True)).select(r4("did_m").alias("did_m"), "n_switchers")
 
 
+# --- models and resampling as job fan-out -------------------------------------------------------------------
+
+LEFT_OUT = "WITH " + sql.masked("supplier_quarter") + """,
+lv AS (SELECT DISTINCT unit AS left_out FROM base),
+m AS (SELECT left_out, time_ix, AVG(y) AS m FROM base JOIN lv ON unit <> left_out WHERE ever = 0 GROUP BY 1, 2),
+own AS (SELECT m.left_out, b.unit, AVG(b.y - m.m) AS a FROM base b JOIN m USING (time_ix) WHERE b.ever = 1 AND b.ii = 1 AND b.unit <> m.left_out GROUP BY 1, 2),
+e AS (SELECT m.left_out, b.unit, b.t_on, b.d, b.y - m.m - own.a AS eff FROM base b JOIN m USING (time_ix) JOIN own ON own.left_out = m.left_out AND own.unit = b.unit)"""
+
+
+def fitted(spark, sf_dir, name="supplier_quarter", reversals=False, spec=SPEC, **options):
+    from .fit import fit
+
+    arguments = {k: options.pop(k) for k in ("se", "vartype", "nboots", "select", "folds") if k in options}
+    return fit(panels.panel(spark, sf_dir, name, reversals), spec, FitOptions(**{"min_t0": 1} | options), **arguments)
+
+
+@registered(LEFT_OUT + " SELECT left_out, ROUND(AVG(eff), 4) AS att FROM e WHERE d = 1 GROUP BY 1")
+def jackknife_gsc(spark, sf_dir):
+    got = fitted(spark, sf_dir, sample="nevertreated", se=True, vartype="jackknife")
+    units = F.array(*(F.lit(u) for u in got.panel.units))
+    return got.replicates.where("kind = 'overall'").select(F.element_at(units, (F.col("job_id") + 1).cast("int")).alias("left_out"), r4("value").alias("att"))
+
+
+@registered(LEFT_OUT + """, a AS (SELECT left_out, AVG(eff) AS att FROM e WHERE d = 1 GROUP BY 1)
+SELECT ROUND(STDDEV_SAMP(att) * (COUNT(*) - 1) / SQRT(COUNT(*)), 4) AS se FROM a""")
+def jackknife_gsc_se(spark, sf_dir):
+    got = fitted(spark, sf_dir, sample="nevertreated", se=True, vartype="jackknife")
+    return got.intervals().where("kind = 'overall'").select(r4("se").alias("se"))
+
+
+@registered()
+def fe_two_way_event_att(spark, sf_dir):
+    return fitted(spark, sf_dir, "supplier_month", True).event()
+
+
+@registered()
+def ife_event_att(spark, sf_dir):
+    return fitted(spark, sf_dir, method="ife", r=1, tol=1e-5).event()
+
+
+@registered()
+def mc_event_att(spark, sf_dir):
+    return fitted(spark, sf_dir, method="mc", lam=0.01, tol=1e-5).event()
+
+
+@registered()
+def gsynth_event_att(spark, sf_dir):
+    return fitted(spark, sf_dir, method="gsynth", r=1, tol=1e-5).event()
+
+
+@registered()
+def cfe_event_att(spark, sf_dir):
+    spec = PanelSpec(y="y", d="d", unit="unit", time="time", extra_fe=("region",))
+    return fitted(spark, sf_dir, spec=spec, method="cfe", tol=1e-5).event()
+
+
+@registered()
+def bootstrap_fe_intervals(spark, sf_dir):
+    return fitted(spark, sf_dir, "nation_quarter", se=True, nboots=40).intervals()
+
+
+@registered()
+def rank_selection_scores(spark, sf_dir):
+    from . import cv, jobs
+
+    cells = panel.prepare(panels.panel(spark, sf_dir, "nation_quarter"), SPEC, FitOptions(method="ife"))
+    p = jobs.dense(cells)
+    return cv.aggregate(cv.evaluate(p, [{"method": "ife", "r": r} for r in range(3)], spark, {"tol": 1e-3, "max_iter": 500}, folds=4))
+
+
+@registered()
+def placebo_window_att(spark, sf_dir):
+    return fitted(spark, sf_dir, placebo=(-2, 0)).test_window()
+
+
+@registered()
+def permutation_p_value(spark, sf_dir):
+    from . import inference, jobs
+
+    cells = panel.prepare(panels.panel(spark, sf_dir, "nation_quarter"), SPEC, FitOptions())
+    return inference.permutation_test(jobs.dense(cells), FitOptions(), spark, n=40)
+
+
+@registered("WITH " + sql.means("supplier_month", "time", True) + """, r AS (SELECT eff AS e, t_on AS et FROM fit WHERE ii = 1),
+c AS (SELECT quantile_cont(e, 0.5) AS centre FROM r), p AS (SELECT ABS(AVG(e)) AS m, COUNT(e) AS n FROM r GROUP BY et)
+SELECT ROUND(AVG(e * e), 2) AS mspe, ROUND(EXP(AVG(CASE WHEN e <> 0 THEN LN(e * e) ELSE 0 END)), 2) AS gmspe, ROUND(quantile_cont(ABS(e - centre), 0.5), 4) AS mad, ROUND(SQRT(AVG(e * e)), 4) AS rmse, COUNT(e) AS n_cells,
+ (SELECT ROUND(SUM(m * n) / SUM(n), 4) FROM p) AS moment FROM r, c""")
+def residual_scores(spark, sf_dir):
+    from . import cv
+
+    cells = effects.with_effect(additive.with_means(prepared(spark, sf_dir, "supplier_month", True), "time")).where("ii = 1")
+    out = cv.score_residuals(cells.select(F.col("eff").alias("e"), F.col("t_on").alias("at")))
+    return out.select(F.round("mspe", 2).alias("mspe"), F.round("gmspe", 2).alias("gmspe"), r4("mad").alias("mad"), r4("rmse").alias("rmse"), "n_cells", r4("moment").alias("moment"))
+
+
+@registered("WITH " + sql.masked("user_day", True) + """, c AS (SELECT t_on, COUNT(*) AS n FROM base WHERE t_on <= 0 AND i_obs = 1 GROUP BY 1),
+k AS (SELECT t_on AS event_time, CASE WHEN n >= 0.3 * MAX(n) OVER () THEN n ELSE 0 END AS n FROM c) SELECT event_time, ROUND(n / (SELECT AVG(n) FROM k WHERE n > 0), 6) AS weight FROM k""")
+def period_weights(spark, sf_dir):
+    from ..operators import scoring
+
+    out = scoring.period_weights(prepared(spark, sf_dir, "user_day", True), 0.3)
+    return out.select("event_time", F.round("weight", 6).alias("weight"))
+
+
+@registered("""SELECT user_id AS unit, CAST(date_trunc('day', ts) AS DATE) AS time, ROUND(SUM(value), 4) AS y, COUNT(*) AS n_events FROM events GROUP BY 1, 2""")
+def event_panel_by_day(spark, sf_dir):
+    from ..streaming import event_panels
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return event_panels.windowed(events, "user_id", "ts", "value", "1 day").select("unit", F.col("time").cast("date").alias("time"), r4("y").alias("y"), "n_events")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
