@@ -202,3 +202,20 @@ def test_distributions():
     assert np.abs(stats.loess(t, 1 + 2 * t + t**2) - (1 + 2 * t + t**2)).max() < 1e-8
     basis = stats.spline_basis(t, "bspline", 3, 6)
     assert basis.shape == (30, 6) and (basis >= -1e-12).all() and stats.spline_basis(t, "cubic").shape == (30, 3)
+
+
+def test_regression_trends_and_implied_weights(spark):
+    from tessera.plans import regression
+
+    df = simulate.simulated(spark, n=40, t=20, n_treated=10, onset=14, tau=0.0, beta=1.5, factors=1, noise=0.3, seed=8)
+    got = {r["term"]: r for r in regression.interactive_regression(df, "y", ("x1",), "id", "time", r=1, nboots=20).collect()}
+    assert got["x1"]["ci_low"] < 1.5 < got["x1"]["ci_high"] and got["sigma2"]["estimate"] > 0
+    trended, names = regression.with_trend(df, "time", "quadratic")
+    cfe = fit(trended, PanelSpec(y="y", d="d", unit="id", time="time", q=names), FitOptions(method="cfe", tol=1e-4, max_iter=500))
+    assert np.isfinite(cfe.overall().first()["att_avg"])
+    gsc = fit(df, SPEC, FitOptions(method="gsynth", r=1))
+    weights = regression.implied_weights(gsc)
+    assert weights.count() == 10 * 30
+    load = {r["unit"]: np.array(r["loadings"]) for r in gsc.units.collect()}
+    one = weights.where("unit = 1").collect()
+    assert np.allclose(sum(r["weight"] * load[r["control"]] for r in one), load[1])
