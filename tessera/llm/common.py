@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: XXH-free stand-in for a null document id: it sorts after every real id.
+#: Stands in for a null document id: it sorts after every real id.
 NULL_ID = 2**63 - 1
 
 _own_dir: list[str] = []
@@ -30,10 +30,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts lineage like ``checkpoint()``: a lost executor costs a re-read, not a recomputation. The
-    columnar files are several times smaller than a checkpoint's serialised rows."""
+    columnar files are several times smaller than a checkpoint's serialised rows. The table goes when the
+    application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

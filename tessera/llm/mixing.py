@@ -198,15 +198,18 @@ def mix_plan(docs: DataFrame, max_repeats: float = 3.0, seed: int = 42, shard_wo
 
 
 def mix(docs: DataFrame, max_repeats: float = 3.0, seed: int = 42, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The mix: the columns of ``docs``, once for each time that a document is taken, with mix_epoch, mix_shard and
-    mix_order. To write it, repartition by mix_shard and sort within partitions by mix_order."""
-    plan = mix_plan(docs, max_repeats, seed, shard_words).dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("mix_id"), F.col("h").alias("mix_h"), F.explode("deals").alias("mix_deal"))
-    keyed = docs.withColumn("mix_key", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    joined = keyed.join(plan, (F.col("mix_key") == F.col("mix_h")) & F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    return joined.select(
-        *docs.columns, F.col("mix_deal.epoch").alias("mix_epoch"), F.col("mix_deal.shard").alias("mix_shard"),
-        F.xxhash64(F.lit(seed), "mix_key", "mix_deal.epoch").alias("mix_order"),
-    )
+    """The mix: the columns of ``docs``, once for each time that a document is taken, and a last column ``mix`` (with
+    underscores added while ``docs`` has such a column): a struct of epoch, shard and order. To write it, repartition by
+    shard and sort within partitions by order."""
+    plan = mix_plan(docs, max_repeats, seed, shard_words).dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("id"), "h", F.explode("deals").alias("deal"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"))
+    joined = keyed.join(plan, (F.col("key") == F.col("h")) & F.col("row.doc_id").eqNullSafe(F.col("id")))
+    name = "mix"
+    while name in docs.columns:
+        name += "_"
+    order = F.xxhash64(F.lit(seed), "key", "deal.epoch")
+    place = F.struct(F.col("deal.epoch").alias("epoch"), F.col("deal.shard").alias("shard"), order.alias("order"))
+    return joined.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), place.alias(name))
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:

@@ -52,10 +52,10 @@ def test_report(spark, rows):
 
 
 def test_mix_rows(spark, rows):
-    docs = spark.createDataFrame(rows[:-1], "doc_id long, text string, source string, extra int")
+    docs = spark.createDataFrame(rows[:-1], "doc_id long, text string, source string, mix int")
     report = {(r["doc_id"]): r for r in mixing.mix_report(docs, shard_words=800).collect()}
     mixed = mixing.mix(docs, shard_words=800)
-    assert mixed.columns[: len(docs.columns)] == docs.columns
+    assert mixed.columns == [*docs.columns, "mix_"]
     counts = Counter(r["doc_id"] for r in mixed.collect())
     assert counts == Counter({d: len(r["shards"]) for d, r in report.items() if r["shards"]})
 
