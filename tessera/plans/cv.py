@@ -12,6 +12,7 @@ from .spec import FitOptions
 
 SCORES = ("mspe", "wmspe", "gmspe", "wgmspe", "mad", "moment", "gmoment", "rmse", "bias")
 
+
 def rolling_mask(p: jobs.Dense, seed: int, prop: float = 0.1, nobs: int = 3, buffer: int = 1, min_t0: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hidden, scored): of a sample of units a random anchor's block is scored, and the buffer before it and all that
     follows are hidden. Ever-treated units offer their cells before onset only."""
@@ -30,6 +31,7 @@ def rolling_mask(p: jobs.Dense, seed: int, prop: float = 0.1, nobs: int = 3, buf
         hidden[at[max(0, anchor - buffer) :], i] = True
     return hidden, scored
 
+
 def block_mask(p: jobs.Dense, seed: int, prop: float = 0.1, nobs: int = 3, donut: int = 1, treated_only: bool = False, tries: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """(hidden, scored): random blocks of ``nobs`` periods are hidden; all but ``donut`` cells at their edges are scored."""
     rng = np.random.default_rng(seed)
@@ -49,6 +51,7 @@ def block_mask(p: jobs.Dense, seed: int, prop: float = 0.1, nobs: int = 3, donut
             return hidden, scored
     raise ValueError("no feasible mask")
 
+
 def leave_one_out_mask(p: jobs.Dense, k: int, min_t0: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The k-th usable pre-period (from the last) of every treated unit with enough others."""
     hidden = np.zeros_like(p.use)
@@ -58,6 +61,7 @@ def leave_one_out_mask(p: jobs.Dense, k: int, min_t0: int = 5) -> tuple[np.ndarr
             hidden[at[-1 - k], i] = True
     return hidden, hidden.copy()
 
+
 def mask(p: jobs.Dense, kind: str, seed: int, **options) -> tuple[np.ndarray, np.ndarray]:
     if kind == "rolling":
         return rolling_mask(p, seed, **options)
@@ -65,6 +69,7 @@ def mask(p: jobs.Dense, kind: str, seed: int, **options) -> tuple[np.ndarray, np
         return leave_one_out_mask(p, seed, **options)
     return block_mask(p, seed, treated_only=kind == "treated_units", **options)
 
+
 def period_weights(p: jobs.Dense, proportion: float = 0.3) -> dict[float, float]:
     """Weight of each event time up to 0 by its count against the mean; scarce ones weigh nothing."""
     at = p.t_on[(p.t_on <= 0) & p.obs]
@@ -73,6 +78,7 @@ def period_weights(p: jobs.Dense, proportion: float = 0.3) -> dict[float, float]
     mean = counts[counts > 0].mean() if (counts > 0).any() else 1.0
     return dict(zip(values.tolist(), (counts / mean).tolist(), strict=True))
 
+
 def _score_job(p: jobs.Dense, kind: str, params: dict):
     hidden, scored = mask(p, params["mask"], params["seed"], **params["mask_options"])
     got = jobs.fit_dense(p, use=p.use & ~hidden, **params["fit"])
@@ -96,6 +102,7 @@ def _score_job(p: jobs.Dense, kind: str, params: dict):
         "rmse": np.sqrt((v**2).mean()), "bias": v.mean()}
     return [(name, float(params["candidate"]), float(value), n) for name, value in rows.items()]
 
+
 def evaluate(p: jobs.Dense, candidates: list[dict], spark, base: dict, folds: int = 10, kind: str = "rolling", seed: int = 1, proportion: float = 0.3, **mask_options) -> DataFrame:
     """(candidate, fold, score, value, n_cells): every score of every candidate (fit arguments) on every fold."""
     weights = {str(k): v for k, v in period_weights(p, proportion).items()}
@@ -107,6 +114,7 @@ def evaluate(p: jobs.Dense, candidates: list[dict], spark, base: dict, folds: in
     got = jobs.run(p, jobs.table(spark, rows), _score_job, spark)
     return got.where("error is null").select(F.col("at").cast("int").alias("candidate"), (F.col("job_id") % folds).cast("int").alias("fold"), F.col("kind").alias("score"), "value", "n_cells")
 
+
 def aggregate(scores: DataFrame, criterion: str = "mspe") -> DataFrame:
     """(candidate, mean, se, pooled, n_folds) of one score; se is 0 for a single fold."""
     rows = scores.where(F.col("score") == criterion)
@@ -114,6 +122,7 @@ def aggregate(scores: DataFrame, criterion: str = "mspe") -> DataFrame:
         F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value") / F.sqrt(F.count("value").cast("double")), F.lit(0.0)).alias("se"),
         (F.sum(F.col("value") * F.col("n_cells")) / F.sum("n_cells")).alias("pooled"), F.count("value").alias("n_folds"))
 
+
 def pick(table: DataFrame, rule: str = "1se") -> int:
     """The candidate that the rule takes: the smallest within one standard error of the best, the best, or the
     smallest within one per cent."""
@@ -122,6 +131,7 @@ def pick(table: DataFrame, rule: str = "1se") -> int:
     limit = {"1se": best["mean"] + best["se"], "min": best["mean"], "1pct": 1.01 * best["mean"]}[rule]
     return next(r["candidate"] for r in rows if r["mean"] <= limit)
 
+
 def ranks(p: jobs.Dense, low: int, high: int, extra: int = 0) -> list[int]:
     """Ranks that leave degrees of freedom and are below every fitted unit's number of usable cells."""
     t, n = p.y.shape
@@ -129,11 +139,13 @@ def ranks(p: jobs.Dense, low: int, high: int, extra: int = 0) -> list[int]:
     k = p.x.shape[2] + extra
     return [r for r in range(low, high + 1) if p.use.sum() - r * (n + t) + r * r - k > 0 and r < fewest] or [low]
 
+
 def penalties(p: jobs.Dense, force: str, n: int = 10) -> list[float]:
     """Penalties over three decades below the one that leaves no low-rank part; the last is 0."""
     top = kernels.largest_penalty(p.y, p.use, p.x, force)
     return [float(v) for v in top * 10.0 ** np.linspace(0, -3, max(n - 1, 1))] + [0.0]
 
+
 def choose(p: jobs.Dense, options: FitOptions, spark, folds: int = 10, seed: int = 1, rule: str = "1se", kind: str = "rolling") -> dict:
     """Rank or penalty by the criterion; ``both`` keeps the factor model unless matrix completion scores better."""
     low, high = options.r if isinstance(options.r, tuple) else (0, 5)
@@ -157,6 +169,7 @@ def choose(p: jobs.Dense, options: FitOptions, spark, folds: int = 10, seed: int
         return {"method": options.method, "r": 0, "lam": None}
     return min(found, key=lambda f: f[0])[1]
 
+
 def compare(p: jobs.Dense, models: dict[str, dict], spark, folds: int = 10, kind: str = "rolling", seed: int = 1) -> DataFrame:
     """(model, score, value, se): out-of-sample scores of named models (fit arguments) on the same folds."""
     names = sorted(models)
@@ -164,6 +177,7 @@ def compare(p: jobs.Dense, models: dict[str, dict], spark, folds: int = 10, kind
     labels = F.array(*(F.lit(n) for n in names))
     return got.groupBy(F.element_at(labels, F.col("candidate") + 1).alias("model"), "score").agg(F.avg("value").alias("value"), F.coalesce(F.stddev_samp("value") / F.sqrt(F.count("value").cast("double")), F.lit(0.0)).alias("se"))
 
+
 def score_residuals(cells: DataFrame) -> DataFrame:
     """All scores in one aggregation over cells (e, at, optional sd): mspe, gmspe, mad, moment, gmoment, rmse, bias."""
     e = F.col("e")
