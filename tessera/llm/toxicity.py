@@ -32,7 +32,12 @@ WORDS = re.compile(r"\w+")
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch euer tu toi te ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 #: Characters that stand for letters.
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "€": "e", "|": "l", "+": "t"})
-MIXED = re.compile(r"(?=\S*[^\W\d_])(?=\S*[\d@$!*€|+])[\w@$!*€|+]*[\w@$*€|+]")
+#: A word with a stand-in character inside or in front; possessive, so that plain words fail at once.
+MIXED = re.compile(r"\b[^\W\d_]++[\d@$!*€|+]++\w[\w@$!*€|+]*|(?<![\w@$*€|+])[\d@$*€|+]++[^\W\d_][\w@$!*€|+]*")
+SHOUT = re.compile(r"\b[A-Z]{3,}\b")
+PUNCTUATION, STAND_INS = list(b"!?.,;:-\"'()*"), list(b"@$!*|+\xe2")
+#: What a second-person word weighs: no lexicon weight reaches it.
+YOU = 1e6
 FEATURES = (
     "log_words", "hits", "hit_density", "distinct_hits", "weight_sum", "weight_max", "prefix_hits", "prefix_density", "hidden_hits", "near_second_person",
     "second_person_density", "capital_rate", "shouted_words", "exclamation_rate", "punctuation_rate", "obfuscation_rate", "digit_rate", "strong_density",
@@ -57,6 +62,9 @@ class _Weights(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> float:
+        if word in SECOND_PERSON:
+            self[word] = YOU
+            return YOU
         get = self.lexicon.get
         own = get("w:" + word, 0.0)
         best = max(get(f"{n}:{word[:n]}", 0.0) for n in PREFIXES) if len(word) >= PREFIXES[0] else 0.0
@@ -77,26 +85,27 @@ def featurize(texts: list[str | None], weights: _Weights) -> np.ndarray:
         words = WORDS.findall(lower)
         n = max(len(words), 1)
         value = np.fromiter(map(weights.__getitem__, words), np.float64, len(words))
-        own, start = np.flatnonzero(value > 0), np.flatnonzero(value < 0)
-        you = np.flatnonzero(np.fromiter(map(SECOND_PERSON.__contains__, words), bool, len(words)))
-        hits = np.union1d(own, start)
-        weight = np.where(value[hits] > 0, value[hits] - 1000.0, -value[hits]) if len(hits) else np.zeros(0)
+        you = np.flatnonzero(value == YOU)
+        value[you] = 0
+        hits = np.flatnonzero(value)
+        own, start = hits[value[hits] > 0], hits[value[hits] < 0]
+        weight = np.where(value[hits] > 0, value[hits] - 1000.0, -value[hits])
+        # one count of all bytes serves every character rate
+        count = np.bincount(np.frombuffer(text.encode("utf-8"), np.uint8), minlength=256)
+        capitals, digits, marks, punctuation = int(count[65:91].sum()), int(count[48:58].sum()), int(count[33]), int(count[PUNCTUATION].sum())
         hidden = mixed = 0
-        for token in MIXED.findall(lower):
-            mixed += 1
-            plain = token.translate(LOOKALIKE).replace("*", "")
-            hidden += plain != token and weights[plain] != 0
+        if digits or count[STAND_INS].any():
+            for token in MIXED.findall(lower):
+                mixed += 1
+                plain = token.translate(LOOKALIKE).replace("*", "")
+                hidden += plain != token and weights[plain] not in (0.0, YOU)
         near = 0
         if len(hits) and len(you):
             at = np.searchsorted(you, hits)
             gap = np.minimum(np.abs(hits - you[np.minimum(at, len(you) - 1)]), np.abs(hits - you[np.maximum(at - 1, 0)]))
             near = int((gap <= NEAR).sum())
         chars = len(text)
-        capitals = sum(map(str.isupper, text)) if chars < 4096 else chars - sum(map(str.__eq__, text, lower)) if len(lower) == chars else 0
-        marks = text.count("!")
-        punctuation = sum(map(text.count, "!?.,;:-\"'()*"))
-        digits = sum(map(text.count, "0123456789"))
-        shouted = len(SHOUT.findall(text))
+        shouted = len(SHOUT.findall(text)) if capitals >= 3 else 0
         out[i] = (
             np.log1p(len(words)), np.log1p(len(own)), len(own) / n, len({words[k] for k in hits.tolist()}), weight.sum(), weight.max(initial=0.0), np.log1p(len(start)), len(start) / n, hidden, near,
             len(you) / n, capitals / chars, shouted / n, marks / chars, punctuation / chars, mixed / n, digits / chars, float((weight >= 3).sum()) / n,
@@ -104,9 +113,6 @@ def featurize(texts: list[str | None], weights: _Weights) -> np.ndarray:
     return out
 
 
-SHOUT = re.compile(r"\b[A-Z]{3,}\b")
-
-
 @dataclass
 class Boosted:
     """Trees as arrays: for each tree a list of (feature, threshold, left, right) with leaves as values."""
