@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import materialize
+
 #: Characters in a chunk, and how many of them a chunk shares with the next.
 CHUNK, OVERLAP = 16384, 512
 #: Boundaries nearer to a chunk's end than this may depend on what follows (the longest contraction has 3).
@@ -271,7 +273,8 @@ def length_histogram(lengths_: DataFrame) -> DataFrame:
     their tokens), docs_below, tokens_below, and truncated_tokens (all documents' tokens, each cut at n_tokens).
     Suffix sums go band by band: within a band of ``BAND`` lengths by a window, over the bands by another
     (one row a band), so no window partition grows with the number of documents."""
-    counts = lengths_.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("band", F.floor(F.col("n_tokens") / BAND)).withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
+    counts = materialize(lengths_.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))  # read twice, encoded once
+    counts = counts.withColumn("band", F.floor(F.col("n_tokens") / BAND)).withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
     bands = counts.groupBy("band").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     later = W.partitionBy(F.lit(1)).orderBy(F.col("band").desc()).rowsBetween(W.unboundedPreceding, -1)
     everything = W.partitionBy(F.lit(1))
