@@ -99,6 +99,9 @@ def fit_dense(p: Dense, method: str = "fe", force: str = "two-way", sample: str
     w = p.w if weighted else None
     if method == "probit":
         return kernels.probit(p.y, use, p.x, r, force, tol, max_iter)
+    if method == "cfe" and sample == "nevertreated":
+        absorbed = np.maximum.accumulate(np.nan_to_num(p.d), axis=0) > 0
+        return kernels.complex_never_treated(p.y, use, use & ~absorbed, ~p.ever, p.x, r, force, tol, max_iter, p.levels, p.z, p.time_group, p.q, p.unit_group, w)
     if method == "cfe":
         return kernels.complex_effects(p.y, use, p.x, r, force, tol, max_iter, p.levels, p.z, p.time_group, p.q, p.unit_group, w)
     if sample == "nevertreated":

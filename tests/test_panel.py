@@ -219,3 +219,32 @@ def test_regression_trends_and_implied_weights(spark):
     load = {r["unit"]: np.array(r["loadings"]) for r in gsc.units.collect()}
     one = weights.where("unit = 1").collect()
     assert np.allclose(sum(r["weight"] * load[r["control"]] for r in one), load[1])
+
+
+def test_did_resampling_agrees_with_the_plans(spark):
+    from tessera.plans import did_inference
+
+    df = simulate.simulated(spark, n=40, t=12, n_treated=16, staggered=True, tau=2.0, noise=0.3, seed=9)
+    cells = panel.prepare(df, SPEC, FitOptions()).cache()
+    p = jobs.dense(cells)
+    plans = {
+        "twfe": did.twfe(cells), "st": did.stacked(cells), "cs_never": did.aggregated(did.group_time(cells, "never"), "simple"), "cs_notyet": did.aggregated(did.group_time(cells, "notyet"), "simple")}
+    for method, plan in plans.items():
+        assert abs(did_inference.estimate(p, method)[0][2] - plan.first()["att"]) < 1e-8
+    iw = {r["event_time"]: r["att"] for r in did.interaction_weighted(cells).collect()}
+    assert all(abs(iw[int(at)] - v) < 1e-8 for kind, at, v, _ in did_inference.estimate(p, "iw") if kind == "event")
+    row = did_inference.intervals(cells, "cs_never", nboots=25).where("kind = 'overall'").first()
+    assert abs(row["value"] - 2.0) < 0.3 and row["ci_low"] < row["value"] < row["ci_high"] and row["n_reps"] == 25
+
+
+def test_multilevel_never_treated_kernel():
+    rng = np.random.default_rng(4)
+    t, n = 20, 30
+    control = np.arange(n) >= 8
+    shared = np.add.outer(np.arange(t) // 5, np.zeros(n, int))
+    z = np.column_stack([np.ones(n), rng.normal(size=n)])
+    truth = rng.normal(size=(t, 1)) + rng.normal(size=(1, n)) + np.array([0.5, -1, 2, 0])[shared] + np.outer(np.arange(t) / 5, z[:, 1])
+    d = np.zeros((t, n), bool)
+    d[14:, :8] = True
+    got = kernels.complex_never_treated(truth + 5 * d, ~d, ~d, control, np.zeros((t, n, 0)), 0, "two-way", 1e-10, 5000, [shared], z, np.arange(t))
+    assert np.abs(got.y0 - truth).max() < 1e-3
