@@ -49,18 +49,29 @@ class Shard:
         self.axes = np.random.default_rng(SEED).normal(size=(vectors.shape[1], m))
         projected = (vectors @ self.axes).T
         self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
-        self.values = np.take_along_axis(projected, self.order, axis=1)
+        values = np.take_along_axis(projected, self.order, axis=1)
+        # all arrays in one, each shifted beyond the last: one binary search serves every projection
+        self.low_end = values[:, 0]
+        self.width = float((values[:, -1] - values[:, 0]).max(initial=0.0)) * 2 + 1.0
+        self.shift = np.arange(m) * self.width
+        self.flat = (values - self.low_end[:, None] + self.shift[:, None]).ravel()
         self.need = threshold(m)
         # the first radius: a small part of the typical distance to a few members
         some = vectors[:: max(1, len(vectors) // 64)][:64]
         spread = np.sqrt(((some - some.mean(axis=0)) ** 2).sum(axis=1)).mean()
         self.start = max(float(spread) / 16, 1e-9)
 
+    def positions(self, at: np.ndarray, side: str) -> np.ndarray:
+        """Where each projection's value falls in its own sorted array."""
+        n = self.order.shape[1]
+        inside = np.clip(at - self.low_end, -0.25 * self.width, 0.74 * self.width)  # stays within the array's own stretch
+        return np.searchsorted(self.flat, inside + self.shift, side=side) - np.arange(len(at)) * n
+
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the k nearest found, nearest first."""
-        n, m = len(self.ids), len(self.values)
+        n = len(self.ids)
         at = query @ self.axes
-        low = np.array([np.searchsorted(v, x) for v, x in zip(self.values, at, strict=True)])
+        low = self.positions(at, "left")
         high = low.copy()
         count = np.zeros(n, np.int32)
         distance = np.full(n, np.inf)
@@ -68,17 +79,10 @@ class Shard:
         seen = mine.copy()
         radius, rest = self.start, n - int(mine.sum())
         while True:
-            lo = [int(np.searchsorted(v, x - HALF * radius, side="left")) for v, x in zip(self.values, at, strict=True)]
-            hi = [int(np.searchsorted(v, x + HALF * radius, side="right")) for v, x in zip(self.values, at, strict=True)]
-            parts = []
-            for j in range(m):
-                row = self.order[j]
-                if lo[j] < low[j]:
-                    parts.append(row[lo[j] : low[j]])
-                    low[j] = lo[j]
-                if hi[j] > high[j]:
-                    parts.append(row[high[j] : hi[j]])
-                    high[j] = hi[j]
+            lo, hi = np.minimum(self.positions(at - HALF * radius, "left"), low), np.maximum(self.positions(at + HALF * radius, "right"), high)
+            parts = [self.order[j, lo[j] : low[j]] for j in np.flatnonzero(lo < low).tolist()]
+            parts += [self.order[j, high[j] : hi[j]] for j in np.flatnonzero(hi > high).tolist()]
+            low, high = lo, hi
             if parts:
                 count += np.bincount(np.concatenate(parts), minlength=n).astype(np.int32)
             covered = bool((low == 0).all() and (high == n).all())
