@@ -30,7 +30,7 @@ from .vectors import matrix, numeric, usable
 
 PROJECTIONS, HALF, GROWTH, CATCH, SEED = 64, 1.0, 1.12, 0.93, 3
 #: A shard's rows: the table in 64 parts, but never fewer or more than these.
-LEAST_ROWS, MOST_ROWS = 2048, 65536
+LEAST_ROWS, MOST_ROWS = 8192, 65536
 #: Queries that meet a shard at once.
 QUERY_BLOCK = 16384
 
@@ -59,7 +59,7 @@ class Shard:
         # the first radius: a small part of the typical distance to a few members
         some = vectors[:: max(1, len(vectors) // 64)][:64]
         spread = np.sqrt(((some - some.mean(axis=0)) ** 2).sum(axis=1)).mean()
-        self.start = max(float(spread) / 16, 1e-9)
+        self.start = max(float(spread) / 8, 1e-9)
 
     def positions(self, at: np.ndarray, side: str) -> np.ndarray:
         """Where each projection's value falls in its own sorted array."""
@@ -94,7 +94,7 @@ class Shard:
                 break
             if int((distance <= radius).sum()) >= k:
                 break
-            radius *= GROWTH if radius > 8 * self.start else 1.6
+            radius *= GROWTH if radius > 4 * self.start else 1.6
         found = np.flatnonzero(np.isfinite(distance))
         if len(found) > k:
             kth = np.partition(distance[found], k - 1)[k - 1]
