@@ -50,13 +50,13 @@ def imputed(spark: SparkSession, sf_dir: str, name: str = "supplier_quarter", **
 
 @registered("WITH " + sql.cells("supplier_month") + " SELECT unit, time_ix, ROUND(y, 6) AS y, d, i_obs, ever FROM cells")
 def panel_densify(spark, sf_dir):
-    cells = prepared(spark, sf_dir, "supplier_month")
+    cells = panel.with_usable(panel.with_carry(panel.densify(panels.panel(spark, sf_dir, "supplier_month"), SPEC), 0), FitOptions())
     return cells.select("unit", "time_ix", F.round("y", 6).alias("y"), "d", "i_obs", "ever")
 
 
 def _balanced_panel(name):
     def query(spark, sf_dir):
-        return prepared(spark, sf_dir, name).select("unit", "time_ix", F.round("y", 9).alias("y"), "d", "i_obs")
+        return panel.densify(panels.panel(spark, sf_dir, name), SPEC).select("unit", "time_ix", F.round("y", 9).alias("y"), "d", "i_obs")
 
     query.__name__ = f"panel_{name}"
     return query

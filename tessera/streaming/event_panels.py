@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def windowed(events: DataFrame, unit: str, ts: str, value: str, width: str = "1 day", lateness: str | None = None) -> DataFrame:
     """(unit, time, y, n_events): sums by unit and window. On a stream, ``lateness`` sets the watermark after which a
     window is final; the plan is the same for both."""
-    rows = events.withWatermark(ts, lateness) if lateness else events
+    rows = events.withColumn(ts, F.col(ts).cast("timestamp"))  # watermarks need instants
+    rows = rows.withWatermark(ts, lateness) if lateness else rows
     grouped = rows.groupBy(F.window(ts, width).alias("w"), F.col(unit).alias("unit")).agg(F.sum(value).alias("y"), F.count(F.lit(1)).alias("n_events"))
     return grouped.select("unit", F.col("w.start").alias("time"), "y", "n_events")
 
