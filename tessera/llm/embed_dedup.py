@@ -171,11 +171,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     valid = rows.where("on")
     classes = materialize(valid.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding")))
     n = classes.count()
-    sample = classes.select("rep", "embedding").orderBy(F.xxhash64(F.lit(5), "rep")).limit(SAMPLE).collect()
-    by_dim: dict[int, list] = {}
-    for r in sample:
-        by_dim.setdefault(len(r["embedding"]), []).append(r["embedding"])
-    grids = {d: fit_grid(unit_rows(np.array(x, np.float64)), max(1, n * len(x) // max(1, len(sample))), threshold) for d, x in by_dim.items()}
+    # as Arrow columns: rows of Python numbers would take ten times the driver's memory
+    sample = classes.select("rep", "dim", "embedding").orderBy(F.xxhash64(F.lit(5), "rep")).limit(SAMPLE).toArrow()
+    dims = sample.column("dim").to_numpy()
+    grids = {}
+    for d in np.unique(dims).tolist():
+        x = matrix(sample.column("embedding").filter(pa.array(dims == d)))
+        grids[d] = fit_grid(unit_rows(x), max(1, n * len(x) // len(dims)), threshold)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
