@@ -370,8 +370,8 @@ def mc_event_att(spark, sf_dir):
 
 
 @registered()
-def gsynth_event_att(spark, sf_dir):
-    return fitted(spark, sf_dir, method="gsynth", r=1, tol=1e-5).event()
+def gsc_factor_event_att(spark, sf_dir):
+    return fitted(spark, sf_dir, method="gsc", r=1, tol=1e-5).event()
 
 
 @registered()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 FORCES = ("none", "unit", "time", "two-way")
-METHODS = ("fe", "ife", "mc", "both", "gsynth", "cfe")
+METHODS = ("fe", "ife", "mc", "both", "gsc", "cfe")
 
 
 @dataclass(frozen=True)
@@ -109,5 +109,5 @@ class FitOptions:
         return self.min_t0 if self.min_t0 is not None else (1 if self.method == "fe" else 5)
 
     def resolved(self) -> FitOptions:
-        """gsynth is an interactive model fitted on never-treated units."""
-        return replace(self, method="ife", sample="nevertreated") if self.method == "gsynth" else self
+        """gsc is an interactive model fitted on never-treated units."""
+        return replace(self, method="ife", sample="nevertreated") if self.method == "gsc" else self

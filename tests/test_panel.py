@@ -80,7 +80,7 @@ def test_closed_form_equals_kernel(spark):
     assert all(abs(closed[u, t + 1] - y0[t, i]) < 1e-8 for i, u in enumerate(p.units) if p.ever[i] for t in range(14))
 
 
-@pytest.mark.parametrize("method, sample", [("ife", "notyettreated"), ("gsynth", "nevertreated"), ("mc", "notyettreated"), ("cfe", "notyettreated")])
+@pytest.mark.parametrize("method, sample", [("ife", "notyettreated"), ("gsc", "nevertreated"), ("mc", "notyettreated"), ("cfe", "notyettreated")])
 def test_factor_models_recover_the_effect(spark, method, sample):
     df = simulate.simulated(spark, n=60, t=24, n_treated=15, onset=16, tau=3.0, factors=1, noise=0.3, seed=7)
     options = FitOptions(method=method, sample=sample, r=1, lam=0.002 if method == "mc" else None)
@@ -213,7 +213,7 @@ def test_regression_trends_and_implied_weights(spark):
     trended, names = regression.with_trend(df, "time", "quadratic")
     cfe = fit(trended, PanelSpec(y="y", d="d", unit="id", time="time", q=names), FitOptions(method="cfe", tol=1e-4, max_iter=500))
     assert np.isfinite(cfe.overall().first()["att_avg"])
-    gsc = fit(df, SPEC, FitOptions(method="gsynth", r=1))
+    gsc = fit(df, SPEC, FitOptions(method="gsc", r=1))
     weights = regression.implied_weights(gsc)
     assert weights.count() == 10 * 30
     load = {r["unit"]: np.array(r["loadings"]) for r in gsc.units.collect()}
