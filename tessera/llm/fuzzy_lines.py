@@ -1,16 +1,16 @@
-"""Fuzzy line dedup: SimHash of normalised lines, a join on pigeonhole blocks, edit similarity, components.
+"""Fuzzy line dedup: MinHash of normalised lines, edit similarity, components.
 
 A line is what ``\\n`` separates. It is normalised (lower case, digits to 0, white space runs to one space, trimmed);
-equal normalised lines are one class; blank lines are none. A class's SimHash is over the hashes of all
-6-byte grams of the normalised line. Two classes link if they agree on enough of the fingerprint's blocks that no
-pair within ``RADIUS`` bits is missed, are within ``LOOSE`` bits, and have an edit similarity
-(1 - Levenshtein / longer length, in characters) of 0.8 or more. Of each connected group the first
+equal normalised lines are one class; blank lines are none. Two classes link if their edit similarity
+(1 - Levenshtein / longer length, in characters) is 0.8 or more. Of each connected group the first
 occurrence (smallest doc_id, then line) stays.
 
-The fingerprint is cut into b blocks; a key is a choice of b - RADIUS blocks, so b grows slowly with the number of
-classes to keep buckets small at every size. Only fingerprints travel with the keys. The texts of the few lines
-that share a bucket with a plausible partner are fetched for the verification, which skips pairs
-already connected; a bucket gives a spanning forest, never its pairs.
+Pairs to verify come from 64 MinHashes over all 6-byte grams of the normalised line: those that agree on one of
+``BANDS`` and differ in no more than ``LOOSE`` of 64 codes. Bands don't depend on the number of lines, so which pairs meet
+is the same in every table. A similar pair that shares few grams can be missed (README has the recall).
+
+Only codes travel with the keys. The texts of the few lines with a candidate are fetched for the verification,
+which skips pairs already connected; a bucket gives a spanning forest, never its pairs.
 
 Defined cases: a null or empty text has no lines and stays as it is; a null doc_id counts as larger than all others;
 repeated rows are treated alike; further columns pass through ``deduplicated``.
@@ -19,7 +19,6 @@ repeated rows are treated alike; further columns pass through ``deduplicated``.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 import re
 from collections import Counter
@@ -32,9 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, connected_components, materialize
-from .simhash import _bit_counts
+from .minhash import CODES, N, NONE, PLANES, candidates, code_columns, codes, differing, minima, planes, runs
 
-GRAM, RADIUS, LOOSE, SIMILARITY = 6, 3, 10, 0.8
+GRAM, SIMILARITY = 6, 0.8
+#: Codes of 64 that a candidate's may differ in: 23 equal ones are far more than unlike lines share (8 by chance).
+LOOSE = 41
+#: Each band takes three of the codes.
+BANDS = [tuple(b) for b in np.array([np.random.default_rng(i).permutation(N)[:63].reshape(-1, 3) for i in (1, 2)]).reshape(-1, 3)[:30].tolist()]
 #: Bytes of normalised lines hashed at once.
 SLAB = 1 << 17
 DIGITS = re.compile(r"\d")
@@ -57,13 +60,9 @@ def _gram_hashes(data: bytes) -> np.ndarray:
     return words
 
 
-def _majority(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    return np.packbits((counts * 2 > totals[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").reshape(-1)
-
-
-def line_fingerprints(lines: list[bytes]) -> np.ndarray:
-    """64-bit SimHash of non-empty byte strings over their GRAM-byte grams (a shorter one is a gram itself)."""
-    out = np.zeros(len(lines), np.uint64)
+def line_codes(lines: list[bytes]) -> np.ndarray:
+    """MinHash codes of non-empty byte strings over their GRAM-byte grams (a shorter one is a gram itself)."""
+    least = np.full((len(lines), N), NONE, np.uint32)
     some: list[int] = []
     held = 0
 
@@ -79,16 +78,13 @@ def line_fingerprints(lines: list[bytes]) -> np.ndarray:
         edges = np.empty(2 * len(some), np.int64)
         edges[::2], edges[1::2] = start, start + grams
         h = _gram_hashes(data + b"\0" * GRAM)
-        out[some] = _majority(_bit_counts(h, edges)[::2], grams)
+        least[some] = minima((h >> np.uint64(32)).astype(np.uint32), edges, 2)
 
     for i, line in enumerate(lines):
         if len(line) > SLAB:  # a very long line goes alone, in parts that overlap by a gram's rest
-            counts, total = np.zeros((1, 64), np.int64), 0
             for a in range(0, len(line) - GRAM + 1, SLAB):
-                h = _gram_hashes(line[a : a + SLAB + GRAM - 1])
-                counts += _bit_counts(h, np.zeros(1, np.int64))
-                total += len(h)
-            out[i] = _majority(counts, np.array([total]))[0]
+                h = (_gram_hashes(line[a : a + SLAB + GRAM - 1]) >> np.uint64(32)).astype(np.uint32)
+                least[i] = np.minimum(least[i], minima(h, np.zeros(1, np.int64))[0])
             continue
         some.append(i)
         held += len(line)
@@ -96,7 +92,12 @@ def line_fingerprints(lines: list[bytes]) -> np.ndarray:
             flush()
             some, held = [], 0
     flush()
-    return out
+    return codes(least)
+
+
+def line_fingerprints(lines: list[bytes]) -> np.ndarray:
+    """A bit of each code as a 64-bit number: candidates differ in no more than ``LOOSE`` of them."""
+    return planes(line_codes(lines))[0]
 
 
 def common_start(a: str, b: str) -> int:
@@ -163,20 +164,12 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 
 def block_masks(n_classes: int) -> list[int]:
-    """Bit masks of the keys: all choices of b - RADIUS of b blocks, b the least that leaves buckets sparse."""
-    need = math.log2(max(n_classes, 2)) + 2
-    b = next((b for b in range(RADIUS + 1, 13) if 64 * (b - RADIUS) / b >= need), 12)
-    edges = [round(64 * i / b) for i in range(b + 1)]
-    blocks = [((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in range(b)]
-    return [sum(c) for c in itertools.combinations(blocks, b - RADIUS)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+    """Bits of the fingerprint that linked lines must share: none, for any number of classes."""
+    return [0]
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, th, line, h1, h2, fp) of every line that isn't blank."""
+    """(doc, th, line, h1, h2, codes) of every line that isn't blank."""
     for batch in batches:
         doc, th, line, text = [], [], [], []
         for d, t, x in zip(*(batch.column(c).to_pylist() for c in ("doc", "th", "text")), strict=True):
@@ -191,70 +184,15 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1 = np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64).view(np.int64)
         h2 = np.array([xxhash.xxh64_intdigest(x, 1) for x in raw], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(th, pa.int32()), pa.array(line, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(line_fingerprints(raw).view(np.int64), pa.int64())],
-            names=["doc", "th", "line", "h1", "h2", "fp"])
-
-
-def _runs(batches: Iterator[pa.RecordBatch], key) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """(table, keys) of whole runs of equal keys; ``key`` gives a batch's keys, which are in order of their runs."""
-    carry: list[tuple[pa.RecordBatch, np.ndarray]] = []
-
-    def joined(parts):
-        return pa.Table.from_batches([b for b, _ in parts]), np.concatenate([k for _, k in parts])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = key(batch)
-        other = np.flatnonzero(keys != keys[-1])
-        last = int(other[-1]) + 1 if len(other) else 0
-        if last:
-            yield joined([*carry, (batch.slice(0, last), keys[:last])])
-            carry = []
-        elif carry and carry[-1][1][-1] != keys[0]:
-            yield joined(carry)
-            carry = []
-        carry.append((batch.slice(last), keys[last:]))
-    if carry:
-        yield joined(carry)
-
-
-def _plausible(masks: list[int]):
-    mask_of = np.array(masks, np.uint64)
-
-    def key(batch: pa.RecordBatch) -> np.ndarray:
-        k = batch.column("k").to_numpy()
-        masked = batch.column("fp").to_numpy().view(np.uint64) & mask_of[k]
-        return ((masked ^ k.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) ^ (masked >> np.uint64(29))).view(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, fp) of fingerprints within LOOSE bits of another of their bucket, or that several classes share."""
-        for table, keys in _runs(batches, key):
-            k, fp, many = (table.column(c).to_numpy() for c in ("k", "fp", "many"))
-            bits = fp.view(np.uint64)
-            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            length = np.diff(np.append(first, len(keys)))
-            good = many & (k == 0)
-            two = first[length == 2]  # by far the most buckets of several: all at once
-            two = two[np.bitwise_count(bits[two] ^ bits[np.minimum(two + 1, len(bits) - 1)]) <= LOOSE]
-            good[two] = good[two + 1] = True
-            for a, n in zip(first[length > 2].tolist(), length[length > 2].tolist(), strict=True):
-                f = bits[a : a + n]
-                for i in range(0, n, 512):
-                    near = np.bitwise_count(f[i : i + 512, None] ^ f[None, :]) <= LOOSE
-                    near[np.arange(len(near)), np.arange(i, i + len(near))] = False
-                    good[a + i : a + i + len(near)] |= near.any(axis=1)
-            if good.any():
-                yield pa.RecordBatch.from_arrays([pa.array(keys[good]), pa.array(fp[good])], names=["key", "fp"])
-
-    return run
+            [pa.array(doc, pa.int64()), pa.array(th, pa.int32()), pa.array(line, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *code_columns(line_codes(raw))],
+            names=["doc", "th", "line", "h1", "h2", *CODES])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): a spanning forest of each bucket's links. Rows have key, h1, fp and text."""
-    for table, key in _runs(batches, lambda b: b.column("key").to_numpy()):
-        h1, fp = (table.column(c).to_numpy() for c in ("h1", "fp"))
-        fp = fp.view(np.uint64)
+    """(a, b): a spanning forest of each group's links. Rows have group, h1, planes and text."""
+    for table, key in runs(batches, "group"):
+        h1 = table.column("h1").to_numpy()
+        p = np.stack([table.column(c).to_numpy().view(np.uint64) for c in PLANES])
         text = table.column("text")
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         left, right = [], []
@@ -262,9 +200,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if n < 2:
                 continue
             lines = text.slice(a, n).to_pylist()
-            f, root = fp[a : a + n], np.arange(n)
+            root = np.arange(n)
             for i in range(n - 1):
-                near = np.flatnonzero((root[i + 1 :] != root[i]) & (np.bitwise_count(f[i + 1 :] ^ f[i]) <= LOOSE)) + i + 1
+                later = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+                near = later[differing(p, np.full(len(later), a + i), a + later) <= LOOSE]
                 for j in near.tolist():
                     if root[j] != root[i] and h1[a + i] != h1[a + j] and similar(lines[i], lines[j]):
                         root[root == root[j]] = root[i]
@@ -294,19 +233,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc, th, line, first): lines of groups with several occurrences, but the group's first occurrence
     (``first``: struct of doc, th and line)."""
     texts = _identified(docs)
-    lines = materialize(texts.where("text <> ''").mapInArrow(_lines, "doc long, th int, line int, h1 long, h2 long, fp long"))
-    classes = materialize(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "th", "line")).alias("first"), F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")))
-    masks = block_masks(classes.count())
-    # only (key number, fingerprint) travel: the key itself follows from them
-    fps = classes.groupBy("fp").agg((F.count(F.lit(1)) > 1).alias("many"))
-    keyed = fps.select(F.explode(F.array(*(F.lit(k) for k in range(len(masks))))).alias("k"), "fp", "many")
-    masked = F.col("fp").bitwiseAND(F.element_at(F.array(*(F.lit(_signed(m)) for m in masks)), F.col("k") + 1))
-    shared = materialize(keyed.repartition(F.col("k"), masked).sortWithinPartitions("k", masked).mapInArrow(_plausible(masks), "key long, fp long"))
-    wanted = materialize(classes.join(shared.select("fp").distinct(), "fp", "left_semi").select("h1", "fp", "first.*"))
+    kind = ", ".join(f"{c} long" for c in CODES)
+    lines = materialize(texts.where("text <> ''").mapInArrow(_lines, f"doc long, th int, line int, h1 long, h2 long, {kind}"))
+    place = F.min(F.struct("doc", "th", "line")).alias("first")
+    classes = materialize(lines.groupBy("h1", "h2").agg(place, F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in CODES)))
+    grouped = materialize(candidates(classes, BANDS, LOOSE))
+    wanted = classes.join(grouped.select("h1").distinct(), "h1", "left_semi").select("h1", "first.*")
     asked = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("h1", "line")).alias("wanted"))
     fetched = texts.join(asked, ["doc", "th"]).mapInArrow(_fetch, "h1 long, text string").dropDuplicates(["h1"])
-    members = shared.distinct().join(wanted.select("h1", "fp").distinct(), "fp").join(fetched, "h1")
-    links = members.select("key", "h1", "fp", "text").repartition("key").sortWithinPartitions("key").mapInArrow(_verified, "a long, b long")
+    members = grouped.join(fetched, "h1").repartition("group").sortWithinPartitions("group", "h1")
+    links = members.select("group", "h1", *PLANES, "text").mapInArrow(_verified, "a long, b long")
     labels = connected_components(links).select(F.col("node").alias("h1"), F.col("component").alias("root"))
     rooted = classes.select("h1", "h2", "first", "n").join(labels, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
     groups = rooted.groupBy("root").agg(F.min("first").alias("group_first"), F.sum("n").alias("total")).where("total > 1")

@@ -102,3 +102,21 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a line that repeats\nb"), (1, "a line that repeats\nb"), (2, "a line that repeats")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["text"]) for r in fl.deduplicated(docs).collect()) == [(1, "a line that repeats\nb"), (1, "a line that repeats\nb"), (2, "")]
     assert fl.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_lines_of_edit_similarity_0_8_meet(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 8)))
+    rows, similar = [], 0
+    for i in range(600):
+        words = [word() for _ in range((8, 15, 40)[i % 3])]
+        near = list(words)
+        for k in rng.sample(range(len(words)), (1, 2, 5)[i % 3]):
+            near[k] = word()
+        a, b = " ".join(words), " ".join(near)
+        most = int(max(len(a), len(b)) * 0.2 + 1e-9)
+        similar += fl.edit_distance(a, b, most) <= most
+        rows += [(2 * i, a), (2 * i + 1, b)]
+    gone = {r["doc_id"]: r["repeats"][0]["group_doc"] for r in fl.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_removed"]}
+    assert similar > 500 and all(d == g + 1 and d % 2 for d, g in gone.items())
+    assert 0.97 * similar <= len(gone) <= similar
