@@ -11,6 +11,7 @@ A bucket gives the connected groups of its candidates, never the pairs; equal gr
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -173,5 +174,6 @@ def candidates(sets: DataFrame, bands: list[tuple[int, ...]], loose: int) -> Dat
         dealt = keyed.repartition(parts, "key").sortWithinPartitions("key", *PLANES)
         found = found.unionByName(materialize(dealt.mapInArrow(_grouped(loose), f"group long, {kind}")))
         del keyed, dealt
+        gc.collect()
         spark.sparkContext._jvm.System.gc()  # lets Spark remove the files of this shuffle
     return found.distinct().join(named, PLANES).select("group", "h1", *PLANES)
