@@ -169,7 +169,8 @@ def mix_plan(docs: DataFrame, max_repeats: float = 3.0, seed: int = 42, shard_wo
     blocks, edges = block_quotas(placed, seed)
     passes = F.when(F.col("done") | F.col("cut"), F.col("whole")).otherwise(F.col("whole") - 1)
     drawn = blocks.where(passes >= 0).select("skey", "block", "cut", "whole", "n_blocks", "rank", F.explode(F.sequence(F.lit(0), passes)).alias("epoch"))
-    drawn = drawn.withColumn("draw", (F.col("epoch") * F.col("n_blocks") + F.col("rank")).cast("long"))
+    # numbered without gaps: repeated rows can leave blocks empty
+    drawn = drawn.withColumn("draw", (F.row_number().over(W.partitionBy("skey").orderBy("epoch", "rank")) - 1).cast("long"))
     quotas = drawn.groupBy("skey").agg(F.count(F.lit(1)).alias("quota"))
     words = targets.agg(F.sum("target")).first()[0] or 0
     depth = max(1, int(max(1, words / shard_words) - 1).bit_length())

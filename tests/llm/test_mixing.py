@@ -85,3 +85,11 @@ def test_hypergeometric_law(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_report(docs).count() == 0 and mixing.mix(docs).count() == 0
+
+
+def test_heavily_repeated_rows_get_all_their_passes(spark):
+    rows = [(i, "w " * 10, "a") for i in range(2200)] + [(5000 + i, "w w w w", "b") for i in range(10) for _ in range(200)]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_words=4000)
+    row = got.where("doc_id >= 5000").agg(F.sum("taken"), F.max("target")).first()
+    # the target is 2.5 times the source; a document's 200 equal rows go together
+    assert math.isclose(row[1], 20000) and abs(row[0] - 20000) <= 800
