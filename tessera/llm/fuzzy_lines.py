@@ -1,6 +1,6 @@
 """Fuzzy line dedup: MinHash of normalised lines, edit similarity, components.
 
-A line is what ``\\n`` separates. It is normalised (lower case, digits to 0, white space runs to one space, trimmed);
+A line is what ``\\n`` separates. It is normalised (lower case, digits 0-9 to 0, white space runs to one space, trimmed);
 equal normalised lines are one class; blank lines are none. Two classes link if their edit similarity
 (1 - Levenshtein / longer length, in characters) is 0.8 or more. Of each connected group the first
 occurrence (smallest doc_id, then line) stays.
@@ -10,17 +10,18 @@ Pairs to verify come from 64 MinHashes over all 6-byte grams of the normalised l
 is the same in every table. A similar pair that shares few grams can be missed (README has the recall).
 
 Only codes travel with the keys. The texts of the few lines with a candidate are fetched for the verification,
-which skips pairs already connected; a bucket gives a spanning forest, never its pairs.
+which skips pairs already connected; a bucket gives a spanning forest, never its pairs. A class is known by two hashes of
+64 bits each.
 
 Defined cases: a null or empty text has no lines and stays as it is; a null doc_id counts as larger than all others;
-repeated rows are treated alike; further columns pass through ``deduplicated``.
+repeated rows are treated alike; further columns pass through ``deduplicated``. A pair of very long lines costs the product of
+their lengths / 64 where neither their characters nor their words decide it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,21 +32,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, connected_components, materialize
-from .minhash import CODES, N, NONE, PLANES, candidates, code_columns, codes, differing, minima, planes, runs
+from .minhash import CODES, N, NONE, candidates, code_columns, codes, links, minima
 
 GRAM, SIMILARITY = 6, 0.8
-#: Codes of 64 that a candidate's may differ in: 23 equal ones are far more than unlike lines share (8 by chance).
-LOOSE = 41
-#: Each band takes three of the codes.
-BANDS = [tuple(b) for b in np.array([np.random.default_rng(i).permutation(N)[:63].reshape(-1, 3) for i in (1, 2)]).reshape(-1, 3)[:30].tolist()]
+#: Codes of 64 that a candidate's may differ in, by two bits each: unlike lines differ in 48 by chance.
+LOOSE = 35
+#: Each band takes four of the codes.
+BANDS = [tuple(b) for b in np.array([np.random.default_rng(i).permutation(N).reshape(-1, 4) for i in (1, 2)]).reshape(-1, 4).tolist()]
 #: Bytes of normalised lines hashed at once.
-SLAB = 1 << 17
-DIGITS = re.compile(r"\d")
+SLAB = 1 << 16
+_DIGITS = str.maketrans("123456789", "000000000")
+_DIGIT_BYTES = bytes.maketrans(b"123456789", b"000000000")
 
 
 def normalised(line: str) -> str:
-    line = " ".join(line.lower().split())
-    return DIGITS.sub("0", line) if DIGITS.search(line) else line
+    return " ".join(line.lower().split()).translate(_DIGITS)
+
+
+def normalised_lines(text: str) -> list[bytes]:
+    """Every line of ``text``, normalised, in UTF-8."""
+    return "\n".join([" ".join(line.split()) for line in text.lower().split("\n")]).encode("utf-8").translate(_DIGIT_BYTES).split(b"\n")
 
 
 def _gram_hashes(data: bytes) -> np.ndarray:
@@ -95,11 +101,6 @@ def line_codes(lines: list[bytes]) -> np.ndarray:
     return codes(least)
 
 
-def line_fingerprints(lines: list[bytes]) -> np.ndarray:
-    """A bit of each code as a 64-bit number: candidates differ in no more than ``LOOSE`` of them."""
-    return planes(line_codes(lines))[0]
-
-
 def common_start(a: str, b: str) -> int:
     """Length of the longest common prefix, by bisection."""
     low, high = 0, min(len(a), len(b))
@@ -156,77 +157,48 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     most = math.floor(longer * (1 - least) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    # rewriting the words that differ is one way from a to b, so its cost bounds the distance from above
+    # rewriting all between the common ends, or the words that differ, are ways from a to b: their cost bounds the distance from above
+    p = common_start(a, b)
+    if longer - p <= most or longer - p - common_start(a[p:][::-1], b[p:][::-1]) <= most:
+        return True
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most:
         return True
     return edit_distance(a, b, most) <= most
 
 
-def block_masks(n_classes: int) -> list[int]:
-    """Bits of the fingerprint that linked lines must share: none, for any number of classes."""
-    return [0]
-
-
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, th, line, h1, h2, codes) of every line that isn't blank."""
     for batch in batches:
-        doc, th, line, text = [], [], [], []
-        for d, t, x in zip(*(batch.column(c).to_pylist() for c in ("doc", "th", "text")), strict=True):
-            for i, part in enumerate(x.split("\n")):
-                n = normalised(part)
-                if n:
-                    doc.append(d)
-                    th.append(t)
+        row, line, raw = [], [], []
+        for r, x in enumerate(batch.column("text").to_pylist()):
+            for i, part in enumerate(normalised_lines(x)):
+                if part:
+                    row.append(r)
                     line.append(i)
-                    text.append(n)
-        raw = [x.encode("utf-8") for x in text]
+                    raw.append(part)
         h1 = np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64).view(np.int64)
         h2 = np.array([xxhash.xxh64_intdigest(x, 1) for x in raw], np.uint64).view(np.int64)
+        of = pa.array(row, pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(th, pa.int32()), pa.array(line, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *code_columns(line_codes(raw))],
+            [batch.column("doc").take(of), batch.column("th").take(of), pa.array(line, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *code_columns(line_codes(raw))],
             names=["doc", "th", "line", "h1", "h2", *CODES])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): a spanning forest of each group's links. Rows have group, h1, planes and text."""
-    for table, key in runs(batches, "group"):
-        h1 = table.column("h1").to_numpy()
-        p = np.stack([table.column(c).to_numpy().view(np.uint64) for c in PLANES])
-        text = table.column("text")
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        left, right = [], []
-        for a, n in zip(first.tolist(), np.diff(np.append(first, len(key))).tolist(), strict=True):
-            if n < 2:
-                continue
-            lines = text.slice(a, n).to_pylist()
-            root = np.arange(n)
-            for i in range(n - 1):
-                later = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-                near = later[differing(p, np.full(len(later), a + i), a + later) <= LOOSE]
-                for j in near.tolist():
-                    if root[j] != root[i] and h1[a + i] != h1[a + j] and similar(lines[i], lines[j]):
-                        root[root == root[j]] = root[i]
-                        left.append(h1[a + i])
-                        right.append(h1[a + j])
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        h1, texts = [], []
+        ids, texts = [], []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             lines = text.split("\n")
             for w in wanted:
-                h1.append(w["h1"])
+                ids.append(w["id"])
                 texts.append(normalised(lines[w["line"]]))
-        yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(texts, pa.string())], names=["h1", "text"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
 
 
 def _identified(docs: DataFrame, *more: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.hash(text).alias("th"), text.alias("text"), *more)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"), *more)
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -234,17 +206,19 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     (``first``: struct of doc, th and line)."""
     texts = _identified(docs)
     kind = ", ".join(f"{c} long" for c in CODES)
-    lines = materialize(texts.where("text <> ''").mapInArrow(_lines, f"doc long, th int, line int, h1 long, h2 long, {kind}"))
+    lines = materialize(texts.where("text <> ''").mapInArrow(_lines, f"doc long, th long, line int, h1 long, h2 long, {kind}"))
     place = F.min(F.struct("doc", "th", "line")).alias("first")
-    classes = materialize(lines.groupBy("h1", "h2").agg(place, F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in CODES)))
+    # numbered once and written, so that a class keeps its number
+    classes = lines.groupBy("h1", "h2").agg(place, F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in CODES))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()))
     grouped = materialize(candidates(classes, BANDS, LOOSE))
-    wanted = classes.join(grouped.select("h1").distinct(), "h1", "left_semi").select("h1", "first.*")
-    asked = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("h1", "line")).alias("wanted"))
-    fetched = texts.join(asked, ["doc", "th"]).mapInArrow(_fetch, "h1 long, text string").dropDuplicates(["h1"])
-    members = grouped.join(fetched, "h1").repartition("group").sortWithinPartitions("group", "h1")
-    links = members.select("group", "h1", *PLANES, "text").mapInArrow(_verified, "a long, b long")
-    labels = connected_components(links).select(F.col("node").alias("h1"), F.col("component").alias("root"))
-    rooted = classes.select("h1", "h2", "first", "n").join(labels, "h1", "left").withColumn("root", F.coalesce("root", "h1"))
+    wanted = classes.join(grouped.select("id").distinct(), "id", "left_semi")
+    asked = wanted.select("id", "first.*").groupBy("doc", "th").agg(F.collect_list(F.struct("id", "line")).alias("wanted"))
+    # repeated rows answer alike
+    fetched = texts.join(asked, ["doc", "th"]).mapInArrow(_fetch, "id long, text string").dropDuplicates(["id"])
+    edges = links(grouped, fetched.join(wanted.select("id", *CODES), "id"), "text", BANDS, LOOSE, str, similar)
+    labels = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    rooted = classes.select("id", "h1", "h2", "first", "n").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = rooted.groupBy("root").agg(F.min("first").alias("group_first"), F.sum("n").alias("total")).where("total > 1")
     of_class = rooted.join(groups, "root").select("h1", "h2", "group_first")
     rows = lines.select("doc", "th", "line", "h1", "h2").join(of_class, ["h1", "h2"])

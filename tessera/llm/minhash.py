@@ -4,15 +4,19 @@ A set of 32-bit hashes gets ``N`` minima under different multipliers; of each, 8
 agree on a code with a probability of about their Jaccard similarity. A band is a choice of codes; sets that agree
 on all codes of any band share a bucket. Bands are the same for every number of sets, so which pairs meet doesn't depend on
 the size of the table. Of bucket mates, those whose ``PLANES`` lowest bits of the codes differ in more than ``loose`` codes
-aren't candidates; what is found is for the caller to verify.
+aren't candidates; what is found is for the caller's test to verify.
 
-A bucket gives the connected groups of its candidates, never the pairs; equal groups of several bands are one.
+Keys travel packed: a task sends each part of the key space one binary value with its (key, id, planes) records, so that a
+shuffle moves few large rows instead of one for each set and band. A bucket gives the connected groups of its candidates, never
+the pairs; equal groups of several bands are one. A pair is verified in the group of the first band that it shares, and only
+while the two aren't connected yet. Buckets of more than ``HOT`` sets and groups of more than ``BLOCK`` members are cut into
+blocks, each pair of blocks a task's group of its own.
 """
 
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +29,17 @@ from .simhash import reduce_links
 N = 64
 MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 31, N, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 NONE = np.uint32(0xFFFFFFFF)
-#: Columns of the 64 codes, eight a long, and of the bit planes that identify a set in its buckets.
+#: Columns of the 64 codes, eight a long; how many bits of a code travel with the keys.
 CODES = [f"s{i}" for i in range(N // 8)]
-PLANES = ["p0", "p1", "p2"]
-#: Bands that are dealt in one shuffle.
-AT_ONCE = 6
+PLANES = 2
+#: What travels for each set and band.
+RECORD = np.dtype([("key", "<u4"), ("id", "<i8"), *((f"p{i}", "<u8") for i in range(PLANES))])
+#: Bands that are dealt in one shuffle, bytes of keys in a part, sets whose keys a task packs at once.
+AT_ONCE, PART_BYTES, PACKED_SETS = 8, 24 << 20, 1 << 17
 #: Rows of a bucket that are compared by shifts over all buckets at once.
 SHORT = 48
+#: Buckets beyond this are dealt in blocks; rows of such a block, and of a block of a group's members.
+HOT, BLOCK = 8192, 2048
 
 
 def minima(h: np.ndarray, segments: np.ndarray, step: int = 1) -> np.ndarray:
@@ -51,8 +59,8 @@ def codes(least: np.ndarray) -> np.ndarray:
 
 
 def planes(code: np.ndarray) -> np.ndarray:
-    """(len(PLANES), sets): bit i of the codes as 64-bit words."""
-    return np.stack([np.packbits((code >> i) & 1, axis=1, bitorder="little").view("<u8").reshape(-1) for i in range(len(PLANES))])
+    """(PLANES, sets): bit i of the codes as 64-bit words."""
+    return np.stack([np.packbits((code >> i) & 1, axis=1, bitorder="little").view("<u8").reshape(-1) for i in range(PLANES)])
 
 
 def code_columns(code: np.ndarray) -> list[pa.Array]:
@@ -60,6 +68,11 @@ def code_columns(code: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(longs[:, i]), pa.int64()) for i in range(len(CODES))]
 
 
+def codes_of(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """(rows, N) bytes from the columns of ``CODES``."""
+    return np.ascontiguousarray(np.stack([table.column(c).to_numpy() for c in CODES], axis=1)).view(np.uint8)
+
+
 def differing(p: np.ndarray, i, j) -> np.ndarray:
     """In how many codes sets i and j differ, by their planes."""
     x = p[0][i] ^ p[0][j]
@@ -120,60 +133,172 @@ def bucket_groups(keys: np.ndarray, p: np.ndarray, loose: int) -> np.ndarray:
     return reduce_links(np.concatenate([none, *(x for x, _ in found)]), np.concatenate([none, *(y for _, y in found)]), n)
 
 
-def _keys_of(bands: list[tuple[int, ...]], number: int):
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    x = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _groups(keys: np.ndarray, ids: np.ndarray, p: np.ndarray, loose: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, n, id) of the groups with two members or more; a group's number depends on its members alone."""
+    root = bucket_groups(keys, p, loose)
+    size = np.bincount(root, minlength=len(root))
+    good = size[root] > 1
+    total = np.zeros(len(root), np.uint64)
+    np.add.at(total, root[good], _mixed(ids[good]))
+    return total[root[good]].view(np.int64), size[root[good]], ids[good]
+
+
+def _packed(bands: list[tuple[int, ...]], number: int, parts: int):
+    """(part, data): the records of the sets whose keys fall in a part; each band has parts of its own."""
+
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        code = codes_of(table)
+        rows = np.empty(len(code), RECORD)
+        rows["id"] = table.column("id").to_numpy()
+        for i, q in enumerate(planes(code)):
+            rows[f"p{i}"] = q
+        for k, band in enumerate(bands):
+            key = np.zeros(len(code), np.uint32)
+            for c in band:
+                key = (key << np.uint32(8)) | code[:, c]
+            rows["key"] = key
+            part = ((key * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(edges))
+            sent = rows[order]
+            data = [sent[edges[i] : edges[i + 1]].tobytes() for i in some.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array((number + k) * parts + some, pa.int64()), pa.array(data, pa.binary())], names=["part", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            code = np.ascontiguousarray(np.stack([batch.column(c).to_numpy() for c in CODES], axis=1)).view(np.uint8)
-            p = [pa.array(x.view(np.int64)) for x in planes(code)]
-            for k, band in enumerate(bands):
-                key = np.full(len(code), number + k, np.int64)
-                for c in band:
-                    key = (key << 8) | code[:, c]
-                yield pa.RecordBatch.from_arrays([pa.array(key), *p], names=["key", *PLANES])
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= PACKED_SETS:
+                yield from packed(held)
+                held = []
+        if held:
+            yield from packed(held)
 
     return run
 
 
-def _grouped(loose: int):
+FOUND = "group long, band int, n long, id long, hot boolean, " + ", ".join(f"p{i} long" for i in range(PLANES))
+
+
+def _found(group, band, n, ids, p=None) -> pa.RecordBatch:
+    rows = len(ids)
+    longs = [pa.nulls(rows, pa.int64())] * PLANES if p is None else [pa.array(q.view(np.int64)) for q in p]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(group, pa.int64()), pa.array(np.full(rows, band), pa.int32()), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(np.full(rows, p is not None)), *longs],
+        names=["group", "band", "n", "id", "hot", *(f"p{i}" for i in range(PLANES))])
+
+
+def _unpacked(loose: int, parts: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, keys in runs(batches, "key"):
-            p = np.stack([table.column(c).to_numpy().view(np.uint64) for c in PLANES])
-            root = bucket_groups(keys, p, loose)
-            good = np.bincount(root, minlength=len(root))[root] > 1
-            if good.any():
-                mixed = p[0].copy()
-                for q in p[1:]:
-                    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) ^ q
-                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-                total = np.zeros(len(root), np.uint64)
-                np.add.at(total, root[good], mixed[good])
-                yield pa.RecordBatch.from_arrays([pa.array(total[root[good]].view(np.int64)), *(pa.array(q[good].view(np.int64)) for q in p)], names=["group", *PLANES])
+        """Groups of the buckets, and the rows of hot buckets as they are (n: how many)."""
+        for table, part in runs(batches, "part"):
+            edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+            for a, b in zip(edges, [*edges[1:], len(part)], strict=True):
+                rows = np.frombuffer(b"".join(table.column("data").slice(a, b - a).to_pylist()), RECORD)
+                band = int(part[a]) // parts
+                rows = rows[np.argsort(rows["key"], kind="stable")]
+                key = rows["key"]
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                length = np.diff(np.append(first, len(key)))
+                mates = np.repeat(length, length)
+                if (mates > most).any():
+                    hot, n = rows[mates > most], mates[mates > most]
+                    yield _found(hot["key"].astype(np.int64) << 8 | band, band, n, hot["id"], [np.ascontiguousarray(hot[f"p{i}"]) for i in range(PLANES)])
+                rows = rows[(mates > 1) & (mates <= most)]
+                if len(rows):
+                    group, n, ids = _groups(rows["key"], rows["id"], np.stack([rows[f"p{i}"] for i in range(PLANES)]), loose)
+                    if len(ids):
+                        yield _found(group, band, n, ids)
 
     return run
 
 
-def _with_planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        code = np.ascontiguousarray(np.stack([batch.column(c).to_numpy() for c in CODES], axis=1)).view(np.uint8)
-        yield pa.RecordBatch.from_arrays([batch.column("h1"), *(pa.array(x.view(np.int64)) for x in planes(code.reshape(-1, N)))], names=["h1", *PLANES])
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` (group, n, id, ...) once for each pair of blocks (bi <= bj) that its block ``own`` of the group is in."""
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(4), "id"), blocks).cast("int"))
+    both = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return both.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("other")
+
 
+def _hot_groups(loose: int):
+    def run(table: pa.Table) -> pa.Table:
+        p = np.stack([table.column(f"p{i}").to_numpy().view(np.uint64) for i in range(PLANES)])
+        group, n, ids = _groups(np.zeros(table.num_rows, np.int64), table.column("id").to_numpy(), p, loose)
+        return pa.Table.from_batches([_found(group, table.column("band")[0].as_py(), n, ids)])
 
-def candidates(sets: DataFrame, bands: list[tuple[int, ...]], loose: int) -> DataFrame:
-    """(group, h1, planes): groups of sets (column h1 and those of ``CODES``) that may be alike, each with two or more."""
+    return run
+
+
+def candidates(sets: DataFrame, bands: list[tuple[int, ...]], loose: int, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """(group, band, n, id): groups of sets (columns id, unique, and those of ``CODES``) that may be alike, each with n >= 2
+    members; ``band`` is the first in which the group was found."""
     spark = sets.sparkSession
-    kind = ", ".join(f"{c} long" for c in PLANES)
-    named = materialize(sets.select("h1", *CODES).mapInArrow(_with_planes, f"h1 long, {kind}"))
-    many = named.groupBy(*PLANES).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = many.select(F.xxhash64(*PLANES).alias("group"), *PLANES)
-    parts = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = sets.count() * RECORD.itemsize
+    parts = max(1, -(-size // PART_BYTES))
+    found = None
     for i in range(0, len(bands), AT_ONCE):
-        # sets with equal planes differ in few codes at most: one of them stands for all in a bucket
-        keyed = sets.select(*CODES).mapInArrow(_keys_of(bands[i : i + AT_ONCE], i), f"key long, {kind}")
-        dealt = keyed.repartition(parts, "key").sortWithinPartitions("key", *PLANES)
-        found = found.unionByName(materialize(dealt.mapInArrow(_grouped(loose), f"group long, {kind}")))
-        del keyed, dealt
+        some = bands[i : i + AT_ONCE]
+        packed = sets.select("id", *CODES).mapInArrow(_packed(some, i, parts), "part long, data binary")
+        dealt = packed.repartition(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * parts * len(some)), "part").sortWithinPartitions("part")
+        new = materialize(dealt.mapInArrow(_unpacked(loose, parts, hot), FOUND))
+        found = new if found is None else found.unionByName(new)
+        del packed, dealt
         gc.collect()
         spark.sparkContext._jvm.System.gc()  # lets Spark remove the files of this shuffle
-    return found.distinct().join(named, PLANES).select("group", "h1", *PLANES)
+    again = _in_blocks(found.where("hot"), block).groupBy("group", "bi", "bj").applyInArrow(_hot_groups(loose), FOUND)
+    return found.where("not hot").unionByName(again).groupBy("group", "n", "id").agg(F.min("band").alias("band"))
+
+
+def links(grouped: DataFrame, sets: DataFrame, payload: str, bands: list[tuple[int, ...]], loose: int, read: Callable, alike: Callable, block: int = BLOCK) -> DataFrame:
+    """(a, b): spanning forests, by id, of the links among the members of groups (from ``candidates``).
+
+    ``sets`` has id, codes and the column ``payload``; two members link if alike(read(x), read(y))."""
+    chosen = np.array(bands)
+    dealt = _in_blocks(grouped, block).join(sets.select("id", *CODES, payload), "id").withColumn("g", F.xxhash64("group", "bi", "bj"))
+    members = dealt.select("g", "band", "bi", "bj", "own", "id", *CODES, payload).repartition("g").sortWithinPartitions("g", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, key in runs(batches, "g"):
+            ids, own, band = (table.column(c).to_numpy() for c in ("id", "own", "band"))
+            apart = table.column("bi").to_numpy() != table.column("bj").to_numpy()
+            code = codes_of(table)
+            p = planes(code)
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            left, right = [], []
+            for a, n in zip(first.tolist(), np.diff(np.append(first, len(key))).tolist(), strict=True):
+                if n < 2:
+                    continue
+                items: list = [None] * n
+                raw = table.column(payload).slice(a, n)
+                root = np.arange(n)
+                for i in range(n - 1):
+                    later = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+                    if apart[a]:
+                        later = later[own[a + later] != own[a + i]]
+                    later = later[differing(p, np.full(len(later), a + i), a + later) <= loose]
+                    if not len(later):
+                        continue
+                    shared = (code[a + later] == code[a + i])[:, chosen].all(axis=2)
+                    for j in later[shared.any(axis=1) & (shared.argmax(axis=1) == band[a])].tolist():
+                        if root[j] != root[i]:
+                            for k in (i, j):
+                                if items[k] is None:
+                                    items[k] = read(raw[k].as_py())
+                            if alike(items[i], items[j]):
+                                root[root == root[j]] = root[i]
+                                left.append(ids[a + i])
+                                right.append(ids[a + j])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return members.mapInArrow(run, "a long, b long")

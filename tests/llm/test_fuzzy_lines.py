@@ -4,6 +4,8 @@ import random
 import pytest
 
 from tessera.llm import fuzzy_lines as fl
+from tessera.llm import minhash
+from tessera.llm.common import connected_components
 
 
 def distance(a, b):
@@ -27,11 +29,38 @@ def test_edit_distance():
             assert fl.edit_distance(a, b, most) == min(d, most + 1)
 
 
-def test_fingerprint_of_parts_is_that_of_the_whole(monkeypatch):
+def test_codes_of_parts_are_those_of_the_whole(monkeypatch):
     lines = [b"abcdefgh " * 40, b"abc", b"x", b"some other line"]
-    whole = fl.line_fingerprints(lines)
+    whole = fl.line_codes(lines)
     monkeypatch.setattr(fl, "SLAB", 50)
-    assert fl.line_fingerprints(lines).tolist() == whole.tolist()
+    assert fl.line_codes(lines).tolist() == whole.tolist()
+
+
+def test_normalised():
+    text = "  Größe\t12  \u00a0 m\n\nA  B9\r\n\u0660 x"
+    assert [x.decode() for x in fl.normalised_lines(text)] == [fl.normalised(x) for x in text.split("\n")] == ["größe 00 m", "", "a b0", "\u0660 x"]
+
+
+def similar_pairs(names):
+    """Pairs of an edit similarity of 0.8 or more, by comparing all."""
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            most = int(max(len(a), len(b)) * 0.2 + 1e-9)
+            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
+                yield a, b
+
+
+def test_similar():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(30)]
+    for _ in range(500):
+        x = [rng.choice(words) for _ in range(rng.randint(1, 12))]
+        y = list(x)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
+        a, b = " ".join(x), " ".join(y)
+        assert fl.similar(a, b) == (distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9))
 
 
 def brute(rows):
@@ -45,8 +74,6 @@ def brute(rows):
                 classes.setdefault(n, []).append((d, i))
                 first.setdefault(n, (d, i))
     names = list(classes)
-    fps = [int(x) for x in fl.line_fingerprints([n.encode() for n in names])]
-    masks = fl.block_masks(len(names))
     root = {n: n for n in names}
 
     def find(x):
@@ -54,11 +81,8 @@ def brute(rows):
             x = root[x]
         return x
 
-    for i, a in enumerate(names):
-        for j in range(i):
-            b = names[j]
-            if any((fps[i] ^ fps[j]) & m == 0 for m in masks) and (fps[i] ^ fps[j]).bit_count() <= fl.LOOSE and distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
-                root[find(a)] = find(b)
+    for a, b in similar_pairs(names):
+        root[find(a)] = find(b)
     kept = {}
     for n in names:
         r = find(n)
@@ -75,7 +99,7 @@ def brute(rows):
 def rows():
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(200)]
-    base = [" ".join(rng.choice(words) for _ in range(rng.randint(4, 60))) for _ in range(60)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(14, 60))) for _ in range(60)]
     near = []
     for line in base[:40]:
         parts = line.split()
@@ -104,7 +128,9 @@ def test_repeated_rows_and_empty_table(spark):
     assert fl.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_lines_of_edit_similarity_0_8_meet(spark):
+@pytest.mark.parametrize("others", [0, 20000])
+def test_lines_of_edit_similarity_0_8_meet(spark, others):
+    """The same share of the similar pairs is found in a small table and among many other lines."""
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(3, 8)))
     rows, similar = [], 0
@@ -117,6 +143,24 @@ def test_lines_of_edit_similarity_0_8_meet(spark):
         most = int(max(len(a), len(b)) * 0.2 + 1e-9)
         similar += fl.edit_distance(a, b, most) <= most
         rows += [(2 * i, a), (2 * i + 1, b)]
-    gone = {r["doc_id"]: r["repeats"][0]["group_doc"] for r in fl.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_removed"]}
+    rows += [(10000 + i, " ".join(word() for _ in range(rng.randint(6, 30)))) for i in range(others)]
+    gone = {r["doc_id"]: r["repeats"][0]["group_doc"] for r in fl.report(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
     assert similar > 500 and all(d == g + 1 and d % 2 for d, g in gone.items())
     assert 0.97 * similar <= len(gone) <= similar
+
+
+def test_large_buckets_and_groups_in_blocks(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    start = " ".join(word() for _ in range(30))
+    lines = [f"{start} {word()} {word()}" for _ in range(60)] + [" ".join(word() for _ in range(20)) for _ in range(40)]
+    code = fl.line_codes([x.encode() for x in lines]).view("<i8")
+    sets = spark.createDataFrame([(i, x, *map(int, c)) for i, (x, c) in enumerate(zip(lines, code, strict=True))], "id long, text string, " + ", ".join(f"{c} long" for c in minhash.CODES))
+
+    def labels(**sizes):
+        grouped = minhash.candidates(sets, fl.BANDS, fl.LOOSE, **sizes)
+        block = {k: v for k, v in sizes.items() if k == "block"}
+        edges = minhash.links(grouped, sets, "text", fl.BANDS, fl.LOOSE, str, fl.similar, **block)
+        return sorted(map(tuple, connected_components(edges).collect()))
+
+    assert labels() == labels(hot=10, block=7) == [(i, 0) for i in range(60)]
