@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +14,9 @@ from pyspark.sql import functions as F
 #: Stands in for a null document id: it sorts after every real id.
 NULL_ID = 2**63 - 1
 
+#: Folder of the written tables within the shared one.
+TABLES = "tessera-tables"
+
 _own_dir: list[str] = []
 
 
@@ -21,6 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"spark.checkpoint.dir isn't set: executors of {master} share no temporary folder")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tessera-"))
     return f"file://{_own_dir[0]}"
@@ -33,13 +42,31 @@ def materialize(df: DataFrame) -> DataFrame:
     columnar files are several times smaller than a checkpoint's serialised rows. The table goes when the
     application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{TABLES}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and that nothing reads any more, and let Spark remove shuffle files without a user."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if f"/{TABLES}/" in path:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    free(spark)
+
+
+def free(spark: SparkSession) -> None:
+    """Shuffle files go when nothing on the driver refers to them: collect its garbage now instead of some time."""
+    for _ in range(2):  # the listeners of the last query hold it for a moment
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
     return int(row[0]), int(row[1])

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, connected_components, materialize
+from .common import NULL_ID, connected_components, drop, free, materialize
 from .minhash import CODES, N, NONE, candidates, code_columns, codes, links, minima
 
 GRAM, SIMILARITY = 6, 0.8
@@ -152,6 +152,45 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
+def rewriting_cost(x: list[str], y: list[str], most: int) -> int:
+    """What one way of rewriting words x as y costs: it keeps equal words and, where they differ, goes on at the nearest equal
+    ones. An upper bound of the edit distance of the joined words, or more than ``most``."""
+    i = j = cost = 0
+    n, m = len(x), len(y)
+    while i < n and j < m and cost <= most:
+        if x[i] == y[j]:
+            i += 1
+            j += 1
+            continue
+        for skip in range(1, 9):
+            di = next((k for k in range(skip + 1) if i + k < n and j + skip - k < m and x[i + k] == y[j + skip - k]), None)
+            if di is not None:
+                break
+        else:
+            di, skip = 1, 2
+        dj = skip - di
+        cost += max(sum(map(len, x[i : i + di])) + di, sum(map(len, y[j : j + dj])) + dj) - (1 if di and dj else 0)
+        i += di
+        j += dj
+    rest = max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j)
+    return cost + rest
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence (bit-parallel, one big integer a column)."""
+    masks: dict[str, int] = {}
+    bit = 1
+    for c in a:
+        masks[c] = masks.get(c, 0) | bit
+        bit <<= 1
+    full = bit - 1
+    state, get = full, masks.get
+    for c in b:
+        same = state & get(c, 0)
+        state = ((state + same) | (state - same)) & full
+    return len(a) - state.bit_count()
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     longer = max(len(a), len(b))
     most = math.floor(longer * (1 - least) + 1e-9)
@@ -159,12 +198,17 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
         return False
     # rewriting all between the common ends, or the words that differ, are ways from a to b: their cost bounds the distance from above
     p = common_start(a, b)
-    if longer - p <= most or longer - p - common_start(a[p:][::-1], b[p:][::-1]) <= most:
-        return True
-    x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most:
+    a, b = a[p:], b[p:]
+    q = common_start(a[::-1], b[::-1])
+    a, b = a[: len(a) - q], b[: len(b) - q]
+    longer -= p + q
+    if longer <= most or rewriting_cost(a.split(" "), b.split(" "), most) <= most:
         return True
-    return edit_distance(a, b, most) <= most
+    # what a and b have in common bounds the distance from both sides
+    common = common_subsequence(a, b)
+    if longer - common > most:
+        return False
+    return len(a) + len(b) - 2 * common <= most or edit_distance(a, b, most) <= most
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,17 +255,22 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     # numbered once and written, so that a class keeps its number
     classes = lines.groupBy("h1", "h2").agg(place, F.count(F.lit(1)).alias("n"), *(F.min(c).alias(c) for c in CODES))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()))
+    coded, lines = lines, materialize(lines.select("doc", "th", "line", "h1", "h2"))
+    drop(coded)
     grouped = materialize(candidates(classes, BANDS, LOOSE))
     wanted = classes.join(grouped.select("id").distinct(), "id", "left_semi")
     asked = wanted.select("id", "first.*").groupBy("doc", "th").agg(F.collect_list(F.struct("id", "line")).alias("wanted"))
     # repeated rows answer alike
-    fetched = texts.join(asked, ["doc", "th"]).mapInArrow(_fetch, "id long, text string").dropDuplicates(["id"])
-    edges = links(grouped, fetched.join(wanted.select("id", *CODES), "id"), "text", BANDS, LOOSE, str, similar)
+    fetched = materialize(texts.join(asked, ["doc", "th"]).mapInArrow(_fetch, "id long, text string").dropDuplicates(["id"]))
+    free(docs.sparkSession)
+    edges = materialize(links(grouped, fetched.join(wanted.select("id", *CODES), "id"), "text", BANDS, LOOSE, str, similar))
+    drop(fetched)
+    drop(grouped)
     labels = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("root"))
     rooted = classes.select("id", "h1", "h2", "first", "n").join(labels, "id", "left").withColumn("root", F.coalesce("root", "id"))
     groups = rooted.groupBy("root").agg(F.min("first").alias("group_first"), F.sum("n").alias("total")).where("total > 1")
     of_class = rooted.join(groups, "root").select("h1", "h2", "group_first")
-    rows = lines.select("doc", "th", "line", "h1", "h2").join(of_class, ["h1", "h2"])
+    rows = lines.join(of_class, ["h1", "h2"])
     return rows.where(F.struct("doc", "th", "line") != F.col("group_first")).select("doc", "th", "line", F.col("group_first").alias("first"))
 
 

@@ -1,6 +1,6 @@
 """MinHash candidates: which of many sets may be alike, without comparing all pairs.
 
-A set of 32-bit hashes gets ``N`` minima under different multipliers; of each, 8 bits are kept (its code). Two sets
+A set of 32-bit hashes gets ``N`` minima: the least and the greatest product with each of N / 2 multipliers; of each, 8 bits are kept (its code). Two sets
 agree on a code with a probability of about their Jaccard similarity. A band is a choice of codes; sets that agree
 on all codes of any band share a bucket. Bands are the same for every number of sets, so which pairs meet doesn't depend on
 the size of the table. Of bucket mates, those whose ``PLANES`` lowest bits of the codes differ in more than ``loose`` codes
@@ -15,7 +15,6 @@ blocks, each pair of blocks a task's group of its own.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .simhash import reduce_links
+from .common import free, materialize
+from .simhash import reduce_links, runs
 
 N = 64
-MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 31, N, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+MULTIPLIERS = np.random.default_rng(11).integers(0, 1 << 31, N // 2, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 NONE = np.uint32(0xFFFFFFFF)
 #: Columns of the 64 codes, eight a long; how many bits of a code travel with the keys.
 CODES = [f"s{i}" for i in range(N // 8)]
@@ -35,7 +34,7 @@ PLANES = 2
 #: What travels for each set and band.
 RECORD = np.dtype([("key", "<u4"), ("id", "<i8"), *((f"p{i}", "<u8") for i in range(PLANES))])
 #: Bands that are dealt in one shuffle, bytes of keys in a part, sets whose keys a task packs at once.
-AT_ONCE, PART_BYTES, PACKED_SETS = 8, 24 << 20, 1 << 17
+AT_ONCE, PART_BYTES, PACKED_SETS = 8, 8 << 20, 1 << 17
 #: Rows of a bucket that are compared by shifts over all buckets at once.
 SHORT = 48
 #: Buckets beyond this are dealt in blocks; rows of such a block, and of a block of a group's members.
@@ -49,6 +48,7 @@ def minima(h: np.ndarray, segments: np.ndarray, step: int = 1) -> np.ndarray:
     for i, a in enumerate(MULTIPLIERS):
         np.multiply(h, a, out=product)
         out[i] = np.minimum.reduceat(product, segments)[::step]
+        out[N // 2 + i] = ~np.maximum.reduceat(product, segments)[::step]
     return out.T
 
 
@@ -81,31 +81,6 @@ def differing(p: np.ndarray, i, j) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def runs(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """(table, keys) of whole runs of equal keys in the column ``name``."""
-    carry: list[pa.RecordBatch] = []
-
-    def joined(parts):
-        table = pa.Table.from_batches(parts)
-        return table, table.column(name).to_numpy()
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(name).to_numpy()
-        other = np.flatnonzero(keys != keys[-1])
-        last = int(other[-1]) + 1 if len(other) else 0
-        if last:
-            yield joined([*carry, batch.slice(0, last)])
-            carry = []
-        elif carry and carry[-1].column(name)[0].as_py() != keys[0]:
-            yield joined(carry)
-            carry = []
-        carry.append(batch.slice(last))
-    if carry:
-        yield joined(carry)
-
-
 def bucket_groups(keys: np.ndarray, p: np.ndarray, loose: int) -> np.ndarray:
     """For each row the first row of its group of candidates within its run of equal keys."""
     n = len(keys)
@@ -165,8 +140,9 @@ def _packed(bands: list[tuple[int, ...]], number: int, parts: int):
                 key = (key << np.uint32(8)) | code[:, c]
             rows["key"] = key
             part = ((key * np.uint32(0x9E3779B1)).astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)
+            part = part.astype(np.uint16 if parts <= 1 << 16 else np.uint32)
             order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+            edges = np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
             some = np.flatnonzero(np.diff(edges))
             sent = rows[order]
             data = [sent[edges[i] : edges[i + 1]].tobytes() for i in some.tolist()]
@@ -200,24 +176,27 @@ def _found(group, band, n, ids, p=None) -> pa.RecordBatch:
 def _unpacked(loose: int, parts: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Groups of the buckets, and the rows of hot buckets as they are (n: how many)."""
-        for table, part in runs(batches, "part"):
-            edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
-            for a, b in zip(edges, [*edges[1:], len(part)], strict=True):
-                rows = np.frombuffer(b"".join(table.column("data").slice(a, b - a).to_pylist()), RECORD)
-                band = int(part[a]) // parts
-                rows = rows[np.argsort(rows["key"], kind="stable")]
-                key = rows["key"]
-                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-                length = np.diff(np.append(first, len(key)))
-                mates = np.repeat(length, length)
-                if (mates > most).any():
-                    hot, n = rows[mates > most], mates[mates > most]
-                    yield _found(hot["key"].astype(np.int64) << 8 | band, band, n, hot["id"], [np.ascontiguousarray(hot[f"p{i}"]) for i in range(PLANES)])
-                rows = rows[(mates > 1) & (mates <= most)]
-                if len(rows):
-                    group, n, ids = _groups(rows["key"], rows["id"], np.stack([rows[f"p{i}"] for i in range(PLANES)]), loose)
-                    if len(ids):
-                        yield _found(group, band, n, ids)
+        held: dict[int, list[bytes]] = {}  # a task has few parts, of PART_BYTES on average
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                held.setdefault(part, []).append(data)
+        for part in sorted(held):
+            rows, band = np.frombuffer(b"".join(held.pop(part)), RECORD), part // parts
+            # numbers of key and row are sorted faster than rows by key; most keys occur once
+            order = np.sort((rows["key"].astype(np.uint64) << np.uint64(32)) | np.arange(len(rows), dtype=np.uint64))
+            key = order >> np.uint64(32)
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            length = np.diff(np.append(first, len(key)))
+            mates = np.repeat(length, length)
+            at = (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            if (length > most).any():
+                hot, n = rows[at[mates > most]], mates[mates > most]
+                yield _found(hot["key"].astype(np.int64) << 8 | band, band, n, hot["id"], [np.ascontiguousarray(hot[f"p{i}"]) for i in range(PLANES)])
+            rows = rows[at[(mates > 1) & (mates <= most)]]
+            if len(rows):
+                group, n, ids = _groups(rows["key"], rows["id"], np.stack([rows[f"p{i}"] for i in range(PLANES)]), loose)
+                if len(ids):
+                    yield _found(group, band, n, ids)
 
     return run
 
@@ -249,12 +228,11 @@ def candidates(sets: DataFrame, bands: list[tuple[int, ...]], loose: int, hot: i
     for i in range(0, len(bands), AT_ONCE):
         some = bands[i : i + AT_ONCE]
         packed = sets.select("id", *CODES).mapInArrow(_packed(some, i, parts), "part long, data binary")
-        dealt = packed.repartition(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * parts * len(some)), "part").sortWithinPartitions("part")
+        dealt = packed.repartition(parts * len(some), "part")
         new = materialize(dealt.mapInArrow(_unpacked(loose, parts, hot), FOUND))
         found = new if found is None else found.unionByName(new)
         del packed, dealt
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # lets Spark remove the files of this shuffle
+        free(spark)
     again = _in_blocks(found.where("hot"), block).groupBy("group", "bi", "bj").applyInArrow(_hot_groups(loose), FOUND)
     return found.where("not hot").unionByName(again).groupBy("group", "n", "id").agg(F.min("band").alias("band"))
 
@@ -273,31 +251,54 @@ def links(grouped: DataFrame, sets: DataFrame, payload: str, bands: list[tuple[i
             apart = table.column("bi").to_numpy() != table.column("bj").to_numpy()
             code = codes_of(table)
             p = planes(code)
-            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            raw = table.column(payload).combine_chunks()
+            root = list(range(len(key)))
+            items: list = [None] * len(key)
+
+            def find(i: int, root=root) -> int:
+                while root[i] != i:
+                    root[i] = i = root[root[i]]
+                return i
+
+            def linked(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+                """Of the pairs those that are verified here: candidates, in the first band that they share, not yet connected."""
+                near = (differing(p, i, j) <= loose) & (~apart[i] | (own[i] != own[j]))
+                i, j = i[near], j[near]
+                for at in range(0, len(i), 1 << 14):
+                    x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                    shared = (code[x] == code[y])[:, chosen].all(axis=2)
+                    good = shared.any(axis=1) & (shared.argmax(axis=1) == band[x])
+                    yield from zip(x[good].tolist(), y[good].tolist(), strict=True)
+
             left, right = [], []
-            for a, n in zip(first.tolist(), np.diff(np.append(first, len(key))).tolist(), strict=True):
-                if n < 2:
-                    continue
-                items: list = [None] * n
-                raw = table.column(payload).slice(a, n)
-                root = np.arange(n)
-                for i in range(n - 1):
-                    later = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-                    if apart[a]:
-                        later = later[own[a + later] != own[a + i]]
-                    later = later[differing(p, np.full(len(later), a + i), a + later) <= loose]
-                    if not len(later):
+
+            def verify(pairs: list[tuple[int, int]]) -> None:
+                for i, j in pairs:
+                    a, b = find(i), find(j)
+                    if a == b:
                         continue
-                    shared = (code[a + later] == code[a + i])[:, chosen].all(axis=2)
-                    for j in later[shared.any(axis=1) & (shared.argmax(axis=1) == band[a])].tolist():
-                        if root[j] != root[i]:
-                            for k in (i, j):
-                                if items[k] is None:
-                                    items[k] = read(raw[k].as_py())
-                            if alike(items[i], items[j]):
-                                root[root == root[j]] = root[i]
-                                left.append(ids[a + i])
-                                right.append(ids[a + j])
+                    for k in (i, j):
+                        if items[k] is None:
+                            items[k] = read(raw[k].as_py())
+                    if alike(items[i], items[j]):
+                        root[max(a, b)] = min(a, b)
+                        left.append(ids[i])
+                        right.append(ids[j])
+
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            length = np.diff(np.append(first, len(key)))
+            to_end = np.repeat(first + length, length) - np.arange(len(key))  # rows from this one to the group's end
+            at = np.flatnonzero(np.repeat(length <= SHORT, length))
+            pairs: list[tuple[int, int]] = []
+            for d in range(1, SHORT):
+                at = at[to_end[at] > d]
+                if not len(at):
+                    break
+                pairs += linked(at, at + d)
+            verify(sorted(pairs))
+            for a, n in zip(first[length > SHORT].tolist(), length[length > SHORT].tolist(), strict=True):
+                for i in range(a, a + n - 1):
+                    verify(list(linked(np.full(a + n - 1 - i, i), np.arange(i + 1, a + n))))
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 

@@ -5,12 +5,13 @@ over half of the hashes. Hashing is vectorised over all shingles of a batch.
 
 Links: two fingerprints at ``radius`` or fewer differing bits. Distances to reference fingerprints
 (pivots) are coordinates in which linked fingerprints differ by at most ``radius`` (triangle
-inequality). Identical fingerprints are one class. Classes are dealt to cells of the first pivots'
-distances, ``CELL`` values wide and overlapping the next by ``radius``, so each linked pair shares a cell;
-in a cell the remaining pivots split on (with the same overlap) down to small leaves, where the
-distance table discards pairs whose largest coordinate difference exceeds ``radius`` and the survivors'
-bits are compared. A cell gives a spanning forest of its links, never its pairs; the components
-of the forests are those of all links.
+inequality). Identical fingerprints are one class. Classes are dealt by blocks of their bits: of b blocks a linked pair
+differs in ``radius`` at most, so it agrees on all the others of one choice of b - ``radius``; b grows by one or two with the table,
+which changes the sizes of the cells and never the links (radius 2: 3, 6 or 10 copies of a class for any number of classes). In a cell
+the distance table discards pairs whose largest coordinate difference exceeds ``radius`` and the survivors'
+bits are compared; long cells are first split at the median distance to a pivot, with an overlap of ``radius``, and cells of more than
+``HOT`` classes are cut into blocks, each pair of blocks a task's group of its own. A cell gives a spanning
+forest of its links, never its pairs; the components of the forests are those of all links.
 
 Defined cases: no words (null, empty or blank text) gives fingerprint zero, which links like any other; a
 null doc_id gets its group's component (null where the group has no other id); repeated rows share a
@@ -19,8 +20,8 @@ class; further columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,10 @@ SLAB = 1 << 18
 BLOCK = 255 * 64
 #: Fixed values of XXH64.
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-#: Values of a pivot distance in a cell, classes that a cell should hold, and a leaf.
-CELL, CELL_ROWS, LEAF = 5, 4096, 256
+#: Classes that cells should hold on average, that one task's group may hold before it is cut into blocks, of a block, and of a leaf.
+CELL_ROWS, HOT, CUT, LEAF = 64, 8192, 2048, 256
+#: Cells of so many classes are compared by shifts over all cells at once.
+SHORT = 32
 N_PIVOTS = 48
 
 _NORMAL = bytes((b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b) for b in range(256))
@@ -260,35 +263,95 @@ def link_forest(fps: np.ndarray, radius: int, refs: np.ndarray | None = None) ->
     return node, root[node]
 
 
-def cell_pivots(n_classes: int) -> int:
-    """How many pivots make the cells: each halves a cell more than twice, less what overlaps."""
-    return min(15, max(0, math.ceil(math.log2(max(n_classes / CELL_ROWS, 1)) / 1.2)))
+def cell_masks(n_classes: int, radius: int) -> list[int]:
+    """Bit masks of the choices of blocks: any two fingerprints within ``radius`` agree under one of them.
 
-
-def near_components(fps: DataFrame, radius: int) -> DataFrame:
+    One to three blocks more than ``radius``: as many as keep cells of random fingerprints at ``CELL_ROWS``, if three suffice."""
+    for more in (1, 2, 3):
+        b = radius + more
+        edges = [64 * i // b for i in range(b + 1)]
+        blocks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        masks = [sum(blocks[i] for i in kept) for kept in combinations(range(b), more)]
+        if n_classes <= CELL_ROWS << min(m.bit_count() for m in masks):
+            break
+    return masks
+
+
+def cell_links(fps: np.ndarray, keys: np.ndarray, radius: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) index pairs that connect what links of ``fps`` within runs of equal ``keys`` connect."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    length = np.diff(np.append(first, len(keys)))
+    left = np.repeat(first + length, length) - np.arange(len(keys))  # rows from this one to the cell's end
+    mates = np.repeat(length, length)
+    some = np.flatnonzero((mates > 1) & (mates <= SHORT))
+    table = np.zeros((len(keys), 8), np.int8)
+    table[some] = distance_table(fps[some], refs[:8])
+    nodes, roots = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    at = some
+    for d in range(1, SHORT):
+        at = at[left[at] > d]
+        if not len(at):
+            break
+        i = at
+        for column in range(table.shape[1]):
+            i = i[np.abs(table[i, column] - table[i + d, column]) <= radius]
+        i = i[np.bitwise_count(fps[i] ^ fps[i + d]) <= radius]
+        nodes.append(i + d)
+        roots.append(i)
+    for a, n in zip(first[length > SHORT].tolist(), length[length > SHORT].tolist(), strict=True):
+        node, root = link_forest(fps[a : a + n], radius, refs)
+        nodes.append(a + node)
+        roots.append(a + root)
+    return np.concatenate(nodes), np.concatenate(roots)
+
+
+def runs(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(table, keys) of whole runs of equal keys in the column ``name``."""
+    carry: list[pa.RecordBatch] = []
+
+    def joined(parts):
+        table = pa.Table.from_batches(parts)
+        return table, table.column(name).to_numpy()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(name).to_numpy()
+        other = np.flatnonzero(keys != keys[-1])
+        last = int(other[-1]) + 1 if len(other) else 0
+        if last:
+            yield joined([*carry, batch.slice(0, last)])
+            carry = []
+        elif carry and carry[-1].column(name)[0].as_py() != keys[0]:
+            yield joined(carry)
+            carry = []
+        carry.append(batch.slice(last))
+    if carry:
+        yield joined(carry)
+
+
+def near_components(fps: DataFrame, radius: int, hot: int = HOT, block: int = CUT) -> DataFrame:
     """(fp, root) for the fingerprints of column fp that link with others."""
     classes = materialize(fps.select("fp").distinct())
     refs = pivots()
-    keys = F.array(F.lit(0).cast("long"))
-    for ref in refs.view(np.int64)[: cell_pivots(classes.count())].tolist():
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.lit(ref)))
-        cell = F.floor(d / CELL).cast("long")
-        cells = F.when(d % CELL < radius, F.array(cell, cell - 1)).otherwise(F.array(cell))
-        keys = _product(keys, cells)
-    celled = classes.select("fp", F.explode(keys).alias("cell"))
-
-    def run(table: pa.Table) -> pa.Table:
-        own = table.column("fp").to_numpy().view(np.uint64)
-        node, root = link_forest(own, radius, refs)
-        return pa.table({"a": own[node].view(np.int64), "b": own[root].view(np.int64)})
-
-    links = celled.groupBy("cell").applyInArrow(run, "a long, b long")
-    labels = connected_components(links)
-    return labels.select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    masks = np.array(cell_masks(classes.count(), radius), np.uint64).view(np.int64).tolist()
+    celled = classes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("mask", "key"))
+    heavy = celled.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
+    blocks = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
+    own = celled.join(heavy, ["mask", "key"], "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(F.lit(6), "fp"), F.col("blocks")).cast("int"))
+    both = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # two cells that share a number only compare more pairs
+    cell = F.xxhash64("mask", "key", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = both.select(cell.alias("cell"), "fp").repartition("cell").sortWithinPartitions("cell")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, keys in runs(batches, "cell"):
+            own = table.column("fp").to_numpy().view(np.uint64)
+            node, root = cell_links(own, keys, radius, refs)
+            yield pa.RecordBatch.from_arrays([pa.array(own[node].view(np.int64)), pa.array(own[root].view(np.int64))], names=["a", "b"])
 
-def _product(keys, cells):
-    return F.flatten(F.transform(keys, lambda k: F.transform(cells, lambda c: k * 16 + c + 1)))
+    labels = connected_components(dealt.mapInArrow(run, "a long, b long"))
+    return labels.select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:

@@ -60,7 +60,9 @@ def test_similar():
             k = rng.randrange(len(y) + 1)
             y[k : k + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
         a, b = " ".join(x), " ".join(y)
-        assert fl.similar(a, b) == (distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9))
+        d = distance(a, b)
+        assert fl.similar(a, b) == (d <= int(max(len(a), len(b)) * 0.2 + 1e-9))
+        assert fl.rewriting_cost(x, y, 10**9) >= d >= max(len(a), len(b)) - fl.common_subsequence(a, b)
 
 
 def brute(rows):

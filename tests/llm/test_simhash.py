@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
 from tessera.llm import simhash
@@ -54,8 +55,35 @@ def test_forest_joins_what_links_join():
     assert simhash.reduce_links(root, node, len(fps)).tolist() == components([int(x) for x in fps], 2)
 
 
-def test_table(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CELL_ROWS", 8)  # several pivots make the cells
+def test_masks_meet_all_links_with_bounded_copies():
+    rng = np.random.default_rng(1)
+    for radius in (1, 2, 3):
+        for n in (10, 10**9, 10**14):
+            masks = simhash.cell_masks(n, radius)
+            assert len(masks) <= 20
+            for _ in range(200):
+                diff = sum(1 << int(b) for b in rng.choice(64, radius, replace=False))
+                assert any(diff & m == 0 for m in masks)
+
+
+def test_hot_cells_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(1, 1 << 62))
+    near = {base}
+    for _ in range(300):
+        near.add(base ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 4)), replace=False)))
+    fps = sorted(near | {int(x) for x in rng.integers(0, 1 << 62, 100)})
+    docs = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    got = {r["fp"] % (1 << 64): r["root"] % (1 << 64) for r in simhash.near_components(docs, 2, hot=20, block=16).collect()}
+    want = components(fps, 2)
+    for i in range(len(fps)):
+        for j in range(i):
+            assert (got.get(fps[i], i) == got.get(fps[j], j)) == (want[i] == want[j])
+
+
+@pytest.mark.parametrize("cell_rows", [64, 0])
+def test_table(spark, monkeypatch, cell_rows):
+    monkeypatch.setattr(simhash, "CELL_ROWS", cell_rows)  # 0: the most blocks
     rng = np.random.default_rng(3)
     words = [f"t{i}" for i in range(300)]
     texts = [" ".join(rng.choice(words, 80)) for _ in range(60)]
