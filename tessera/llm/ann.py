@@ -12,7 +12,8 @@ P(|z| <= HALF * R / s), z standard normal. A vector at distance R must be met wi
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
 with a null vec_id; vectors of different lengths are not compared; of rows that repeat a vec_id the
-smallest vector counts; equal distances go to the smaller vec_id; further columns are ignored.
+smallest vector counts; equal distances go to the smaller vec_id; a distance beyond the range of doubles is infinite;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .vectors import matrix, numeric, usable
+from .vectors import distances, matrix, numeric, usable
 
 PROJECTIONS, HALF, GROWTH, CATCH, SEED = 64, 1.0, 1.12, 0.93, 3
 #: A shard's rows: the table in 64 parts, but never fewer or more than these.
@@ -46,8 +47,10 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, m: int = PROJECTIONS):
         self.ids, self.vectors = ids, vectors
+        # huge vectors are projected in smaller units, so that no projection overflows
+        self.unit = 2.0**-600 if np.abs(vectors).max(initial=0.0) > 2.0**400 else 1.0
         self.axes = np.random.default_rng(SEED).normal(size=(vectors.shape[1], m))
-        projected = (vectors @ self.axes).T
+        projected = ((vectors * self.unit) @ self.axes).T
         self.order = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
         values = np.take_along_axis(projected, self.order, axis=1)
         # all arrays in one, each shifted beyond the last: one binary search serves every projection
@@ -57,9 +60,9 @@ class Shard:
         self.flat = (values - self.low_end[:, None] + self.shift[:, None]).ravel()
         self.need = threshold(m)
         # the first radius: a small part of the typical distance to a few members
-        some = vectors[:: max(1, len(vectors) // 64)][:64]
+        some = vectors[:: max(1, len(vectors) // 64)][:64] * self.unit
         spread = np.sqrt(((some - some.mean(axis=0)) ** 2).sum(axis=1)).mean()
-        self.start = max(float(spread) / 8, 1e-9)
+        self.start = max(float(spread) / 8, 1e-9 * float(np.abs(some).max(initial=0.0)), 1e-300)
 
     def positions(self, at: np.ndarray, side: str) -> np.ndarray:
         """Where each projection's value falls in its own sorted array."""
@@ -70,7 +73,7 @@ class Shard:
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the k nearest found, nearest first."""
         n = len(self.ids)
-        at = query @ self.axes
+        at = np.nan_to_num((query * self.unit) @ self.axes)
         low = self.positions(at, "left")
         high = low.copy()
         count = np.zeros(n, np.int32)
@@ -89,13 +92,13 @@ class Shard:
             new = np.flatnonzero(~seen & ((count >= self.need) | covered))
             if len(new):
                 seen[new] = True
-                distance[new] = np.sqrt(((self.vectors[new] - query) ** 2).sum(axis=1))
+                distance[new] = distances(self.vectors[new], query)
             if covered or rest <= 0:
                 break
-            if int((distance <= radius).sum()) >= k:
+            if int((distance * self.unit <= radius).sum()) >= k:
                 break
             radius *= GROWTH if radius > 4 * self.start else 1.6
-        found = np.flatnonzero(np.isfinite(distance))
+        found = np.flatnonzero(seen & ~mine)
         if len(found) > k:
             kth = np.partition(distance[found], k - 1)[k - 1]
             found = found[distance[found] <= kth]

@@ -1,10 +1,12 @@
 """Embedding near-dedup with an inverted multi-index.
 
-Equal vectors are one class. Independent codebooks on the two halves of the unit vectors, fitted on a bounded
+Equal vectors are one class, with a number of its own. Independent codebooks on the two halves of the unit vectors, fitted on a bounded
 sample of classes (``SAMPLE``), form a product grid; every class is filed in the cell of its two nearest centroids.
 A class visits cells in multi-sequence order (ascending sum of the two halves' distances) until the target
 recall: the number of visits is that at which ``RECALL`` of the sample's true links, and of links made by
-turning sample vectors to exactly the threshold, are reached. Pairs that meet in a cell are verified in
+turning sample vectors to exactly the threshold, are reached; where that takes more than ``MAX_VISITS`` the codebooks are
+halved until it doesn't (a grid of so few cells is visited whole). Beyond ``CELL_ROWS * MAX_CENTROIDS ** 2`` classes cells grow and
+are cut into blocks. Pairs that meet in a cell are verified in
 double precision. A pair that meets in two cells counts in the smaller one, so link counts need no list of
 pairs; a cell gives sums for each class and a spanning forest of its links.
 
@@ -92,7 +94,6 @@ def fit_grid(sample: np.ndarray, n_classes: int, threshold: float, seed: int = 9
     rng = np.random.default_rng(seed)
     k = int(min(MAX_CENTROIDS, max(2, round(math.sqrt(n_classes / CELL_ROWS)))))
     half = sample.shape[1] // 2
-    grid = Grid(codebook(sample[:, :half], k, rng), codebook(sample[:, half:], k, rng), 1)
     some = sample[rng.choice(len(sample), min(2000, len(sample)), replace=False)]
     # links at exactly the threshold: the hardest there are
     turn = rng.normal(size=some.shape)
@@ -103,9 +104,12 @@ def fit_grid(sample: np.ndarray, n_classes: int, threshold: float, seed: int = 9
     true_a, true_b = np.nonzero(np.triu(some @ sample.T >= threshold, 0) & (some @ sample.T < 1 - 1e-12))
     if len(true_a) >= 100:
         pairs.append((some[true_a][:5000], sample[true_b][:5000]))
-    for a, b in pairs:
-        grid.visits = max(grid.visits, _visits_for(grid, a, b))
-    return grid
+    while True:
+        grid = Grid(codebook(sample[:, :half], k, rng), codebook(sample[:, half:], k, rng), 1)
+        grid.visits = max(_visits_for(grid, a, b) for a, b in pairs)
+        if grid.visits <= MAX_VISITS:
+            return grid
+        k = max(1, k // 2)
 
 
 def _visits_for(grid: Grid, a: np.ndarray, b: np.ndarray) -> int:
@@ -113,8 +117,9 @@ def _visits_for(grid: Grid, a: np.ndarray, b: np.ndarray) -> int:
     (a1, a2), (b1, b2) = grid.distances(a), grid.distances(b)
     rank = np.empty(len(a))
     rows = np.arange(len(a))
-    for i in range(0, len(a), 256):
-        s = slice(i, i + 256)
+    step = max(1, (1 << 21) // (len(grid.first) * len(grid.second)))
+    for i in range(0, len(a), step):
+        s = slice(i, i + step)
         r = rows[s] - i
 
         def position(d1, d2, h1, h2, r=r):
@@ -124,7 +129,7 @@ def _visits_for(grid: Grid, a: np.ndarray, b: np.ndarray) -> int:
         there = position(a1[s], a2[s], b1[s].argmin(axis=1), b2[s].argmin(axis=1))
         back = position(b1[s], b2[s], a1[s].argmin(axis=1), a2[s].argmin(axis=1))
         rank[s] = np.minimum(there, back)
-    return int(min(MAX_VISITS, np.quantile(rank, RECALL, method="higher") + 1))
+    return int(np.quantile(rank, RECALL, method="higher")) + 1
 
 
 def _block_links(members: pa.Table, visitors: pa.Table, threshold: float) -> pa.Table:
@@ -133,7 +138,7 @@ def _block_links(members: pa.Table, visitors: pa.Table, threshold: float) -> pa.
     if not members.num_rows or not visitors.num_rows:
         return empty
     y, x = unit_rows(matrix(members.column("embedding"))), unit_rows(matrix(visitors.column("embedding")))
-    y_id, x_id = members.column("rep").to_numpy(), visitors.column("rep").to_numpy()
+    y_id, x_id = members.column("cid").to_numpy(), visitors.column("cid").to_numpy()
     y_size, x_size = members.column("size").to_numpy(), visitors.column("size").to_numpy()
     x_home = visitors.column("home").to_numpy()
     cell = int(members.column("cell")[0].as_py())
@@ -169,10 +174,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     on = F.col("vec_id").isNotNull() & usable(F.col("embedding"))
     rows = rows.withColumn("on", on).withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(1), "embedding"))
     valid = rows.where("on")
-    classes = materialize(valid.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding")))
+    classes = valid.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+    # several classes may have one smallest vec_id: numbered once and written, so that a class keeps its number
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()))
     n = classes.count()
     # as Arrow columns: rows of Python numbers would take ten times the driver's memory
-    sample = classes.select("rep", "dim", "embedding").orderBy(F.xxhash64(F.lit(5), "rep")).limit(SAMPLE).toArrow()
+    sample = classes.select("dim", "embedding").orderBy(F.xxhash64(F.lit(5), "k1"), "k2").limit(SAMPLE).toArrow()
     dims = sample.column("dim").to_numpy()
     grids = {}
     for d in np.unique(dims).tolist():
@@ -193,28 +200,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], names=[*batch.schema.names, "visits"])
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    filed = materialize(classes.select("rep", "size", "embedding", "dim").mapInArrow(file, f"rep long, size long, embedding {kind}, dim int, visits array<long>"))
+    filed = materialize(classes.select("cid", "size", "embedding", "dim").mapInArrow(file, f"cid long, size long, embedding {kind}, dim int, visits array<long>"))
     home = F.col("visits")[0]
-    spread = filed.select("dim", "rep", "size", home.alias("home"), F.explode("visits").alias("cell"))
+    spread = filed.select("dim", "cid", "size", home.alias("home"), F.explode("visits").alias("cell"))
     load = spread.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n_visitors"), F.count(F.when(F.col("home") == F.col("cell"), 1)).alias("n_members"))
     load = materialize(load.select("dim", "cell", F.ceil(F.col("n_members") / MEMBER_BLOCK).cast("int").alias("m_blocks"), F.ceil(F.col("n_visitors") / VISITOR_BLOCK).cast("int").alias("v_blocks")).where("m_blocks > 0"))
 
     def own_block(blocks: str):
-        return F.pmod(F.xxhash64(F.lit(3), "rep"), F.col(blocks)).cast("int")
+        return F.pmod(F.xxhash64(F.lit(3), "cid"), F.col(blocks)).cast("int")
 
     def all_blocks(blocks: str):
         return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
     keys = ("dim", "cell", "mb", "vb")
-    members = filed.withColumn("cell", home).join(load, ["dim", "cell"]).withColumn("mb", own_block("m_blocks")).withColumn("vb", all_blocks("v_blocks")).select(*keys, "rep", "size", "embedding", "visits")
+    members = filed.withColumn("cell", home).join(load, ["dim", "cell"]).withColumn("mb", own_block("m_blocks")).withColumn("vb", all_blocks("v_blocks")).select(*keys, "cid", "size", "embedding", "visits")
     again = filed.select(*(F.col(c).alias(c) for c in filed.columns))  # columns of its own, for the cogroup
-    visitors = again.select("dim", "rep", "size", "embedding", home.alias("home"), F.explode("visits").alias("cell")).join(load, ["dim", "cell"]).withColumn("vb", own_block("v_blocks")).withColumn("mb", all_blocks("m_blocks")).select(*keys, "rep", "size", "embedding", "home")
+    visitors = again.select("dim", "cid", "size", "embedding", home.alias("home"), F.explode("visits").alias("cell")).join(load, ["dim", "cell"]).withColumn("vb", own_block("v_blocks")).withColumn("mb", all_blocks("m_blocks")).select(*keys, "cid", "size", "embedding", "home")
     met = members.groupBy(*keys).cogroup(visitors.groupBy(*keys)).applyInArrow(lambda m, v: _block_links(m, v, threshold), "a long, b long, n long")
     met = materialize(met)
-    counts = met.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
-    labels = connected_components(met.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
-    info = classes.select("k1", "k2", "rep", "size").join(counts, "rep", "left").join(labels, "rep", "left")
-    info = info.select("k1", "k2", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    counts = met.where("b is null").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("more"))
+    labels = connected_components(met.where("b is not null").select("a", "b")).select(F.col("node").alias("cid"), F.col("component").alias("root"))
+    info = classes.select("k1", "k2", "cid", "rep", "size").join(counts, "cid", "left").join(labels, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    lowest = info.groupBy("root").agg(F.min("rep").alias("component_id"))
+    info = info.join(lowest, "root").select("k1", "k2", (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
     linked = valid.select("vec_id", "k1", "k2").join(info, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("on")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

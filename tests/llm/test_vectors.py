@@ -69,3 +69,23 @@ def test_near_duplicates(spark, vectors, monkeypatch):
     for i in range(len(BAD)):
         assert tuple(got[1000 + i])[1:] == (0, 1000 + i, True)
     assert got[5001]["component_id"] == 5000 and got[5001]["n_links"] == 1
+
+
+def test_nearest_beyond_the_range_of_squares(spark):
+    rows = [(100, [1e200, 0.0], 0, 9), (1, [-1e200, 0.0], 0, 9), (2, [1e200, 1e190], 0, 9), (3, [1e-200, 0.0], 0, 9), (200, [3e-200, 0.0], 0, 9)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rank int")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.nearest(docs, docs.where("vec_id % 100 = 0")).collect()}
+    assert len(got) == 8 and got[100, 1] == (2, 1e190) and got[100, 4] == (1, 2e200) and got[100, 2] == (3, 1e200) and got[200, 1] == (3, 2e-200)
+
+
+def test_repeated_ids_are_different_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0, 0.0]), (3, [0.0, 0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0, 0.1])]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True)]
+
+
+def test_visits_stay_within_their_bound(monkeypatch):
+    monkeypatch.setattr(embed_dedup, "MAX_VISITS", 9)
+    x = embed_dedup.unit_rows(np.random.default_rng(0).normal(size=(600, 32)))
+    grid = embed_dedup.fit_grid(x, 100000, 0.9)
+    assert 1 <= grid.visits <= 9
