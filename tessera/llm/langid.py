@@ -7,7 +7,8 @@ bounded sample of labelled rows (``SAMPLE_DOCS`` documents, shared evenly among
 ``SAMPLE_WINDOWS`` windows each spread over the whole text); only text and label enter.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so is every text where there
-is nothing to learn from; repeated rows get repeated results; further columns are ignored.
+is nothing to learn from; repeated rows get repeated results and are learned from once; every language that occurs is a class;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-SAMPLE_DOCS, SAMPLE_WINDOWS, MAX_LANGS = 6000, 6, 256
+SAMPLE_DOCS, SAMPLE_WINDOWS = 6000, 6
 UNKNOWN = "und"
 
 
@@ -158,13 +159,14 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], epochs: int = 5, batch
 
 def training_windows(docs: DataFrame, seed: int = 5) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, class numbers and languages of a bounded sample of ``docs`` (doc_id, text, lang, all labelled)."""
-    per = docs.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGS).collect()
+    per = docs.groupBy("lang").count().collect()  # a row a language
     langs = sorted(r["lang"] for r in per)
     if not langs:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
     share = SAMPLE_DOCS / len(langs)
     cuts = F.create_map(*[x for r in per for x in (F.lit(r["lang"]), F.lit(int(min(1.0, share / r["count"]) * (1 << 30))))])
-    drawn = docs.withColumn("pick", F.xxhash64(F.lit(seed), "doc_id")).where(F.pmod("pick", F.lit(1 << 30)) < cuts[F.col("lang")])
+    drawn = docs.withColumn("pick", F.xxhash64(F.lit(seed), "doc_id", "text")).where(F.pmod("pick", F.lit(1 << 30)) < cuts[F.col("lang")])
+    drawn = drawn.dropDuplicates(["pick", "lang"])  # a row that is repeated many times is drawn once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

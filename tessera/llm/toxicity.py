@@ -3,11 +3,14 @@
 Features of a whole text: densities of a lexicon (words and word beginnings that labelled toxic texts use far
 more often), its hits after undoing look-alike characters, closeness of hits to second-person words, capitals,
 punctuation and obfuscation rates. The lexicon, the trees and the calibration are learned from three
-disjoint parts of a documented, bounded sample (``SAMPLE_DOCS``) of labelled rows.
+disjoint parts of a documented, bounded sample (``SAMPLE_DOCS``) of labelled rows. The lexicon holds the ``MAX_ENTRIES`` terms with
+the largest odds; words of more than ``LONGEST`` letters enter it by their beginnings only. With k toxic rows in its part, the
+calibration weighs k / (k + ``TRUST``) and the trees' own probability the rest.
 
 Defined cases: a null or empty text has all features zero and is scored like any other; where there is nothing to
 learn from (no labelled rows of both kinds) every score is 0; a document with several labels is toxic if
-one says so; null labels and null ids are not learned from; repeated rows get repeated results.
+one says so; null labels and null ids are not learned from; repeated rows get repeated results; of several texts with one id
+the smallest is learned from.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SAMPLE_DOCS = 20000
-MAX_ENTRIES, MIN_DOCS, MIN_ODDS = 4000, 3, 1.5
+MAX_ENTRIES, MIN_DOCS, MIN_ODDS, LONGEST, TRUST = 4000, 3, 1.5, 40, 20
 PREFIXES = (4, 5, 6)
 NEAR = 6
 WORDS = re.compile(r"\w+")
@@ -47,7 +50,7 @@ FEATURES = (
 def terms(text: str | None) -> set[str]:
     """What a text offers to the lexicon: its lower-cased words (``w:``) and their beginnings (``4:`` and so on)."""
     words = set(WORDS.findall((text or "").lower()))
-    out = {"w:" + w for w in words if len(w) <= 40}
+    out = {"w:" + w for w in words if len(w) <= LONGEST}
     for n in PREFIXES:
         out |= {f"{n}:{w[:n]}" for w in words if len(w) >= n}
     return out
@@ -201,12 +204,14 @@ class Model:
     lexicon: dict[str, float]
     trees: Boosted
     steps: tuple[np.ndarray, np.ndarray]
+    trust: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """Calibrated probabilities. A tiny share of the raw margin keeps the order within a step."""
         margin = self.trees.margin(x)
         raw = 1 / (1 + np.exp(-margin))
-        return np.clip(0.98 * np.interp(margin, *self.steps) + 0.02 * raw, 0.0, 1.0)
+        own = self.trust * np.interp(margin, *self.steps) + (1 - self.trust) * raw if self.trust else raw
+        return np.clip(0.98 * own + 0.02 * raw, 0.0, 1.0)
 
 
 def held_out(doc_id) -> Column:
@@ -257,6 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     # at most about SAMPLE_DOCS rows of three numbers are broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
     part = F.pmod(F.shiftright("pick", 32), F.lit(10)).cast("int")
+    rows = rows.groupBy("pick").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
     rows = materialize(rows.select("pick", "toxic", "text", part.alias("part")))
     lexicon = learn_lexicon(rows.where("part < 4"))
     got = sorted(_features(rows.where("part >= 4"), lexicon).collect(), key=lambda r: (r["pick"], r["toxic"], r["x"]))
@@ -265,9 +271,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     if len(y) < 2 or y[tree_rows].min(initial=1) == y[tree_rows].max(initial=0):
         return None
     trees = boost(x[tree_rows], y[tree_rows])
-    # where the calibration part is too small it borrows the trees' part
-    calibrating = last_rows if y[last_rows].sum() >= 20 else np.ones(len(y), bool)
-    return Model(lexicon, trees, isotonic(trees.margin(x[calibrating]), y[calibrating]))
+    toxic = float(y[last_rows].sum())
+    return Model(lexicon, trees, isotonic(trees.margin(x[last_rows]), y[last_rows]), toxic / (toxic + TRUST))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
