@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -56,40 +56,82 @@ def never_treated(cells: DataFrame, force: str = "two-way") -> DataFrame:
     return out.drop("m")
 
 
+def _partials(size: int, n_periods: int, x: tuple[str, ...]):
+    """Per partition and key the (size, size + 1) normal equations of units partialled out, a row of the matrix a record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, lists = batch.column("k").to_numpy(), batch.column("c")
+            flat = lists.flatten()
+            of = np.repeat(np.arange(len(key)), lists.value_lengths().to_numpy())
+            column = lambda name: flat.field(flat.type.get_field_index(name)).to_numpy(zero_copy_only=False).astype(float)
+            t, w = column("t").astype(np.int64), column("w")
+            values = np.column_stack([*(column(c) for c in x), column("y")])
+            step = max(1, (1 << 22) // max(size, 1))  # units whose dense rows fit at once
+            for k in np.unique(key).tolist():
+                total = totals.setdefault(k, np.zeros((size, size + 1)))
+                for low in range(0, len(key), step):
+                    on = np.flatnonzero((of >= low) & (of < low + step) & (key[of] == k))
+                    if not len(on):
+                        continue
+                    unit, n = of[on] - low, min(step, len(key) - low)
+                    sums = np.zeros((n, size + 1))
+                    np.add.at(sums, (unit, t[on]), w[on])
+                    v, at = values[on], w[on]
+                    for j in range(v.shape[1]):
+                        sums[:, n_periods + j] = np.bincount(unit, at * v[:, j], n)
+                    weight = np.maximum(np.bincount(unit, at, n), 1e-300)
+                    total -= sums[:, :-1].T @ (sums / weight[:, None])
+                    total[np.arange(n_periods), np.arange(n_periods)] += np.bincount(t[on], at, n_periods)
+                    for j in range(v.shape[1]):
+                        by_time = np.bincount(t[on], at * v[:, j], n_periods)
+                        total[:n_periods, n_periods + j] += by_time
+                        if j < len(x):
+                            total[n_periods + j, :n_periods] += by_time
+                    total[n_periods:, n_periods:] += (v[:, : len(x)] * at[:, None]).T @ v
+        for k, total in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, k), pa.int64()), pa.array(np.arange(size), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["k", "i", "v"])
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    total = np.stack(table.column("v").to_pylist()).sum(axis=0)
+    return pa.table({"k": table.column("k").slice(0, 1), "i": table.column("i").slice(0, 1), "v": pa.array([total], pa.list_(pa.float64()))})
+
+
+def normal_equations(rows: DataFrame, n_periods: int, x: tuple[str, ...] = (), weight: str | None = None, key: str | None = None) -> DataFrame:
+    """(k, i, v): row i of the normal equations of each key's two-way regression of y on period dummies and ``x``, units
+    partialled out, with the right side as the last value. Partitions send one packed matrix each; its rows are
+    summed apart from each other."""
+    size = n_periods + len(x)
+    if size > MAX_SYSTEM:
+        raise ValueError(f"an exact fit of {size} periods and covariates exceeds {MAX_SYSTEM}")
+    k = F.col(key).cast("long") if key else F.lit(0).cast("long")
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    units = rows.groupBy(k.alias("k"), "unit").agg(F.collect_list(F.struct((F.col("time_ix") - 1).alias("t"), w.alias("w"), *(F.col(c).cast("double").alias(c) for c in x), F.col("y").cast("double").alias("y"))).alias("c"))
+    kind = "k long, i int, v array<double>"
+    return units.select("k", "c").mapInArrow(_partials(size, n_periods, x), kind).groupBy("k", "i").applyInArrow(_summed, kind)
+
+
 def exact_fit(cells: DataFrame, x: tuple[str, ...] = (), weighted: bool = False, on_controls: bool = False) -> tuple[DataFrame, dict]:
     """Add y0 by exact two-way least squares on the usable cells; also the period effects and coefficients.
 
     Raises where units and periods aren't connected by usable cells, or a covariate is not identified."""
     n_periods = cells.agg(F.max("time_ix")).first()[0]
     size = n_periods + len(x)
-    if size > MAX_SYSTEM:
-        raise ValueError(f"an exact fit of {size} periods and covariates exceeds {MAX_SYSTEM}")
     usable = (F.col("ii") == 1) & ((F.col("ever") == 0) if on_controls else F.lit(True))
     rows = cells.where(usable)
     w = F.col("w") if weighted else F.lit(1.0)
-    units = rows.groupBy("unit").agg(F.collect_list(F.struct((F.col("time_ix") - 1).alias("t"), w.alias("w"), "y", *x)).alias("c"))
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size + 1))
-        for batch in batches:
-            for unit in batch["c"]:
-                t, w = np.array([c["t"] for c in unit]), np.array([c["w"] for c in unit])
-                z = np.zeros((len(t), size + 1))
-                z[np.arange(len(t)), t] = 1
-                for i, name in enumerate(x):
-                    z[:, n_periods + i] = [c[name] for c in unit]
-                z[:, -1] = [c["y"] for c in unit]
-                z -= (w @ z) / w.sum()
-                total += (z[:, :-1] * w[:, None]).T @ z
-        i, j = np.nonzero(total)
-        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "v": total[i, j]})
-
-    sums = units.select("c").mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    sums = normal_equations(rows, n_periods, x, "w" if weighted else None).toArrow()  # one matrix of checked size
     a = np.zeros((size, size + 1))
-    for r in sums:
-        a[r["i"], r["j"]] = r["v"]
+    if sums.num_rows:
+        a[sums.column("i").to_numpy()] = np.stack(sums.column("v").to_pylist())
     gram, b = a[:, :-1], a[:, -1]
-    present = np.diag(gram)[:n_periods] > 0
+    present = np.diag(gram)[:n_periods] > 1e-12 * max(np.diag(gram)[:n_periods].max(initial=0.0), 1e-300)
     used = np.append(np.flatnonzero(present), np.arange(n_periods, size))
     g = gram[np.ix_(used, used)]
     scale = np.sqrt(np.maximum(np.diag(g), 1e-300))

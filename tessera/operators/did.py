@@ -1,12 +1,19 @@
-"""Difference-in-differences comparators on balanced cells: two-way fixed effects, stacked, interaction-weighted, and
-group-time estimators with never- or not-yet-treated controls. Without covariates all are grouped means."""
+"""Difference-in-differences comparators: two-way fixed effects, stacked, interaction-weighted, and group-time
+estimators with never- or not-yet-treated controls.
+
+Cells may be missing: the regressions solve their normal equations exactly, and group-time effects average the changes
+of the units that are observed in both periods. No pair of units is ever formed."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from . import additive
+
 
 def _absorbing(cells: DataFrame) -> DataFrame:
     """Observed cells of units that aren't treated from the start: unit, time_ix, y, d (absorbing), first."""
@@ -17,61 +24,105 @@ def _absorbing(cells: DataFrame) -> DataFrame:
     return rows.select("unit", "time_ix", "y", "first", F.coalesce((F.col("time_ix") >= F.col("first")).cast("int"), F.lit(0)).alias("d"))
 
 
-def _demeaned(rows: DataFrame, column: str, unit: tuple[str, ...], time: tuple[str, ...], whole: tuple[str, ...]):
-    by_unit, by_time, everything = W.partitionBy(*unit), W.partitionBy(*time), W.partitionBy(*whole)
-    return F.col(column) - F.avg(column).over(by_unit) - F.avg(column).over(by_time) + F.avg(column).over(everything)
+#: Cohorts whose base periods a row may be compared with: that many outcomes travel with a unit.
+MAX_COHORTS = 500
+
+
+def _coefficient(table: pa.Table) -> pa.Table:
+    """Of one key's normal equations with treatment last: what is left of treatment and outcome after the periods."""
+    order = np.argsort(table.column("i").to_numpy())
+    a = np.stack(table.column("v").to_pylist())[order]
+    gram, b = a[:, :-1], a[:, -1]
+    partial = np.linalg.pinv(gram[:-1, :-1], rcond=1e-10, hermitian=True) @ np.column_stack([gram[:-1, -1], b[:-1]])
+    return pa.table({"num": [float(b[-1] - gram[-1, :-1] @ partial[:, 1])], "den": [float(gram[-1, -1] - gram[-1, :-1] @ partial[:, 0])]})
+
+
+def _regressed(rows: DataFrame, key: str | None = None) -> DataFrame:
+    """att and n_cells of the regression of y on treatment, unit and period effects; with ``key`` both kinds of effects
+    are each key's own."""
+    n_periods = rows.agg(F.max("time_ix")).first()[0] or 1
+    sums = additive.normal_equations(rows, n_periods, ("d",), key=key)
+    solved = sums.groupBy("k").applyInArrow(_coefficient, "num double, den double")
+    att = solved.agg((F.sum("num") / F.nullif(F.sum("den"), F.lit(0.0))).alias("att"))
+    return att.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n_cells"))))  # one row each
 
 
 def twfe(cells: DataFrame) -> DataFrame:
-    """att: coefficient of treatment in the two-way regression of a balanced panel (double demeaning). The period
-    means are small tables joined back, so that no period's cells meet in one task."""
-    rows = _absorbing(cells)
-    rows = rows.withColumn("yu", F.avg("y").over(W.partitionBy("unit"))).withColumn("du", F.avg(F.col("d")).over(W.partitionBy("unit")))
-    time = rows.groupBy("time_ix").agg(F.avg("y").alias("yt"), F.avg("d").alias("dt"))
-    whole = rows.agg(F.avg("y").alias("ya"), F.avg("d").alias("da"))
-    rows = rows.join(F.broadcast(time), "time_ix").join(F.broadcast(whole))
-    dd, yd = F.col("d") - F.col("du") - F.col("dt") + F.col("da"), F.col("y") - F.col("yu") - F.col("yt") + F.col("ya")
-    return rows.agg((F.sum(dd * yd) / F.sum(dd * dd)).alias("att"), F.count(F.lit(1)).alias("n_cells"))
+    """att: coefficient of treatment in the two-way regression."""
+    return _regressed(_absorbing(cells))
+
+
+def cohorts(rows: DataFrame) -> list[int]:
+    """The first treated periods that occur, in order; their number is checked."""
+    got = [r[0] for r in rows.select("first").where("first is not null").distinct().limit(MAX_COHORTS + 1).collect()]
+    if len(got) > MAX_COHORTS:
+        raise ValueError(f"more than {MAX_COHORTS} cohorts")
+    return sorted(got)
 
 
 def stacked(cells: DataFrame) -> DataFrame:
     """att over the stacks of every cohort with the never-treated units, effects by stack-unit and stack-period."""
     rows = _absorbing(cells)
-    cohorts = [r[0] for r in rows.select("first").where("first is not null").distinct().collect()]  # at most one a period
-    stack = rows.select("*", F.when(F.col("first").isNotNull(), F.array("first")).otherwise(F.array(*(F.lit(c) for c in sorted(cohorts)))).alias("stacks"))
-    stack = stack.select("unit", "time_ix", "y", "d", F.explode("stacks").alias("stack"))
-    by_unit = W.partitionBy("stack", "unit")
-    stack = stack.withColumn("yu", F.avg("y").over(by_unit)).withColumn("du", F.avg("d").over(by_unit))
-    time = stack.groupBy("stack", "time_ix").agg(F.avg("y").alias("yt"), F.avg("d").alias("dt"))
-    whole = stack.groupBy("stack").agg(F.avg("y").alias("ya"), F.avg("d").alias("da"))
-    stack = stack.join(F.broadcast(time), ["stack", "time_ix"]).join(F.broadcast(whole), "stack")
-    dd, yd = F.col("d") - F.col("du") - F.col("dt") + F.col("da"), F.col("y") - F.col("yu") - F.col("yt") + F.col("ya")
-    return stack.agg((F.sum(dd * yd) / F.sum(dd * dd)).alias("att"), F.count(F.lit(1)).alias("n_cells"))
+    stacks = F.when(F.col("first").isNotNull(), F.array("first")).otherwise(F.array(*(F.lit(c) for c in cohorts(rows))).cast("array<int>"))
+    return _regressed(rows.select("unit", "time_ix", "y", "d", F.explode(stacks).alias("stack")), "stack")
+
+
+def twfe_event_study(cells: DataFrame, window: tuple[int, int] | None = None) -> DataFrame:
+    """(event_time, coef): the two-way regression on indicators of event time, the last period before treatment left out.
+    Event times beyond the window belong to its ends. One matrix of checked size reaches the driver."""
+    rows = _absorbing(cells)
+    at = F.col("time_ix") - F.col("first") + 1
+    if window:
+        at = F.greatest(F.least(at, F.lit(window[1])), F.lit(window[0]))
+    rows = rows.withColumn("at", at)
+    n_periods = rows.agg(F.max("time_ix")).first()[0] or 1
+    times = sorted(r[0] for r in rows.select("at").where("at is not null and at <> 0").distinct().collect())  # fewer than twice the periods
+    x = tuple(f"e{i}" for i in range(len(times)))
+    rows = rows.select("unit", "time_ix", "y", *(F.coalesce((F.col("at") == e).cast("double"), F.lit(0.0)).alias(c) for e, c in zip(times, x, strict=True)))
+    sums = additive.normal_equations(rows, n_periods, x).toArrow()
+    a = np.zeros((n_periods + len(x), n_periods + len(x) + 1))
+    if sums.num_rows:
+        a[sums.column("i").to_numpy()] = np.stack(sums.column("v").to_pylist())
+    solved = np.linalg.pinv(a[:, :-1], rcond=1e-10, hermitian=True) @ a[:, -1]
+    return cells.sparkSession.createDataFrame([(int(e), float(v)) for e, v in zip(times, solved[n_periods:], strict=True)], "event_time int, coef double")
 
 
 def group_time(cells: DataFrame, control: str = "never", base: str = "varying") -> DataFrame:
-    """(cohort, time_ix, event_time, att, n_units): group-time effects by two-by-two comparisons of means.
+    """(cohort, time_ix, event_time, att, n_units): group-time effects by two-by-two comparisons of changes.
 
     The base period is the last before treatment; ``varying`` compares earlier periods with the one before them.
-    Controls are never-treated units or, with ``notyet``, all units untreated at both periods. Means by cohort
-    and period (a small table) carry everything: no pair of units is ever formed."""
+    Controls are never-treated units or, with ``notyet``, all units untreated at both periods; a unit counts where it is
+    observed in both periods. A row meets its unit's outcomes in the cohorts' base periods (their number is checked), and
+    only sums by cohort and period leave the tasks."""
     rows = _absorbing(cells)
-    means = rows.groupBy(F.coalesce("first", F.lit(0)).alias("cohort"), "time_ix").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
-    groups = means.where("cohort > 0").select(F.col("cohort"), "time_ix", (F.col("s") / F.col("n")).alias("y"), F.col("n").alias("n_units"))
-    post = F.col("time_ix") >= F.col("cohort")
-    ref = F.when(post, F.col("cohort") - 1).otherwise(F.col("time_ix") - 1) if base == "varying" else F.col("cohort") - 1
-    target = groups.withColumn("ref", ref).where("ref >= 1")
-    at_ref = groups.select(F.col("cohort").alias("c2"), F.col("time_ix").alias("t2"), F.col("y").alias("y_ref"))
-    target = target.join(F.broadcast(at_ref), (F.col("cohort") == F.col("c2")) & (F.col("ref") == F.col("t2"))).drop("c2", "t2")
-    later = F.greatest("time_ix", "ref")
-    c = means.select(F.col("cohort").alias("cc"), F.col("time_ix").alias("ct"), "s", "n")
-    allowed = (F.col("cc") == 0) if control == "never" else ((F.col("cc") == 0) | (F.col("cc") > later)) & (F.col("cc") != F.col("cohort"))
-    pairs = target.join(F.broadcast(c), allowed & ((F.col("ct") == F.col("time_ix")) | (F.col("ct") == F.col("ref"))))
-    keys = ("cohort", "time_ix", "ref", "y", "y_ref", "n_units")
-    at = F.col("ct") == F.col("time_ix")
-    means_c = pairs.groupBy(*keys).agg((F.sum(F.when(at, F.col("s"))) / F.sum(F.when(at, F.col("n")))).alias("c_now"), (F.sum(F.when(F.col("ct") == F.col("ref"), F.col("s"))) / F.sum(F.when(F.col("ct") == F.col("ref"), F.col("n")))).alias("c_ref"))
-    att = (F.col("y") - F.col("y_ref")) - (F.col("c_now") - F.col("c_ref"))
-    return means_c.select("cohort", "time_ix", (F.col("time_ix") - F.col("cohort") + 1).cast("int").alias("event_time"), att.alias("att"), "n_units")
+    bases = [c - 1 for c in cohorts(rows)]
+    by_unit = W.partitionBy("unit")
+    t, first = F.col("time_ix"), F.col("first")
+    at_base = F.collect_list(F.when(t.isin(bases), F.struct(t.alias("ref"), F.col("y").alias("y_ref")))).over(by_unit)
+    previous = F.when(F.lag("time_ix").over(by_unit.orderBy("time_ix")) == t - 1, F.lag("y").over(by_unit.orderBy("time_ix")))
+    rows = rows.withColumn("at_base", at_base).withColumn("y_before", previous)
+    # against the cohort's base period
+    pairs = rows.select("time_ix", "first", "y", F.explode("at_base").alias("b"))
+    cohort = (F.col("b.ref") + 1).cast("int")
+    if base == "varying":
+        pairs = pairs.where(t >= cohort)
+    change = F.col("y") - F.col("b.y_ref")
+    own = F.coalesce(first == cohort, F.lit(False))
+    outside = first.isNull() if control == "never" else first.isNull() | ((first > F.greatest(t, F.col("b.ref"))) & ~own)
+    late = pairs.groupBy(cohort.alias("cohort"), "time_ix").agg(
+        F.avg(F.when(own, change)).alias("moved"), F.count(F.when(own, change)).alias("n_units"), F.avg(F.when(outside, change)).alias("stayed"))
+    if base == "varying":
+        # earlier periods against the one before: sums by cohort (0 for never treated), then what all later cohorts add up to
+        steps = rows.where("y_before is not null").groupBy(F.coalesce("first", F.lit(0)).alias("cohort"), "time_ix").agg(F.sum(F.col("y") - F.col("y_before")).alias("s"), F.count(F.lit(1)).alias("n"))
+        outside = F.col("cohort") == 0 if control == "never" else (F.col("cohort") == 0) | (F.col("cohort") > t)
+        every = steps.groupBy("time_ix").agg(F.sum(F.when(outside, F.col("s"))).alias("s_all"), F.sum(F.when(outside, F.col("n"))).alias("n_all"))
+        early = steps.where("cohort > time_ix").join(every, "time_ix")
+        mine = F.lit(0) if control == "never" else F.lit(1)
+        left = F.col("n_all") - mine * F.col("n")
+        early = early.select("cohort", "time_ix", (F.col("s") / F.col("n")).alias("moved"), F.col("n").alias("n_units"), F.when(left > 0, (F.col("s_all") - mine * F.col("s")) / left).alias("stayed"))
+        late = late.unionByName(early)
+    out = late.where("moved is not null and stayed is not null")
+    return out.select("cohort", "time_ix", (t - F.col("cohort") + 1).cast("int").alias("event_time"), (F.col("moved") - F.col("stayed")).alias("att"), "n_units")
 
 
 def aggregated(effects: DataFrame, how: str = "dynamic") -> DataFrame:
@@ -83,8 +134,8 @@ def aggregated(effects: DataFrame, how: str = "dynamic") -> DataFrame:
 
 
 def interaction_weighted(cells: DataFrame) -> DataFrame:
-    """att by event time: the saturated cohort-by-period regression with never-treated controls and the last period
-    before treatment as base, weighted by cohort shares (a balanced panel's closed form)."""
+    """att by event time: cohort-by-period effects with never-treated controls and the last period before treatment as base
+    (on a balanced panel the saturated regression's), weighted by cohort shares."""
     return aggregated(group_time(cells, "never", base="universal"), "dynamic")
 
 

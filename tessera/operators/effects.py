@@ -53,9 +53,9 @@ def by_group(cells: DataFrame) -> DataFrame:
     return cells.where("d = 1 and g is not null").groupBy("g").agg(F.avg("eff").alias("att"), F.count("eff").alias("n_cells"))
 
 
-def in_window(cells: DataFrame, on: str, window: tuple[int, int]) -> DataFrame:
-    """One count-weighted mean over the event times of a window (placebo and carryover tests)."""
-    return cells.where(F.col(on).between(*window)).agg(F.avg("eff").alias("att"), F.count("eff").alias("n_cells"))
+def in_window(cells: DataFrame, on: str, window: tuple[int, int], keys: tuple[str, ...] = ()) -> DataFrame:
+    """One count-weighted mean over the event times of a window (placebo and carryover tests), by ``keys`` if any."""
+    return cells.where(F.col(on).between(*window)).groupBy(*keys).agg(F.avg("eff").alias("att"), F.count("eff").alias("n_cells"))
 
 
 def balanced(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,6 +78,12 @@ def cumulative(event: DataFrame, window: tuple[int, int]) -> DataFrame:
     return rows.select("event_time", value.alias("att_cumu"), "n_cells")
 
 
+def per_period_units(cells: DataFrame) -> DataFrame:
+    """The cells' effects beside the number of observed units at their event time (a small table joined back)."""
+    rows = cells.where("t_on is not null and eff is not null")
+    return rows.join(F.broadcast(treated_units(rows)), F.col("t_on") == F.col("event_time")).select("unit", "time_ix", "event_time", "eff", "n_units")
+
+
 def subgroup_cumulative(cells: DataFrame, window: tuple[int, int]) -> DataFrame:
     """cumulative effect at each event time s of the window: mean effect over event times up to s, times their number."""
     per = cells.where(F.col("rel_time").between(*window)).groupBy(F.col("rel_time").alias("event_time")).agg(F.sum("eff").alias("s"), F.count("eff").alias("n"))

@@ -109,13 +109,36 @@ def with_carry(cells: DataFrame, k: int) -> DataFrame:
 
 
 def with_usable(cells: DataFrame, options: FitOptions) -> DataFrame:
-    """Add ever (unit ever treated) and ii: observed, not treated, not carried over; of never-treated units only
-    where the sample says so."""
+    """Add ever (unit ever treated) and ii: observed, not treated, not carried over. Estimators on never-treated units use
+    treated units' earlier cells too, for their unit effects; ``never_treated_sample`` is for those that don't."""
     untreated = (F.col("i_obs") == 1) & (F.coalesce(F.col("d"), F.lit(0)) == 0) & (F.col("is_carry") == 0)
     out = cells.withColumn("ever", F.max(F.coalesce(F.col("d"), F.lit(0))).over(W.partitionBy("unit")))
     return out.withColumn("ii", untreated.cast("int"))
 
 
+def never_treated_sample(cells: DataFrame) -> DataFrame:
+    """Take every cell of ever-treated units out of the fit, for estimators that don't split the sample themselves."""
+    return cells.withColumn("ii", F.when(F.col("ever") == 1, 0).otherwise(F.col("ii")))
+
+
+def occupancy(cells: DataFrame) -> DataFrame:
+    """(check_name, n_bad): periods and units without a usable cell."""
+    def empty(key: str) -> DataFrame:
+        counts = cells.groupBy(key).agg(F.sum("ii").alias("n"))
+        return counts.agg(F.coalesce(F.sum((F.col("n") == 0).cast("long")), F.lit(0)).alias("n_bad")).select(F.lit(f"empty_{key}").alias("check_name"), "n_bad")
+
+    return empty("time_ix").unionByName(empty("unit"))
+
+
+def check_occupancy(cells: DataFrame, options: FitOptions) -> None:
+    """Raise where a period, or under the not-yet-treated sample a unit, has no usable cell to fit on."""
+    wanted = ["empty_time_ix"] + (["empty_unit"] if options.sample == "notyettreated" else [])
+    bad = [r["check_name"] for r in occupancy(cells).where("n_bad > 0").collect() if r["check_name"] in wanted]
+    if bad:
+        hint = "; a smaller test window may help" if options.placebo or options.carryover else ""
+        raise ValueError(f"nothing to fit on: {', '.join(sorted(bad))}{hint}")
+
+
 def with_window_mask(cells: DataFrame, column: str, window: tuple[int, int], to: str) -> DataFrame:
     """Take the cells whose event time lies in the window out of the fit; ``to`` marks them."""
     hit = F.coalesce(F.col(column).between(*window), F.lit(False))
@@ -170,6 +193,8 @@ def prepare(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, n
     """Densified cells with event times, masks and screens, in one plan partitioned by unit."""
     options = (options or FitOptions()).resolved()
     cells = with_carry(densify(df, spec, na_rm), options.carryover_rm)
+    if not options.keep_always_treated:
+        cells = cells.withColumn("__share", F.avg("d").over(W.partitionBy("unit"))).where("__share < 1 or __share is null").drop("__share")
     cells = with_usable(cells, options)
     cells = event_time.with_event_time(cells, "d", "t_on")
     cells = event_time.with_event_time(cells, "d", "t_off", off=True)

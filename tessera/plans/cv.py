@@ -179,13 +179,19 @@ def compare(p: jobs.Dense, models: dict[str, dict], spark, folds: int = 10, kind
 
 
 def score_residuals(cells: DataFrame) -> DataFrame:
-    """All scores in one aggregation over cells (e, at, optional sd): mspe, gmspe, mad, moment, gmoment, rmse, bias."""
+    """All scores in one aggregation over cells (e, at, and wt if they weigh differently): mspe, gmspe, mad, moment, gmoment,
+    rmse, bias, msptatt (mean squares of event-time means) and, with wt, wmspe and wgmspe."""
     e = F.col("e")
+    weighted = []
+    if "wt" in cells.columns:
+        other = e != 0
+        weighted = [(F.sum(F.col("wt") * e * e) / F.sum("wt")).alias("wmspe"), F.exp(F.sum(F.when(other, F.col("wt") * F.log(e * e))) / F.sum(F.when(other, F.col("wt")))).alias("wgmspe")]
     centre = cells.agg(F.percentile("e", F.lit(0.5)).alias("centre"))
     one = cells.join(F.broadcast(centre)).agg(
         F.avg(e * e).alias("mspe"), F.exp(F.avg(F.when(e != 0, F.log(e * e)).otherwise(0.0))).alias("gmspe"), F.percentile(F.abs(e - F.col("centre")), F.lit(0.5)).alias("mad"),
-        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.count(e).alias("n_cells"))
+        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.count(e).alias("n_cells"), *weighted)
     per = cells.groupBy("at").agg(F.abs(F.avg(e)).alias("m"), F.count(e).alias("n"))
-    moments = per.agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("moment"), F.exp(F.sum(F.log("m") * F.col("n")) / F.sum("n")).alias("gmoment"))
+    moments = per.agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("moment"), F.exp(F.sum(F.log("m") * F.col("n")) / F.sum("n")).alias("gmoment"),
+        (F.sum(F.col("m") ** 2 * F.col("n")) / F.sum("n")).alias("msptatt"))
 
     return one.join(F.broadcast(moments))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import additive, effects, panel
-from . import cv, inference, jobs
+from ..operators import additive, effects, event_time, panel
+from . import cv, inference, jobs, leave_one_out
 from .spec import FitOptions, PanelSpec
 
 
@@ -75,17 +76,27 @@ def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: b
     Additive models stay in the cluster: means by SQL, two-way effects by exact least squares, the never-treated closed
     form where controls are balanced. Factor models run as kernels over the dense panel."""
     options = (options or FitOptions()).resolved()
-    if vartype == "parametric" and (options.method in ("mc", "both") or options.sample == "notyettreated"):
+    if se and vartype == "parametric" and (options.method in ("mc", "both") or options.sample == "notyettreated"):
         raise ValueError("the parametric bootstrap needs a factor or additive model on never-treated units")
     if checked:
-        panel.check(df, replace(spec, x=()))
+        panel.check(df, spec)
     cells = panel.prepare(df, spec, options).cache()
+    if checked:
+        panel.check_occupancy(cells, options)
+    if se and vartype == "parametric" and event_time.has_reversals(cells):
+        raise ValueError("the parametric bootstrap needs treatment that doesn't end")
     x = tuple(f"x{i + 1}" for i in range(len(spec.x)))
+    scale = 1.0
+    if options.normalize:
+        # outcome and covariates in units of the outcome's standard deviation; what comes out is scaled back
+        scale = float(cells.agg(F.stddev_samp("y")).first()[0] or 1.0)
+        cells = cells.withColumns({c: F.col(c) / scale for c in ("y", *x)})
     weighted = options.weight_fit and spec.weight is not None
     scalars: dict = {}
     dense: jobs.Dense | None = None
     units = times = None
-    if options.method == "fe" and options.sample == "nevertreated" and not x and additive.controls_balanced(cells):
+    closed = options.method == "fe" and options.sample == "nevertreated" and not x and not weighted and additive.controls_balanced(cells)
+    if closed:
         out = additive.never_treated(cells, options.force)
     elif options.method == "fe" and options.force != "two-way" and not x and not weighted and options.sample == "notyettreated":
         out = additive.with_means(cells, options.force)
@@ -104,17 +115,27 @@ def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: b
         scalars |= {"sigma2": got.sigma2, "ic": got.ic, "pc": got.pc, "n_iter": got.n_iter, "converged": float(got.converged)} | {f"beta_{spec.x[i]}": float(b) for i, b in enumerate(got.beta)}
         spark = cells.sparkSession
         t, n = got.y0.shape
-        rows = [(dense.units[j], i, float(got.y0[i, j])) for j in range(n) for i in range(t) if np.isfinite(got.y0[i, j])]
         index = sorted({r["time_ix"] for r in cells.select("time_ix").distinct().collect()})
         kind = cells.schema["unit"].dataType.simpleString()
-        y0 = spark.createDataFrame([(u, index[i], v) for u, i, v in rows], f"unit {kind}, time_ix int, y0 double")
-        out = cells.join(y0, ["unit", "time_ix"], "left")
+        # a row a unit travels, as Arrow columns
+        table = pa.table({"unit": pa.array(dense.units), "v": pa.array([None if not np.isfinite(c).any() else c for c in got.y0.T], pa.list_(pa.float64()))})
+        y0 = spark.createDataFrame(table).select(F.col("unit").cast(kind).alias("unit"), "v")
+        at = F.array_position(F.array(*(F.lit(i) for i in index)), F.col("time_ix")).cast("int")
+        out = cells.join(y0, "unit", "left").withColumn("y0", F.nanvl(F.try_element_at("v", at), F.lit(None).cast("double"))).drop("v")
         if got.factors is not None and got.loadings is not None:
             units = spark.createDataFrame([(u, [float(v) for v in got.loadings[i]]) for i, u in enumerate(dense.units)], f"unit {kind}, loadings array<double>")
             times = spark.createDataFrame([(index[i], [float(v) for v in got.factors[i]]) for i in range(t)], "time_ix int, factors array<double>")
+    if options.normalize:
+        out = out.withColumns({c: F.col(c) * scale for c in ("y", "y0", *x)})
+        scalars |= {"sigma2": scalars["sigma2"] * scale**2} if "sigma2" in scalars else {}
     result = FitResult(spec, options, effects.with_effect(out), scalars, units, times, dense)
     if se:
+        result.vartype = vartype
+        if vartype == "jackknife" and closed and options.force == "two-way":
+            result.replicates = leave_one_out.replicates(result.cells)
+            return result
         result.panel = dense or jobs.dense(cells, x)
         result.replicates = inference.replicates(result.panel, options, cells.sparkSession, vartype, nboots, seed, weighted)
-        result.vartype = vartype
+        if options.normalize:
+            result.replicates = result.replicates.withColumn("value", F.col("value") * scale)
     return result

@@ -343,8 +343,7 @@ def fitted(spark, sf_dir, name="supplier_quarter", reversals=False, spec=SPEC, *
 @registered(LEFT_OUT + " SELECT left_out, ROUND(AVG(eff), 4) AS att FROM e WHERE d = 1 GROUP BY 1")
 def jackknife_gsc(spark, sf_dir):
     got = fitted(spark, sf_dir, sample="nevertreated", se=True, vartype="jackknife")
-    units = F.array(*(F.lit(u) for u in got.panel.units))
-    return got.replicates.where("kind = 'overall'").select(F.element_at(units, (F.col("job_id") + 1).cast("int")).alias("left_out"), r4("value").alias("att"))
+    return got.replicates.where("kind = 'overall'").select("left_out", r4("value").alias("att"))
 
 
 @registered(LEFT_OUT + """, a AS (SELECT left_out, AVG(eff) AS att FROM e WHERE d = 1 GROUP BY 1)
@@ -354,9 +353,12 @@ def jackknife_gsc_se(spark, sf_dir):
     return got.intervals().where("kind = 'overall'").select(r4("se").alias("se"))
 
 
-@registered()
+FE = "WITH RECURSIVE " + sql.masked("supplier_month", True).replace("base AS (", "base AS MATERIALIZED (") + ",\n" + sql.two_way("base") + ", fit AS (SELECT *, CASE WHEN i_obs = 1 THEN y - y0 END AS eff FROM fe)"
+
+
+@registered(FE + " SELECT t_on AS event_time, ROUND(AVG(eff), 4) AS att, COUNT(eff) AS n_cells FROM fit WHERE t_on IS NOT NULL GROUP BY t_on")
 def fe_two_way_event_att(spark, sf_dir):
-    return fitted(spark, sf_dir, "supplier_month", True).event()
+    return fitted(spark, sf_dir, "supplier_month", True).event().select("event_time", r4("att").alias("att"), "n_cells")
 
 
 @registered()
@@ -437,8 +439,12 @@ def event_panel_by_day(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import registry_checks  # noqa: F401  registers its queries
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import registry_checks  # noqa: F401  registers its texts
+
     return dict(_sql)

@@ -41,7 +41,7 @@ def interactive_regression(df: DataFrame, y: str, x: tuple[str, ...], unit: str,
 def with_trend(df: DataFrame, time: str, kind: str = "linear", prefix: str = "trend_") -> tuple[DataFrame, tuple[str, ...]]:
     """Add trend columns of the periods (linear, quadratic, cubic or bspline), one basis row a period joined back; the names
     go into PanelSpec.q."""
-    periods = sorted(r[0] for r in df.select(time).distinct().limit(panel.MAX_PERIODS).collect())
+    periods = panel.periods(df.select(F.col(time).alias("time")))
     basis = stats.spline_basis(np.arange(len(periods), dtype=float), kind)
     names = tuple(f"{prefix}{k + 1}" for k in range(basis.shape[1]))
     schema = f"{time} {df.schema[time].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)

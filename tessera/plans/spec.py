@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
+# The names of effects, estimators, samples and criteria that callers use.
 FORCES = ("none", "unit", "time", "two-way")
 METHODS = ("fe", "ife", "mc", "both", "gsc", "cfe")
 
@@ -80,7 +81,6 @@ class FitOptions:
     loading_bound: str = "none"
     gamma_loading: float | None = None
     keep_always_treated: bool = True
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if self.method not in METHODS:

@@ -34,9 +34,28 @@ def event_time(source: str, to: str, name: str, d: str = "d", off: bool = False)
 {name} AS (SELECT * EXCLUDE (v_, chg_, run_, pos_, len_, last_), CAST(CASE WHEN v_ = 1 AND run_ > 0 THEN pos_ WHEN v_ = 0 AND run_ < last_ THEN pos_ - len_ END AS INT) AS {to} FROM {name}_p)"""
 
 
+UNEVEN_RAW = f"""obs AS ({OUTCOMES["supplier_month"]}),
+rk AS (SELECT time, row_number() OVER (ORDER BY time) AS rank FROM (SELECT DISTINCT time FROM obs)),
+raw AS (SELECT o.unit, o.time, CASE WHEN (o.unit * 3 + rank) % 17 = 0 THEN NULL WHEN (o.unit * 5 + rank) % 29 = 0 THEN CAST('inf' AS DOUBLE) ELSE o.y END AS y,
+  CASE WHEN o.unit % 20 = 3 THEN 1 WHEN o.unit % 3 = 1 AND rank >= 10 + o.unit % 5 AND NOT (o.unit % 2 = 0 AND rank >= 16 + o.unit % 5) THEN 1 ELSE 0 END AS d,
+  CAST(CASE WHEN (o.unit + rank) % 13 = 0 THEN 0 ELSE 1 + (o.unit + rank) % 4 END AS DOUBLE) AS w FROM obs o JOIN rk USING (time)),
+pruned AS (SELECT unit, time, CASE WHEN isinf(y) THEN NULL ELSE y END AS y, d, w FROM raw WHERE w > 0)"""
+
+
+def uneven_cells(na_rm: bool = False) -> str:
+    """CTE ``cells`` of the uneven panel, with weights."""
+    rows = "(SELECT * FROM pruned WHERE y IS NOT NULL AND d IS NOT NULL)" if na_rm else "pruned"
+    return f"""{UNEVEN_RAW},
+used AS (SELECT * FROM {rows}),
+ranks AS (SELECT time, row_number() OVER (ORDER BY time) AS time_ix FROM (SELECT DISTINCT time FROM used)),
+grid AS (SELECT u.unit, r.time, r.time_ix FROM (SELECT DISTINCT unit FROM used) u, ranks r),
+cells AS (SELECT g.unit, g.time, CAST(g.time_ix AS INT) AS time_ix, o.y, o.d, COALESCE(o.w, 1) AS w, CASE WHEN o.y IS NULL THEN 0 ELSE 1 END AS i_obs, CAST(g.unit % 4 AS VARCHAR) AS g,
+  MAX(COALESCE(o.d, 0)) OVER (PARTITION BY g.unit) AS ever FROM grid g LEFT JOIN used o ON o.unit = g.unit AND o.time = g.time)"""
+
+
 def masked(panel: str, reversals: bool = False) -> str:
     """``base``: cells with t_on, t_off and ii."""
-    return cells(panel, reversals) + ",\n" + event_time("cells", "t_on", "e_on") + ",\n" + event_time("e_on", "t_off", "e_off", off=True) + ",\nbase AS (SELECT *, CASE WHEN i_obs = 1 AND COALESCE(d, 0) = 0 THEN 1 ELSE 0 END AS ii FROM e_off)"
+    return (uneven_cells() if panel == "uneven" else cells(panel, reversals)) + ",\n" + event_time("cells", "t_on", "e_on") + ",\n" + event_time("e_on", "t_off", "e_off", off=True) + ",\nbase AS (SELECT *, CASE WHEN i_obs = 1 AND COALESCE(d, 0) = 0 THEN 1 ELSE 0 END AS ii FROM e_off)"
 
 
 def never_treated(panel: str = "supplier_quarter") -> str:
@@ -48,6 +67,29 @@ own AS (SELECT b.unit, AVG(b.y - m.m) AS a FROM base b JOIN m USING (time_ix) JO
 fit AS (SELECT b.*, m.m + own.a AS y0, CASE WHEN i_obs = 1 THEN b.y - (m.m + own.a) END AS eff FROM base b JOIN m USING (time_ix) LEFT JOIN own USING (unit))"""
 
 
+def two_way(source: str, y: str = "y", rounds: int = 80, weight: str = "1.0", name: str = "fe") -> str:
+    """``fe``: source with y0 of the two-way least-squares fit on its usable cells, by averaging units and periods in turn.
+
+    The chain must begin with WITH RECURSIVE."""
+
+    def mean(value: str, by: str) -> str:
+        return f"SUM(CASE WHEN ii = 1 THEN wt * ({value}) END) OVER (PARTITION BY {by}) / SUM(CASE WHEN ii = 1 THEN wt END) OVER (PARTITION BY {by})"
+
+    return f"""{name}_it AS (SELECT unit, time_ix, CAST({y} AS DOUBLE) AS v, ii, CAST({weight} AS DOUBLE) AS wt, 0 AS k, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS x FROM {source}
+  UNION ALL SELECT unit, time_ix, v, ii, wt, k + 1, a2, {mean("v - a2", "time_ix")} FROM (SELECT *, {mean("v - x", "unit")} AS a2 FROM {name}_it WHERE k < {rounds})),
+{name} AS (SELECT s.*, i.a + i.x AS y0 FROM {source} s JOIN {name}_it i ON i.unit = s.unit AND i.time_ix = s.time_ix AND i.k = {rounds})"""
+
+
+def demeaned(source: str, columns: tuple[str, ...], by: tuple[str, str] = ("unit", "time_ix"), rounds: int = 80, name: str = "dm") -> str:
+    """``dm``: source's rows with the columns freed from both kinds of means, one after the other. Needs WITH RECURSIVE."""
+    keep = ", ".join(dict.fromkeys(c.strip() for part in by for c in part.split(",")))
+    once = ", ".join(f"{c} - AVG({c}) OVER (PARTITION BY {by[0]}) AS {c}" for c in columns)
+    twice = ", ".join(f"{c} - AVG({c}) OVER (PARTITION BY {by[1]}) AS {c}" for c in columns)
+    start = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in columns)
+    return f"""{name}_it AS (SELECT {keep}, 0 AS k, {start} FROM {source} UNION ALL SELECT {keep}, k + 1, {twice} FROM (SELECT {keep}, k, {once} FROM {name}_it WHERE k < {rounds})),
+{name} AS (SELECT * FROM {name}_it WHERE k = {rounds})"""
+
+
 def means(panel: str, force: str, reversals: bool = False) -> str:
     """``fit`` by the grand, unit or period mean of usable cells."""
     by = {"none": "", "unit": "PARTITION BY unit", "time": "PARTITION BY time_ix"}[force]

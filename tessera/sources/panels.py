@@ -46,3 +46,28 @@ def panel(spark: SparkSession, sf_dir: str, name: str, reversals: bool = False,
     d = treated(F.col("unit"), F.col("rank"), reversals)
     x1 = ((F.col("unit") * 7 + F.col("rank") * 13 + F.col("unit") * F.col("rank")) % 11).cast("double") / 10
     return rows.select("unit", "time", (F.col("y") + F.lit(effect) * d).alias("y"), d.alias("d"), x1.alias("x1"), (F.col("unit") % 4).cast("string").alias("region"))
+
+
+def uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplier-month panel with what real panels have: missing and infinite outcomes, weights (some zero) and units that
+    are treated throughout."""
+    rows = outcome(spark, sf_dir, "supplier_month")
+    ranks = rows.select("time").distinct().withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("time")))
+    rows = rows.join(ranks, "time")
+    unit, rank = F.col("unit"), F.col("rank")
+    y = F.when((unit * 3 + rank) % 17 == 0, F.lit(None)).when((unit * 5 + rank) % 29 == 0, F.lit(float("inf"))).otherwise(F.col("y"))
+    d = F.when(unit % 20 == 3, 1).otherwise(treated(unit, rank, True))
+    w = F.when((unit + rank) % 13 == 0, 0).otherwise(1 + (unit + rank) % 4).cast("double")
+    return rows.select("unit", "time", y.alias("y"), d.alias("d"), w.alias("w"), (unit % 4).cast("string").alias("region"))
+
+
+def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplier-month panel with every rule broken: repeated keys, treatments of 2, groups that change, a covariate without
+    variation within units (xa) and one without variation within periods (xb)."""
+    rows = outcome(spark, sf_dir, "supplier_month")
+    ranks = rows.select("time").distinct().withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("time")))
+    rows = rows.join(ranks, "time")
+    unit, rank = F.col("unit"), F.col("rank")
+    d = F.when((unit + rank) % 31 == 0, 2).otherwise(treated(unit, rank))
+    rows = rows.select("unit", "time", "y", d.alias("d"), F.when(unit % 9 == 0, rank % 2).otherwise(unit % 4).cast("string").alias("region"), (unit % 5).cast("double").alias("xa"), (rank % 5).cast("double").alias("xb"))
+    return rows.unionByName(rows.where("unit % 7 = 0"))
