@@ -15,7 +15,7 @@ which skips pairs already connected; a bucket gives a spanning forest, never its
 
 Defined cases: a null or empty text has no lines and stays as it is; a null doc_id counts as larger than all others;
 repeated rows are treated alike; further columns pass through ``deduplicated``. A pair of very long lines costs the product of
-their lengths / 64 where neither their characters nor their words decide it.
+their lengths / 60 where neither their lengths nor their words decide it.
 """
 
 from __future__ import annotations
@@ -152,6 +152,21 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence (bit-parallel, one big integer a column)."""
+    masks: dict[str, int] = {}
+    bit = 1
+    for c in a:
+        masks[c] = masks.get(c, 0) | bit
+        bit <<= 1
+    full = bit - 1
+    state, get = full, masks.get
+    for c in b:
+        same = state & get(c, 0)
+        state = ((state + same) | (state - same)) & full
+    return len(a) - state.bit_count()
+
+
 def rewriting_cost(x: list[str], y: list[str], most: int) -> int:
     """What one way of rewriting words x as y costs: it keeps equal words and, where they differ, goes on at the nearest equal
     ones. An upper bound of the edit distance of the joined words, or more than ``most``."""
@@ -162,13 +177,7 @@ def rewriting_cost(x: list[str], y: list[str], most: int) -> int:
             i += 1
             j += 1
             continue
-        for skip in range(1, 9):
-            di = next((k for k in range(skip + 1) if i + k < n and j + skip - k < m and x[i + k] == y[j + skip - k]), None)
-            if di is not None:
-                break
-        else:
-            di, skip = 1, 2
-        dj = skip - di
+        di, dj = _next_equal(x, y, i, j)
         cost += max(sum(map(len, x[i : i + di])) + di, sum(map(len, y[j : j + dj])) + dj) - (1 if di and dj else 0)
         i += di
         j += dj
@@ -176,37 +185,44 @@ def rewriting_cost(x: list[str], y: list[str], most: int) -> int:
     return cost + rest
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence (bit-parallel, one big integer a column)."""
-    masks: dict[str, int] = {}
-    bit = 1
-    for c in a:
-        masks[c] = masks.get(c, 0) | bit
-        bit <<= 1
-    full = bit - 1
-    state, get = full, masks.get
-    for c in b:
-        same = state & get(c, 0)
-        state = ((state + same) | (state - same)) & full
-    return len(a) - state.bit_count()
+def _next_equal(x: list[str], y: list[str], i: int, j: int) -> tuple[int, int]:
+    for skip in range(1, 9):
+        for k in range(max(0, skip - len(y) + j + 1), min(skip, len(x) - i - 1) + 1):
+            if x[i + k] == y[j + skip - k]:
+                return k, skip - k
+    return 1, 1
 
 
-def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    longer = max(len(a), len(b))
-    most = math.floor(longer * (1 - least) + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return False
-    # rewriting all between the common ends, or the words that differ, are ways from a to b: their cost bounds the distance from above
+def edits_allowed(a: str, b: str) -> int:
+    return math.floor(max(len(a), len(b)) * (1 - SIMILARITY) + 1e-9)
+
+
+def between_ends(a: str, b: str) -> tuple[str, str]:
+    """Both without their common start and end, which changes no distance."""
     p = common_start(a, b)
     a, b = a[p:], b[p:]
     q = common_start(a[::-1], b[::-1])
-    a, b = a[: len(a) - q], b[: len(b) - q]
-    longer -= p + q
-    if longer <= most or rewriting_cost(a.split(" "), b.split(" "), most) <= most:
+    return a[: len(a) - q], b[: len(b) - q]
+
+
+def quickly(a: str, b: str) -> bool | None:
+    """Whether the edit similarity is at least ``SIMILARITY``, where bounds decide it."""
+    most = edits_allowed(a, b)
+    if abs(len(a) - len(b)) > most:
+        return False
+    # rewriting all between the common ends, or the words that differ, are ways from a to b: their cost bounds the distance from above
+    a, b = between_ends(a, b)
+    if max(len(a), len(b)) <= most or rewriting_cost(a.split(" "), b.split(" "), most) <= most:
         return True
+    return None
+
+
+def exactly(a: str, b: str) -> bool:
+    most = edits_allowed(a, b)
+    a, b = between_ends(a, b)
     # what a and b have in common bounds the distance from both sides
     common = common_subsequence(a, b)
-    if longer - common > most:
+    if max(len(a), len(b)) - common > most:
         return False
     return len(a) + len(b) - 2 * common <= most or edit_distance(a, b, most) <= most
 
@@ -263,7 +279,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     # repeated rows answer alike
     fetched = materialize(texts.join(asked, ["doc", "th"]).mapInArrow(_fetch, "id long, text string").dropDuplicates(["id"]))
     free(docs.sparkSession)
-    edges = materialize(links(grouped, fetched.join(wanted.select("id", *CODES), "id"), "text", BANDS, LOOSE, str, similar))
+    edges = materialize(links(grouped, fetched.join(wanted.select("id", *CODES), "id"), "text", BANDS, LOOSE, str, quickly, exactly))
     drop(fetched)
     drop(grouped)
     labels = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("root"))

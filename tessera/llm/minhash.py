@@ -237,13 +237,10 @@ def candidates(sets: DataFrame, bands: list[tuple[int, ...]], loose: int, hot: i
     return found.where("not hot").unionByName(again).groupBy("group", "n", "id").agg(F.min("band").alias("band"))
 
 
-def links(grouped: DataFrame, sets: DataFrame, payload: str, bands: list[tuple[int, ...]], loose: int, read: Callable, alike: Callable, block: int = BLOCK) -> DataFrame:
-    """(a, b): spanning forests, by id, of the links among the members of groups (from ``candidates``).
-
-    ``sets`` has id, codes and the column ``payload``; two members link if alike(read(x), read(y))."""
+def _forests(payload: str, bands: list[tuple[int, ...]], loose: int, read: Callable, quickly: Callable, exactly: Callable | None):
+    """(a, b): spanning forests of the links of groups (runs of ``g``), by id. What quickly(x, y) leaves open (None) waits until
+    it has linked what it can; exactly(x, y) then decides for the pairs that aren't connected yet."""
     chosen = np.array(bands)
-    dealt = _in_blocks(grouped, block).join(sets.select("id", *CODES, payload), "id").withColumn("g", F.xxhash64("group", "bi", "bj"))
-    members = dealt.select("g", "band", "bi", "bj", "own", "id", *CODES, payload).repartition("g").sortWithinPartitions("g", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, key in runs(batches, "g"):
@@ -272,18 +269,29 @@ def links(grouped: DataFrame, sets: DataFrame, payload: str, bands: list[tuple[i
 
             left, right = [], []
 
+            def join(i: int, j: int) -> None:
+                a, b = find(i), find(j)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    left.append(ids[i])
+                    right.append(ids[j])
+
             def verify(pairs: list[tuple[int, int]]) -> None:
+                waiting = []
                 for i, j in pairs:
-                    a, b = find(i), find(j)
-                    if a == b:
+                    if find(i) == find(j):
                         continue
                     for k in (i, j):
                         if items[k] is None:
                             items[k] = read(raw[k].as_py())
-                    if alike(items[i], items[j]):
-                        root[max(a, b)] = min(a, b)
-                        left.append(ids[i])
-                        right.append(ids[j])
+                    answer = quickly(items[i], items[j])
+                    if answer:
+                        join(i, j)
+                    elif answer is None:
+                        waiting.append((i, j))
+                for i, j in waiting:
+                    if find(i) != find(j) and exactly(items[i], items[j]):
+                        join(i, j)
 
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             length = np.diff(np.append(first, len(key)))
@@ -297,9 +305,21 @@ def links(grouped: DataFrame, sets: DataFrame, payload: str, bands: list[tuple[i
                 pairs += linked(at, at + d)
             verify(sorted(pairs))
             for a, n in zip(first[length > SHORT].tolist(), length[length > SHORT].tolist(), strict=True):
-                for i in range(a, a + n - 1):
-                    verify(list(linked(np.full(a + n - 1 - i, i), np.arange(i + 1, a + n))))
+                for i in range(a, a + n - 1, 64):  # a block of rows against all that follow
+                    x = np.repeat(np.arange(i, min(i + 64, a + n)), n)
+                    y = np.tile(np.arange(a, a + n), len(x) // n)
+                    verify(list(linked(x[x < y], y[x < y])))
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return members.mapInArrow(run, "a long, b long")
+    return run
+
+
+def links(grouped: DataFrame, sets: DataFrame, payload: str, bands: list[tuple[int, ...]], loose: int, read: Callable, quickly: Callable, exactly: Callable | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b): spanning forests, by id, of the links among the members of groups (from ``candidates``).
+
+    ``sets`` has id, codes and the column ``payload``; whether two members link is for quickly(read(x), read(y)) to say, or
+    where that is None for exactly(x, y)."""
+    dealt = _in_blocks(grouped, block).join(sets.select("id", *CODES, payload), "id").withColumn("g", F.xxhash64("group", "bi", "bj"))
+    members = dealt.select("g", "band", "bi", "bj", "own", "id", *CODES, payload).repartition("g").sortWithinPartitions("g", "id")
+    return members.mapInArrow(_forests(payload, bands, loose, read, quickly, exactly), "a long, b long")

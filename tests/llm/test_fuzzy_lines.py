@@ -29,6 +29,12 @@ def test_edit_distance():
             assert fl.edit_distance(a, b, most) == min(d, most + 1)
 
 
+def similar(a, b):
+    answer = fl.quickly(a, b)
+    assert answer is None or answer == fl.exactly(a, b)
+    return fl.exactly(a, b) if answer is None else answer
+
+
 def test_codes_of_parts_are_those_of_the_whole(monkeypatch):
     lines = [b"abcdefgh " * 40, b"abc", b"x", b"some other line"]
     whole = fl.line_codes(lines)
@@ -61,7 +67,7 @@ def test_similar():
             y[k : k + rng.randint(0, 1)] = [rng.choice(words)] * rng.randint(0, 1)
         a, b = " ".join(x), " ".join(y)
         d = distance(a, b)
-        assert fl.similar(a, b) == (d <= int(max(len(a), len(b)) * 0.2 + 1e-9))
+        assert similar(a, b) == (d <= int(max(len(a), len(b)) * 0.2 + 1e-9))
         assert fl.rewriting_cost(x, y, 10**9) >= d >= max(len(a), len(b)) - fl.common_subsequence(a, b)
 
 
@@ -142,8 +148,7 @@ def test_lines_of_edit_similarity_0_8_meet(spark, others):
         for k in rng.sample(range(len(words)), (1, 2, 5)[i % 3]):
             near[k] = word()
         a, b = " ".join(words), " ".join(near)
-        most = int(max(len(a), len(b)) * 0.2 + 1e-9)
-        similar += fl.edit_distance(a, b, most) <= most
+        similar += distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
         rows += [(2 * i, a), (2 * i + 1, b)]
     rows += [(10000 + i, " ".join(word() for _ in range(rng.randint(6, 30)))) for i in range(others)]
     gone = {r["doc_id"]: r["repeats"][0]["group_doc"] for r in fl.report(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
@@ -162,7 +167,7 @@ def test_large_buckets_and_groups_in_blocks(spark):
     def labels(**sizes):
         grouped = minhash.candidates(sets, fl.BANDS, fl.LOOSE, **sizes)
         block = {k: v for k, v in sizes.items() if k == "block"}
-        edges = minhash.links(grouped, sets, "text", fl.BANDS, fl.LOOSE, str, fl.similar, **block)
+        edges = minhash.links(grouped, sets, "text", fl.BANDS, fl.LOOSE, str, fl.quickly, fl.exactly, **block)
         return sorted(map(tuple, connected_components(edges).collect()))
 
     assert labels() == labels(hot=10, block=7) == [(i, 0) for i in range(60)]
