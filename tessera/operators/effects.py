@@ -16,9 +16,11 @@ def _treated() -> Column:
     return F.col("d") == 1
 
 
-def _weighted(value: Column, on: Column | None = None) -> Column:
+def _weighted(cells: DataFrame, value: Column, on: Column | None = None) -> Column:
+    """The mean of a value by the cells' own weights of aggregation (wa), or by w where they have none."""
     use = F.col("eff").isNotNull() if on is None else on & F.col("eff").isNotNull()
-    return F.sum(F.when(use, value * F.col("w"))) / F.sum(F.when(use, F.col("w")))
+    weight = F.col("wa" if "wa" in cells.columns else "w")
+    return F.sum(F.when(use, value * weight)) / F.nullif(F.sum(F.when(use, weight)), F.lit(0.0))
 
 
 def overall(cells: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def overall(cells: DataFrame) -> DataFrame:
     on = _treated()
     fit_cell = (F.col("ever") == 1) & (F.coalesce(F.col("d"), F.lit(0)) == 0) & (F.col("ii") == 1)
     return cells.agg(
-        F.avg(F.when(on, F.col("eff"))).alias("att_avg"), _weighted(F.col("eff"), on).alias("att_avg_w"), F.count(F.when(on, F.col("eff"))).alias("n_treated"),
+        F.avg(F.when(on, F.col("eff"))).alias("att_avg"), _weighted(cells, F.col("eff"), on).alias("att_avg_w"), F.count(F.when(on, F.col("eff"))).alias("n_treated"),
         F.sqrt(F.avg(F.when(fit_cell, F.col("eff") ** 2))).alias("rmse"))
 
 
@@ -41,7 +43,7 @@ def by_event_time(cells: DataFrame, on: str = "t_on", weighted: bool = False, ke
     """att and n_cells (and att_w) for each value of the event time ``on``; before entry these are in-sample residuals."""
     aggregates = [F.avg("eff").alias("att"), F.count("eff").alias("n_cells")]
     if weighted:
-        aggregates.append(_weighted(F.col("eff")).alias("att_w"))
+        aggregates.append(_weighted(cells, F.col("eff")).alias("att_w"))
     return cells.where(F.col(on).isNotNull()).groupBy(*keys, F.col(on).alias("event_time")).agg(*aggregates)
 
 

@@ -28,6 +28,7 @@ def pruned(df: DataFrame, spec: PanelSpec) -> DataFrame:
     rows = df.select(
         F.col(spec.unit).alias("unit"), F.col(spec.time).alias("time"), finite(F.col(spec.y)).alias("y"), F.col(spec.d).cast("int").alias("d"),
         (F.col(spec.weight).cast("double") if spec.weight else F.lit(1.0)).alias("w"),
+        *([F.col(spec.agg_weight).cast("double").alias("wa")] if spec.agg_weight else []),
         (F.col(spec.group).cast("string") if spec.group else F.lit(None).cast("string")).alias("g"),
         (F.col(spec.cluster).cast("string") if spec.cluster else F.lit(None).cast("string")).alias("cl"),
         *(finite(F.col(c)).alias(f"x{i + 1}") for i, c in enumerate(spec.x)),
@@ -97,6 +98,8 @@ def densify(df: DataFrame, spec: PanelSpec, na_rm: bool = False) -> DataFrame:
     cells = cells.withColumn("i_obs", observed.cast("int")).withColumn("i_d", F.col("d").isNotNull().cast("int"))
     for c in ("g", "cl"):
         cells = cells.withColumn(c, F.max(c).over(W.partitionBy("unit")))
+    if spec.agg_weight:
+        cells = cells.withColumn("wa", F.coalesce("wa", F.lit(0.0)))
     return cells.withColumn("w", F.coalesce("w", F.lit(1.0)))
 
 

@@ -29,7 +29,7 @@ class FitResult:
     vartype: str | None = None
 
     def event(self, on: str = "t_on") -> DataFrame:
-        return effects.by_event_time(self.cells, on, weighted=self.options.weight_agg and self.spec.weight is not None)
+        return effects.by_event_time(self.cells, on, weighted=self.options.weight_agg and (self.spec.weight or self.spec.agg_weight) is not None)
 
     def overall(self) -> DataFrame:
         return effects.overall(self.cells)
@@ -76,6 +76,8 @@ def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: b
     Additive models stay in the cluster: means by SQL, two-way effects by exact least squares, the never-treated closed
     form where controls are balanced. Factor models run as kernels over the dense panel."""
     options = (options or FitOptions()).resolved()
+    if options.method == "probit" and df.where(F.col(spec.y).isNotNull() & ~F.col(spec.y).cast("double").isin(0.0, 1.0)).limit(1).count():
+        raise ValueError("probit needs an outcome of 0 and 1")
     if se and vartype == "parametric" and (options.method in ("mc", "both") or options.sample == "notyettreated"):
         raise ValueError("the parametric bootstrap needs a factor or additive model on never-treated units")
     if checked:
@@ -107,7 +109,7 @@ def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: b
         dense = jobs.dense(cells, x)
         r, lam, method = options.r, options.lam, options.method
         if select or isinstance(r, tuple) or (method in ("mc", "both") and lam is None):
-            chosen = cv.choose(dense, options, cells.sparkSession, folds=folds, seed=seed)
+            chosen = cv.choose(dense, options, cells.sparkSession, folds=folds, seed=seed, rule=options.cv_rule, kind=options.cv_method)
             r, lam, method = chosen["r"], chosen["lam"], chosen["method"]
             scalars |= {"r_cv": r, "lambda_cv": lam if lam is not None else float("nan")}
         options = replace(options, method=method, r=r, lam=lam)

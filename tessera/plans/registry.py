@@ -384,7 +384,7 @@ def cfe_event_att(spark, sf_dir):
 
 @registered()
 def bootstrap_fe_intervals(spark, sf_dir):
-    return fitted(spark, sf_dir, "nation_quarter", se=True, nboots=40).intervals()
+    return fitted(spark, sf_dir, "nation_quarter", se=True).intervals()
 
 
 @registered()
@@ -393,7 +393,7 @@ def rank_selection_scores(spark, sf_dir):
 
     cells = panel.prepare(panels.panel(spark, sf_dir, "nation_quarter"), SPEC, FitOptions(method="ife"))
     p = jobs.dense(cells)
-    return cv.aggregate(cv.evaluate(p, [{"method": "ife", "r": r} for r in range(3)], spark, {"tol": 1e-3, "max_iter": 500}, folds=4))
+    return cv.aggregate(cv.evaluate(p, [{"method": "ife", "r": r} for r in cv.ranks(p, 0, 5)], spark, {"tol": 1e-3, "max_iter": 2000}))
 
 
 @registered()
@@ -406,7 +406,7 @@ def permutation_p_value(spark, sf_dir):
     from . import inference, jobs
 
     cells = panel.prepare(panels.panel(spark, sf_dir, "nation_quarter"), SPEC, FitOptions())
-    return inference.permutation_test(jobs.dense(cells), FitOptions(), spark, n=40)
+    return inference.permutation_test(jobs.dense(cells), FitOptions(), spark)
 
 
 @registered("WITH " + sql.means("supplier_month", "time", True) + """, r AS (SELECT eff AS e, t_on AS et FROM fit WHERE ii = 1),

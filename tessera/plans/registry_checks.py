@@ -189,6 +189,12 @@ def effects_with_counts(spark, sf_dir):
     return effects.per_period_units(imputed(spark, sf_dir)).select("unit", "time_ix", "event_time", F.round("eff", 3).alias("eff"), "n_units")
 
 
+@registered(UNEVEN_MEANS + ", v AS (SELECT *, (unit * 3 + time_ix) % 5 AS wa FROM fit) SELECT t_on AS event_time, ROUND(SUM(eff * wa) / NULLIF(SUM(CASE WHEN eff IS NOT NULL THEN wa END), 0), 4) AS att_w FROM v WHERE t_on IS NOT NULL GROUP BY 1")
+def aggregation_weights_event_att(spark, sf_dir):
+    cells = uneven_effects(spark, sf_dir).withColumn("wa", ((F.col("unit") * 3 + F.col("time_ix")) % 5).cast("double"))
+    return effects.by_event_time(cells, weighted=True).select("event_time", r4("att_w").alias("att_w"))
+
+
 # --- exact regressions -------------------------------------------------------------------------------------------
 
 

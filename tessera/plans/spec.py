@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 
 # The names of effects, estimators, samples and criteria that callers use.
 FORCES = ("none", "unit", "time", "two-way")
-METHODS = ("fe", "ife", "mc", "both", "gsc", "cfe")
+METHODS = ("fe", "ife", "mc", "both", "gsc", "cfe", "probit")
 
 
 @dataclass(frozen=True)
@@ -26,6 +26,8 @@ class PanelSpec:
     gamma: str | None = None
     q: tuple[str, ...] = ()
     kappa: str | None = None
+    #: Weighs cells in averages of effects; without it ``weight`` does both.
+    agg_weight: str | None = None
 
     def __post_init__(self):
         roles = [self.y, self.d, self.unit, self.time]
@@ -41,7 +43,7 @@ class PanelSpec:
     @property
     def columns(self) -> list[str]:
         """Every column that the analysis reads, once each."""
-        optional = [self.weight, self.group, self.cluster, self.gamma, self.kappa]
+        optional = [self.weight, self.agg_weight, self.group, self.cluster, self.gamma, self.kappa]
         return list(dict.fromkeys([self.unit, self.time, self.y, self.d, *self.x, *[c for c in optional if c], *self.extra_fe, *self.z, *self.q]))
 
 
@@ -81,6 +83,9 @@ class FitOptions:
     loading_bound: str = "none"
     gamma_loading: float | None = None
     keep_always_treated: bool = True
+    #: How cross-validation masks cells and which candidate it takes.
+    cv_method: str = "rolling"
+    cv_rule: str = "1se"
 
     def __post_init__(self):
         if self.method not in METHODS:
@@ -101,6 +106,10 @@ class FitOptions:
             raise ValueError("matrix completion needs the not-yet-treated sample")
         if self.method == "both" and self.criterion == "pc":
             raise ValueError("criterion pc can't compare interactive effects with matrix completion")
+        if self.cv_method not in ("rolling", "all_units", "treated_units", "loo"):
+            raise ValueError("cv_method must be rolling, all_units, treated_units or loo")
+        if self.cv_rule not in ("1se", "min", "1pct"):
+            raise ValueError("cv_rule must be 1se, min or 1pct")
         if self.criterion not in ("mspe", "gmspe", "moment", "pc"):
             raise ValueError("criterion must be mspe, gmspe, moment or pc")
 

@@ -248,3 +248,56 @@ def test_multilevel_never_treated_kernel():
     d[14:, :8] = True
     got = kernels.complex_never_treated(truth + 5 * d, ~d, ~d, control, np.zeros((t, n, 0)), 0, "two-way", 1e-10, 5000, [shared], z, np.arange(t))
     assert np.abs(got.y0 - truth).max() < 1e-3
+
+
+def test_event_study_is_least_squares(spark):
+    data = simulate.frame(n=24, t=12, n_treated=8, staggered=True, missing=0.15, seed=4)
+    df = simulate.simulated(spark, n=24, t=12, n_treated=8, staggered=True, missing=0.15, seed=4)
+    cells = panel.prepare(df, SPEC, FitOptions(min_t0=0))
+    got = {r["event_time"]: r["coef"] for r in did.twfe_event_study(cells).collect()}
+    first = data[data.d == 1].groupby("id").time.min()
+    data["at"] = data.time - data.id.map(first) + 1
+    use = data[data.y.notna()]
+    times = sorted(int(e) for e in use["at"].dropna().unique() if e != 0)
+    assert sorted(got) == times
+    design = np.column_stack([*(use["at"] == e for e in times), *(use.id == i for i in range(1, 25)), *(use.time == t for t in range(1, 13))]).astype(float)
+    effects_of = lambda coef: design[:, : len(times)] @ coef
+    coef = np.linalg.lstsq(design, use.y.to_numpy(), rcond=None)[0]
+    mine = np.array([got[e] for e in times])
+    rest = np.linalg.lstsq(design[:, len(times) :], use.y.to_numpy() - effects_of(mine), rcond=None)[0]
+    assert abs(((use.y.to_numpy() - design @ coef) ** 2).sum() - ((use.y.to_numpy() - effects_of(mine) - design[:, len(times) :] @ rest) ** 2).sum()) < 1e-6
+
+
+def test_probit_normalised_and_separate_weights(spark):
+    data = simulate.frame(n=40, t=12, n_treated=12, onset=9, seed=1)
+    rows = [(int(r.id), int(r.time), float(r.y > 0), int(r.d), float(1 + r.id % 3), float(r.time % 2)) for r in data.itertuples()]
+    df = spark.createDataFrame(rows, "id int, time int, y double, d int, w double, wa double")
+    got = fit(df, SPEC, FitOptions(method="probit", min_t0=3))
+    y0 = [r["y0"] for r in got.cells.where("y0 is not null").collect()]
+    assert y0 and all(0 <= v <= 1 for v in y0)
+    with pytest.raises(ValueError, match="0 and 1"):
+        fit(df.withColumn("y", F.col("y") * 2), SPEC, FitOptions(method="probit"))
+    plain = simulate.simulated(spark, n=20, t=12, n_treated=6, onset=8, missing=0.1, seed=2)
+    a, b = (sorted((r["event_time"], round(r["att"], 6)) for r in fit(plain, SPEC, FitOptions(method=m, r=1, tol=1e-9, normalize=n)).event().collect()) for m, n in (("fe", False), ("fe", True)))
+    assert a == b
+    spec = PanelSpec(y="y", d="d", unit="id", time="time", weight="w", agg_weight="wa")
+    out = {r["event_time"]: r for r in fit(df, spec, FitOptions(min_t0=3)).event().collect()}
+    assert out[2]["att_w"] is None or out[1]["att_w"] is None  # every other period weighs nothing
+
+
+def test_selection_options(spark):
+    df = simulate.simulated(spark, n=24, t=14, n_treated=8, onset=11, factors=1, seed=6)
+    for method, rule in (("rolling", "min"), ("loo", "1se"), ("all_units", "1pct")):
+        got = fit(df, SPEC, FitOptions(method="ife", r=(0, 2), tol=1e-3, cv_method=method, cv_rule=rule), folds=3)
+        assert got.scalars["r_cv"] in (0, 1, 2)
+    with pytest.raises(ValueError):
+        FitOptions(cv_rule="best")
+
+
+def test_occupancy_and_reversals_are_checked(spark):
+    df = simulate.simulated(spark, n=12, t=10, n_treated=4, onset=6, seed=0)
+    with pytest.raises(ValueError, match="empty_unit"):
+        fit(df.where("not (id = 1 and d = 0)"), SPEC, FitOptions(min_t0=0))
+    back = simulate.simulated(spark, n=12, t=12, n_treated=4, onset=4, reversals=True, seed=0)
+    with pytest.raises(ValueError, match="doesn't end"):
+        fit(back, SPEC, FitOptions(sample="nevertreated"), se=True, vartype="parametric", nboots=2)
