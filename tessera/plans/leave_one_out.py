@@ -28,7 +28,8 @@ def replicates(cells: DataFrame) -> DataFrame:
     ``additive.never_treated`` and observe every control in every period."""
     first = F.min(F.when(F.col("d") == 1, F.col("time_ix"))).over(W.partitionBy("unit"))
     own = (F.col("i_obs") == 1) & (F.col("ii") == 1) & (F.col("first").isNull() | (F.col("time_ix") < F.col("first")))
-    cells = cells.withColumn("first", first).withColumn("own", own)
+    # five aggregations read these few columns
+    cells = cells.withColumn("first", first).withColumn("own", own).select("unit", "time_ix", "y", "d", "i_obs", "ever", "eff", "t_on", "t_off", "own").persist()
     targets = _targets(cells)
     total = targets.groupBy("kind", "at").agg(F.sum("eff").alias("s"), F.count(F.lit(1)).alias("n"))
     # treated units, and controls where they have effects of their own
