@@ -376,10 +376,30 @@ def gsc_factor_event_att(spark, sf_dir):
     return fitted(spark, sf_dir, method="gsc", r=1, tol=1e-5).event()
 
 
-@registered()
+QUARTERS = "WITH RECURSIVE " + sql.masked("supplier_quarter").replace("base AS (", "base AS MATERIALIZED (") + ",\n" + sql.two_way("base") + ", fit AS (SELECT *, CASE WHEN i_obs = 1 THEN y - y0 END AS eff FROM fe)"
+QUARTER_EVENTS = QUARTERS + " SELECT t_on AS event_time, ROUND(AVG(eff), 3) AS att, COUNT(eff) AS n_cells FROM fit WHERE t_on IS NOT NULL GROUP BY t_on"
+
+
+def rounded_event(got):
+    return got.event().select("event_time", F.round("att", 3).alias("att"), "n_cells")
+
+
+@registered(QUARTER_EVENTS)
 def cfe_event_att(spark, sf_dir):
+    """Regions are unions of units, so that their effects add nothing to the two-way fit."""
     spec = PanelSpec(y="y", d="d", unit="unit", time="time", extra_fe=("region",))
-    return fitted(spark, sf_dir, spec=spec, method="cfe", tol=1e-5).event()
+    return rounded_event(fitted(spark, sf_dir, spec=spec, method="cfe", tol=1e-10))
+
+
+@registered(QUARTER_EVENTS)
+def ife_rank0_event_att(spark, sf_dir):
+    return rounded_event(fitted(spark, sf_dir, method="ife", r=0, tol=1e-10))
+
+
+@registered(QUARTER_EVENTS)
+def mc_full_penalty_event_att(spark, sf_dir):
+    """A penalty that leaves no low-rank part."""
+    return rounded_event(fitted(spark, sf_dir, method="mc", lam=1e9, tol=1e-10))
 
 
 @registered()
@@ -396,9 +416,10 @@ def rank_selection_scores(spark, sf_dir):
     return cv.aggregate(cv.evaluate(p, [{"method": "ife", "r": r} for r in cv.ranks(p, 0, 5)], spark, {"tol": 1e-3, "max_iter": 2000}))
 
 
-@registered()
+@registered("WITH RECURSIVE " + sql.masked("supplier_quarter") + """, p AS MATERIALIZED (SELECT * REPLACE (CASE WHEN COALESCE(t_on BETWEEN -2 AND 0, FALSE) THEN 0 ELSE ii END AS ii) FROM base),
+""" + sql.two_way("p") + " SELECT ROUND(AVG(y - y0), 4) AS att, COUNT(y - y0) AS n_cells FROM fe WHERE t_on BETWEEN -2 AND 0 AND i_obs = 1")
 def placebo_window_att(spark, sf_dir):
-    return fitted(spark, sf_dir, placebo=(-2, 0)).test_window()
+    return fitted(spark, sf_dir, placebo=(-2, 0)).test_window().select(r4("att").alias("att"), "n_cells")
 
 
 @registered()
