@@ -289,16 +289,16 @@ k AS (SELECT t.cohort, t.time_ix, AVG(CASE WHEN x.time_ix = t.time_ix THEN x.y E
 gt AS (SELECT t.cohort, t.time_ix, CAST(t.time_ix - t.cohort + 1 AS INT) AS event_time, (t.y - t.y_ref) - (k.c_now - k.c_ref) AS att, t.n_units FROM t JOIN k USING (cohort, time_ix))"""
 
 
-@registered(_group_time_sql("never") + " SELECT cohort, time_ix, event_time, ROUND(att, 4) AS att, n_units FROM gt")
+@registered(_group_time_sql("never") + " SELECT cohort, time_ix, event_time, ROUND(att, 6) AS att, n_units FROM gt")
 def did_group_time_never(spark, sf_dir):
     out = did.group_time(prepared(spark, sf_dir, "supplier_quarter"), "never")
-    return out.select("cohort", "time_ix", "event_time", r4("att").alias("att"), "n_units")
+    return out.select("cohort", "time_ix", "event_time", F.round("att", 6).alias("att"), "n_units")
 
 
-@registered(_group_time_sql("notyet") + " SELECT cohort, time_ix, event_time, ROUND(att, 4) AS att, n_units FROM gt")
+@registered(_group_time_sql("notyet") + " SELECT cohort, time_ix, event_time, ROUND(att, 6) AS att, n_units FROM gt")
 def did_group_time_notyet(spark, sf_dir):
     out = did.group_time(prepared(spark, sf_dir, "supplier_quarter"), "notyet")
-    return out.select("cohort", "time_ix", "event_time", r4("att").alias("att"), "n_units")
+    return out.select("cohort", "time_ix", "event_time", F.round("att", 6).alias("att"), "n_units")
 
 
 @registered(_group_time_sql("notyet") + " SELECT event_time, ROUND(SUM(att * n_units) / SUM(n_units), 4) AS att, CAST(SUM(n_units) AS BIGINT) AS n_units FROM gt GROUP BY 1")

@@ -184,9 +184,9 @@ def group_exit_att(spark, sf_dir):
 
 
 @registered(GSC + """, c AS (SELECT t_on, COUNT(DISTINCT unit) AS n_units FROM fit WHERE t_on IS NOT NULL AND eff IS NOT NULL GROUP BY 1)
-SELECT unit, time_ix, fit.t_on AS event_time, ROUND(eff, 3) AS eff, n_units FROM fit JOIN c USING (t_on) WHERE eff IS NOT NULL""")
+SELECT unit, time_ix, fit.t_on AS event_time, ROUND(eff, 6) AS eff, n_units FROM fit JOIN c USING (t_on) WHERE eff IS NOT NULL""")
 def effects_with_counts(spark, sf_dir):
-    return effects.per_period_units(imputed(spark, sf_dir)).select("unit", "time_ix", "event_time", F.round("eff", 3).alias("eff"), "n_units")
+    return effects.per_period_units(imputed(spark, sf_dir)).select("unit", "time_ix", "event_time", F.round("eff", 6).alias("eff"), "n_units")
 
 
 @registered(UNEVEN_MEANS + ", v AS (SELECT *, (unit * 3 + time_ix) % 5 AS wa FROM fit) SELECT t_on AS event_time, ROUND(SUM(eff * wa) / NULLIF(SUM(CASE WHEN eff IS NOT NULL THEN wa END), 0), 4) AS att_w FROM v WHERE t_on IS NOT NULL GROUP BY 1")
@@ -266,14 +266,14 @@ gt AS (SELECT ct.cohort, ct.time_ix, CAST(ct.time_ix - ct.cohort + 1 AS INT) AS
   COUNT(CASE WHEN x.first_ = ct.cohort THEN 1 END) AS n_units FROM ct JOIN a x ON x.time_ix = ct.time_ix JOIN a z ON z.unit = x.unit AND z.time_ix = ct.ref GROUP BY 1, 2)"""
 
 
-@registered(_gaps_group_time("never") + " SELECT cohort, time_ix, event_time, ROUND(att, 4) AS att, n_units FROM gt WHERE att IS NOT NULL")
+@registered(_gaps_group_time("never") + " SELECT cohort, time_ix, event_time, ROUND(att, 6) AS att, n_units FROM gt WHERE att IS NOT NULL")
 def did_group_time_never_gaps(spark, sf_dir):
-    return did.group_time(prepared(spark, sf_dir, "user_day"), "never").select("cohort", "time_ix", "event_time", r4("att").alias("att"), "n_units")
+    return did.group_time(prepared(spark, sf_dir, "user_day"), "never").select("cohort", "time_ix", "event_time", F.round("att", 6).alias("att"), "n_units")
 
 
-@registered(_gaps_group_time("notyet") + " SELECT cohort, time_ix, event_time, ROUND(att, 4) AS att, n_units FROM gt WHERE att IS NOT NULL")
+@registered(_gaps_group_time("notyet") + " SELECT cohort, time_ix, event_time, ROUND(att, 6) AS att, n_units FROM gt WHERE att IS NOT NULL")
 def did_group_time_notyet_gaps(spark, sf_dir):
-    return did.group_time(prepared(spark, sf_dir, "user_day"), "notyet").select("cohort", "time_ix", "event_time", r4("att").alias("att"), "n_units")
+    return did.group_time(prepared(spark, sf_dir, "user_day"), "notyet").select("cohort", "time_ix", "event_time", F.round("att", 6).alias("att"), "n_units")
 
 
 @registered(_gaps_group_time("notyet") + " SELECT ROUND(SUM(att * n_units) / SUM(n_units), 4) AS att, CAST(SUM(n_units) AS BIGINT) AS n_units FROM gt WHERE att IS NOT NULL AND event_time >= 1")
@@ -337,8 +337,8 @@ def known_replicates(spark, sf_dir):
     return got.point().where("kind = 'event'"), got.replicates.where("kind = 'event'"), got
 
 
-@registered(REPS + """ SELECT "at", ROUND(point.v, 4) AS value, n_cells, ROUND(sd * (n - 1) / SQRT(n), 4) AS se, ROUND(point.v - 1.959963984540054 * sd * (n - 1) / SQRT(n), 4) AS ci_low,
- ROUND(point.v + 1.959963984540054 * sd * (n - 1) / SQRT(n), 4) AS ci_high FROM point JOIN per USING ("at")""")
+@registered(REPS + """ SELECT "at", ROUND(point.v, 4) AS value, n_cells, ROUND(sd * (k - 1) / SQRT(n), 4) AS se, ROUND(point.v - 1.959963984540054 * sd * (k - 1) / SQRT(n), 4) AS ci_low,
+ ROUND(point.v + 1.959963984540054 * sd * (k - 1) / SQRT(n), 4) AS ci_high FROM point JOIN per USING ("at"), (SELECT COUNT(*) AS k FROM lv)""")
 def event_intervals_jackknife(spark, sf_dir):
     out = known_replicates(spark, sf_dir)[2].intervals().where("kind = 'event'")
     return out.select("at", r4("value").alias("value"), "n_cells", r4("se").alias("se"), r4("ci_low").alias("ci_low"), r4("ci_high").alias("ci_high"))
