@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import ann, embed_dedup, exact_spans, fuzzy_lines, langid, mixing, simhash, tokens, toxicity
+from . import ann, embed_dedup, exact_spans, filter_audit, fuzzy_lines, langid, mixing, phrase_index, simhash, spelling, sql, tokens, toxicity
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -59,10 +59,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_index.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_nearest_neighbours, op2_token_counts, op3_simhash_dedup, op4_embedding_dedup, op5_fuzzy_lines, op6_language_id, op7_byte_bpe, op8_repeated_spans, op9_mix_sources, op10_toxicity)
+    own = (op1_nearest_neighbours, op2_token_counts, op3_simhash_dedup, op4_embedding_dedup, op5_fuzzy_lines, op6_language_id, op7_byte_bpe, op8_repeated_spans, op9_mix_sources, op10_toxicity, op11_filter_audit, op12_spelling_variants, op13_benchmark_phrases)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
