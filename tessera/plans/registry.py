@@ -224,10 +224,10 @@ def treated_unit_counts(spark, sf_dir):
     return effects.treated_units(imputed(spark, sf_dir))
 
 
-@registered(GSC + """ SELECT t_on AS at, ROUND(AVG(CASE WHEN y0 IS NOT NULL AND i_obs = 1 THEN y END), 4) AS treated_avg, ROUND(AVG(CASE WHEN i_obs = 1 THEN y0 END), 4) AS counterfactual_avg,
+@registered(GSC + """ SELECT t_on AS at, ROUND(AVG(CASE WHEN y0 IS NOT NULL AND i_obs = 1 THEN y END), 6) AS treated_avg, ROUND(AVG(CASE WHEN i_obs = 1 THEN y0 END), 6) AS counterfactual_avg,
  COUNT(CASE WHEN y0 IS NOT NULL AND i_obs = 1 THEN y END) AS n_cells FROM fit WHERE ever = 1 AND t_on IS NOT NULL AND (t_on <= 0 OR d = 1) GROUP BY 1""")
 def gsc_average_paths(spark, sf_dir):
-    return effects.paths(imputed(spark, sf_dir)).select("at", r4("treated_avg").alias("treated_avg"), r4("counterfactual_avg").alias("counterfactual_avg"), "n_cells")
+    return effects.paths(imputed(spark, sf_dir)).select("at", F.round("treated_avg", 6).alias("treated_avg"), F.round("counterfactual_avg", 6).alias("counterfactual_avg"), "n_cells")
 
 
 @registered(GSC + " SELECT x1 AS level, ROUND(AVG(eff), 4) AS att, COUNT(eff) AS n_cells FROM fit WHERE d = 1 AND x1 IS NOT NULL GROUP BY 1")
