@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from . import inference, jobs
 from .fit import FitResult
+from .sensitivity import sensitivity  # noqa: F401
 
 
 def pre_periods(fit: FitResult, proportion: float | None = None) -> list[int]:
@@ -103,42 +104,6 @@ def moderation_identified(cells: DataFrame, covariates: tuple[str, ...], moderat
     return {"n_r2": n * max(r2, 0.0), "df": len(terms), "p_value": 1 - stats.chi2_cdf(n * max(r2, 0.0), len(terms))}
 
 
-def sensitivity(fit: FitResult, bounds: tuple[float, ...] = (0.0, 0.5, 1.0), kind: str = "relative", level: float = 0.95) -> DataFrame:
-    """(bound, ci_low, ci_high) of the mean post-treatment effect when pre-trends may go on.
-
-    ``relative``: consecutive changes of the bias after treatment are at most ``bound`` times the largest before it.
-    ``smooth``: the slope of the bias changes by at most ``bound`` a period, from the slope before. The bias of the mean
-    is maximised over these sets in closed form and added to the normal interval."""
-    rows = sorted(fit.intervals(level).where("kind = 'event'").collect(), key=lambda r: r["at"])
-    pre, post = [r for r in rows if r["at"] <= 0 and r["se"]], [r for r in rows if r["at"] >= 1 and r["se"]]
-    if not pre or not post:
-        raise ValueError("sensitivity needs effects before and after treatment")
-    w = np.array([r["n_cells"] for r in post], float)
-    w /= w.sum()
-    keep = [float(r["at"]) for r in post]
-    cov = {(r["at_a"], r["at_b"]): r["cov"] or 0.0 for r in inference.covariance(fit.replicates).collect()}
-    s = np.array([[cov.get((a, b), 0.0) for b in keep] for a in keep])
-    if fit.vartype == "jackknife":
-        n = fit.replicates.select("job_id").distinct().count()
-        s = s * (n - 1) ** 2 / n
-    centre, se = float(w @ [r["value"] for r in post]), float(np.sqrt(max(w @ s @ w, 0.0)))
-    path = np.array([r["value"] for r in pre])
-    steps = np.array(keep)
-    z = stats.norm_ppf(0.5 + level / 2)
-    out = []
-    for bound in bounds:
-        if kind == "relative":
-            largest = float(np.abs(np.diff(path)).max(initial=0.0))
-            shift, spread = 0.0, float(bound) * largest * float(w @ steps)
-        elif kind == "smooth":
-            slope = float(path[-1] - path[-2]) if len(path) > 1 else 0.0
-            shift, spread = slope * float(w @ steps), float(bound) * float(w @ (steps * (steps + 1) / 2))
-        else:
-            raise ValueError("kind is relative or smooth")
-        out.append((float(bound), centre - shift - spread - z * se, centre - shift + spread + z * se))
-    return fit.cells.sparkSession.createDataFrame(out, "bound double, ci_low double, ci_high double")
-
-
 def refit_with(fit: FitResult, df: DataFrame, **changes) -> FitResult:
     """The same analysis with other options, for example a placebo window."""
     from .fit import fit as run

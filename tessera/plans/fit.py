@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import additive, effects, event_time, panel
+from ..sources.stored import stored
 from . import cv, inference, jobs, leave_one_out
 from .spec import FitOptions, PanelSpec
 
@@ -27,6 +28,10 @@ class FitResult:
     panel: jobs.Dense | None = None
     replicates: DataFrame | None = None
     vartype: str | None = None
+    #: The replicates' surfaces (job_id, unit, n_drawn, effects by period number), if they were kept; None for the closed jackknife, whose
+    #: surface follows from the cells.
+    surface: DataFrame | None = None
+    keeps_surface: bool = False
 
     def event(self, on: str = "t_on") -> DataFrame:
         return effects.by_event_time(self.cells, on, weighted=self.options.weight_agg and (self.spec.weight or self.spec.agg_weight) is not None)
@@ -70,10 +75,10 @@ class FitResult:
         return spark.createDataFrame([(k, float(v)) for k, v in self.scalars.items() if np.isscalar(v) and v is not None], "name string, value double")
 
 
-def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: bool = False, vartype: str = "bootstrap", nboots: int = 200, seed: int = 1, select: bool = False, folds: int = 10, checked: bool = True) -> FitResult:
+def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: bool = False, vartype: str = "bootstrap", nboots: int = 200, seed: int = 1, select: bool = False, folds: int = 10, checked: bool = True, keep_surface: bool = False) -> FitResult:
     """Fit the untreated outcome on untreated cells, impute it everywhere, and optionally resample.
 
-    Additive models stay in the cluster: means by SQL, two-way effects by exact least squares, the never-treated closed
+    ``keep_surface`` stores each replicate's surface for intervals of filtered estimands. Additive models stay in the cluster: means by SQL, two-way effects by exact least squares, the never-treated closed
     form where controls are balanced. Factor models run as kernels over the dense panel."""
     options = (options or FitOptions()).resolved()
     if options.method == "probit" and df.where(F.col(spec.y).isNotNull() & ~F.col(spec.y).cast("double").isin(0.0, 1.0)).limit(1).count():
@@ -132,12 +137,17 @@ def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: b
         scalars |= {"sigma2": scalars["sigma2"] * scale**2} if "sigma2" in scalars else {}
     result = FitResult(spec, options, effects.with_effect(out), scalars, units, times, dense)
     if se:
-        result.vartype = vartype
+        result.vartype, result.keeps_surface = vartype, keep_surface
         if vartype == "jackknife" and closed and options.force == "two-way":
             result.replicates = leave_one_out.replicates(result.cells)
             return result
         result.panel = dense or jobs.dense(cells, x)
         result.replicates = inference.replicates(result.panel, options, cells.sparkSession, vartype, nboots, seed, weighted)
+        if keep_surface:
+            unit_type = cells.schema["unit"].dataType.simpleString()
+            result.surface = stored(inference.surfaces(result.panel, options, cells.sparkSession, unit_type, vartype, nboots, seed, weighted), "job_id")
         if options.normalize:
             result.replicates = result.replicates.withColumn("value", F.col("value") * scale)
+            if keep_surface:
+                result.surface = result.surface.withColumn("effects", F.transform("effects", lambda e: e * scale))
     return result

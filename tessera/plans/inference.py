@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,20 +41,36 @@ def _fit_arguments(options: FitOptions, weighted: bool) -> dict:
     return {"method": options.method, "force": options.force, "sample": options.sample, "r": options.r if isinstance(options.r, int) else 0, "lam": options.lam, "tol": options.tol, "max_iter": options.max_iter, "weighted": weighted, "bound": options.loading_bound, "gamma": options.gamma_loading}
 
 
+def _resampled(p: jobs.Dense, kind: str, params: dict) -> jobs.Dense:
+    if kind == "bootstrap":
+        return p.take(draw(p, params["seed"]))
+    if kind == "jackknife":
+        return p.take(np.delete(np.arange(len(p.units)), params["leave"]))
+    if kind == "parametric":
+        return _parametric(p, params)
+    return _permuted(p, params) if kind == "permute" else p
+
+
 def _replicate(p: jobs.Dense, kind: str, params: dict):
     fit = params["fit"]
-    if kind == "bootstrap":
-        p = p.take(draw(p, params["seed"]))
-    elif kind == "jackknife":
-        p = p.take(np.delete(np.arange(len(p.units)), params["leave"]))
-    elif kind == "parametric":
-        p = _parametric(p, params)
-    elif kind == "permute":
-        p = _permuted(p, params)
+    p = _resampled(p, kind, params)
     got = jobs.fit_dense(p, **fit)
     return jobs.event_table(p, p.y - got.y0, fit["weighted"])
 
 
+def _surface(p: jobs.Dense, kind: str, params: dict):
+    """(unit, times drawn, effects by period number) of the replicate's treated units; a unit drawn twice has the same effects twice."""
+    p = _resampled(p, kind, params)
+    eff = np.where(p.obs, p.y - jobs.fit_dense(p, **params["fit"]).y0, np.nan)
+    at, drawn = np.array(p.index) - 1, Counter(p.units)
+    for unit in drawn:
+        k = p.units.index(unit)
+        if (p.d[:, k] == 1).any():
+            row = np.full(at[-1] + 1, np.nan)
+            row[at] = eff[:, k]
+            yield unit, drawn[unit], row.tolist()
+
+
 def _parametric(p: jobs.Dense, params: dict) -> jobs.Dense:
     """Fitted values plus drawn errors: controls' own residual paths; for treated units the prediction errors that
     pseudo-treated controls get when they are left out (one left-out fit a draw)."""
@@ -93,16 +111,23 @@ def _permuted(p: jobs.Dense, params: dict) -> jobs.Dense:
     return out
 
 
-def replicates(p: jobs.Dense, options: FitOptions, spark, vartype: str = "bootstrap", nboots: int = 200, seed: int = 1, weighted: bool = False) -> DataFrame:
-    """(job_id, kind, at, value, n_cells, error) of every replicate. Tuned parameters are reused, never re-chosen."""
+def _jobs(p: jobs.Dense, options: FitOptions, vartype: str, nboots: int, seed: int, weighted: bool) -> list[tuple[int, str, dict]]:
     fit = _fit_arguments(options, weighted)
     if vartype == "jackknife":
-        rows = [(i, "jackknife", {"leave": i, "fit": fit}) for i in range(len(p.units))]
-    elif vartype in ("bootstrap", "parametric"):
-        rows = [(i, vartype, {"seed": seed * 100003 + i, "fit": fit}) for i in range(nboots)]
-    else:
-        raise ValueError("vartype is bootstrap, jackknife or parametric")
-    return jobs.run(p, jobs.table(spark, rows), _replicate, spark)
+        return [(i, "jackknife", {"leave": i, "fit": fit}) for i in range(len(p.units))]
+    if vartype in ("bootstrap", "parametric"):
+        return [(i, vartype, {"seed": seed * 100003 + i, "fit": fit}) for i in range(nboots)]
+    raise ValueError("vartype is bootstrap, jackknife or parametric")
+
+
+def replicates(p: jobs.Dense, options: FitOptions, spark, vartype: str = "bootstrap", nboots: int = 200, seed: int = 1, weighted: bool = False) -> DataFrame:
+    """(job_id, kind, at, value, n_cells, error) of every replicate. Tuned parameters are reused, never re-chosen."""
+    return jobs.run(p, jobs.table(spark, _jobs(p, options, vartype, nboots, seed, weighted)), _replicate, spark)
+
+
+def surfaces(p: jobs.Dense, options: FitOptions, spark, unit_type: str, vartype: str = "bootstrap", nboots: int = 200, seed: int = 1, weighted: bool = False) -> DataFrame:
+    """(job_id, unit, n_drawn, effects, error): the surfaces of the same replicates, a row for each treated unit drawn."""
+    return jobs.run_surfaces(p, jobs.table(spark, _jobs(p, options, vartype, nboots, seed, weighted)), _surface, spark, unit_type)
 
 
 def intervals(point: DataFrame, reps: DataFrame, vartype: str, level: float = 0.95, method: str = "normal") -> DataFrame:

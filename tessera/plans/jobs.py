@@ -41,6 +41,8 @@ class Dense:
     time_group: np.ndarray | None = None
     q: np.ndarray | None = None
     unit_group: np.ndarray | None = None
+    #: The periods' own numbers, ascending.
+    index: list[int] = field(default_factory=list)
 
     @property
     def ever(self) -> np.ndarray:
@@ -52,7 +54,7 @@ class Dense:
         return Dense(
             [self.units[i] for i in columns], self.times, *(pick(a) for a in (self.y, self.d, self.obs, self.use, self.w)), self.x[:, columns], pick(self.t_on), pick(self.t_off),
             [self.group[i] for i in columns], [self.cluster[i] for i in columns], [c[:, columns] for c in self.levels],
-            None if self.z is None else self.z[columns], self.time_group, self.q, None if self.unit_group is None else self.unit_group[columns])
+            None if self.z is None else self.z[columns], self.time_group, self.q, None if self.unit_group is None else self.unit_group[columns], self.index)
 
 
 def dense(cells: DataFrame, x: tuple[str, ...] = ()) -> Dense:
@@ -76,6 +78,7 @@ def dense(cells: DataFrame, x: tuple[str, ...] = ()) -> Dense:
     xs = np.stack([matrix(c, 0.0) for c in x], axis=2) if x else np.zeros((len(order), len(units), 0))
     first = data.sort_values("time_ix").groupby("unit")
     out = Dense(units, order["time"].tolist(), matrix("y"), matrix("d"), matrix("i_obs", 0) == 1, matrix("ii", 0) == 1, matrix("w", 1.0), xs, matrix("t_on"), matrix("t_off"), first["g"].first().reindex(units).tolist(), first["cl"].first().reindex(units).tolist())
+    out.index = order["time_ix"].astype(int).tolist()
     for c in extra:
         if c.startswith("fe"):
             codes = np.zeros(out.y.shape, int)
@@ -156,6 +159,22 @@ def run(p: Dense, jobs: DataFrame, kernel, spark) -> DataFrame:
     return jobs.groupBy("job_id").applyInPandas(one, RESULT)
 
 
+def run_surfaces(p: Dense, jobs: DataFrame, kernel, spark, unit_type: str) -> DataFrame:
+    """``kernel(panel, kind, params)`` -> rows (unit, n_drawn, effects by period number from 1), for every job: its surface, packed a row a unit."""
+    shared = spark.sparkContext.broadcast(p)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for job in rows.itertuples():
+            try:
+                out += [(job.job_id, unit, n, eff, None) for unit, n, eff in kernel(shared.value, job.kind, json.loads(job.params))]
+            except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
+                out.append((job.job_id, None, 0, None, str(e)[:200]))
+        return pd.DataFrame(out, columns=["job_id", "unit", "n_drawn", "effects", "error"])
+
+    return jobs.groupBy("job_id").applyInPandas(one, f"job_id long, unit {unit_type}, n_drawn int, effects array<double>, error string")
+
+
 def table(spark, rows: list[tuple[int, str, dict]]) -> DataFrame:
     """Jobs, spread over the cores: many more partitions than jobs would only wait."""
     made = spark.createDataFrame([(i, kind, json.dumps(params)) for i, kind, params in rows], "job_id long, kind string, params string")

@@ -51,3 +51,24 @@ def replicates(cells: DataFrame) -> DataFrame:
     value = (F.col("s") - zero("s_own") + zero("moved") * F.when(F.col("ever") == 0, 1).otherwise(0)) / F.nullif(left, F.lit(0))
     # an estimate without cells is missing from the replicate, as a refit would leave it out
     return out.where(left > 0).select(F.xxhash64("unit").alias("job_id"), F.col("unit").alias("left_out"), "kind", "at", value.alias("value"), left.alias("n_cells"), F.lit(None).cast("string").alias("error"))
+
+
+def cell_replicates(cells: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (unit, time_ix, eff and more) once for every unit left out, with that replicate's eff, its job_id and n_drawn 1.
+
+    A control that is left out moves an effect at t by -delta_t plus the mean of delta over the unit's own periods; a treated unit takes only
+    its own rows away. Rows meet replicates by their period, and units meet them by theirs, so the relation is made by joins on the
+    period and never by pairing units."""
+    first = F.min(F.when(F.col("d") == 1, F.col("time_ix"))).over(W.partitionBy("unit"))
+    before = (F.col("i_obs") == 1) & (F.col("ii") == 1) & (F.col("first").isNull() | (F.col("time_ix") < F.col("first")))
+    cells = cells.withColumn("first", first)
+    is_control = (F.col("ever") == 0) & (F.col("i_obs") == 1)
+    means = cells.where(is_control).groupBy("time_ix").agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("k"))
+    delta = F.when(is_control, (F.col("m") - F.col("y")) / F.nullif(F.col("k") - 1, F.lit(0))).when(F.col("ever") == 1, 0.0)
+    left = cells.join(F.broadcast(means), "time_ix").select(F.col("unit").alias("left_out"), "time_ix", delta.alias("delta"), "ever")
+    own = cells.where(before).select("unit", "time_ix", (1 / F.count(F.lit(1)).over(W.partitionBy("unit"))).alias("share"))
+    asked = own.join(rows.select("unit").distinct(), "unit")
+    shift = asked.join(left.where("ever = 0").select("left_out", "time_ix", "delta"), "time_ix").groupBy("unit", "left_out").agg(F.sum(F.col("share") * F.col("delta")).alias("shift"))
+    met = rows.join(left.drop("ever"), "time_ix").where("unit <> left_out").join(shift, ["unit", "left_out"], "left")
+    eff = F.col("eff") - F.col("delta") + F.coalesce("shift", F.lit(0.0))
+    return met.withColumn("eff", eff).withColumn("job_id", F.xxhash64("left_out")).withColumn("n_drawn", F.lit(1)).drop("left_out", "delta", "shift")

@@ -49,7 +49,7 @@ def plot_data(fit: FitResult, kind: str, **options) -> DataFrame:
     if kind == "cumul":
         return estimands.estimand(fit, "att_cumu", "event_time", window=options.get("window"))
     if kind in ("sens", "sens_es"):
-        return diagnostics.sensitivity(fit, **options)
+        return diagnostics.sensitivity(fit, by_period=kind == "sens_es", **options)
     raise ValueError(f"the fit has no data for a plot of {kind}")
 
 

@@ -336,7 +336,7 @@ e AS (SELECT m.left_out, b.unit, b.t_on, b.d, b.y - m.m - own.a AS eff FROM base
 def fitted(spark, sf_dir, name="supplier_quarter", reversals=False, spec=SPEC, **options):
     from .fit import fit
 
-    arguments = {k: options.pop(k) for k in ("se", "vartype", "nboots", "select", "folds") if k in options}
+    arguments = {k: options.pop(k) for k in ("se", "vartype", "nboots", "select", "folds", "keep_surface") if k in options}
     return fit(panels.panel(spark, sf_dir, name, reversals), spec, FitOptions(**{"min_t0": 1} | options), **arguments)
 
 
@@ -353,6 +353,97 @@ def jackknife_gsc_se(spark, sf_dir):
     return got.intervals().where("kind = 'overall'").select(r4("se").alias("se"))
 
 
+#: Effects by event time of the whole fit (left_out -1) and without each unit, and weights that cancel a linear trend in the last two
+#: periods before treatment.
+TREND_FREE = LEFT_OUT.replace("lv AS (SELECT DISTINCT unit AS left_out FROM base)", "lv AS (SELECT DISTINCT unit AS left_out FROM base UNION ALL SELECT -1)") + """,
+ev AS (SELECT left_out, t_on, AVG(eff) AS att, COUNT(eff) AS n FROM e WHERE t_on BETWEEN -1 AND 4 GROUP BY 1, 2),
+w AS (SELECT t_on, n / SUM(n) OVER () AS w FROM ev WHERE left_out = -1 AND t_on >= 1),
+c AS (SELECT t_on, w AS c FROM w UNION ALL SELECT 0, -SUM(w * (t_on + 1)) FROM w UNION ALL SELECT -1, SUM(w * t_on) FROM w),
+v AS (SELECT left_out, SUM(c * att) AS v FROM ev JOIN c USING (t_on) GROUP BY 1),
+s AS (SELECT STDDEV_SAMP(v) * (COUNT(*) - 1) / SQRT(COUNT(*)) AS se FROM v WHERE left_out <> -1)"""
+
+
+@registered(TREND_FREE + """
+SELECT 'smooth' AS restriction, 'fixed' AS method, CAST(0 AS DOUBLE) AS bound, 'overall' AS target, ROUND(v - 1.959963984540054 * se, 4) AS ci_low, ROUND(v + 1.959963984540054 * se, 4) AS ci_high FROM v, s WHERE left_out = -1""")
+def sensitivity_linear_trend(spark, sf_dir):
+    """A bias that may be any linear trend: with two earlier periods one estimator cancels it."""
+    from . import sensitivity
+
+    got = fitted(spark, sf_dir, sample="nevertreated", se=True, vartype="jackknife")
+    out = sensitivity.sensitivity(got, "smooth", (0.0,), pre=(-1, 0), post=(1, 4)).where("restriction = 'smooth'")
+    return out.select("restriction", "method", "bound", "target", r4("ci_low").alias("ci_low"), r4("ci_high").alias("ci_high"))
+
+
+@registered()
+def sensitivity_relative(spark, sf_dir):
+    """Bounds relative to the largest change before treatment, by inverted conditional tests."""
+    from . import sensitivity
+
+    got = fitted(spark, sf_dir, sample="nevertreated", se=True, vartype="jackknife")
+    return sensitivity.sensitivity(got, "relative", (0.0, 0.5, 1.0), pre=(-2, 0), post=(1, 6))
+
+
+def _surface_sql(value: str, where: str, at: str = "t_on") -> str:
+    """An estimand with its jackknife interval, from the effects of the whole fit (left_out -1) and without each unit."""
+    chain = LEFT_OUT.replace("lv AS (SELECT DISTINCT unit AS left_out FROM base)", "lv AS (SELECT DISTINCT unit AS left_out FROM base UNION ALL SELECT -1)")
+    chain = chain.replace("SELECT m.left_out, b.unit, b.t_on, b.d,", "SELECT m.left_out, b.unit, b.time_ix, b.t_on, b.d, b.g, b.y, m.m + own.a AS y0,")
+    return chain + f""",
+r AS (SELECT left_out, CAST({at} AS DOUBLE) AS at_, {value} AS v, COUNT(*) AS n FROM e WHERE eff IS NOT NULL AND {where} GROUP BY 1, 2),
+k AS (SELECT at_, STDDEV_SAMP(v) * ((SELECT COUNT(DISTINCT unit) FROM base) - 1) / SQRT(COUNT(v)) AS se, COUNT(v) AS n_reps FROM r WHERE left_out <> -1 GROUP BY 1)
+SELECT at_ AS at, ROUND(v, 4) AS value, n AS n_cells, ROUND(se, 4) AS se, ROUND(v - 1.959963984540054 * se, 4) AS ci_low, ROUND(v + 1.959963984540054 * se, 4) AS ci_high, n_reps FROM r JOIN k USING (at_) WHERE left_out = -1"""
+
+
+def _surface_intervals(spark, sf_dir, *arguments, **options) -> DataFrame:
+    from . import estimands
+
+    got = fitted(spark, sf_dir, sample="nevertreated", se=True, vartype="jackknife", keep_surface=True)
+    out = estimands.estimand_intervals(got, *arguments, **options)
+    return out.select("at", r4("value").alias("value"), "n_cells", r4("se").alias("se"), r4("ci_low").alias("ci_low"), r4("ci_high").alias("ci_high"), "n_reps")
+
+
+@registered(_surface_sql("AVG(eff)", "d = 1 AND g IN ('0', '2') AND t_on BETWEEN 1 AND 6", "0"))
+def estimand_filtered_intervals(spark, sf_dir):
+    return _surface_intervals(spark, sf_dir, "att", "overall", cells="~ g in ('0', '2') and event_time between 1 and 6")
+
+
+@registered(_surface_sql("AVG(eff)", "t_on BETWEEN -3 AND 5"))
+def estimand_window_intervals(spark, sf_dir):
+    return _surface_intervals(spark, sf_dir, "att", "event_time", window=(-3, 5))
+
+
+@registered(_surface_sql("AVG(eff)", "d = 1 AND t_on IS NOT NULL AND g <> '3'", "time_ix"))
+def estimand_calendar_intervals(spark, sf_dir):
+    return _surface_intervals(spark, sf_dir, "att", "calendar_time", cells="g <> '3'")
+
+
+@registered(_surface_sql("SUM(eff) / SUM(y0)", "d = 1 AND t_on IS NOT NULL"))
+def estimand_aptt_intervals(spark, sf_dir):
+    return _surface_intervals(spark, sf_dir, "aptt")
+
+
+@registered(_surface_sql("AVG(LN(y) - LN(y0))", "d = 1 AND t_on IS NOT NULL AND y > 0 AND y0 > 0"))
+def estimand_log_att_intervals(spark, sf_dir):
+    return _surface_intervals(spark, sf_dir, "log_att")
+
+
+@registered(_surface_sql("AVG(eff)", "d = 1 AND t_on BETWEEN 1 AND 4").replace("k AS (SELECT at_,", """a AS (SELECT * FROM r), r2 AS (SELECT left_out, at_, SUM(v * n) OVER o / SUM(n) OVER o * COUNT(*) OVER o AS v, n FROM a WINDOW o AS (PARTITION BY left_out ORDER BY at_)),
+k AS (SELECT at_,""").replace("FROM r WHERE left_out <> -1", "FROM r2 WHERE left_out <> -1").replace("FROM r JOIN k", "FROM r2 JOIN k"))
+def estimand_cumulative_intervals(spark, sf_dir):
+    return _surface_intervals(spark, sf_dir, "att_cumu", window=(1, 4))
+
+
+@registered(_surface_sql("0", "TRUE").split(",\nr AS (")[0] + """
+SELECT left_out, unit, time_ix, ROUND(eff, 4) AS eff, ROUND(y0, 4) AS y0 FROM e WHERE left_out <> -1 AND d = 1 AND t_on = 3 AND eff IS NOT NULL""")
+def surface_replicates(spark, sf_dir):
+    """The surface itself, for one event time: a row for each cell and unit left out."""
+    from . import estimands
+
+    got = fitted(spark, sf_dir, sample="nevertreated", se=True, vartype="jackknife", keep_surface=True)
+    named = got.replicates.where("kind = 'overall'").select("job_id", "left_out")
+    out = estimands.imputed_outcomes(got, "treated and event_time = 3", replicates=True).join(named, "job_id")
+    return out.select("left_out", "unit", "time_ix", r4("eff").alias("eff"), r4("y0").alias("y0"))
+
+
 FE = "WITH RECURSIVE " + sql.masked("supplier_month", True).replace("base AS (", "base AS MATERIALIZED (") + ",\n" + sql.two_way("base") + ", fit AS (SELECT *, CASE WHEN i_obs = 1 THEN y - y0 END AS eff FROM fe)"
 
 
