@@ -87,7 +87,7 @@ def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: b
         raise ValueError("the parametric bootstrap needs a factor or additive model on never-treated units")
     if checked:
         panel.check(df, spec)
-    cells = panel.prepare(df, spec, options).cache()
+    cells = stored(panel.prepare(df, spec, options), "unit")  # many plans read it; a written table also keeps them short
     if checked:
         panel.check_occupancy(cells, options)
     if se and vartype == "parametric" and event_time.has_reversals(cells):
@@ -139,6 +139,7 @@ def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: b
     if se:
         result.vartype, result.keeps_surface = vartype, keep_surface
         if vartype == "jackknife" and closed and options.force == "two-way":
+            result.cells = stored(result.cells, "unit")
             result.replicates = leave_one_out.replicates(result.cells)
             return result
         result.panel = dense or jobs.dense(cells, x)

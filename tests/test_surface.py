@@ -85,7 +85,7 @@ def test_refusals_and_storage(spark):
         estimands.estimand_intervals(got, "aptt", "cohort")
     rows = spark.range(1000).withColumn("k", F.col("id") % 10)
     kept = stored.stored(rows, "k")
-    assert kept.count() == 1000 and kept.schema == rows.schema and "stored-" in kept.inputFiles()[0]
+    assert kept.count() == 1000 and kept.columns == rows.columns and "stored-" in kept.inputFiles()[0]
 
 
 def test_a_failed_replicate_counts_as_failed(spark):
