@@ -104,16 +104,16 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[first], e[np.append(first[1:] - 1, len(s) - 1)]
 
 
-ANCHORS = "m long, seg long, doc long, th int, off int, n int"
+ANCHORS = "m long, seg long, doc long, th long, off int, n int"
 #: n windows of a segment; or, below zero, a settled span of -n bytes, whose m is arbitrary.
-SPANS = "doc long, th int, off int, len int, m long"
+SPANS = "doc long, th long, off int, len int, m long"
 
 
 def _batch(columns: dict[str, np.ndarray], types: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in columns.items()], names=list(columns))
 
 
-_TYPES = {"m": pa.int64(), "seg": pa.int64(), "doc": pa.int64(), "th": pa.int32(), "off": pa.int32(), "n": pa.int32(), "len": pa.int32()}
+_TYPES = {"m": pa.int64(), "seg": pa.int64(), "doc": pa.int64(), "th": pa.int64(), "off": pa.int32(), "n": pa.int32(), "len": pa.int32()}
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +123,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seg = (np.concatenate([g[k] for g in got]).view(np.int64) for k in (0, 1))
         off, n = (np.concatenate([g[k] for g in got]) for k in (2, 3))
         row = np.repeat(np.arange(len(docs)), sizes)
-        doc, th = np.array([d for d, _, _ in docs], np.int64)[row], np.array([t for _, t, _ in docs], np.int32)[row]
+        doc, th = np.array([d for d, _, _ in docs], np.int64)[row], np.array([t for _, t, _ in docs], np.int64)[row]
         order = np.lexsort((doc, seg, m))
         m, seg, doc, th, off, n, row = (c[order] for c in (m, seg, doc, th, off, n, row))
         if not len(m):
@@ -139,7 +139,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, e = merged(r * wide + a, r * wide + b)
             r = s // wide
             s, e = s - r * wide, e - r * wide
-            d, t = np.array([x for x, _, _ in docs], np.int64)[r], np.array([x for _, x, _ in docs], np.int32)[r]
+            d, t = np.array([x for x, _, _ in docs], np.int64)[r], np.array([x for _, x, _ in docs], np.int64)[r]
             deal = _mix((d.view(np.uint64) * M1) ^ (s.astype(np.uint64) * M2)).view(np.int64)
             yield _batch({"m": deal, "seg": np.zeros(len(d), np.int64), "doc": d, "th": t, "off": s, "n": s - e}, _TYPES)
 
@@ -164,7 +164,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("m", "seg", "doc", "th", "off", "n")
 
     def out(doc, th, off, size, m) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(th, pa.int32()), pa.array(off, pa.int32()), pa.array(size, pa.int32()), m], names=["doc", "th", "off", "len", "m"])
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(off, pa.int32()), pa.array(size, pa.int32()), m], names=["doc", "th", "off", "len", "m"])
 
     def close(c: list[np.ndarray], complete: bool) -> tuple[list[pa.RecordBatch], list[np.ndarray]]:
         """Whole anchors of c, sorted; or, if not complete, the part of one anchor: what must be held on."""
@@ -252,9 +252,9 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size, last = 0, None
 
     def flush() -> Iterator[pa.RecordBatch]:
-        doc, th, off = np.array(held[0], np.int64), np.array(held[1], np.int32), np.array(held[2], np.int64)
+        doc, th, off = np.array(held[0], np.int64), np.array(held[1], np.int64), np.array(held[2], np.int64)
         for d, t, a, n in _covered(doc, th, off, held[3]):
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int32()), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(d), pa.int64())], names=["doc", "th", "off", "len", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(d), pa.int64())], names=["doc", "th", "off", "len", "m"])
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("m", "doc", "th", "off", "raw")), strict=True):
@@ -281,13 +281,15 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[2].append(th)
                 out[3].append(w["off"])
                 out[4].append(raw[w["off"] : w["off"] + w["len"] + LENGTH - 1])
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["m", "doc", "th", "off", "raw"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["m", "doc", "th", "off", "raw"])
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """(doc, th, text): ids without nulls, and a text hash that tells rows of one id apart."""
+    """(doc, th, text): ids without nulls, and a 64-bit text hash that tells rows of one id, or without one, apart.
+
+    Among n different texts of one id two are mixed up with probability n^2 / 2^65: 3 in 10,000 at 100 million."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.hash(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def removal_spans(docs: DataFrame) -> DataFrame:
@@ -297,7 +299,7 @@ def removal_spans(docs: DataFrame) -> DataFrame:
     settled = materialize(rows.repartition("m").sortWithinPartitions("m", "seg", "doc").mapInArrow(_settle, SPANS))
     asked = settled.where("m is not null").groupBy("doc", "th").agg(F.collect_list(F.struct("m", "off", "len")).alias("wanted"))
     # rows that repeat a document repeat its segments, which changes nothing
-    slices = texts.join(asked, ["doc", "th"]).mapInArrow(_slices, "m long, doc long, th int, off int, raw binary")
+    slices = texts.join(asked, ["doc", "th"]).mapInArrow(_slices, "m long, doc long, th long, off int, raw binary")
     found = slices.repartition("m").sortWithinPartitions("m").mapInArrow(_shards, SPANS)
     return settled.where("m is null").unionByName(found).select("doc", "th", "off", "len")
 

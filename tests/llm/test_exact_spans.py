@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import exact_spans, suffix
 
@@ -83,13 +84,25 @@ def test_oversized_anchor_groups(monkeypatch):
     raw = [("".join(rng.choice("ab") for _ in range(30)) + "shared text of one anchor " * 4 + "".join(rng.choice("ab") for _ in range(30))).encode() for _ in range(30)]
     doc, zero = np.arange(30, dtype=np.int64), np.zeros(30, np.int64)
     gone = [np.zeros(len(r), bool) for r in raw]
-    for d, _, off, n in exact_spans._covered(doc, zero.astype(np.int32), zero, raw):
+    for d, _, off, n in exact_spans._covered(doc, zero, zero, raw):
         for k, a, size in zip(d.tolist(), off.tolist(), n.tolist(), strict=True):
             gone[k][a : a + size] = True
     want = brute([(i, r.decode()) for i, r in enumerate(raw)])
     assert [int(g.sum()) for g in gone] == [w[1] for w in want]
 
 
+def test_rows_without_an_id_whose_texts_share_a_32_bit_hash(spark):
+    """Each row loses its own bytes: the second null-id text holds nothing of the passage."""
+    passage, other = "the passage that the first document holds too, of more than fifty bytes ", "something else altogether, long enough to have windows of its own here "
+    numbers = spark.range(150000).select(F.col("id").cast("string").alias("i"))
+    a = numbers.select(F.concat(F.lit(passage), "i").alias("a")).withColumn("h", F.hash("a"))
+    b = numbers.select(F.concat(F.lit(other), "i").alias("b")).withColumn("h", F.hash("b"))
+    pair = a.join(b, "h").first()
+    rows = [(1, passage), (None, pair["a"]), (None, pair["b"])]
+    got = {r["kept_sha256"]: r["n_removed"] for r in exact_spans.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {sha: removed for _, removed, _, sha in brute(rows)} and got[hashlib.sha256(pair["b"].encode()).hexdigest()] == 0
+
+
 def test_empty(spark):
     assert exact_spans.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
