@@ -33,7 +33,8 @@ def reversal(d: str = "d", unit: str = "unit", time: str = "time_ix") -> Column:
 
 
 def has_reversals(cells: DataFrame) -> bool:
-    return cells.select(reversal().alias("r")).where("r").limit(1).count() > 0
+    """Whether an observed cell is untreated after its unit was treated; a missing cell says nothing."""
+    return cells.select((reversal() & F.col("d").isNotNull()).alias("r")).where("r").limit(1).count() > 0
 
 
 def first_treated(d: str = "d", unit: str = "unit", time: str = "time_ix") -> Column:

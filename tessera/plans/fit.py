@@ -118,7 +118,7 @@ def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: b
             r, lam, method = chosen["r"], chosen["lam"], chosen["method"]
             scalars |= {"r_cv": r, "lambda_cv": lam if lam is not None else float("nan")}
         options = replace(options, method=method, r=r, lam=lam)
-        got = jobs.fit_dense(dense, method, options.force, options.sample, r, lam, options.tol, options.max_iter, weighted, options.loading_bound, options.gamma_loading)
+        got = jobs.fit_remote(dense, cells.sparkSession, method=method, force=options.force, sample=options.sample, r=r, lam=lam, tol=options.tol, max_iter=options.max_iter, weighted=weighted, bound=options.loading_bound, gamma=options.gamma_loading)
         scalars |= {"sigma2": got.sigma2, "ic": got.ic, "pc": got.pc, "n_iter": got.n_iter, "converged": float(got.converged)} | {f"beta_{spec.x[i]}": float(b) for i, b in enumerate(got.beta)}
         spark = cells.sparkSession
         t, n = got.y0.shape

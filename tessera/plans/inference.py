@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,27 +73,106 @@ def _surface(p: jobs.Dense, kind: str, params: dict):
             yield unit, drawn[unit], row.tolist()
 
 
+def second_moments(paths: np.ndarray) -> np.ndarray:
+    """Of rows that are error paths with gaps: the mean product of each two periods over the rows that have both."""
+    seen = np.isfinite(paths)
+    filled = np.where(seen, paths, 0.0)
+    return filled.T @ filled / np.maximum(seen.T.astype(float) @ seen, 1.0)
+
+
+def noise_factor(moments: np.ndarray) -> np.ndarray:
+    """L with L L' the nearest positive semi-definite matrix: pairwise moments may have negative eigenvalues, which are set to zero."""
+    values, vectors = np.linalg.eigh((moments + moments.T) / 2)
+    return vectors * np.sqrt(np.maximum(values, 0.0))
+
+
+def _valid_controls(p: jobs.Dense, r: int, unit_effects: bool) -> np.ndarray:
+    """Controls observed often enough before the first adoption, and after the last, to stand for a treated unit."""
+    onsets = np.argmax(p.d[:, p.ever] == 1, axis=0)
+    before, after = p.obs[: onsets.min()].sum(axis=0), p.obs[onsets.max() + 1 :].sum(axis=0)
+    short = onsets.max() + 1 >= len(p.times)  # nothing lies after the last adoption
+    return np.flatnonzero(~p.ever & (before >= r + int(unit_effects)) & ((after >= 1) | short))
+
+
+def _error_paths(p: jobs.Dense, kind: str, params: dict):
+    """Prediction errors of one control in the place of every treated unit at once: copies of it, each with a treated unit's treatment,
+    beside the other controls drawn with replacement, in one fit."""
+    rng, fit = np.random.default_rng(params["seed"]), params["fit"]
+    control, treated = np.flatnonzero(~p.ever), np.flatnonzero(p.ever)
+    valid = _valid_controls(p, fit["r"], fit["force"] in ("unit", "two-way"))
+    if not len(valid) or len(control) < 2:
+        raise ValueError("no control can stand for a treated unit")
+    fake = int(rng.choice(valid))
+    rest = control[control != fake]
+    for _ in range(50):
+        others = rng.choice(rest, len(control))
+        if p.use[:, others].any(axis=1).all():
+            break
+    else:
+        raise ValueError("no feasible draw")
+    q = p.take(np.concatenate([np.full(len(treated), fake), others]))
+    q.d = q.d.copy()
+    held = np.maximum.accumulate(np.nan_to_num(p.d[:, treated]), axis=0)  # treatment doesn't end where the treated unit itself isn't observed
+    q.d[:, : len(treated)] = np.where(q.obs[:, : len(treated)], held, np.nan)
+    q.use = q.obs & ~(q.d == 1)
+    error = np.where(q.obs, q.y - jobs.fit_dense(q, **fit).y0, np.nan)
+    for k in range(len(treated)):
+        yield k, error[:, k].tolist()
+
+
+def _drawn_paths(gaps: bool, nboots: int, seed: int):
+    """For one treated unit: an error path for each draw, out of its simulated ones where nothing is missing, else normal with their moments."""
+
+    def draw_paths(rows: pd.DataFrame) -> pd.DataFrame:
+        k = int(rows["k"].iloc[0])
+        rng = np.random.default_rng([seed, k])
+        paths = np.stack(rows.sort_values("job_id")["path"].to_list()).astype(float)
+        if gaps:
+            drawn = rng.standard_normal((nboots, paths.shape[1])) @ noise_factor(second_moments(paths)).T
+        else:
+            drawn = paths[rng.integers(0, len(paths), nboots)]
+        return pd.DataFrame({"job_id": np.arange(nboots), "k": k, "path": list(drawn)})
+
+    return draw_paths
+
+
+def _parametric_paths(p: jobs.Dense, options: FitOptions, spark, nboots: int, seed: int, weighted: bool) -> tuple[jobs.Dense, DataFrame]:
+    """The panel with what draws need beside it, and (job_id, k, path): the errors of the k-th treated unit in each draw.
+
+    First a fit of the panel as a job; then one job a draw that simulates prediction errors for all treated units; then a group a
+    treated unit, whose paths are resampled or summed up in second moments. Draws themselves fit only their own outcome."""
+    fit = _fit_arguments(options, weighted)
+    got = jobs.fit_remote(p, spark, **fit)
+    gaps = not bool(p.obs.all())
+    residual = np.where(p.obs, p.y - got.y0, np.nan)[:, ~p.ever]
+    whole = replace(p, fitted=got.y0, noise=noise_factor(second_moments(residual.T)) if gaps else None)
+    made = jobs.table(spark, [(i, "errors", {"seed": seed * 104729 + i, "fit": fit}) for i in range(nboots)])
+    errors = jobs.run_paths(p, made, _error_paths, spark).where("error is null")
+    return whole, errors.groupBy("k").applyInPandas(_drawn_paths(gaps, nboots, seed), "job_id long, k int, path array<double>")
+
+
 def _parametric(p: jobs.Dense, params: dict) -> jobs.Dense:
-    """Fitted values plus drawn errors: controls' own residual paths; for treated units the prediction errors that
-    pseudo-treated controls get when they are left out (one left-out fit a draw)."""
+    """Fitted outcomes plus drawn errors: treated units' from ``paths``, and controls drawn with replacement, whose errors are other controls'
+    residual paths, or normal with the residuals' second moments where cells are missing. Effects are added to treated cells."""
     rng = np.random.default_rng(params["seed"])
-    fit = params["fit"]
-    got = jobs.fit_dense(p, **fit)
     control, treated = np.flatnonzero(~p.ever), np.flatnonzero(p.ever)
-    residual = np.where(p.obs, p.y - got.y0, 0.0)
-    y = got.y0.copy()
-    y[:, control] += residual[:, rng.choice(control, len(control))]
-    for i in treated:
-        fake = int(rng.choice(control))
-        rest = p.take(np.append(np.delete(control, np.flatnonzero(control == fake)), fake))
-        rest.d = rest.d.copy()
-        rest.d[:, -1] = p.d[:, i]
-        rest.use = rest.use & ~(rest.d == 1)
-        error = rest.y[:, -1] - jobs.fit_dense(rest, **fit).y0[:, -1]
-        y[:, i] += np.where(np.isfinite(error), error, 0.0)
-    eff = np.where(p.d == 1, p.y - got.y0, 0.0)
-    out = p.take(np.arange(len(p.units)))
-    out.y = np.where(p.obs, y + np.nan_to_num(eff), np.nan)
+    if len(params["paths"]) < len(treated):
+        raise ValueError("no error path was simulated")
+    for _ in range(50):
+        others = rng.choice(control, len(control))
+        if p.use[:, others].any(axis=1).all():
+            break
+    else:
+        raise ValueError("no feasible draw")
+    columns = np.concatenate([treated, others])
+    out = p.take(columns)
+    if p.noise is None:
+        error = np.where(p.obs, p.y - p.fitted, 0.0)[:, rng.choice(control, len(control))]
+    else:
+        error = p.noise @ rng.standard_normal((p.noise.shape[1], len(control)))
+    errors = np.concatenate([np.stack([params["paths"][k] for k in range(len(treated))], axis=1), error], axis=1)
+    eff = np.where(out.d == 1, out.y - p.fitted[:, columns], 0.0)
+    out.y = np.where(out.obs, p.fitted[:, columns] + np.nan_to_num(errors) + np.nan_to_num(eff), np.nan)
     return out
 
 
@@ -122,12 +203,14 @@ def _jobs(p: jobs.Dense, options: FitOptions, vartype: str, nboots: int, seed: i
 
 def replicates(p: jobs.Dense, options: FitOptions, spark, vartype: str = "bootstrap", nboots: int = 200, seed: int = 1, weighted: bool = False) -> DataFrame:
     """(job_id, kind, at, value, n_cells, error) of every replicate. Tuned parameters are reused, never re-chosen."""
-    return jobs.run(p, jobs.table(spark, _jobs(p, options, vartype, nboots, seed, weighted)), _replicate, spark)
+    p, paths = _parametric_paths(p, options, spark, nboots, seed, weighted) if vartype == "parametric" else (p, None)
+    return jobs.run(p, jobs.table(spark, _jobs(p, options, vartype, nboots, seed, weighted)), _replicate, spark, paths)
 
 
 def surfaces(p: jobs.Dense, options: FitOptions, spark, unit_type: str, vartype: str = "bootstrap", nboots: int = 200, seed: int = 1, weighted: bool = False) -> DataFrame:
     """(job_id, unit, n_drawn, effects, error): the surfaces of the same replicates, a row for each treated unit drawn."""
-    return jobs.run_surfaces(p, jobs.table(spark, _jobs(p, options, vartype, nboots, seed, weighted)), _surface, spark, unit_type)
+    p, paths = _parametric_paths(p, options, spark, nboots, seed, weighted) if vartype == "parametric" else (p, None)
+    return jobs.run_surfaces(p, jobs.table(spark, _jobs(p, options, vartype, nboots, seed, weighted)), _surface, spark, unit_type, paths)
 
 
 def intervals(point: DataFrame, reps: DataFrame, vartype: str, level: float = 0.95, method: str = "normal") -> DataFrame:

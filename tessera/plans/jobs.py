@@ -7,6 +7,7 @@ error instead of failing the others."""
 from __future__ import annotations
 
 import json
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,6 +44,10 @@ class Dense:
     unit_group: np.ndarray | None = None
     #: The periods' own numbers, ascending.
     index: list[int] = field(default_factory=list)
+    #: Of a whole panel that a parametric bootstrap draws from: the model's untreated outcomes, and the factor of the controls' error
+    #: covariance where cells are missing. Parts taken from the panel don't carry them.
+    fitted: np.ndarray | None = None
+    noise: np.ndarray | None = None
 
     @property
     def ever(self) -> np.ndarray:
@@ -143,36 +148,55 @@ def event_table(p: Dense, eff: np.ndarray, weights: bool = False) -> list[tuple[
 RESULT = "job_id long, kind string, at double, value double, n_cells long, error string"
 
 
-def run(p: Dense, jobs: DataFrame, kernel, spark) -> DataFrame:
-    """``kernel(panel, kind, params)`` -> rows (kind, at, value, n_cells), for every row (job_id, kind, params) of jobs."""
+def run(p: Dense, jobs: DataFrame, kernel, spark, paths: DataFrame | None = None) -> DataFrame:
+    """``kernel(panel, kind, params)`` -> rows (kind, at, value, n_cells), for every row (job_id, kind, params) of jobs.
+
+    ``paths`` (job_id, k, path) meet the jobs that they belong to and come as params["paths"]."""
+    return _fanned(p, jobs, kernel, spark, paths, RESULT, ["kind", "at", "value", "n_cells"], ("failed", 0.0, float("nan"), 0))
+
+
+def _fanned(p: Dense, jobs: DataFrame, kernel, spark, paths: DataFrame | None, schema: str, names: list[str], failed: tuple) -> DataFrame:
     shared = spark.sparkContext.broadcast(p)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+    def one(rows: pd.DataFrame, drawn: pd.DataFrame | None = None) -> pd.DataFrame:
         out = []
         for job in rows.itertuples():
+            params = json.loads(job.params)
+            if drawn is not None:
+                params["paths"] = {k: np.asarray(path, float) for k, path in zip(drawn["k"], drawn["path"], strict=True)}
             try:
-                out += [(job.job_id, kind, at, value, n, None) for kind, at, value, n in kernel(shared.value, job.kind, json.loads(job.params))]
+                out += [(job.job_id, *row, None) for row in kernel(shared.value, job.kind, params)]
             except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
-                out.append((job.job_id, "failed", 0.0, float("nan"), 0, str(e)[:200]))
-        return pd.DataFrame(out, columns=["job_id", "kind", "at", "value", "n_cells", "error"])
+                out.append((job.job_id, *failed, str(e)[:200]))
+        return pd.DataFrame(out, columns=["job_id", *names, "error"])
 
-    return jobs.groupBy("job_id").applyInPandas(one, RESULT)
+    def without(rows: pd.DataFrame) -> pd.DataFrame:
+        return one(rows)
 
+    if paths is None:
+        return jobs.groupBy("job_id").applyInPandas(without, schema)
+    return jobs.groupBy("job_id").cogroup(paths.groupBy("job_id")).applyInPandas(one, schema)
 
-def run_surfaces(p: Dense, jobs: DataFrame, kernel, spark, unit_type: str) -> DataFrame:
+
+def run_surfaces(p: Dense, jobs: DataFrame, kernel, spark, unit_type: str, paths: DataFrame | None = None) -> DataFrame:
     """``kernel(panel, kind, params)`` -> rows (unit, n_drawn, effects by period number from 1), for every job: its surface, packed a row a unit."""
+    return _fanned(p, jobs, kernel, spark, paths, f"job_id long, unit {unit_type}, n_drawn int, effects array<double>, error string", ["unit", "n_drawn", "effects"], (None, 0, None))
+
+
+def run_paths(p: Dense, jobs: DataFrame, kernel, spark) -> DataFrame:
+    """``kernel(panel, kind, params)`` -> rows (k, path), for every job."""
+    return _fanned(p, jobs, kernel, spark, None, "job_id long, k int, path array<double>, error string", ["k", "path"], (-1, None))
+
+
+def fit_remote(p: Dense, spark, **arguments) -> kernels.Fit:
+    """``fit_dense`` as a job, so that the driver's process doesn't compute."""
     shared = spark.sparkContext.broadcast(p)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for job in rows.itertuples():
-            try:
-                out += [(job.job_id, unit, n, eff, None) for unit, n, eff in kernel(shared.value, job.kind, json.loads(job.params))]
-            except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
-                out.append((job.job_id, None, 0, None, str(e)[:200]))
-        return pd.DataFrame(out, columns=["job_id", "unit", "n_drawn", "effects", "error"])
+    def one(batches):
+        for rows in batches:
+            yield pd.DataFrame({"fit": [pickle.dumps(fit_dense(shared.value, **arguments)) for _ in range(len(rows))]})
 
-    return jobs.groupBy("job_id").applyInPandas(one, f"job_id long, unit {unit_type}, n_drawn int, effects array<double>, error string")
+    return pickle.loads(spark.range(1).repartition(1).mapInPandas(one, "fit binary").first()["fit"])
 
 
 def table(spark, rows: list[tuple[int, str, dict]]) -> DataFrame:

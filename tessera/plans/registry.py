@@ -498,6 +498,11 @@ def bootstrap_fe_intervals(spark, sf_dir):
     return fitted(spark, sf_dir, "nation_quarter", se=True).intervals()
 
 
+@registered()
+def parametric_gsc_intervals(spark, sf_dir):
+    return fitted(spark, sf_dir, "nation_quarter", method="gsc", r=1, se=True, vartype="parametric", nboots=200).intervals()
+
+
 @registered()
 def rank_selection_scores(spark, sf_dir):
     from . import cv, jobs
