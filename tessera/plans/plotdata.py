@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import effects, panel
-from . import diagnostics, estimands
+from . import diagnostics, estimands, moderation
 from .fit import FitResult
 
 
@@ -44,6 +44,8 @@ def plot_data(fit: FitResult, kind: str, **options) -> DataFrame:
     if kind == "loading_overlap" and fit.units is not None:
         ever = fit.cells.groupBy("unit").agg(F.max("ever").alias("ever"))
         return overlap(fit.units.join(ever, "unit"))
+    if kind == "heterogeneous" and options.get("moderation"):
+        return moderation.theta(fit, options["covariate"], options.get("at"))
     if kind == "heterogeneous":
         return effects.by_moderator(fit.cells, options["covariate"], options.get("bins"))
     if kind == "cumul":

@@ -218,6 +218,28 @@ def fe_coefficient(spark, sf_dir):
     return got.summary().where("name = 'beta_x1'").select(r4("value").alias("beta"))
 
 
+def _moderation_sql() -> str:
+    """Both additive models by alternating means: fe0 and fe1 are the surfaces without the moderator's part."""
+    parts = ["WITH RECURSIVE " + _materialized(sql.masked("supplier_month", True)), "treated AS MATERIALIZED (SELECT * REPLACE (CASE WHEN d = 1 AND i_obs = 1 THEN 1 ELSE 0 END AS ii) FROM base)"]
+    for k, source in enumerate(("base", "treated")):
+        parts.append(f"used{k} AS (SELECT unit, time_ix, y AS yy, x1 FROM {source} WHERE ii = 1)")
+        parts.append(sql.demeaned(f"used{k}", ("yy", "x1"), rounds=200, name=f"dm{k}"))
+        parts.append(f"beta{k} AS (SELECT SUM(x1 * yy) / SUM(x1 * x1) AS b FROM dm{k}), rest{k} AS MATERIALIZED (SELECT {source}.*, y - b * x1 AS part FROM {source}, beta{k})")
+        parts.append(sql.two_way(f"rest{k}", "part", rounds=200, name=f"fe{k}"))
+    return ",\n".join(parts) + """,
+line AS (SELECT AVG(f1.y0 - f0.y0) AS start_, COUNT(f1.y0 - f0.y0) AS n_cells FROM fe1 f1 JOIN fe0 f0 USING (unit, time_ix) WHERE f1.ii = 1)
+SELECT m.level, ROUND(start_ + (beta1.b - beta0.b) * m.level, 4) AS theta, n_cells FROM (SELECT DISTINCT CAST(x1 AS DOUBLE) AS level FROM treated WHERE ii = 1 AND x1 IS NOT NULL) m, line, beta0, beta1"""
+
+
+@registered(_moderation_sql())
+def moderation_theta(spark, sf_dir):
+    """The effect at every moderator value, from models of untreated and of treated cells."""
+    from . import moderation
+
+    spec = PanelSpec(y="y", d="d", unit="unit", time="time", x=("x1",), group="region")
+    return moderation.theta(fitted(spark, sf_dir, "supplier_month", True, spec=spec), "x1").select("level", r4("theta").alias("theta"), "n_cells")
+
+
 @registered("WITH RECURSIVE " + sql.masked("uneven") + """, screened AS MATERIALIZED (SELECT * FROM base QUALIFY SUM(ii) OVER (PARTITION BY unit) >= 1),
 """ + sql.two_way("screened", weight="w") + """, e AS (SELECT *, CASE WHEN i_obs = 1 THEN y - y0 END AS eff FROM fe)
 SELECT t_on AS event_time, ROUND(AVG(eff), 4) AS att, COUNT(eff) AS n_cells, ROUND(SUM(eff * w) / SUM(CASE WHEN eff IS NOT NULL THEN w END), 4) AS att_w FROM e WHERE t_on IS NOT NULL GROUP BY 1""")
