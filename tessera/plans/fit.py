@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import additive, effects, event_time, panel
+from ..functions.kernels import information
+from ..operators import additive, effects, event_time, factors, panel
 from ..sources.stored import stored
 from . import cv, inference, jobs, leave_one_out
 from .spec import FitOptions, PanelSpec
@@ -75,6 +76,14 @@ class FitResult:
         return spark.createDataFrame([(k, float(v)) for k, v in self.scalars.items() if np.isscalar(v) and v is not None], "name string, value double")
 
 
+def _spread(cells: DataFrame, options: FitOptions, x: tuple[str, ...], select: bool, se: bool) -> bool:
+    """Whether a factor or penalised model is fitted over the units' rows."""
+    ready = not select and options.sample == "notyettreated" and options.force in factors.FORCES and ((options.method == "ife" and isinstance(options.r, int) and options.r > 0) or (options.method == "mc" and options.lam is not None))
+    if options.distributed and not ready:
+        raise ValueError("distributed fits need ife with a rank, or mc with a penalty, on not-yet-treated cells")
+    return ready and (options.distributed or (not se and jobs.dense_bytes(cells, len(x)) > jobs.MAX_PANEL_BYTES))
+
+
 def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: bool = False, vartype: str = "bootstrap", nboots: int = 200, seed: int = 1, select: bool = False, folds: int = 10, checked: bool = True, keep_surface: bool = False) -> FitResult:
     """Fit the untreated outcome on untreated cells, impute it everywhere, and optionally resample.
 
@@ -110,6 +119,12 @@ def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: b
     elif options.method == "fe" and options.force == "two-way" and options.sample == "notyettreated":
         out, info = additive.exact_fit(cells, x, weighted)
         scalars |= {f"beta_{spec.x[i]}": float(b) for i, b in enumerate(info["beta"])}
+    elif _spread(cells, options, x, select, se):
+        out, sides, loadings = factors.fit(cells, x, options.r if options.method == "ife" else 0, options.lam if options.method == "mc" else None, options.force, weighted, options.tol, options.max_iter)
+        r = options.r if options.method == "ife" else 0
+        sigma2, ic, pc = information(sides.ssr, sides.n_cells, len(sides.xi), sides.n_units, r, len(x), options.force) if r else (sides.ssr / max(sides.n_cells, 1), np.nan, np.nan)
+        scalars |= {"sigma2": sigma2, "ic": ic, "pc": pc, "n_iter": sides.n_iter, "converged": float(sides.converged)} | {f"beta_{spec.x[i]}": float(b) for i, b in enumerate(sides.beta)}
+        units, times = loadings, cells.sparkSession.createDataFrame([(i + 1, row) for i, row in enumerate(sides.factors.tolist())], "time_ix int, factors array<double>")
     else:
         dense = jobs.dense(cells, x)
         r, lam, method = options.r, options.lam, options.method

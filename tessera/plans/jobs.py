@@ -62,11 +62,14 @@ class Dense:
             None if self.z is None else self.z[columns], self.time_group, self.q, None if self.unit_group is None else self.unit_group[columns], self.index)
 
 
+def dense_bytes(cells: DataFrame, extra: int = 0) -> int:
+    return cells.count() * (7 + extra) * 8
+
+
 def dense(cells: DataFrame, x: tuple[str, ...] = ()) -> Dense:
     """Collect a panel whose size is checked first. Missing cells are NaN and not observed."""
-    n_cells = cells.count()
     extra = [c for c in cells.columns if c.startswith(("fe", "z", "q")) and c[-1].isdigit()] + [c for c in ("tg", "ug") if c in cells.columns]
-    size = n_cells * (7 + len(x) + len(extra)) * 8
+    size = dense_bytes(cells, len(x) + len(extra))
     if size > MAX_PANEL_BYTES:
         raise ValueError(f"a dense panel of {size >> 20} MB exceeds {MAX_PANEL_BYTES >> 20} MB; additive fits need none")
     data = cells.select("unit", "time", "time_ix", "y", "d", "i_obs", "ii", "w", "t_on", "t_off", "g", "cl", *x, *extra).toPandas()

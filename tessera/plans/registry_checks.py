@@ -3,6 +3,7 @@ intervals and scores."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import additive, did, effects, event_time, panel
@@ -218,6 +219,52 @@ def fe_coefficient(spark, sf_dir):
     return got.summary().where("name = 'beta_x1'").select(r4("value").alias("beta"))
 
 
+def _rank_one_sql(panel: str, before: str = "", **options) -> str:
+    text = "WITH RECURSIVE " + _materialized(sql.masked(panel)) + ",\n" + before + sql.rank_one("base", **options)
+    return text + ", e AS (SELECT *, CASE WHEN i_obs = 1 THEN y - y0 END AS eff FROM ife) SELECT t_on AS event_time, ROUND(AVG(eff), 3) AS att, COUNT(eff) AS n_cells FROM e WHERE t_on IS NOT NULL GROUP BY 1"
+
+
+def _factor_event(spark, sf_dir, panel: str, **options) -> DataFrame:
+    got = fitted(spark, sf_dir, panel, **{"tol": 1e-9, "max_iter": 20000} | options)
+    return got.event().select("event_time", F.round("att", 3).alias("att"), "n_cells")
+
+
+@registered(_rank_one_sql("nation_quarter"))
+def ife_rank1_event_att(spark, sf_dir):
+    """One factor by the dense kernel."""
+    return _factor_event(spark, sf_dir, "nation_quarter", method="ife", r=1)
+
+
+@registered(_rank_one_sql("nation_quarter"))
+def ife_rank1_distributed_event_att(spark, sf_dir):
+    """One factor over the units' rows."""
+    return _factor_event(spark, sf_dir, "nation_quarter", method="ife", r=1, distributed=True)
+
+
+#: A penalty that leaves one factor: 0.95 of that which leaves none.
+_PENALTY = sql.two_way("base") + ", rest AS MATERIALIZED (SELECT unit, time_ix, CASE WHEN ii = 1 THEN y - y0 ELSE 0 END AS e FROM fe),\n" + sql.top_singular("rest") + ",\n"
+_MC = _rank_one_sql("nation_quarter", _PENALTY, rho="(SELECT 0.95 * s FROM top)", rounds=500)
+
+
+def _penalised(spark, sf_dir, **options) -> DataFrame:
+    from ..operators import factors
+
+    cells = panel.prepare(panels.panel(spark, sf_dir, "nation_quarter"), SPEC, FitOptions(min_t0=1))
+    return _factor_event(spark, sf_dir, "nation_quarter", method="mc", lam=0.95 * factors.largest_penalty(cells), **options)
+
+
+@registered(_MC)
+def mc_binding_event_att(spark, sf_dir):
+    """Matrix completion with a penalty that binds, by the dense kernel."""
+    return _penalised(spark, sf_dir)
+
+
+@registered(_MC)
+def mc_binding_distributed_event_att(spark, sf_dir):
+    """Matrix completion with a penalty that binds, over the units' rows."""
+    return _penalised(spark, sf_dir, distributed=True, tol=1e-7)
+
+
 def _moderation_sql() -> str:
     """Both additive models by alternating means: fe0 and fe1 are the surfaces without the moderator's part."""
     parts = ["WITH RECURSIVE " + _materialized(sql.masked("supplier_month", True)), "treated AS MATERIALIZED (SELECT * REPLACE (CASE WHEN d = 1 AND i_obs = 1 THEN 1 ELSE 0 END AS ii) FROM base)"]

@@ -86,6 +86,8 @@ class FitOptions:
     #: How cross-validation masks cells and which candidate it takes.
     cv_method: str = "rolling"
     cv_rule: str = "1se"
+    #: Fit factor and penalised models over the units' rows instead of one dense panel; larger panels than that holds always are.
+    distributed: bool = False
 
     def __post_init__(self):
         if self.method not in METHODS:
