@@ -100,6 +100,10 @@ def _score_job(p: jobs.Dense, kind: str, params: dict):
         "wgmspe": np.exp((per[positive] * np.log(v[positive] ** 2)).sum() / max(per[positive].sum(), 1e-300)) if positive.any() else 0.0, "mad": np.median(np.abs(v - np.median(v))),
         "moment": float(np.average(np.abs(moments), weights=sizes)), "gmoment": float(np.exp(np.average(np.log(np.maximum(np.abs(moments), 1e-300)), weights=sizes))),
         "rmse": np.sqrt((v**2).mean()), "bias": v.mean()}
+    if params["fit"]["method"] == "probit":
+        # y0 is a probability: how unlikely the hidden outcomes are
+        chance = np.clip(got.y0[ok], 1e-12, 1 - 1e-12)
+        rows["unlikelihood"] = -np.where(p.y[ok] > 0.5, np.log(chance), np.log(1 - chance)).mean()
     return [(name, float(params["candidate"]), float(value), n) for name, value in rows.items()]
 
 
@@ -147,7 +151,8 @@ def penalties(p: jobs.Dense, force: str, n: int = 10) -> list[float]:
 
 
 def choose(p: jobs.Dense, options: FitOptions, spark, folds: int = 10, seed: int = 1, rule: str = "1se", kind: str = "rolling") -> dict:
-    """Rank or penalty by the criterion; ``both`` keeps the factor model unless matrix completion scores better."""
+    """Rank or penalty by the criterion; ``both`` keeps the factor model unless matrix completion scores better. A probit model's rank
+    is chosen by the likelihood of hidden outcomes."""
     low, high = options.r if isinstance(options.r, tuple) else (0, 5)
     base = {"force": options.force, "sample": options.sample, "tol": max(options.tol, 1e-3), "max_iter": options.max_iter}
     found = []
@@ -160,6 +165,12 @@ def choose(p: jobs.Dense, options: FitOptions, spark, folds: int = 10, seed: int
         table = aggregate(evaluate(p, [{"method": method, "r": r} for r in rs], spark, base, folds, kind, seed, options.proportion), options.criterion).cache()
         k = pick(table, rule)
         found.append((table.where(F.col("candidate") == k).first()["mean"], {"method": method, "r": rs[k], "lam": None}))
+    if options.method == "probit":
+        rs = ranks(p, low, high)
+        base["solver"] = options.probit_solver  # the loose tolerance also keeps separated units' indices from growing on
+        table = aggregate(evaluate(p, [{"method": "probit", "r": r} for r in rs], spark, base, folds, kind, seed, options.proportion), "unlikelihood").cache()
+        k = pick(table, rule)
+        return {"method": "probit", "r": rs[k], "lam": None, "score": table.where(F.col("candidate") == k).first()["mean"]}
     if options.method in ("mc", "both"):
         ls = [options.lam] if options.lam is not None else penalties(p, options.force, options.n_lambda)
         table = aggregate(evaluate(p, [{"method": "mc", "lam": v} for v in ls], spark, base, folds, kind, seed, options.proportion), options.criterion).cache()

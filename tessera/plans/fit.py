@@ -66,6 +66,10 @@ class FitResult:
         for kind, column in (("event", "t_on"), ("exit", "t_off")):
             parts.append(eff.where(F.col(column).isNotNull()).groupBy(F.lit(kind).alias("kind"), F.col(column).cast("double").alias("at")).agg(F.avg("eff").alias("value"), F.count("eff").alias("n_cells")))
         parts.append(eff.where("d = 1").groupBy(F.lit("calendar").alias("kind"), F.col("time_ix").cast("double").alias("at")).agg(F.avg("eff").alias("value"), F.count("eff").alias("n_cells")))
+        marginal = [("marginal", float(k), self.scalars[f"marginal_{name}"]) for k, name in enumerate(self.spec.x) if f"marginal_{name}" in self.scalars]
+        if marginal:
+            made = self.cells.sparkSession.createDataFrame(marginal, "kind string, at double, value double")
+            parts.append(made.join(F.broadcast(self.cells.where("ii = 1").agg(F.count(F.lit(1)).alias("n_cells")))))
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part)
@@ -133,8 +137,9 @@ def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: b
             r, lam, method = chosen["r"], chosen["lam"], chosen["method"]
             scalars |= {"r_cv": r, "lambda_cv": lam if lam is not None else float("nan")}
         options = replace(options, method=method, r=r, lam=lam)
-        got = jobs.fit_remote(dense, cells.sparkSession, method=method, force=options.force, sample=options.sample, r=r, lam=lam, tol=options.tol, max_iter=options.max_iter, weighted=weighted, bound=options.loading_bound, gamma=options.gamma_loading)
+        got = jobs.fit_remote(dense, cells.sparkSession, method=method, force=options.force, sample=options.sample, r=r, lam=lam, tol=options.tol, max_iter=options.max_iter, weighted=weighted, bound=options.loading_bound, gamma=options.gamma_loading, solver=options.probit_solver)
         scalars |= {"sigma2": got.sigma2, "ic": got.ic, "pc": got.pc, "n_iter": got.n_iter, "converged": float(got.converged)} | {f"beta_{spec.x[i]}": float(b) for i, b in enumerate(got.beta)}
+        scalars |= {f"marginal_{spec.x[i]}": float(v) for i, v in enumerate(got.extra.get("marginal", ()))}
         spark = cells.sparkSession
         t, n = got.y0.shape
         index = sorted({r["time_ix"] for r in cells.select("time_ix").distinct().collect()})

@@ -40,7 +40,7 @@ def draw(p: jobs.Dense, seed: int, tries: int = 50) -> np.ndarray:
 
 
 def _fit_arguments(options: FitOptions, weighted: bool) -> dict:
-    return {"method": options.method, "force": options.force, "sample": options.sample, "r": options.r if isinstance(options.r, int) else 0, "lam": options.lam, "tol": options.tol, "max_iter": options.max_iter, "weighted": weighted, "bound": options.loading_bound, "gamma": options.gamma_loading}
+    return {"method": options.method, "force": options.force, "sample": options.sample, "r": options.r if isinstance(options.r, int) else 0, "lam": options.lam, "tol": options.tol, "max_iter": options.max_iter, "weighted": weighted, "bound": options.loading_bound, "gamma": options.gamma_loading, "solver": options.probit_solver}
 
 
 def _resampled(p: jobs.Dense, kind: str, params: dict) -> jobs.Dense:
@@ -57,7 +57,8 @@ def _replicate(p: jobs.Dense, kind: str, params: dict):
     fit = params["fit"]
     p = _resampled(p, kind, params)
     got = jobs.fit_dense(p, **fit)
-    return jobs.event_table(p, p.y - got.y0, fit["weighted"])
+    rows = jobs.event_table(p, p.y - got.y0, fit["weighted"])
+    return rows + [("marginal", float(k), float(v), int(p.use.sum())) for k, v in enumerate(got.extra.get("marginal", ()))]
 
 
 def _surface(p: jobs.Dense, kind: str, params: dict):

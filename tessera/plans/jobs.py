@@ -104,12 +104,12 @@ def dense(cells: DataFrame, x: tuple[str, ...] = ()) -> Dense:
     return out
 
 
-def fit_dense(p: Dense, method: str = "fe", force: str = "two-way", sample: str = "notyettreated", r: int = 0, lam: float | None = None, tol: float = 1e-6, max_iter: int = 2000, weighted: bool = False, bound: str = "none", gamma: float | None = None, use: np.ndarray | None = None) -> kernels.Fit:
+def fit_dense(p: Dense, method: str = "fe", force: str = "two-way", sample: str = "notyettreated", r: int = 0, lam: float | None = None, tol: float = 1e-6, max_iter: int = 2000, weighted: bool = False, bound: str = "none", gamma: float | None = None, use: np.ndarray | None = None, solver: str = "svd") -> kernels.Fit:
     """One model on one dense panel."""
     use = p.use if use is None else use
     w = p.w if weighted else None
     if method == "probit":
-        return kernels.probit(p.y, use, p.x, r, force, tol, max_iter)
+        return kernels.probit(p.y, use, p.x, r, force, tol, max_iter, solver)
     if method == "cfe" and sample == "nevertreated":
         absorbed = np.maximum.accumulate(np.nan_to_num(p.d), axis=0) > 0
         return kernels.complex_never_treated(p.y, use, use & ~absorbed, ~p.ever, p.x, r, force, tol, max_iter, p.levels, p.z, p.time_group, p.q, p.unit_group, w)

@@ -88,6 +88,8 @@ class FitOptions:
     cv_rule: str = "1se"
     #: Fit factor and penalised models over the units' rows instead of one dense panel; larger panels than that holds always are.
     distributed: bool = False
+    #: How the probit model's latent index is refitted: principal components (svd) or alternating regressions (qr).
+    probit_solver: str = "svd"
 
     def __post_init__(self):
         if self.method not in METHODS:
@@ -112,6 +114,8 @@ class FitOptions:
             raise ValueError("cv_method must be rolling, all_units, treated_units or loo")
         if self.cv_rule not in ("1se", "min", "1pct"):
             raise ValueError("cv_rule must be 1se, min or 1pct")
+        if self.probit_solver not in ("svd", "qr"):
+            raise ValueError("probit_solver must be svd or qr")
         if self.criterion not in ("mspe", "gmspe", "moment", "pc"):
             raise ValueError("criterion must be mspe, gmspe, moment or pc")
 
