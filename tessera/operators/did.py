@@ -12,16 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import stats
 from . import additive
 
 
-def _absorbing(cells: DataFrame) -> DataFrame:
-    """Observed cells of units that aren't treated from the start: unit, time_ix, y, d (absorbing), first."""
+def _absorbing(cells: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Observed cells of units that aren't treated from the start: unit, time_ix, y, d (absorbing), first, and ``keep``."""
     first = F.min(F.when(F.col("d") == 1, F.col("time_ix"))).over(W.partitionBy("unit"))
     start = F.min("time_ix").over(W.partitionBy("unit"))
     rows = cells.where("i_obs = 1").withColumn("first", first).withColumn("__start", start)
     rows = rows.where(F.col("first").isNull() | (F.col("first") > F.col("__start")))
-    return rows.select("unit", "time_ix", "y", "first", F.coalesce((F.col("time_ix") >= F.col("first")).cast("int"), F.lit(0)).alias("d"))
+    return rows.select("unit", "time_ix", "y", "first", F.coalesce((F.col("time_ix") >= F.col("first")).cast("int"), F.lit(0)).alias("d"), *keep)
 
 
 #: Cohorts whose base periods a row may be compared with: that many outcomes travel with a unit.
@@ -52,6 +53,27 @@ def twfe(cells: DataFrame) -> DataFrame:
     return _regressed(_absorbing(cells))
 
 
+def twfe_clustered(cells: DataFrame, x: tuple[str, ...] = (), cluster: str = "unit", level: float = 0.95) -> DataFrame:
+    """att, se, ci_low, ci_high, n_cells and n_clusters of treatment's coefficient beside covariates, with errors that may depend on each other
+    within a cluster.
+
+    Treatment and outcome are freed from effects and covariates by two exact fits; a cluster's score is one sum over its cells, so the
+    sandwich is an aggregation by cluster. Finite samples: (n - 1) / (n - k) * g / (g - 1), where unit effects, which lie within clusters,
+    don't count in k = 1 + covariates + periods."""
+    rows = _absorbing(cells, (*x, *({cluster} - {"unit"}))).where(" and ".join(f"{c} is not null" for c in ("y", *x)))
+    rows = rows.withColumns({"ii": F.lit(1), "ever": F.col("d")})
+    n_periods = rows.select("time_ix").distinct().count()
+    treatment, _ = additive.exact_fit(rows.withColumn("__y", F.col("y")).withColumn("y", F.col("d").cast("double")), x)
+    treatment = treatment.select("unit", "time_ix", *({cluster} - {"unit"}), "d", *x, (F.col("y") - F.col("y0")).alias("__d"), F.col("__y").alias("y"), "ii", "ever")
+    whole, info = additive.exact_fit(treatment, ("d", *x))
+    per = whole.groupBy(cluster).agg(F.sum(F.col("__d") * (F.col("y") - F.col("y0"))).alias("score"), F.sum(F.col("__d") ** 2).alias("size"), F.count(F.lit(1)).alias("n"))
+    z, k = stats.norm_ppf(0.5 + level / 2), 1 + len(x) + n_periods
+    out = per.agg(F.sum(F.col("score") ** 2).alias("meat"), F.sum("size").alias("bread"), F.sum("n").alias("n_cells"), F.count(F.lit(1)).alias("n_clusters"))
+    small = (F.col("n_cells") - 1) / (F.col("n_cells") - k) * F.col("n_clusters") / (F.col("n_clusters") - 1)
+    att, se = F.lit(float(info["beta"][0])), F.sqrt(F.col("meat") * small) / F.col("bread")
+    return out.select(att.alias("att"), se.alias("se"), (att - z * se).alias("ci_low"), (att + z * se).alias("ci_high"), "n_cells", "n_clusters")
+
+
 def cohorts(rows: DataFrame) -> list[int]:
     """The first treated periods that occur, in order; their number is checked."""
     got = [r[0] for r in rows.select("first").where("first is not null").distinct().limit(MAX_COHORTS + 1).collect()]
@@ -149,3 +171,33 @@ def switchers(cells: DataFrame) -> DataFrame:
     per = per.where("moved is not null and stayed is not null")
     sign = F.when(F.col("d0") == 0, 1).otherwise(-1)
     return per.agg((F.sum(sign * (F.col("moved") - F.col("stayed")) * F.col("n")) / F.sum("n")).alias("did_m"), F.sum("n").alias("n_switchers"))
+
+
+def switcher_effects(cells: DataFrame, effects: int = 1, placebos: int = 0) -> DataFrame:
+    """(horizon, effect, n_switchers): what switching did ``horizon`` periods on, 1 being the period of the switch; placebos have horizons below 0.
+
+    A unit switches at F, the first period whose treatment differs from that of its first observed period. Effect l compares y at F - 1 + l with y
+    at F - 1, less the same change of units with the same first treatment that haven't switched by then. Placebo l compares y at F - 1 - l
+    with y at F - 1, for the switchers and controls of effect l. Leavers count with a minus. Each row meets its own earlier and later
+    outcomes by windows over its unit, and only sums by horizon, period and first treatment leave the tasks."""
+    by_unit = W.partitionBy("unit").orderBy("time_ix")
+    every = by_unit.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    start = F.first("d", ignorenulls=True).over(every)
+    rows = cells.select("unit", "time_ix", "y", "d", start.alias("d1"))
+    rows = rows.withColumn("switch", F.min(F.when(F.col("d") != F.col("d1"), F.col("time_ix"))).over(W.partitionBy("unit")))
+    y, t, f = F.col("y"), F.col("time_ix"), F.coalesce(F.col("switch"), F.lit(1 << 30))
+    reach = max(effects, placebos)
+    rows = rows.withColumns({f"__b{k}": F.lag("y", k).over(by_unit) for k in range(1, reach + 1)} | {f"__l{k}": F.lead("y", k).over(by_unit) for k in range(1, placebos + 1)})
+    parts = []
+    for k in range(1, effects + 1):
+        change = y - F.col(f"__b{k}")
+        parts.append(F.struct(F.lit(k).alias("horizon"), change.alias("change"), (t == f - 1 + k).alias("moved"), (f > t).alias("stayed")))
+    for k in range(1, placebos + 1):
+        change, later = F.col(f"__b{k}") - y, F.col(f"__l{k}").isNotNull()
+        parts.append(F.struct(F.lit(-k).alias("horizon"), change.alias("change"), ((t == f - 1) & later).alias("moved"), (f > t + k).alias("stayed")))
+    long = rows.select("time_ix", "d1", F.explode(F.array(*parts)).alias("p")).select("time_ix", "d1", "p.*").where("change is not null")
+    mean = lambda on: F.avg(F.when(F.col(on), F.col("change")))
+    per = long.groupBy("horizon", "time_ix", "d1").agg(mean("moved").alias("moved"), mean("stayed").alias("stayed"), F.count(F.when(F.col("moved"), 1)).alias("n"))
+    per = per.where("moved is not null and stayed is not null")
+    sign = F.when(F.col("d1") == 0, 1).otherwise(-1)
+    return per.groupBy("horizon").agg((F.sum(sign * (F.col("moved") - F.col("stayed")) * F.col("n")) / F.sum("n")).alias("effect"), F.sum("n").alias("n_switchers"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import additive, did, effects, event_time, panel
 from ..sources import panels
 from . import cv, estimands, inference, sql
-from .registry import GSC, LEFT_OUT, SPEC, fitted, imputed, prepared, r4, registered
+from .registry import ABSORBING, GSC, LEFT_OUT, SPEC, fitted, imputed, prepared, r4, registered
 from .spec import FitOptions, PanelSpec
 
 WEIGHTED = PanelSpec(y="y", d="d", unit="unit", time="time", weight="w", group="region")
@@ -460,3 +460,34 @@ def fold_scores_aggregated(spark, sf_dir):
     cells = prepared(spark, sf_dir, "supplier_month", True).where("i_obs = 1")
     scores = cells.groupBy((F.col("time_ix") % 3).alias("candidate"), (F.col("time_ix") % 5).alias("fold")).agg(F.avg(F.col("y") * F.col("y")).alias("value"), F.count(F.lit(1)).alias("n_cells")).withColumn("score", F.lit("mspe"))
     return cv.aggregate(scores).select("candidate", F.round("mean", 3).alias("mean"), F.round("se", 3).alias("se"), F.round("pooled", 3).alias("pooled"), "n_folds")
+
+
+# --- comparators with errors and horizons ---------------------------------------------------------------------------
+
+X1 = PanelSpec(y="y", d="d", unit="unit", time="time", x=("x1",), group="region")
+
+
+@registered("WITH RECURSIVE " + ABSORBING.removeprefix("WITH ").replace("SELECT unit, time_ix, y, MIN(", "SELECT unit, time_ix, y, x1, MIN(").replace("SELECT unit, time_ix, y, first_, CASE", "SELECT unit, time_ix, y AS yy, x1, first_, CASE").replace("a AS (", "a AS MATERIALIZED (") + ",\n" + sql.demeaned("a", ("yy", "d", "x1"), rounds=200) + """,
+p AS (SELECT SUM(d * x1) / SUM(x1 * x1) AS bd, SUM(yy * x1) / SUM(x1 * x1) AS by_ FROM dm), q AS (SELECT unit, time_ix, d - bd * x1 AS dd, yy - by_ * x1 AS yd FROM dm, p),
+b AS (SELECT SUM(dd * yd) / SUM(dd * dd) AS att, SUM(dd * dd) AS bread, COUNT(*) AS n, COUNT(DISTINCT unit) AS g, COUNT(DISTINCT time_ix) AS t FROM q),
+c AS (SELECT unit, SUM(dd * (yd - att * dd)) AS score FROM q, b GROUP BY unit), v AS (SELECT SUM(score * score) AS meat FROM c),
+r AS (SELECT att, SQRT(meat * (n - 1) / (n - 2 - t) * g / (g - 1)) / bread AS se, n, g FROM b, v)
+SELECT ROUND(att, 4) AS att, ROUND(se, 4) AS se, ROUND(att - 1.959963984540054 * se, 4) AS ci_low, ROUND(att + 1.959963984540054 * se, 4) AS ci_high, n AS n_cells, g AS n_clusters FROM r""")
+def did_twfe_clustered(spark, sf_dir):
+    cells = panel.prepare(panels.panel(spark, sf_dir, "supplier_quarter"), X1, FitOptions(min_t0=0))
+    return did.twfe_clustered(cells, ("x1",)).select(*(r4(c).alias(c) for c in ("att", "se", "ci_low", "ci_high")), "n_cells", "n_clusters")
+
+
+@registered("WITH " + sql.masked("user_day", True) + """,
+o AS (SELECT unit, time_ix, y, d, first_value(d) OVER (PARTITION BY unit ORDER BY time_ix) AS d1 FROM base WHERE d IS NOT NULL),
+s AS (SELECT unit, MAX(d1) AS d1, MIN(CASE WHEN d <> d1 THEN time_ix END) AS f FROM o GROUP BY unit),
+u AS (SELECT o.unit, o.time_ix, o.y, s.d1, COALESCE(s.f, 1000000) AS f FROM o JOIN s USING (unit)),
+h AS (SELECT unnest([1, 2, 3]) AS k),
+up AS (SELECT k AS horizon, n.time_ix, n.d1, n.y - b.y AS change, n.time_ix = n.f - 1 + k AS moved, n.f > n.time_ix AS stayed FROM u n, h, u b WHERE b.unit = n.unit AND b.time_ix = n.time_ix - k),
+down AS (SELECT -k AS horizon, n.time_ix, n.d1, b.y - n.y AS change, n.time_ix = n.f - 1 AND l.y IS NOT NULL AS moved, n.f > n.time_ix + k AS stayed FROM u n JOIN h ON k <= 2 JOIN u b ON b.unit = n.unit AND b.time_ix = n.time_ix - k LEFT JOIN u l ON l.unit = n.unit AND l.time_ix = n.time_ix + k),
+p AS (SELECT horizon, time_ix, d1, AVG(CASE WHEN moved THEN change END) AS m, AVG(CASE WHEN stayed THEN change END) AS c, COUNT(CASE WHEN moved THEN 1 END) AS n FROM (SELECT * FROM up UNION ALL SELECT * FROM down) GROUP BY 1, 2, 3)
+SELECT CAST(horizon AS INT) AS horizon, ROUND(SUM(CASE WHEN d1 = 0 THEN 1 ELSE -1 END * (m - c) * n) / SUM(n), 6) AS effect, CAST(SUM(n) AS BIGINT) AS n_switchers FROM p WHERE m IS NOT NULL AND c IS NOT NULL GROUP BY 1""")
+def did_switcher_effects(spark, sf_dir):
+    """Three horizons and two placebos among units with equal first treatment."""
+    out = did.switcher_effects(prepared(spark, sf_dir, "user_day", True), effects=3, placebos=2)
+    return out.select("horizon", F.round("effect", 6).alias("effect"), "n_switchers")
