@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,11 +56,72 @@ def plot_data(fit: FitResult, kind: str, **options) -> DataFrame:
     raise ValueError(f"the fit has no data for a plot of {kind}")
 
 
+#: Corners of a hull that may be broadcast.
+MAX_CORNERS = 1_000_000
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of points in the plane, counter-clockwise; one or two where all points lie on a spot or a line."""
+    points = np.unique(points, axis=0)  # sorted by the first coordinate, then the second
+    if len(points) < 3:
+        return points
+
+    def chain(rows: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for p in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return np.array(chain(points) + chain(points[::-1]))
+
+
+def within(corners: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Which points lie in the hull, its border included: left of every edge."""
+    if not len(corners):
+        return np.zeros(len(points), bool)
+    scale = 1e-9 * max(1.0, float(np.abs(corners).max()))
+    inside = (points >= corners.min(axis=0) - scale).all(axis=1) & (points <= corners.max(axis=0) + scale).all(axis=1)
+    for a, b in zip(corners, np.roll(corners, -1, axis=0), strict=True):
+        edge, length = b - a, float(np.hypot(*(b - a)))
+        if length:
+            inside &= (edge[0] * (points[:, 1] - a[1]) - edge[1] * (points[:, 0] - a[0])) / length >= -scale
+    return inside
+
+
+def control_hull(units: DataFrame) -> DataFrame:
+    """(l1, l2): corners of the convex hull of the controls' first two loadings. Every task sends its own hull's corners."""
+
+    def own(batches):
+        rows = [np.stack(b["loadings"].to_list())[:, :2] for b in batches if len(b)]
+        yield pd.DataFrame(hull(np.concatenate(rows)) if rows else np.zeros((0, 2)), columns=["l1", "l2"])
+
+    parts = units.where("ever = 0 and loadings is not null").select("loadings").mapInPandas(own, "l1 double, l2 double")
+    got = parts.limit(MAX_CORNERS + 1).toPandas()
+    if len(got) > MAX_CORNERS:
+        raise ValueError(f"more than {MAX_CORNERS} corners")
+    return units.sparkSession.createDataFrame(pd.DataFrame(hull(got.to_numpy()), columns=["l1", "l2"]), "l1 double, l2 double")
+
+
 def overlap(units: DataFrame) -> DataFrame:
-    """Loadings of all units with ``inside``: within the range of the controls' in every factor."""
-    flat = units.select("unit", "ever", F.posexplode("loadings").alias("k", "v"))
-    hull = flat.where("ever = 0").groupBy("k").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    return flat.join(F.broadcast(hull), "k").groupBy("unit", "ever").agg(F.min(F.col("v").between(F.col("low"), F.col("high")).cast("int")).alias("inside"))
+    """unit, ever, l1, l2 and ``inside``: whether a unit's first two loadings lie in the convex hull of the controls', or, with one factor
+    (l2 null), in their range."""
+    first = units.where("loadings is not null").select(F.size("loadings").alias("n")).first()
+    if first is None or first["n"] < 2:
+        flat = units.select("unit", "ever", F.try_element_at("loadings", F.lit(1)).alias("l1"))
+        span = flat.where("ever = 0").agg(F.min("l1").alias("low"), F.max("l1").alias("high"))
+        return flat.join(F.broadcast(span)).select("unit", "ever", "l1", F.lit(None).cast("double").alias("l2"), F.col("l1").between(F.col("low"), F.col("high")).cast("int").alias("inside"))
+    corners = units.sparkSession.sparkContext.broadcast(control_hull(units).toPandas().to_numpy())
+    unit = units.schema["unit"].dataType.simpleString()
+
+    def judged(batches):
+        for b in batches:
+            points = np.stack(b["loadings"].to_list())[:, :2] if len(b) else np.zeros((0, 2))
+            yield pd.DataFrame({"unit": b["unit"], "ever": b["ever"], "l1": points[:, 0], "l2": points[:, 1], "inside": within(corners.value, points).astype(int)})
+
+    return units.where("loadings is not null").select("unit", F.col("ever").cast("int").alias("ever"), "loadings").mapInPandas(judged, f"unit {unit}, ever int, l1 double, l2 double, inside int")
+
 
 
 def event_study(table: DataFrame, period: str = "event_time", estimate: str = "att", se: str | None = "se", connected: bool = False, fill_gap: bool = True) -> DataFrame:
