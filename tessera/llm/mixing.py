@@ -10,7 +10,7 @@ documents are dealt to at most ``FANOUT`` blocks by a seeded hash, so a hot sour
    the one document, of those that the last pass leaves out, whose size comes nearest to it.
 3. ``splitting_tree``: the exact block quotas are split among 2**depth output shards. Each node draws
    its left child's counts from the multivariate hypergeometric law (inverse CDF of a seeded hash,
-   source after source); the right child gets the rest.
+   source after source, and group after group where there are many); the right child gets the rest.
 4. ``mix``: a shard takes the next so many blocks in the source's permuted order (disjoint ranges) and
    orders its documents by a seeded hash.
 
@@ -31,6 +31,8 @@ from .common import materialize
 FANOUT, SUBS = 65536, 1024
 #: Documents that a block holds on average, until FANOUT binds.
 BLOCK_DOCS = 64
+#: Items of a splitting-tree node, on average at most.
+WIDE = 256
 #: Words in an output shard, on average.
 SHARD_WORDS = 1 << 24
 WORD = r"[^\x20\x09-\x0D]+"
@@ -126,34 +128,51 @@ def _hypergeometric(n: Column, good: Column, pool: Column, u: Column) -> Column:
     )
 
 
+def _drawn(items: DataFrame, need: DataFrame, keys: list[str], item: str, salt: int) -> DataFrame:
+    """(keys, item, n, got): how many of a node's ``need`` draws fall on each of its items, from the multivariate hypergeometric law.
+
+    A node is one row with the array of its items, ``WIDE`` on average at most; item after item takes its share of what is left."""
+    node = items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(item, F.col("n").cast("double").alias("n")))).alias("counts")).join(need, keys)
+    pool = F.aggregate("counts", F.lit(0.0), lambda s, x: s + x["n"])
+    start = F.struct(F.col("need").cast("double").alias("need"), pool.alias("pool"), F.array().cast("array<double>").alias("got"))
+
+    def draw(s: Column, x: Column) -> Column:
+        u = F.pmod(F.xxhash64(F.lit(salt), F.col("shard"), x[item]), F.lit(1 << 40)) / F.lit(float(1 << 40))
+        got = F.when((x["n"] <= 0) | (s["need"] <= 0), F.lit(0.0)).otherwise(_hypergeometric(s["need"], x["n"], s["pool"], u))
+        return F.struct((s["need"] - got).alias("need"), (s["pool"] - x["n"]).alias("pool"), F.concat(s["got"], F.array(got)).alias("got"))
+
+    drawn = F.arrays_zip("counts", F.aggregate("counts", start, draw, lambda s: s["got"]).alias("got"))
+    rows = node.select(*keys, F.explode(drawn).alias("d"))
+    return rows.select(*keys, F.col(f"d.counts.{item}").alias(item), F.col("d.counts.n").cast("long").alias("n"), F.col("d.got").cast("long").alias("got"))
+
+
 def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     """(skey, shard, first, n): which ``n`` of each source's draws, from number ``first`` on, go to a shard.
 
-    ``quotas`` has (skey, quota). A node is a row with the array of its sources' counts; a level of the
-    tree is a projection and a two-way explode, so the whole tree is one narrow plan over at most
-    2**depth rows of as many numbers as there are sources."""
-    node = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct("skey", F.col("quota").cast("double").alias("n")))).alias("counts"))
-    node = node.select(F.lit(0).cast("long").alias("shard"), "counts")
+    ``quotas`` has (skey, quota). Every level of the tree halves all shards at once. Many sources are dealt by hash to groups, and these to
+    groups of groups, until ``WIDE`` are left: a shard's half is first drawn among the outermost groups, then within each of them. That is the
+    same law, since a group's sources share its draws hypergeometrically, and no row ever holds all sources."""
+    n_sources = quotas.count()
+    levels = 0
+    while WIDE ** (levels + 1) < n_sources:
+        levels += 1
+    paths = [f"g{k}" for k in range(1, levels + 1)]
+    group = F.pmod(F.xxhash64(F.lit(seed), "skey"), F.lit(WIDE**levels))
+    # g1 are the outermost groups; each later number holds those before it
+    current = quotas.select(F.lit(0).cast("long").alias("shard"), "skey", F.col("quota").alias("n"), *(F.floor(group / F.lit(WIDE ** (levels - k))).cast("long").alias(g) for k, g in enumerate(paths, 1)))
     for level in range(depth):
-        pool = F.aggregate("counts", F.lit(0.0), lambda s, x: s + x["n"])
-        node = node.withColumn("pool", pool)
-        start = F.struct(F.floor(F.col("pool") / 2).cast("double").alias("need"), F.col("pool").alias("pool"), F.array().cast("array<double>").alias("left"))
-
-        salt = F.lit(seed + 1000 * (level + 1))
-
-        def draw(s: Column, x: Column) -> Column:
-            u = F.pmod(F.xxhash64(salt, F.col("shard"), x["skey"]), F.lit(1 << 40)) / F.lit(float(1 << 40))
-            got = F.when((x["n"] <= 0) | (s["need"] <= 0), F.lit(0.0)).otherwise(_hypergeometric(s["need"], x["n"], s["pool"], u))
-            return F.struct((s["need"] - got).alias("need"), (s["pool"] - x["n"]).alias("pool"), F.concat(s["left"], F.array(got)).alias("left"))
-
-        node = node.withColumn("left", F.aggregate("counts", start, draw, lambda s: s["left"]))
-        left = F.zip_with("counts", "left", lambda x, n: F.struct(x["skey"].alias("skey"), n.alias("n")))
-        right = F.zip_with("counts", "left", lambda x, n: F.struct(x["skey"].alias("skey"), (x["n"] - n).alias("n")))
-        children = F.array(F.struct((F.col("shard") * 2).alias("shard"), left.alias("counts")), F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("counts")))
-        node = materialize(node.select(F.explode(children).alias("c")).select("c.shard", "c.counts"))
-    rows = node.select("shard", F.explode("counts").alias("c")).select("shard", F.col("c.skey").alias("skey"), F.col("c.n").cast("long").alias("n"))
+        salt = seed + 1000 * (level + 1)
+        need = current.groupBy("shard").agg(F.floor(F.sum("n") / 2).alias("need"))
+        for k in range(levels):
+            sums = current.groupBy("shard", *paths[: k + 1]).agg(F.sum("n").alias("n"))
+            got = _drawn(sums, need, ["shard", *paths[:k]], paths[k], salt)
+            need = got.select("shard", *paths[: k + 1], F.col("got").alias("need"))
+            need = materialize(need) if k else need
+        got = _drawn(current, need, ["shard", *paths], "skey", salt)
+        sides = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("got").alias("n")), F.struct((F.col("shard") * 2 + 1).alias("shard"), (F.col("n") - F.col("got")).alias("n")))
+        current = materialize(got.select("skey", *paths, F.explode(sides).alias("c")).select("c.shard", "skey", "c.n", *paths))
     before = W.partitionBy("skey").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
+    return current.select("shard", "skey", "n").withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
 
 
 def mix_plan(docs: DataFrame, max_repeats: float = 3.0, seed: int = 42, shard_words: int = SHARD_WORDS) -> DataFrame:

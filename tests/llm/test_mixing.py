@@ -72,6 +72,25 @@ def test_tree_deals_every_draw_once(spark):
     assert max(shards.values()) - min(shards.values()) <= 1 and len(shards) == 8
 
 
+def test_many_sources_are_split_in_groups(spark, monkeypatch):
+    """Groups of groups: every draw goes somewhere once, halves differ by one at most, and a source's share follows the law's mean."""
+    monkeypatch.setattr(mixing, "WIDE", 4)
+    sizes = {f"s{i:03d}": (i * 7) % 40 for i in range(60)}
+    quotas = spark.createDataFrame(list(sizes.items()), "skey string, quota long")
+    left: Counter = Counter()
+    for seed in range(5):
+        dealt = mixing.splitting_tree(quotas, 2 if seed else 1, 100 + seed).collect()
+        per, shards = defaultdict(list), Counter()
+        for r in dealt:
+            per[r["skey"]] += range(r["first"], r["first"] + r["n"])
+            shards[r["shard"]] += r["n"]
+            left[r["skey"]] += r["n"] if r["shard"] < (2 if seed else 1) else 0
+        assert {k: sorted(v) for k, v in per.items()} == {k: list(range(n)) for k, n in sizes.items() if n}
+        assert max(shards.values()) - min(shards.values()) <= 1 and len(shards) == (4 if seed else 2)
+    # five draws of the left half: standard deviation of the sum is sqrt(5 n / 4) at most
+    assert all(abs(left[k] - 2.5 * n) <= 5 * (1.25 * n) ** 0.5 for k, n in sizes.items())
+
+
 def test_hypergeometric_law(spark):
     n, good, pool = 12, 9, 30
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
