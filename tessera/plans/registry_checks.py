@@ -219,8 +219,12 @@ def fe_coefficient(spark, sf_dir):
     return got.summary().where("name = 'beta_x1'").select(r4("value").alias("beta"))
 
 
-def _rank_one_sql(panel: str, before: str = "", **options) -> str:
-    text = "WITH RECURSIVE " + _materialized(sql.masked(panel)) + ",\n" + before + sql.rank_one("base", **options)
+#: The additive fit's residuals and their leading singular vector, where a one-factor fit starts.
+_RESIDUALS = sql.two_way("base") + ", rest AS MATERIALIZED (SELECT unit, time_ix, CASE WHEN ii = 1 THEN y - y0 ELSE 0 END AS e FROM fe),\n" + sql.top_singular("rest") + ",\n"
+
+
+def _rank_one_sql(panel: str, **options) -> str:
+    text = "WITH RECURSIVE " + _materialized(sql.masked(panel)) + ",\n" + _RESIDUALS + sql.rank_one("base", **options)
     return text + ", e AS (SELECT *, CASE WHEN i_obs = 1 THEN y - y0 END AS eff FROM ife) SELECT t_on AS event_time, ROUND(AVG(eff), 3) AS att, COUNT(eff) AS n_cells FROM e WHERE t_on IS NOT NULL GROUP BY 1"
 
 
@@ -229,21 +233,20 @@ def _factor_event(spark, sf_dir, panel: str, **options) -> DataFrame:
     return got.event().select("event_time", F.round("att", 3).alias("att"), "n_cells")
 
 
-@registered(_rank_one_sql("nation_quarter"))
+@registered()
 def ife_rank1_event_att(spark, sf_dir):
-    """One factor by the dense kernel."""
+    """One factor by the dense kernel. Without SQL: where no factor stands out its steps may end in another minimum than the regressions'."""
     return _factor_event(spark, sf_dir, "nation_quarter", method="ife", r=1)
 
 
-@registered(_rank_one_sql("nation_quarter"))
+@registered(_rank_one_sql("nation_quarter", rounds=600))
 def ife_rank1_distributed_event_att(spark, sf_dir):
     """One factor over the units' rows."""
     return _factor_event(spark, sf_dir, "nation_quarter", method="ife", r=1, distributed=True)
 
 
 #: A penalty that leaves one factor: 0.95 of that which leaves none.
-_PENALTY = sql.two_way("base") + ", rest AS MATERIALIZED (SELECT unit, time_ix, CASE WHEN ii = 1 THEN y - y0 ELSE 0 END AS e FROM fe),\n" + sql.top_singular("rest") + ",\n"
-_MC = _rank_one_sql("nation_quarter", _PENALTY, rho="(SELECT 0.95 * s FROM top)", rounds=500)
+_MC = _rank_one_sql("nation_quarter", rho="(SELECT 0.95 * s FROM top)", rounds=500)
 
 
 def _penalised(spark, sf_dir, **options) -> DataFrame:

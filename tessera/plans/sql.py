@@ -81,18 +81,19 @@ def two_way(source: str, y: str = "y", rounds: int = 80, weight: str = "1.0", na
 
 
 def top_singular(source: str, rounds: int = 300, name: str = "top") -> str:
-    """``top``: s, the largest singular value of source's e (units x periods), by power iteration. Needs WITH RECURSIVE."""
+    """``top``: s, the largest singular value of source's e (units x periods), by power iteration; ``top_v``: its vector by period. Needs WITH RECURSIVE."""
     return f"""{name}_it AS (SELECT unit, time_ix, e, 0 AS k, CAST(SIN(time_ix) AS DOUBLE) AS v, CAST(0 AS DOUBLE) AS s2 FROM {source}
   UNION ALL SELECT unit, time_ix, e, k + 1, g / SQRT(SUM(g * g) OVER (PARTITION BY unit)), SQRT(SUM(g * g) OVER (PARTITION BY unit)) FROM (SELECT *, SUM(e * u) OVER (PARTITION BY time_ix) AS g FROM (SELECT *, SUM(e * v) OVER (PARTITION BY unit) AS u FROM {name}_it WHERE k < {rounds}))),
-{name} AS (SELECT SQRT(MAX(s2)) AS s FROM {name}_it WHERE k = {rounds})"""
+{name} AS (SELECT SQRT(MAX(s2)) AS s FROM {name}_it WHERE k = {rounds}), {name}_v AS MATERIALIZED (SELECT time_ix, MAX(v) AS v FROM {name}_it WHERE k = {rounds} GROUP BY time_ix)"""
 
 
-def rank_one(source: str, rounds: int = 300, rho: str = "0", name: str = "ife") -> str:
+def rank_one(source: str, rounds: int = 300, rho: str = "0", name: str = "ife", start: str = "top_v") -> str:
     """``ife``: source with y0 of unit and period effects and one factor, by least squares on usable cells with a ridge ``rho`` on loadings and
-    factor: each round regresses every unit on the factor and then every period on the loadings. Needs WITH RECURSIVE."""
+    factor: each round regresses every unit on the factor and then every period on the loadings. It starts from ``start`` (time_ix, v): the loss has several
+    minima where no factor stands out. Needs WITH RECURSIVE."""
     own = lambda value, by: f"AVG(CASE WHEN ii = 1 THEN {value} END) OVER (PARTITION BY {by})"
     slope = lambda a, b, by: f"SUM(CASE WHEN ii = 1 THEN ({a}) * ({b}) END) OVER (PARTITION BY {by}) / (SUM(CASE WHEN ii = 1 THEN ({a}) * ({a}) END) OVER (PARTITION BY {by}) + {rho})"
-    return f"""{name}_it AS (SELECT unit, time_ix, CAST(y AS DOUBLE) AS v, ii, 0 AS k, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS l, CAST(SIN(time_ix) AS DOUBLE) AS f FROM {source}
+    return f"""{name}_it AS (SELECT unit, time_ix, CAST(y AS DOUBLE) AS v, ii, 0 AS k, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS l, CAST(s.v AS DOUBLE) AS f FROM {source} JOIN {start} s USING (time_ix)
   UNION ALL SELECT unit, time_ix, v, ii, k + 1, a, mq - f2 * ml, l, f2 FROM (SELECT *, {slope("l - ml", "v - a - mq", "time_ix")} AS f2 FROM (SELECT *, {own("l", "time_ix")} AS ml, {own("v - a", "time_ix")} AS mq FROM
   (SELECT unit, time_ix, v, ii, k, f, l2 AS l, mr - l2 * mf AS a FROM (SELECT *, {slope("f - mf", "v - x - mr", "unit")} AS l2 FROM (SELECT unit, time_ix, v, ii, k, f, x, {own("f", "unit")} AS mf, {own("v - x", "unit")} AS mr FROM {name}_it WHERE k < {rounds})))))),
 {name} AS (SELECT s.*, i.a + i.x + i.l * i.f AS y0 FROM {source} s JOIN {name}_it i ON i.unit = s.unit AND i.time_ix = s.time_ix AND i.k = {rounds})"""
