@@ -2,13 +2,13 @@
 estimators with never- or not-yet-treated controls.
 
 Cells may be missing: the regressions solve their normal equations exactly, and group-time effects average the changes
-of the units that are observed in both periods. No pair of units is ever formed."""
+of the units that are observed in both periods, or compare means of all observed cells. No pair of units is ever formed."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -147,6 +147,36 @@ def group_time(cells: DataFrame, control: str = "never", base: str = "varying")
     return out.select("cohort", "time_ix", (t - F.col("cohort") + 1).cast("int").alias("event_time"), (F.col("moved") - F.col("stayed")).alias("att"), "n_units")
 
 
+def group_time_of_means(cells: DataFrame, control: str = "never", base: str = "varying") -> DataFrame:
+    """``group_time`` from the means of cells instead of units' changes: a unit counts in each of both periods in which it is
+    observed, as in repeated cross-sections. The same where no cell is missing. att is null where no control is observed in one of the
+    periods; n_units counts the cohort's cells of the period itself.
+
+    Sums by cohort and period leave the tasks; a period's sums, one for each cohort (their number is checked), meet the effects of that period."""
+    rows = _absorbing(cells)
+    cohorts(rows)
+    sums = rows.groupBy("time_ix", "first").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
+    own = sums.where("first is not null").select(F.col("first").alias("cohort"), "time_ix", (F.col("s") / F.col("n")).alias("y"), F.col("n").alias("n_units"))
+    t, cohort = F.col("time_ix"), F.col("cohort")
+    ref = (F.when(t >= cohort, cohort - 1).otherwise(t - 1) if base == "varying" else cohort - 1).cast("int")
+    past = own.select("cohort", F.col("time_ix").alias("ref"), F.col("y").alias("y_ref"))
+    out = own.withColumn("ref", ref).join(past, ["cohort", "ref"])
+    every = sums.groupBy("time_ix").agg(F.collect_list(F.struct("first", "s", "n")).alias("every"))
+    out = out.join(every.withColumnRenamed("every", "now"), "time_ix").join(every.withColumnsRenamed({"time_ix": "ref", "every": "then"}), "ref")
+
+    def outside(c: Column) -> Column:
+        never = c["first"].isNull()
+        return never if control == "never" else never | ((c["first"] > F.greatest("time_ix", "ref")) & (c["first"] != cohort))
+
+    def mean(name: str) -> Column:
+        total = lambda field, zero: F.aggregate(F.filter(name, outside), F.lit(zero).cast("double" if field == "s" else "long"), lambda a, c: a + c[field])
+        return total("s", 0.0) / F.nullif(total("n", 0).cast("double"), F.lit(0.0))
+
+    met = F.exists("now", outside) | F.exists("then", outside)
+    att = (F.col("y") - F.col("y_ref")) - (mean("now") - mean("then"))
+    return out.where(met).select("cohort", "time_ix", (t - cohort + 1).cast("int").alias("event_time"), att.alias("att"), "n_units")
+
+
 def aggregated(effects: DataFrame, how: str = "dynamic") -> DataFrame:
     """Group-time effects averaged by cohort size: by event time, or over all post-treatment cells (``simple``)."""
     weighted = (F.sum(F.col("att") * F.col("n_units")) / F.sum("n_units")).alias("att")
@@ -155,9 +185,11 @@ def aggregated(effects: DataFrame, how: str = "dynamic") -> DataFrame:
     return effects.where("event_time >= 1").agg(weighted, F.sum("n_units").alias("n_units"))
 
 
-def interaction_weighted(cells: DataFrame) -> DataFrame:
+def interaction_weighted(cells: DataFrame, means: bool = False) -> DataFrame:
     """att by event time: cohort-by-period effects with never-treated controls and the last period before treatment as base
-    (on a balanced panel the saturated regression's), weighted by cohort shares."""
+    (on a balanced panel the saturated regression's), weighted by cohort shares. ``means`` compares means of cells, as ``group_time_of_means``."""
+    if means:
+        return aggregated(group_time_of_means(cells, "never", base="universal").where("att is not null"), "dynamic")
     return aggregated(group_time(cells, "never", base="universal"), "dynamic")
 
 
