@@ -76,9 +76,26 @@ def estimand(fit: FitResult, kind: str = "att", by: str = "event_time", cells: s
     return out if by == "event_time" else out.orderBy(F.col("event_time").desc()).limit(1)
 
 
+def _at(by: str) -> Column:
+    return {"overall": F.lit(0.0), "event_time": F.col("event_time"), "calendar_time": F.col("time_ix"), "cohort": F.col("cohort")}[by].cast("double")
+
+
+def _left_out(fit: FitResult, rows: DataFrame, kind: str, by: str) -> DataFrame:
+    """(job_id, at, value, n_cells) of the closed jackknife's replicates, from what each unit moves sums by: cells and replicates are never paired."""
+    treated = fit.cells.where("d = 1").select("unit").distinct()
+    rows = rows.join(treated, "unit", "left_semi").select("unit", "time_ix", _at(by).alias("at"), "eff", "y", "y0")
+    if kind == "log_att":
+        out = leave_one_out.log_sums(fit.cells, rows.drop("eff"))
+        value = F.col("s") / F.col("n")
+    else:
+        out = leave_one_out.sums(fit.cells, rows.drop("y0").withColumn("kind", F.lit(kind)))
+        value = F.col("s") / (F.nullif(F.col("sy") - F.col("s"), F.lit(0.0)) if kind == "aptt" else F.col("n"))
+    return out.select("job_id", "at", value.alias("value"), F.col("n").cast("long").alias("n_cells"))
+
+
 def _aggregated(rows: DataFrame, kind: str, by: str) -> DataFrame:
     """(job_id, at, value, n_cells) of an estimand over replicate rows; a unit counts as often as it was drawn."""
-    at = {"overall": F.lit(0.0), "event_time": F.col("event_time"), "calendar_time": F.col("time_ix"), "cohort": F.col("cohort")}[by].cast("double")
+    at = _at(by)
     n = F.col("n_drawn")
     if kind == "log_att":
         # cells whose outcome or counterfactual has no logarithm are left out
@@ -105,21 +122,26 @@ def estimand_intervals(fit: FitResult, kind: str = "att", by: str = "event_time"
         needed = needed & (F.col("event_time") >= 1)
     chosen = predicate(cells) & needed
     own = imputed_outcomes(fit, chosen, direction).withColumn("job_id", F.lit(0).cast("long")).withColumn("n_drawn", F.lit(1))
-    drawn = imputed_outcomes(fit, chosen, direction, replicates=True)
+    if not fit.keeps_surface:
+        raise ValueError("the fit kept no surface of its replicates: fit with se=True and keep_surface=True")
+    inner = "event_time" if kind == "att_cumu" else by
+
     every = (fit.cells.select(F.xxhash64("unit").alias("job_id")) if fit.surface is None else fit.surface.select("job_id")).distinct()
 
-    def aggregated(rows: DataFrame) -> DataFrame:
+    def aggregated(rows: DataFrame | None) -> DataFrame:
+        """(job_id, at, value, n_cells) of the rows, or of the replicates."""
+        out = _aggregated(rows, "att" if kind == "att_cumu" else kind, inner) if rows is not None else _left_out(fit, own, kind, inner)
         if kind != "att_cumu":
-            return _aggregated(rows, kind, by)
+            return out
         order = W.partitionBy("job_id").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
         value = F.sum(F.col("value") * F.col("n_cells")).over(order) / F.sum("n_cells").over(order) * F.count(F.lit(1)).over(order)
-        out = _aggregated(rows, "att", "event_time").select("job_id", "at", value.alias("value"), "n_cells")
+        out = out.select("job_id", "at", value.alias("value"), "n_cells")
         if by == "event_time":
             return out
         return out.groupBy("job_id").agg(F.lit(0.0).alias("at"), F.max_by("value", "at").alias("value"), F.sum("n_cells").alias("n_cells"))
 
     point = aggregated(own).select(F.lit(kind).alias("kind"), "at", "value", "n_cells")
-    reps = every.join(aggregated(drawn), "job_id", "left").select("job_id", F.lit(kind).alias("kind"), "at", "value", "n_cells", F.when(F.col("value").isNull(), "no cell").alias("error"))
+    reps = every.join(aggregated(None if fit.surface is None else imputed_outcomes(fit, chosen, direction, replicates=True)), "job_id", "left").select("job_id", F.lit(kind).alias("kind"), "at", "value", "n_cells", F.when(F.col("value").isNull(), "no cell").alias("error"))
     return inference.intervals(point, reps, fit.vartype, level, method).drop("kind")
 
 

@@ -92,7 +92,7 @@ def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: b
     """Fit the untreated outcome on untreated cells, impute it everywhere, and optionally resample.
 
     ``keep_surface`` stores each replicate's surface for intervals of filtered estimands. Additive models stay in the cluster: means by SQL, two-way effects by exact least squares, the never-treated closed
-    form where controls are balanced. Factor models run as kernels over the dense panel."""
+    form where controls are balanced or ``control_means`` asks for it. Factor models run as kernels over the dense panel."""
     options = (options or FitOptions()).resolved()
     if options.method == "probit" and df.where(F.col(spec.y).isNotNull() & ~F.col(spec.y).cast("double").isin(0.0, 1.0)).limit(1).count():
         raise ValueError("probit needs an outcome of 0 and 1")
@@ -115,7 +115,7 @@ def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: b
     scalars: dict = {}
     dense: jobs.Dense | None = None
     units = times = None
-    closed = options.method == "fe" and options.sample == "nevertreated" and not x and not weighted and additive.controls_balanced(cells)
+    closed = options.method == "fe" and options.sample == "nevertreated" and not x and not weighted and (options.control_means or additive.controls_balanced(cells))
     if closed:
         out = additive.never_treated(cells, options.force)
     elif options.method == "fe" and options.force != "two-way" and not x and not weighted and options.sample == "notyettreated":

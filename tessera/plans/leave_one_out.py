@@ -1,56 +1,179 @@
 """Jackknife of the never-treated closed form without refitting.
 
-Leaving a treated unit out takes its cells away from each mean. Leaving a control out moves the period means by
+Leaving a treated unit out takes its cells away from each mean. Leaving a control out moves the mean of a period in which it is observed by
 delta_t = (m_t - y_t) / (n_t - 1), and every effect is linear in them: an effect at period t moves by -delta_t plus the mean of
 delta over its unit's periods before treatment. So each estimate has one coefficient a period, and a control's replicate is the
-estimate plus the sum of coefficient times delta over its cells: two aggregations and a join on the period."""
+estimate plus the sum of coefficient times delta over its cells: two aggregations and a join on the period.
+
+A control that is alone in a period takes the period's level with it, which is not linear: such controls (one a period at most) are left out by
+fits of their own."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.stored import stored
+
 KINDS = (("overall", None, "d = 1"), ("event", "t_on", "t_on is not null"), ("exit", "t_off", "t_off is not null"), ("calendar", "time_ix", "d = 1"))
+#: Units of a block of treated units, or of controls, that a task compares, and controls that it compares at once.
+BLOCK, AT_ONCE = 2048, 128
 
 
 def _targets(cells: DataFrame) -> DataFrame:
-    """(unit, time_ix, kind, at, eff): each effect once for every estimate that it enters."""
+    """(unit, time_ix, kind, at, eff, y): each effect once for every estimate that it enters."""
     entries = [F.when(F.expr(on), F.struct(F.lit(kind).alias("kind"), (F.col(at).cast("double") if at else F.lit(0.0)).alias("at"))) for kind, at, on in KINDS]
-    rows = cells.where("eff is not null").select("unit", "time_ix", "eff", F.explode(F.array(*entries)).alias("e"))
-    return rows.where("e is not null").select("unit", "time_ix", "eff", "e.kind", "e.at")
+    rows = cells.where("eff is not null").select("unit", "time_ix", "eff", "y", F.explode(F.array(*entries)).alias("e"))
+    return rows.where("e is not null").select("unit", "time_ix", "eff", "y", "e.kind", "e.at")
 
 
-def replicates(cells: DataFrame) -> DataFrame:
-    """(job_id, left_out, kind, at, value, n_cells, error) for every unit left out of ``cells``, which have y0 and eff of
-    ``additive.never_treated`` and observe every control in every period."""
+def _before(cells: DataFrame) -> DataFrame:
+    """``cells`` with own: whether the cell enters its unit's level."""
     first = F.min(F.when(F.col("d") == 1, F.col("time_ix"))).over(W.partitionBy("unit"))
     own = (F.col("i_obs") == 1) & (F.col("ii") == 1) & (F.col("first").isNull() | (F.col("time_ix") < F.col("first")))
-    # five aggregations read these few columns
-    cells = cells.withColumn("first", first).withColumn("own", own).select("unit", "time_ix", "y", "d", "i_obs", "ever", "eff", "t_on", "t_off", "own").persist()
-    targets = _targets(cells)
-    total = targets.groupBy("kind", "at").agg(F.sum("eff").alias("s"), F.count(F.lit(1)).alias("n"))
+    return cells.withColumn("first", first).withColumn("own", own).drop("first")
+
+
+def _shares(cells: DataFrame) -> DataFrame:
+    """(unit, time_ix, share): the weights of a unit's level. A period without any control has none."""
+    return cells.where("own and eff is not null").select("unit", "time_ix", (1 / F.count(F.lit(1)).over(W.partitionBy("unit"))).alias("share"))
+
+
+def _deltas(cells: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(unit, time_ix, delta) of the controls' cells, and (left_out) the controls that are alone in a period, if there are any."""
+    controls = cells.where("ever = 0 and i_obs = 1").select("unit", "time_ix", "y")
+    means = controls.groupBy("time_ix").agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("k"))
+    met = controls.join(F.broadcast(means), "time_ix")
+    alone = met.where("k = 1").select(F.col("unit").alias("left_out")).distinct()
+    return met.where("k > 1").select("unit", "time_ix", ((F.col("m") - F.col("y")) / (F.col("k") - 1)).alias("delta")), alone if alone.limit(1).count() else None
+
+
+def _refitted(cells: DataFrame, alone: DataFrame) -> DataFrame:
+    """(left_out, unit, time_ix, eff): the effects of the fit without each unit of ``alone``; a period without controls has none."""
+    met = cells.select("unit", "time_ix", "y", "i_obs", "ever", "own").join(F.broadcast(alone)).where("unit <> left_out")  # one control a period at most
+    level = met.where("ever = 0 and i_obs = 1").groupBy("left_out", "time_ix").agg(F.avg("y").alias("m"))
+    rest = met.where("ever = 1").join(F.broadcast(level), ["left_out", "time_ix"]).withColumn("rest", F.col("y") - F.col("m"))
+    own = F.avg(F.when(F.col("own"), F.col("rest"))).over(W.partitionBy("left_out", "unit"))
+    return rest.select("left_out", "unit", "time_ix", F.when(F.col("i_obs") == 1, F.col("rest") - own).alias("eff")).where("eff is not null")
+
+
+def sums(cells: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """(job_id, left_out, kind, at, s, sy, n): sums of eff and of y over the cells of every estimate, and their number, without each unit.
+
+    ``cells`` have y0 and eff of ``additive.never_treated``; ``targets`` (unit, time_ix, kind, at, eff, y) are cells of treated units, the fit's usual
+    estimates if not given. An estimate without cells is missing."""
+    # several aggregations read these few columns
+    cells = stored(_before(cells).select("unit", "time_ix", "y", "d", "i_obs", "ever", "eff", "t_on", "t_off", "own"), "unit")
+    targets = _targets(cells) if targets is None else targets
+    added = [F.sum("eff").alias("s"), F.sum("y").alias("sy"), F.count(F.lit(1)).alias("n")]
+    total = targets.groupBy("kind", "at").agg(*added)
     # treated units, and controls where they have effects of their own
-    mine = targets.groupBy("unit", "kind", "at").agg(F.sum("eff").alias("s_own"), F.count(F.lit(1)).alias("n_own"))
+    mine = targets.groupBy("unit", "kind", "at").agg(*added).withColumnsRenamed({"s": "s_own", "sy": "sy_own", "n": "n_own"})
     units = cells.groupBy("unit").agg(F.max("ever").alias("ever"))
     every = units.join(F.broadcast(total))  # estimates: a few for each period, whose number is checked
     # what a period's mean moves each estimate by
     here = targets.groupBy("kind", "at", "time_ix").agg((-F.count(F.lit(1))).cast("double").alias("c"))
-    earlier = cells.where("own").select("unit", F.col("time_ix").alias("t"), (1 / F.count(F.lit(1)).over(W.partitionBy("unit"))).alias("share"))
-    before = mine.join(earlier, "unit").groupBy("kind", "at", F.col("t").alias("time_ix")).agg(F.sum(F.col("n_own") * F.col("share")).alias("c"))
+    before = mine.join(_shares(cells), "unit").groupBy("kind", "at", "time_ix").agg(F.sum(F.col("n_own") * F.col("share")).alias("c"))
     moves = here.unionByName(before).groupBy("kind", "at", "time_ix").agg(F.sum("c").alias("c"))
-    controls = cells.where("ever = 0 and i_obs = 1").select("unit", "time_ix", "y")
-    means = controls.groupBy("time_ix").agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("k"))
-    deltas = controls.join(F.broadcast(means), "time_ix").select("unit", "time_ix", ((F.col("m") - F.col("y")) / F.nullif(F.col("k") - 1, F.lit(0))).alias("delta"))
+    deltas, alone = _deltas(cells)
     moved = deltas.join(F.broadcast(moves), "time_ix").groupBy("unit", "kind", "at").agg(F.sum(F.col("c") * F.col("delta")).alias("moved"))
     out = reduce(lambda a, b: a.join(b, ["unit", "kind", "at"], "left"), (mine, moved), every)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    left = F.col("n") - F.coalesce("n_own", F.lit(0))
-    value = (F.col("s") - zero("s_own") + zero("moved") * F.when(F.col("ever") == 0, 1).otherwise(0)) / F.nullif(left, F.lit(0))
-    # an estimate without cells is missing from the replicate, as a refit would leave it out
-    return out.where(left > 0).select(F.xxhash64("unit").alias("job_id"), F.col("unit").alias("left_out"), "kind", "at", value.alias("value"), left.alias("n_cells"), F.lit(None).cast("string").alias("error"))
+    s = F.col("s") - zero("s_own") + zero("moved") * F.when(F.col("ever") == 0, 1).otherwise(0)
+    out = out.select(F.col("unit").alias("left_out"), "kind", "at", s.alias("s"), (F.col("sy") - zero("sy_own")).alias("sy"), (F.col("n") - F.coalesce("n_own", F.lit(0))).alias("n"))
+    if alone is not None:
+        again = _refitted(cells, alone).join(targets.drop("eff"), ["unit", "time_ix"]).groupBy("left_out", "kind", "at").agg(*added)
+        out = out.join(F.broadcast(alone), "left_out", "left_anti").unionByName(again)
+    return out.where("n > 0").withColumn("job_id", F.xxhash64("left_out"))
+
+
+def replicates(cells: DataFrame) -> DataFrame:
+    """(job_id, left_out, kind, at, value, n_cells, error) for every unit left out of ``cells``, which have y0 and eff of
+    ``additive.never_treated``. An estimate without cells is missing from the replicate, as a refit would leave it out."""
+    return sums(cells).select("job_id", "left_out", "kind", "at", (F.col("s") / F.col("n")).alias("value"), F.col("n").alias("n_cells"), F.lit(None).cast("string").alias("error"))
+
+
+def _log_sums(n_periods: int, unit: str):
+    def run(key: tuple, units: pa.Table, controls: pa.Table) -> pa.Table:
+        """(left_out, at, s, n): sums of log y - log y0 over a block of treated units, without each control of another."""
+        names = ("left_out", "at", "s", "n")
+        if not units.num_rows or not controls.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (controls.column("unit").type, pa.float64(), pa.float64(), pa.int64()), strict=True)})
+
+        def flat(table: pa.Table, name: str, *fields: str):
+            lists = table.column(name).combine_chunks()
+            of = np.repeat(np.arange(len(lists)), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+            inner = lists.flatten()
+            return of, *(inner.field(inner.type.get_field_index(f)).to_numpy(zero_copy_only=False) for f in fields)
+
+        of, t, share = flat(units, "shares", "t", "share")
+        weight = np.zeros((units.num_rows, n_periods))
+        weight[of, t] = share
+        row, t, at, y, y0 = flat(units, "cells", "t", "at", "y", "y0")
+        of, when, value = flat(controls, "deltas", "t", "delta")
+        delta = np.zeros((controls.num_rows, n_periods))
+        delta[of, when] = value
+        out = []
+        chosen = [(a, np.flatnonzero((at == a) & (y > 0))) for a in np.unique(at)]
+        for low in range(0, len(delta), AT_ONCE):
+            d = delta[low : low + AT_ONCE]
+            shift = d @ weight.T
+            for a, on in chosen:
+                level = y0[on] + d[:, t[on]] - shift[:, row[on]]
+                good = level > 0
+                s = np.where(good, np.log(y[on]) - np.log(np.where(good, level, 1.0)), 0.0).sum(axis=1)
+                out.append((np.arange(low, low + len(d)), np.full(len(d), a), s, good.sum(axis=1)))
+        who, at, s, n = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"left_out": controls.column("unit").combine_chunks().take(pa.array(who)), "at": at, "s": s, "n": n.astype(np.int64)})
+
+    return run, f"left_out {unit}, at double, s double, n long"
+
+
+def log_sums(cells: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(job_id, at, s, n): sums of log y - log y0 over ``rows`` (unit, time_ix, at, y, y0) without each unit; cells with an outcome or a counterfactual
+    that has no logarithm in the replicate are left out.
+
+    Logarithms aren't linear in a control's deltas, so every cell meets every control: blocks of treated units meet blocks of controls, each pair of
+    blocks a group of its own that sends a sum for each control."""
+    unit = cells.schema["unit"].dataType.simpleString()
+    # cells of treated units have effects; a control's counterfactual isn't needed
+    cells = stored(_before(cells).select("unit", "time_ix", "y", "d", "i_obs", "ever", "eff", "own"), "unit")
+    deltas, alone = _deltas(cells)
+    n_periods = int(cells.agg(F.max("time_ix")).first()[0])
+    t = (F.col("time_ix") - 1).alias("t")
+    units = rows.groupBy("unit").agg(F.collect_list(F.struct(t, "at", "y", "y0")).alias("cells"))
+    units = units.join(_shares(cells).groupBy("unit").agg(F.collect_list(F.struct(t, "share")).alias("shares")), "unit")
+    controls = deltas.groupBy("unit").agg(F.collect_list(F.struct(t, "delta")).alias("deltas"))
+    n_units, n_controls = (cells.where(f"ever = {e}").select("unit").distinct().count() for e in (1, 0))
+    ni, nj = max(1, -(-n_units // block)), max(1, -(-n_controls // block))
+    own = lambda n: F.pmod(F.xxhash64("unit"), F.lit(n))
+    dealt = units.withColumn("bi", own(ni)).withColumn("bj", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nj - 1).cast("long"))))
+    others = controls.withColumn("bj", own(nj)).withColumn("bi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ni - 1).cast("long"))))
+    run, kind = _log_sums(n_periods, unit)
+    moved = dealt.groupBy("bi", "bj").cogroup(others.groupBy("bi", "bj")).applyInArrow(run, kind)
+
+    def added(value: Column) -> list[Column]:
+        return [F.sum(value).alias("s"), F.count(value).alias("n")]
+
+    value = lambda y0: F.when((F.col("y") > 0) & (y0 > 0), F.log("y") - F.log(y0))
+    without = moved.groupBy("left_out", "at").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    total = rows.groupBy("at").agg(*added(value(F.col("y0"))))
+    mine = rows.groupBy("unit", "at").agg(*added(value(F.col("y0")))).withColumnsRenamed({"s": "s_own", "n": "n_own"})
+    treated = cells.where("ever = 1").select("unit").distinct().join(F.broadcast(total)).join(mine, ["unit", "at"], "left")
+    treated = treated.select(F.col("unit").alias("left_out"), "at", (F.coalesce("s", F.lit(0.0)) - F.coalesce("s_own", F.lit(0.0))).alias("s"), (F.col("n") - F.coalesce("n_own", F.lit(0))).alias("n"))
+    # controls that are observed nowhere move nothing
+    idle = cells.where("ever = 0").select(F.col("unit").alias("left_out")).distinct().join(deltas.select(F.col("unit").alias("left_out")).distinct(), "left_out", "left_anti")
+    out = without.unionByName(idle.join(F.broadcast(total)).select("left_out", "at", "s", "n"))
+    if alone is not None:
+        again = _refitted(cells, alone).join(rows.drop("y0"), ["unit", "time_ix"])
+        again = again.groupBy("left_out", "at").agg(*added(value(F.col("y") - F.col("eff"))))
+        out = out.join(F.broadcast(alone), "left_out", "left_anti").unionByName(again)
+    return out.unionByName(treated).where("n > 0").withColumn("job_id", F.xxhash64("left_out")).drop("left_out")
 
 
 def cell_replicates(cells: DataFrame, rows: DataFrame) -> DataFrame:
@@ -59,16 +182,15 @@ def cell_replicates(cells: DataFrame, rows: DataFrame) -> DataFrame:
     A control that is left out moves an effect at t by -delta_t plus the mean of delta over the unit's own periods; a treated unit takes only
     its own rows away. Rows meet replicates by their period, and units meet them by theirs, so the relation is made by joins on the
     period and never by pairing units."""
-    first = F.min(F.when(F.col("d") == 1, F.col("time_ix"))).over(W.partitionBy("unit"))
-    before = (F.col("i_obs") == 1) & (F.col("ii") == 1) & (F.col("first").isNull() | (F.col("time_ix") < F.col("first")))
-    cells = cells.withColumn("first", first)
-    is_control = (F.col("ever") == 0) & (F.col("i_obs") == 1)
-    means = cells.where(is_control).groupBy("time_ix").agg(F.avg("y").alias("m"), F.count(F.lit(1)).alias("k"))
-    delta = F.when(is_control, (F.col("m") - F.col("y")) / F.nullif(F.col("k") - 1, F.lit(0))).when(F.col("ever") == 1, 0.0)
-    left = cells.join(F.broadcast(means), "time_ix").select(F.col("unit").alias("left_out"), "time_ix", delta.alias("delta"), "ever")
-    own = cells.where(before).select("unit", "time_ix", (1 / F.count(F.lit(1)).over(W.partitionBy("unit"))).alias("share"))
-    asked = own.join(rows.select("unit").distinct(), "unit")
+    cells = _before(cells)
+    deltas, alone = _deltas(cells)
+    # a control that isn't observed in a period moves nothing there
+    left = cells.select("unit", "time_ix", "ever").join(deltas, ["unit", "time_ix"], "left").select(F.col("unit").alias("left_out"), "time_ix", F.coalesce("delta", F.lit(0.0)).alias("delta"), "ever")
+    asked = _shares(cells).join(rows.select("unit").distinct(), "unit")
     shift = asked.join(left.where("ever = 0").select("left_out", "time_ix", "delta"), "time_ix").groupBy("unit", "left_out").agg(F.sum(F.col("share") * F.col("delta")).alias("shift"))
     met = rows.join(left.drop("ever"), "time_ix").where("unit <> left_out").join(shift, ["unit", "left_out"], "left")
-    eff = F.col("eff") - F.col("delta") + F.coalesce("shift", F.lit(0.0))
-    return met.withColumn("eff", eff).withColumn("job_id", F.xxhash64("left_out")).withColumn("n_drawn", F.lit(1)).drop("left_out", "delta", "shift")
+    out = met.withColumn("eff", F.col("eff") - F.col("delta") + F.coalesce("shift", F.lit(0.0))).drop("delta", "shift")
+    if alone is not None:
+        again = rows.drop("eff").join(_refitted(cells, alone), ["unit", "time_ix"])
+        out = out.join(F.broadcast(alone), "left_out", "left_anti").unionByName(again)
+    return out.withColumn("job_id", F.xxhash64("left_out")).withColumn("n_drawn", F.lit(1)).drop("left_out")
