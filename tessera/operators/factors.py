@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..sources.stored import stored
 from . import additive
@@ -185,24 +186,31 @@ def _distance(a: Sides, b: Sides) -> float:
     return max(rel(low[1], low[0]), rel(b.xi, a.xi), rel(b.beta, a.beta))
 
 
-def fit(cells: DataFrame, x: tuple[str, ...] = (), r: int = 0, lam: float | None = None, force: str = "two-way", weighted: bool = False, tol: float = 1e-6, max_iter: int = 2000) -> tuple[DataFrame, Sides, DataFrame]:
+def fit(cells: DataFrame, x: tuple[str, ...] = (), r: int = 0, lam: float | None = None, force: str = "two-way", weighted: bool = False, tol: float = 1e-6, max_iter: int = 2000, on_controls: bool = False) -> tuple[DataFrame, Sides, DataFrame]:
     """Add y0 to cells (y, ii, w, x, unit, time_ix); also the periods' side, and (unit, loadings).
 
     ``r`` factors, or a nuclear-norm part of weight ``lam`` times the number of cells. Stops when the periods' side changes by ``tol`` or less
-    in a pass."""
+    in a pass. ``on_controls`` fits the periods' side on never-treated units; others solve their own on their cells before treatment."""
     if force not in FORCES or not (r or lam is not None):
         raise ValueError("factors are fitted with unit, time or two-way effects, and at least one of them or a penalty")
     n_periods = int(cells.agg(F.max("time_ix")).first()[0])
-    units = stored(packed(cells, x, weighted), "unit")
-    n_units = cells.select("unit").distinct().count()
+    rows = cells.where("ever = 0") if on_controls else cells
+    units = stored(packed(rows, x, weighted), "unit")
+    n_units = rows.select("unit").distinct().count()
     xi, beta = np.zeros(n_periods), np.zeros(len(x))
     if force == "two-way":
-        _, info = additive.exact_fit(cells, x, weighted)
+        _, info = additive.exact_fit(rows, x, weighted)
         xi, beta = info["xi"] - info["xi"].mean(), info["beta"]
     rho = lam * n_periods * n_units if lam is not None else 0.0
     rank = r if lam is None else min(n_periods, n_units, max(4, r))
     while True:
         sides = _start(units, xi, beta, rank, force, x)
+        if lam is not None and force == "two-way" and not weighted and rho >= sides.ssr:
+            # at the top singular value of the additive model's residuals or above, that model is the minimum
+            sides = _step(units, Sides(xi, np.zeros((n_periods, 0)), beta), force, 0.0, x)
+            sides.xi, sides.beta, sides.n_iter, sides.converged = xi, beta, 1, True
+            own = _units_solved(cells, units, sides, force, 0.0, x)
+            return _surface(cells, own, sides, x), sides, own.select("unit", "loadings")
         if lam is not None:
             # halve the leading part's scale between both sides, as the penalty does at its minimum
             sides.factors = sides.factors / np.sqrt(n_periods) * np.sqrt(max(sides.ssr, 1e-12))
@@ -215,6 +223,9 @@ def fit(cells: DataFrame, x: tuple[str, ...] = (), r: int = 0, lam: float | None
                 break
         free = lam is None or rank >= min(n_periods, n_units) or np.linalg.svd(sides.factors, compute_uv=False)[-1] <= 1e-4 * max(1.0, float(np.abs(sides.factors).max(initial=0.0)))
         if free:
+            if on_controls:
+                first = F.min(F.when(F.col("d") == 1, F.col("time_ix"))).over(W.partitionBy("unit"))
+                units = packed(cells.withColumn("__first", first), x, weighted, "ii = 1 and (__first is null or time_ix < __first)")
             own = _units_solved(cells, units, sides, force, rho, x)
             return _surface(cells, own, sides, x), sides, own.select("unit", "loadings")
         rank = min(2 * rank, n_periods, n_units)

@@ -80,12 +80,28 @@ class FitResult:
         return spark.createDataFrame([(k, float(v)) for k, v in self.scalars.items() if np.isscalar(v) and v is not None], "name string, value double")
 
 
-def _spread(cells: DataFrame, options: FitOptions, x: tuple[str, ...], select: bool, se: bool) -> bool:
+def _additive(cells: DataFrame, spec: PanelSpec, options: FitOptions) -> bool:
+    """Whether the model is one of unit and period effects alone: no factors, and further effects only of unions of units."""
+    if options.force != "two-way" or options.sample != "notyettreated" or options.r != 0 or options.method not in ("ife", "cfe") or (options.method == "cfe" and (spec.z or spec.q)):
+        return False
+    extra = [f"fe{i + 1}" for i in range(len(spec.extra_fe))] if options.method == "cfe" else []
+    if not extra:
+        return True
+    several = cells.where("ii = 1").groupBy("unit").agg(*(F.size(F.collect_set(F.coalesce(c, F.lit("?")))).alias(c) for c in extra))
+    return several.where(" or ".join(f"{c} > 1" for c in extra)).limit(1).count() == 0
+
+
+def _spread(cells: DataFrame, options: FitOptions, x: tuple[str, ...], weighted: bool, select: bool, se: bool) -> bool:
     """Whether a factor or penalised model is fitted over the units' rows."""
     ready = not select and options.sample == "notyettreated" and options.force in factors.FORCES and ((options.method == "ife" and isinstance(options.r, int) and options.r > 0) or (options.method == "mc" and options.lam is not None))
     if options.distributed and not ready:
         raise ValueError("distributed fits need ife with a rank, or mc with a penalty, on not-yet-treated cells")
-    return ready and (options.distributed or (not se and jobs.dense_bytes(cells, len(x)) > jobs.MAX_PANEL_BYTES))
+    never = not select and options.sample == "nevertreated" and options.force in factors.FORCES and options.method == "ife" and isinstance(options.r, int) and options.r > 0 and not weighted and options.loading_bound == "none"
+    return (ready and options.distributed) or ((ready or never) and _large(cells, x, se))
+
+
+def _large(cells: DataFrame, x: tuple[str, ...], se: bool) -> bool:
+    return not se and jobs.dense_bytes(cells, len(x)) > jobs.DRIVER_BYTES
 
 
 def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: bool = False, vartype: str = "bootstrap", nboots: int = 200, seed: int = 1, select: bool = False, folds: int = 10, checked: bool = True, keep_surface: bool = False) -> FitResult:
@@ -123,8 +139,14 @@ def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: b
     elif options.method == "fe" and options.force == "two-way" and options.sample == "notyettreated":
         out, info = additive.exact_fit(cells, x, weighted)
         scalars |= {f"beta_{spec.x[i]}": float(b) for i, b in enumerate(info["beta"])}
-    elif _spread(cells, options, x, select, se):
-        out, sides, loadings = factors.fit(cells, x, options.r if options.method == "ife" else 0, options.lam if options.method == "mc" else None, options.force, weighted, options.tol, options.max_iter)
+    elif not select and _additive(cells, spec, options) and _large(cells, x, se):
+        out, info = additive.exact_fit(cells, x, weighted)
+        scalars |= {f"beta_{spec.x[i]}": float(b) for i, b in enumerate(info["beta"])}
+        used = out.where("ii = 1").agg(F.sum((F.col("y") - F.col("y0")) ** 2), F.count(F.lit(1)), F.count_distinct("unit"), F.count_distinct("time_ix")).first()
+        sigma2, ic, pc = information(used[0], used[1], used[3], used[2], 0, len(x), options.force)
+        scalars |= {"sigma2": sigma2, "ic": ic, "pc": pc, "converged": 1.0}
+    elif _spread(cells, options, x, weighted, select, se):
+        out, sides, loadings = factors.fit(cells, x, options.r if options.method == "ife" else 0, options.lam if options.method == "mc" else None, options.force, weighted, options.tol, options.max_iter, options.sample == "nevertreated")
         r = options.r if options.method == "ife" else 0
         sigma2, ic, pc = information(sides.ssr, sides.n_cells, len(sides.xi), sides.n_units, r, len(x), options.force) if r else (sides.ssr / max(sides.n_cells, 1), np.nan, np.nan)
         scalars |= {"sigma2": sigma2, "ic": ic, "pc": pc, "n_iter": sides.n_iter, "converged": float(sides.converged)} | {f"beta_{spec.x[i]}": float(b) for i, b in enumerate(sides.beta)}

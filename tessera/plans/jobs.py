@@ -19,6 +19,8 @@ from ..functions import kernels
 
 #: Bytes of dense arrays that may be broadcast.
 MAX_PANEL_BYTES = 512 << 20
+#: Bytes of dense arrays beyond which a fit that has another way isn't collected: its rows take many times that on the driver.
+DRIVER_BYTES = 32 << 20
 
 
 @dataclass

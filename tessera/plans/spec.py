@@ -88,7 +88,7 @@ class FitOptions:
     cv_rule: str = "1se"
     #: With fe on never-treated units whose cells have gaps: a period's level is the mean of the controls observed in it, instead of least squares.
     control_means: bool = False
-    #: Fit factor and penalised models over the units' rows instead of one dense panel; larger panels than that holds always are.
+    #: Fit factor and penalised models over the units' rows instead of one dense panel; panels too large to be collected always are.
     distributed: bool = False
     #: How the probit model's latent index is refitted: principal components (svd) or alternating regressions (qr).
     probit_solver: str = "svd"
