@@ -7,7 +7,9 @@ import re
 import tempfile
 import time
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ NULL_ID = 2**63 - 1
 #: Folder of the written tables within the shared one.
 TABLES = "tessera-tables"
 
+#: Rows of a batch that a task's Python takes at once: texts, and what is made of them, are several times as large there as in Arrow.
+PIECE_ROWS = 512
+
 _own_dir: list[str] = []
 
 
@@ -49,6 +54,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices of ``rows`` rows at most, so that neither what is made of a batch nor what is sent back for it is held whole."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and that nothing reads any more, and let Spark remove shuffle files without a user."""
     spark = df.sparkSession

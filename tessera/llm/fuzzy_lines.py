@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, connected_components, drop, free, materialize
+from .common import NULL_ID, connected_components, drop, free, materialize, pieces
 from .minhash import CODES, N, NONE, candidates, code_columns, codes, links, minima
 
 GRAM, SIMILARITY = 6, 0.8
@@ -229,7 +229,7 @@ def exactly(a: str, b: str) -> bool:
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, th, line, h1, h2, codes) of every line that isn't blank."""
-    for batch in batches:
+    for batch in pieces(batches):
         row, line, raw = [], [], []
         for r, x in enumerate(batch.column("text").to_pylist()):
             for i, part in enumerate(normalised_lines(x)):
@@ -246,7 +246,7 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         ids, texts = [], []
         for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             lines = text.split("\n")
@@ -307,7 +307,7 @@ def report(docs: DataFrame) -> DataFrame:
     the document and line that its group keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             counts, digests = [], []
             for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 n, rest = _without(text, gone)
@@ -328,7 +328,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     wide = docs.select(row, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [_without(t, g)[1] for t, g in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.string())], names=["__row", "text"])
 

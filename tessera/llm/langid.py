@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import pieces
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -204,7 +206,7 @@ def predict(docs: DataFrame, net: ByteCNN | None, keep: tuple[str, ...] = ("doc_
     kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column("text").to_pylist()
             on = [i for i, t in enumerate(texts) if t is not None and net is not None]
             out = [(UNKNOWN, 0.0)] * len(texts)

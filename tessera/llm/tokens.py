@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialize
+from .common import materialize, pieces
 
 #: Characters in a chunk, and how many of them a chunk shares with the next.
 CHUNK, OVERLAP = 16384, 512
@@ -161,7 +161,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int,
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             yield finish(batch.column("doc_id"), [bpe.encode_span(t) for t in batch.column("text").to_pylist()], bpe)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int,
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = zip(batch.column("text").to_pylist(), batch.column("chunk").to_pylist(), batch.column("n_chunks").to_pylist(), strict=True)
             marks = [chunk_bounds(bpe, t, c == n - 1).astype("<i4").tobytes() for t, c, n in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], names=[*batch.schema.names, "marks"])
@@ -186,7 +186,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int,
         bpe = load(path, pattern)
 
         def rows():
-            for batch in batches:
+            for batch in pieces(batches):
                 yield from zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "chunk", "start", "text", "marks")), strict=True)
 
         def close(doc_id, parts, copies):

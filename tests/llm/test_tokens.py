@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -75,3 +76,32 @@ def test_histogram_answers(spark, reference):
     assert got[("total_tokens", 0.0)] == sum(sizes)
     assert got[("docs_above", 16.0)] == sum(s > 16 for s in sizes) and got[("tokens_kept", 64.0)] == sum(min(s, 64) for s in sizes)
     assert got[("quantile", 0.5)] == sizes[-(-len(sizes) // 2) - 1] and got[("quantile", 1.0)] == sizes[-1]
+
+
+def test_texts_go_through_the_encoder_a_few_at_a_time(spark, monkeypatch):
+    # what is made of 10,000 texts and sent back in one batch is several times their size
+    taken = []
+
+    class Counting(tokens.ByteBPE):
+        def __init__(self):
+            pass
+
+        def encode_span(self, text):
+            taken[-1] += 1
+            return np.zeros(1, "<u4")
+
+        def decode(self, ids):
+            return b""
+
+    functions = {}
+    real = type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda df, f, schema: functions.setdefault(f.__name__, f) and real(df, f, schema))
+    monkeypatch.setattr(tokens, "load", lambda path, pattern: Counting())
+    tokens.digests(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "", "", with_ids=True)
+    taken.append(0)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10_000)), "text": ["a b"] * 10_000})
+    sizes = []
+    for out in functions["short"](iter([batch])):
+        sizes.append(out.num_rows)
+        taken.append(0)
+    assert sum(sizes) == 10_000 and max(sizes) <= 512 and max(taken) <= 512
