@@ -35,6 +35,8 @@ PLANES = 2
 RECORD = np.dtype([("key", "<u4"), ("id", "<i8"), *((f"p{i}", "<u8") for i in range(PLANES))])
 #: Bands that are dealt in one shuffle, bytes of keys in a part, sets whose keys a task packs at once.
 AT_ONCE, PART_BYTES, PACKED_SETS = 8, 8 << 20, 1 << 17
+#: The band of groups that another method found: all pairs of their members are candidates.
+ANY = -1
 #: Rows of a bucket that are compared by shifts over all buckets at once.
 SHORT = 48
 #: Buckets beyond this are dealt in blocks; rows of such a block, and of a block of a group's members.
@@ -259,12 +261,12 @@ def _forests(payload: str, bands: list[tuple[int, ...]], loose: int, read: Calla
 
             def linked(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
                 """Of the pairs those that are verified here: candidates, in the first band that they share, not yet connected."""
-                near = (differing(p, i, j) <= loose) & (~apart[i] | (own[i] != own[j]))
+                near = ((differing(p, i, j) <= loose) | (band[i] == ANY)) & (~apart[i] | (own[i] != own[j]))
                 i, j = i[near], j[near]
                 for at in range(0, len(i), 1 << 14):
                     x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
                     shared = (code[x] == code[y])[:, chosen].all(axis=2)
-                    good = shared.any(axis=1) & (shared.argmax(axis=1) == band[x])
+                    good = (band[x] == ANY) | (shared.any(axis=1) & (shared.argmax(axis=1) == band[x]))
                     yield from zip(x[good].tolist(), y[good].tolist(), strict=True)
 
             left, right = [], []
@@ -316,7 +318,8 @@ def _forests(payload: str, bands: list[tuple[int, ...]], loose: int, read: Calla
 
 
 def links(grouped: DataFrame, sets: DataFrame, payload: str, bands: list[tuple[int, ...]], loose: int, read: Callable, quickly: Callable, exactly: Callable | None = None, block: int = BLOCK) -> DataFrame:
-    """(a, b): spanning forests, by id, of the links among the members of groups (from ``candidates``).
+    """(a, b): spanning forests, by id, of the links among the members of groups (from ``candidates``, or of
+    another method with band ``ANY``).
 
     ``sets`` has id, codes and the column ``payload``; whether two members link is for quickly(read(x), read(y)) to say, or
     where that is None for exactly(x, y)."""
