@@ -41,6 +41,8 @@ LOOSE = 35
 BANDS = [tuple(b) for b in np.array([np.random.default_rng(i).permutation(N).reshape(-1, 4) for i in (1, 2)]).reshape(-1, 4).tolist()]
 #: Bytes of normalised lines hashed at once.
 SLAB = 1 << 16
+#: Pairs whose distances are computed side by side, bytes of their masks; fewer pairs go one by one.
+SIDE_BY_SIDE, MASK_BYTES, FEW = 1024, 16 << 20, 12
 _DIGITS = str.maketrans("123456789", "000000000")
 _DIGIT_BYTES = bytes.maketrans(b"123456789", b"000000000")
 
@@ -227,6 +229,139 @@ def exactly(a: str, b: str) -> bool:
     return len(a) + len(b) - 2 * common <= most or edit_distance(a, b, most) <= most
 
 
+def _batches(sizes: list[tuple[int, int]], alphabet: int) -> Iterator[list[int]]:
+    """Numbers of pairs (longer, shorter length) whose shorter lengths are alike, and whose masks fit ``MASK_BYTES``."""
+    batch: list[int] = []
+    for i in sorted(range(len(sizes)), key=lambda i: sizes[i][1], reverse=True):
+        if batch:
+            most = sizes[batch[0]][1]
+            words = max(sizes[batch[0]][0], sizes[i][0]) // 64 + 2
+            if len(batch) == SIDE_BY_SIDE or 2 * sizes[i][1] < most or (len(batch) + 1) * words * alphabet * 8 > MASK_BYTES:
+                yield batch
+                batch = []
+        batch.append(i)
+    if batch:
+        yield batch
+
+
+def within(longer: list[str], shorter: list[str], most: list[int]) -> np.ndarray:
+    """Whether the distance of each pair is at most ``most``, which is no less than the difference of their lengths: bit-parallel, a column of all pairs at once.
+
+    Both strings of a pair go on with equal characters until all shorter ones have the same length. Of a column only the words
+    within the band are kept in which a way of at most ``most`` edits stays; beyond it distances are taken as the largest possible."""
+    pairs = len(longer)
+    m, n, k = (np.array(x) for x in ([len(x) for x in longer], [len(x) for x in shorter], most))
+    columns = int(n.max())
+    rows = m + columns - n
+    low, high = int(((k - (m - n)) // 2).max()), int(((k + (m - n)) // 2).max())
+    words = -(-int(rows.max()) // 64)
+    alphabet = set().union(*longer, *shorter)
+    same, none = [c for c in map(chr, range(len(alphabet) + 2)) if c not in alphabet][:2]
+    symbols = {ord(c): i for i, c in enumerate((same, *alphabet))}  # ``none`` is after them
+    number = np.full(max(*symbols, ord(none)) + 1, len(symbols), np.uint8 if len(symbols) < 256 else np.int32)
+    number[list(symbols)] = list(symbols.values())
+
+    def numbers(texts: list[str]) -> np.ndarray:
+        return number[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")].reshape(pairs, -1)
+
+    row = numbers([(x + same * (columns - len(y))).ljust(words * 64, none) for x, y in zip(longer, shorter, strict=True)])
+    masks = np.empty((words, len(symbols), pairs), np.uint64)
+    for c in range(len(symbols)):
+        masks[:, c] = np.packbits(row == c, axis=1, bitorder="little").view("<u8").T
+    masks = masks.reshape(words, -1)
+    flat = masks.reshape(-1)
+    # last column first: in a step word w is at column step - w, so that every word has what the one above sent on in the step before
+    column = numbers([x.ljust(columns, same) for x in shorter]).T[::-1].astype(np.intp, order="C") * pairs + np.arange(pairs)
+    place = (np.arange(words) * masks.shape[1])[:, None]
+
+    one, last_bit, ones = np.uint64(1), np.uint64(63), ~np.uint64(0)
+    up, down = np.full((words, pairs), ones), np.zeros((words, pairs), np.uint64)
+    # what comes into a word from above: one more, one less; above the band one more at each column
+    more, less = np.ones((words + 1, pairs), np.uint64), np.zeros((words + 1, pairs), np.uint64)
+    held = [np.empty((words, pairs), np.uint64) for _ in range(7)]
+    index = np.empty((words, pairs), np.intp)
+    bottom = min(words - 1, (columns + high - 1) // 64)
+    score = np.full(pairs, 64 * (bottom + 1), np.uint64)
+    seen = None
+    for step in range(1, columns + bottom + 1):
+        # word w is kept at columns from 64 w - high + 1 to 64 w + 64 + low
+        first = max(0, step - columns, -((low + 64 - step) // 65))
+        last = min(bottom, step - 1, (step + high - 1) // 65)
+        if first > last:
+            continue
+        if (first, last) != seen:
+            seen, size = (first, last), last - first + 1
+            pv, mv, from_above, less_above, to_below, less_below = up[first : last + 1], down[first : last + 1], more[first : last + 1], less[first : last + 1], more[first + 1 : last + 2], less[first + 1 : last + 2]
+            eq, xv, xh, plus, minus, right, left = (x[:size] for x in held)
+            at, offset = index[:size], place[first : last + 1]
+        if first and step == 65 * first + low + 1:  # the word above has left the band
+            more[first], less[first] = 1, 0
+        np.add(column[columns - step + first : columns - step + last + 1], offset, out=at)
+        flat.take(at, out=eq, mode="clip")
+        np.bitwise_or(eq, mv, out=xv)
+        np.bitwise_or(eq, less_above, out=eq)
+        np.bitwise_and(eq, pv, out=xh)
+        np.add(xh, pv, out=xh)
+        np.bitwise_xor(xh, pv, out=xh)
+        np.bitwise_or(xh, eq, out=xh)
+        np.bitwise_or(xh, pv, out=plus)
+        np.invert(plus, out=plus)
+        np.bitwise_or(plus, mv, out=plus)
+        np.bitwise_and(pv, xh, out=minus)
+        np.right_shift(plus, last_bit, out=right)
+        np.right_shift(minus, last_bit, out=left)
+        np.left_shift(plus, one, out=plus)
+        np.bitwise_or(plus, from_above, out=plus)
+        np.left_shift(minus, one, out=minus)
+        np.bitwise_or(minus, less_above, out=minus)
+        np.bitwise_or(xv, plus, out=xh)
+        np.invert(xh, out=xh)
+        np.bitwise_or(xh, minus, out=pv)
+        np.bitwise_and(plus, xv, out=mv)
+        to_below[:] = right
+        less_below[:] = left
+        # the lowest word of its column
+        if last == bottom or last == (step + high - 1) // 65 and (step + high - 1) % 65 < 64:
+            if last < words - 1 and step - last > 64 * (last + 1) - high:
+                continue
+            score += right[-1]
+            score -= left[-1]
+    score = score.astype(np.int64)
+    # from the lowest row kept up to each pair's own last
+    for w in range(max(0, (columns - low - 1) // 64), bottom + 1):
+        kept = np.clip(rows - 64 * w, 0, 64)
+        below = np.where(kept == 64, np.uint64(0), ones << np.minimum(kept, 63).astype(np.uint64))
+        score -= np.bitwise_count(up[w] & below).astype(np.int64) - np.bitwise_count(down[w] & below).astype(np.int64)
+    return score <= k
+
+
+def exactly_all(pairs: list[tuple[str, str]]) -> list[bool]:
+    """``exactly`` of each pair, for pairs of like lengths at once."""
+    out = [False] * len(pairs)
+    at, longer, shorter, most = [], [], [], []
+    for i, (a, b) in enumerate(pairs):
+        k = edits_allowed(a, b)
+        x, y = between_ends(a, b)
+        if len(x) < len(y):
+            x, y = y, x
+        if len(x) <= k:
+            out[i] = True
+        elif len(x) - len(y) <= k:
+            at.append(i)
+            longer.append(x)
+            shorter.append(y)
+            most.append(k)
+    alphabet = len(set().union(*longer, *shorter)) + 1
+    for batch in _batches([(len(x), len(y)) for x, y in zip(longer, shorter, strict=True)], alphabet):
+        if len(batch) < FEW:
+            answers = [exactly(*pairs[at[i]]) for i in batch]
+        else:
+            answers = within([longer[i] for i in batch], [shorter[i] for i in batch], [most[i] for i in batch]).tolist()
+        for i, answer in zip(batch, answers, strict=True):
+            out[at[i]] = answer
+    return out
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, th, line, h1, h2, codes) of every line that isn't blank."""
     for batch in pieces(batches):
@@ -279,7 +414,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     # repeated rows answer alike
     fetched = materialize(texts.join(asked, ["doc", "th"]).mapInArrow(_fetch, "id long, text string").dropDuplicates(["id"]))
     free(docs.sparkSession)
-    edges = materialize(links(grouped, fetched.join(wanted.select("id", *CODES), "id"), "text", BANDS, LOOSE, str, quickly, exactly))
+    edges = materialize(links(grouped, fetched.join(wanted.select("id", *CODES), "id"), "text", BANDS, LOOSE, str, quickly, exactly, together=exactly_all))
     drop(fetched)
     drop(grouped)
     labels = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("root"))

@@ -41,6 +41,8 @@ ANY = -1
 SHORT = 48
 #: Buckets beyond this are dealt in blocks; rows of such a block, and of a block of a group's members.
 HOT, BLOCK = 8192, 2048
+#: Pairs that wait for an exact answer and get it at once.
+TOGETHER = 4096
 
 
 def minima(h: np.ndarray, segments: np.ndarray, step: int = 1) -> np.ndarray:
@@ -239,9 +241,9 @@ def candidates(sets: DataFrame, bands: list[tuple[int, ...]], loose: int, hot: i
     return found.where("not hot").unionByName(again).groupBy("group", "n", "id").agg(F.min("band").alias("band"))
 
 
-def _forests(payload: str, bands: list[tuple[int, ...]], loose: int, read: Callable, quickly: Callable, exactly: Callable | None):
+def _forests(payload: str, bands: list[tuple[int, ...]], loose: int, read: Callable, quickly: Callable, exactly: Callable | None, together: Callable | None = None):
     """(a, b): spanning forests of the links of groups (runs of ``g``), by id. What quickly(x, y) leaves open (None) waits until
-    it has linked what it can; exactly(x, y) then decides for the pairs that aren't connected yet."""
+    it has linked what it can; exactly(x, y), or together(pairs) for many, then decides for the pairs that aren't connected yet."""
     chosen = np.array(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,9 +293,16 @@ def _forests(payload: str, bands: list[tuple[int, ...]], loose: int, read: Calla
                         join(i, j)
                     elif answer is None:
                         waiting.append((i, j))
-                for i, j in waiting:
-                    if find(i) != find(j) and exactly(items[i], items[j]):
-                        join(i, j)
+                if together is None:
+                    for i, j in waiting:
+                        if find(i) != find(j) and exactly(items[i], items[j]):
+                            join(i, j)
+                    return
+                for at in range(0, len(waiting), TOGETHER):
+                    apart_yet = [(i, j) for i, j in waiting[at : at + TOGETHER] if find(i) != find(j)]
+                    for (i, j), answer in zip(apart_yet, together([(items[i], items[j]) for i, j in apart_yet]), strict=True):
+                        if answer:
+                            join(i, j)
 
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             length = np.diff(np.append(first, len(key)))
@@ -317,12 +326,12 @@ def _forests(payload: str, bands: list[tuple[int, ...]], loose: int, read: Calla
     return run
 
 
-def links(grouped: DataFrame, sets: DataFrame, payload: str, bands: list[tuple[int, ...]], loose: int, read: Callable, quickly: Callable, exactly: Callable | None = None, block: int = BLOCK) -> DataFrame:
+def links(grouped: DataFrame, sets: DataFrame, payload: str, bands: list[tuple[int, ...]], loose: int, read: Callable, quickly: Callable, exactly: Callable | None = None, block: int = BLOCK, together: Callable | None = None) -> DataFrame:
     """(a, b): spanning forests, by id, of the links among the members of groups (from ``candidates``, or of
     another method with band ``ANY``).
 
     ``sets`` has id, codes and the column ``payload``; whether two members link is for quickly(read(x), read(y)) to say, or
-    where that is None for exactly(x, y)."""
+    where that is None for exactly(x, y); together(pairs), if given, says what exactly would for each of a list of pairs."""
     dealt = _in_blocks(grouped, block).join(sets.select("id", *CODES, payload), "id").withColumn("g", F.xxhash64("group", "bi", "bj"))
     members = dealt.select("g", "band", "bi", "bj", "own", "id", *CODES, payload).repartition("g").sortWithinPartitions("g", "id")
-    return members.mapInArrow(_forests(payload, bands, loose, read, quickly, exactly), "a long, b long")
+    return members.mapInArrow(_forests(payload, bands, loose, read, quickly, exactly, together), "a long, b long")

@@ -71,6 +71,31 @@ def test_similar():
         assert fl.rewriting_cost(x, y, 10**9) >= d >= max(len(a), len(b)) - fl.common_subsequence(a, b)
 
 
+def test_pairs_side_by_side(monkeypatch):
+    """Many pairs at once get the answers of a plain edit distance, about the limit too, whatever their lengths and characters."""
+    rng = random.Random(6)
+    pairs = [("", "abc"), ("a" * 70, "a" * 64), ("x\U0010ffff\0", "\0\U0010ffffx")]
+    for letters in ("ab", "abcdefghij klmn", "".join(map(chr, range(0x4E00, 0x4E00 + 400)))):
+        for _ in range(150):
+            a = [rng.choice(letters) for _ in range(rng.randint(1, 200))]
+            b = list(a)
+            for _ in range(round(len(a) * rng.uniform(0.1, 0.4))):
+                k = rng.randrange(len(b) + 1)
+                b[k : k + rng.randint(0, 1)] = [rng.choice(letters)] * rng.randint(0, 2)
+            pairs.append(("".join(a), "".join(b)))
+    want = [distance(a, b) <= fl.edits_allowed(a, b) for a, b in pairs]
+    assert 150 < sum(want) < 350
+    for few, mask_bytes in ((1, 16 << 20), (12, 16 << 20), (1, 1 << 18)):
+        monkeypatch.setattr(fl, "FEW", few)
+        monkeypatch.setattr(fl, "MASK_BYTES", mask_bytes)
+        assert fl.exactly_all(pairs) == want
+    for size in (63, 64, 65, 128, 129, 400):  # at the limit and one beyond it, at the ends of words
+        a = "".join(rng.choice("abcdefgh") for _ in range(size))
+        most = fl.edits_allowed(a, a)
+        longer = [a] * 3
+        assert fl.within(longer, [a[: size - most], "#" * most + a[most:], "#" * (most + 1) + a[most + 1 :]], [most] * 3).tolist() == [True, True, False]
+
+
 def brute(rows):
     """Kept texts of (doc_id, text) rows by comparing all pairs of classes."""
     first, classes = {}, {}
