@@ -24,6 +24,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +43,13 @@ BANDS = [tuple(b) for b in np.array([np.random.default_rng(i).permutation(N).res
 #: Bytes of normalised lines hashed at once.
 SLAB = 1 << 16
 #: Pairs whose distances are computed side by side, bytes of their masks; fewer pairs go one by one.
-SIDE_BY_SIDE, MASK_BYTES, FEW = 1024, 16 << 20, 12
-_DIGITS = str.maketrans("123456789", "000000000")
+SIDE_BY_SIDE, MASK_BYTES, FEW = 512, 16 << 20, 12
 _DIGIT_BYTES = bytes.maketrans(b"123456789", b"000000000")
 
 
 def normalised(line: str) -> str:
-    return " ".join(line.lower().split()).translate(_DIGITS)
+    # bytes are translated faster than characters
+    return " ".join(line.lower().split()).encode("utf-8", "surrogatepass").translate(_DIGIT_BYTES).decode("utf-8", "surrogatepass")
 
 
 def normalised_lines(text: str) -> list[bytes]:
@@ -80,13 +81,14 @@ def line_codes(lines: list[bytes]) -> np.ndarray:
         # every line is followed by as many zeros as keep its grams apart from the next line's
         data = b"".join(lines[i] + b"\0" * max(GRAM - 1, GRAM - len(lines[i])) for i in some)
         size = np.array([len(lines[i]) for i in some])
-        start = np.cumsum(np.maximum(size + GRAM - 1, GRAM)) - np.maximum(size + GRAM - 1, GRAM)
-        grams = np.maximum(size - GRAM + 1, 1)
-        # segments alternate: a line's grams, then those that reach beyond it
-        edges = np.empty(2 * len(some), np.int64)
-        edges[::2], edges[1::2] = start, start + grams
-        h = _gram_hashes(data + b"\0" * GRAM)
-        least[some] = minima((h >> np.uint64(32)).astype(np.uint32), edges, 2)
+        width, grams = np.maximum(size + GRAM - 1, GRAM), np.maximum(size - GRAM + 1, 1)
+        start = np.cumsum(width) - width
+        h = (_gram_hashes(data + b"\0" * GRAM)[: len(data)] >> np.uint64(32)).astype(np.uint32)
+        # grams that reach beyond a line are replaced by its last one, which changes no minimum
+        beyond = width - grams
+        within_run = np.arange(beyond.sum()) - np.repeat(np.cumsum(beyond) - beyond, beyond)
+        h[np.repeat(start + grams, beyond) + within_run] = np.repeat(h[start + grams - 1], beyond)
+        least[some] = minima(h, start)
 
     for i, line in enumerate(lines):
         if len(line) > SLAB:  # a very long line goes alone, in parts that overlap by a gram's rest
@@ -188,6 +190,8 @@ def rewriting_cost(x: list[str], y: list[str], most: int) -> int:
 
 
 def _next_equal(x: list[str], y: list[str], i: int, j: int) -> tuple[int, int]:
+    if set(x[i : i + 9]).isdisjoint(y[j : j + 9]):
+        return 1, 1
     for skip in range(1, 9):
         for k in range(max(0, skip - len(y) + j + 1), min(skip, len(x) - i - 1) + 1):
             if x[i + k] == y[j + skip - k]:
@@ -214,9 +218,14 @@ def quickly(a: str, b: str) -> bool | None:
         return False
     # rewriting all between the common ends, or the words that differ, are ways from a to b: their cost bounds the distance from above
     a, b = between_ends(a, b)
-    if max(len(a), len(b)) <= most or rewriting_cost(a.split(" "), b.split(" "), most) <= most:
+    if max(len(a), len(b)) <= most:
         return True
-    return None
+    x, y = a.split(" "), b.split(" ")
+    # words that the other doesn't have are rewritten whole, whatever the way
+    own, other = set(x), set(y)
+    if sum(map(len, own - other)) > most or sum(map(len, other - own)) > most:
+        return None
+    return True if rewriting_cost(x, y, most) <= most else None
 
 
 def exactly(a: str, b: str) -> bool:
@@ -244,6 +253,19 @@ def _batches(sizes: list[tuple[int, int]], alphabet: int) -> Iterator[list[int]]
         yield batch
 
 
+def _points(texts: list[str]) -> np.ndarray:
+    """The code points of all texts, one after another."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def _characters(*texts: list[str]) -> list[str]:
+    """The different characters of all texts."""
+    there = np.zeros(0x110000, bool)
+    for some in texts:
+        there[_points(some)] = True
+    return list(map(chr, np.flatnonzero(there).tolist()))
+
+
 def within(longer: list[str], shorter: list[str], most: list[int]) -> np.ndarray:
     """Whether the distance of each pair is at most ``most``, which is no less than the difference of their lengths: bit-parallel, a column of all pairs at once.
 
@@ -255,24 +277,30 @@ def within(longer: list[str], shorter: list[str], most: list[int]) -> np.ndarray
     rows = m + columns - n
     low, high = int(((k - (m - n)) // 2).max()), int(((k + (m - n)) // 2).max())
     words = -(-int(rows.max()) // 64)
-    alphabet = set().union(*longer, *shorter)
+    alphabet = _characters(longer, shorter)
     same, none = [c for c in map(chr, range(len(alphabet) + 2)) if c not in alphabet][:2]
     symbols = {ord(c): i for i, c in enumerate((same, *alphabet))}  # ``none`` is after them
     number = np.full(max(*symbols, ord(none)) + 1, len(symbols), np.uint8 if len(symbols) < 256 else np.int32)
     number[list(symbols)] = list(symbols.values())
 
     def numbers(texts: list[str]) -> np.ndarray:
-        return number[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")].reshape(pairs, -1)
+        return number[_points(texts)].reshape(pairs, -1)
 
     row = numbers([(x + same * (columns - len(y))).ljust(words * 64, none) for x, y in zip(longer, shorter, strict=True)])
-    masks = np.empty((words, len(symbols), pairs), np.uint64)
-    for c in range(len(symbols)):
-        masks[:, c] = np.packbits(row == c, axis=1, bitorder="little").view("<u8").T
-    masks = masks.reshape(words, -1)
-    flat = masks.reshape(-1)
+    # of each word, symbol and pair the rows that have the symbol: every bit is added once
+    across = len(symbols) * pairs
+    flat = np.zeros(words * across, np.uint64)
+    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    for w in range(words):
+        part = row[:, 64 * w : 64 * w + 64]
+        at = part.astype(np.intp)
+        at *= pairs
+        at += np.arange(w * across, w * across + pairs)[:, None]
+        has = part < len(symbols)
+        np.add.at(flat, at[has], np.broadcast_to(bits, part.shape)[has])
     # last column first: in a step word w is at column step - w, so that every word has what the one above sent on in the step before
     column = numbers([x.ljust(columns, same) for x in shorter]).T[::-1].astype(np.intp, order="C") * pairs + np.arange(pairs)
-    place = (np.arange(words) * masks.shape[1])[:, None]
+    place = (np.arange(words) * across)[:, None]
 
     one, last_bit, ones = np.uint64(1), np.uint64(63), ~np.uint64(0)
     up, down = np.full((words, pairs), ones), np.zeros((words, pairs), np.uint64)
@@ -351,7 +379,7 @@ def exactly_all(pairs: list[tuple[str, str]]) -> list[bool]:
             longer.append(x)
             shorter.append(y)
             most.append(k)
-    alphabet = len(set().union(*longer, *shorter)) + 1
+    alphabet = len(_characters(longer, shorter)) + 1
     for batch in _batches([(len(x), len(y)) for x, y in zip(longer, shorter, strict=True)], alphabet):
         if len(batch) < FEW:
             answers = [exactly(*pairs[at[i]]) for i in batch]
@@ -382,13 +410,14 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        ids, texts = [], []
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-            lines = text.split("\n")
-            for w in wanted:
-                ids.append(w["id"])
-                texts.append(normalised(lines[w["line"]]))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+        texts, wanted = [], batch.column("wanted")
+        asked = wanted.flatten()
+        number = iter(asked.field("line").to_pylist())
+        # only the lines asked for are decoded
+        for text, n in zip(batch.column("text").cast(pa.binary()).to_pylist(), wanted.value_lengths().to_pylist(), strict=True):
+            lines = text.split(b"\n")
+            texts += [normalised(lines[i].decode("utf-8")) for i in islice(number, n)]
+        yield pa.RecordBatch.from_arrays([asked.field("id"), pa.array(texts, pa.string())], names=["id", "text"])
 
 
 def _identified(docs: DataFrame, *more: str) -> DataFrame:
@@ -430,11 +459,20 @@ def _with_repeats(docs: DataFrame, *more: str) -> DataFrame:
     return _identified(docs, *more).join(gone, ["doc", "th"], "left")
 
 
-def _without(text: str, gone: list[dict] | None) -> tuple[int, str]:
-    """Number of lines, and the text without those listed; a text that loses all its lines is empty."""
-    lines = text.split("\n")
-    drop = {g["line"] for g in gone or ()}
-    return len(lines), "\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text
+def _without(text: bytes, gone: list[int] | None) -> bytes:
+    """The text without the lines listed; one that loses all its lines is empty."""
+    if not gone:
+        return text
+    lines, drop = text.split(b"\n"), set(gone)
+    return b"\n".join([x for i, x in enumerate(lines) if i not in drop])
+
+
+def _cut(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes]]:
+    """Each text of a batch, and what is left of it."""
+    gone = batch.column("gone")
+    number = iter(gone.flatten().field("line").to_pylist())
+    for text, n in zip(batch.column("text").cast(pa.binary()).to_pylist(), gone.value_lengths().to_pylist(), strict=True):
+        yield text, _without(text, list(islice(number, n or 0)))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -444,10 +482,9 @@ def report(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             counts, digests = [], []
-            for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-                n, rest = _without(text, gone)
-                counts.append(n)
-                digests.append(hashlib.sha256(rest.encode("utf-8")).hexdigest())
+            for text, rest in _cut(batch):
+                counts.append(text.count(b"\n") + 1)
+                digests.append(hashlib.sha256(rest).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), batch.column("gone")], names=["doc", "n_lines", "kept_sha256", "gone"])
 
     kind = "array<struct<line: int, group_doc: long, group_line: int>>"
@@ -464,8 +501,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            texts = [_without(t, g)[1] for t, g in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.string())], names=["__row", "text"])
+            texts = pa.array([rest for _, rest in _cut(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), texts.cast(pa.string())], names=["__row", "text"])
 
     kind = wide.schema["__row"].dataType.simpleString()
     rows = _with_repeats(wide, "__row").select("__row", "text", "gone")

@@ -247,6 +247,23 @@ def _forests(payload: str, bands: list[tuple[int, ...]], loose: int, read: Calla
     chosen = np.array(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = [], []
+        # open pairs of short groups wait beyond their table, so that many get their answers at once
+        postponed: list[tuple] = []
+
+        def answered(some: list[tuple]) -> None:
+            """Links the (find, join, i, j, item i, item j) that aren't connected yet and that together() says are alike."""
+            apart_yet = [x for x in some if x[0](x[2]) != x[0](x[3])]
+            for (_, join, i, j, *_), answer in zip(apart_yet, together([x[4:] for x in apart_yet]), strict=True):
+                if answer:
+                    join(i, j)
+
+        def edges() -> Iterator[pa.RecordBatch]:
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                left.clear()
+                right.clear()
+
         for table, key in runs(batches, "g"):
             ids, own, band = (table.column(c).to_numpy() for c in ("id", "own", "band"))
             apart = table.column("bi").to_numpy() != table.column("bj").to_numpy()
@@ -271,16 +288,14 @@ def _forests(payload: str, bands: list[tuple[int, ...]], loose: int, read: Calla
                     good = (band[x] == ANY) | (shared.any(axis=1) & (shared.argmax(axis=1) == band[x]))
                     yield from zip(x[good].tolist(), y[good].tolist(), strict=True)
 
-            left, right = [], []
-
-            def join(i: int, j: int) -> None:
+            def join(i: int, j: int, find=find, root=root, ids=ids) -> None:
                 a, b = find(i), find(j)
                 if a != b:
                     root[max(a, b)] = min(a, b)
                     left.append(ids[i])
                     right.append(ids[j])
 
-            def verify(pairs: list[tuple[int, int]]) -> None:
+            def verify(pairs: list[tuple[int, int]], at_once: bool = True) -> None:
                 waiting = []
                 for i, j in pairs:
                     if find(i) == find(j):
@@ -298,11 +313,12 @@ def _forests(payload: str, bands: list[tuple[int, ...]], loose: int, read: Calla
                         if find(i) != find(j) and exactly(items[i], items[j]):
                             join(i, j)
                     return
+                waiting = [(find, join, i, j, items[i], items[j]) for i, j in waiting]
+                if not at_once:
+                    postponed.extend(waiting)
+                    return
                 for at in range(0, len(waiting), TOGETHER):
-                    apart_yet = [(i, j) for i, j in waiting[at : at + TOGETHER] if find(i) != find(j)]
-                    for (i, j), answer in zip(apart_yet, together([(items[i], items[j]) for i, j in apart_yet]), strict=True):
-                        if answer:
-                            join(i, j)
+                    answered(waiting[at : at + TOGETHER])
 
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             length = np.diff(np.append(first, len(key)))
@@ -314,14 +330,19 @@ def _forests(payload: str, bands: list[tuple[int, ...]], loose: int, read: Calla
                 if not len(at):
                     break
                 pairs += linked(at, at + d)
-            verify(sorted(pairs))
+            verify(sorted(pairs), at_once=False)
             for a, n in zip(first[length > SHORT].tolist(), length[length > SHORT].tolist(), strict=True):
                 for i in range(a, a + n - 1, 64):  # a block of rows against all that follow
                     x = np.repeat(np.arange(i, min(i + 64, a + n)), n)
                     y = np.tile(np.arange(a, a + n), len(x) // n)
                     verify(list(linked(x[x < y], y[x < y])))
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            while len(postponed) >= TOGETHER:
+                answered(postponed[:TOGETHER])
+                del postponed[:TOGETHER]
+            yield from edges()
+        if postponed:
+            answered(postponed)
+        yield from edges()
 
     return run
 

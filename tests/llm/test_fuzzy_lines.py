@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from tessera.llm import fuzzy_lines as fl
@@ -96,6 +97,51 @@ def test_pairs_side_by_side(monkeypatch):
         assert fl.within(longer, [a[: size - most], "#" * most + a[most:], "#" * (most + 1) + a[most + 1 :]], [most] * 3).tolist() == [True, True, False]
 
 
+def test_words_of_their_own_leave_a_pair_open_at_once(monkeypatch):
+    """No way of rewriting is sought where words that the other line doesn't have cost too much already; answers stay those of a plain distance."""
+    sought = []
+    monkeypatch.setattr(fl, "rewriting_cost", lambda x, y, most, f=fl.rewriting_cost: sought.append((x, y)) or f(x, y, most))
+    start, end = "the same words at the start of both", "and at their end"
+    one, two = (" ".join(f"{x}{i}" for i in range(10)) for x in ("alpha", "beta"))
+    assert fl.quickly(f"{start} {one} {end}", f"{start} {two} {end}") is None
+    assert not sought
+    assert fl.quickly(f"a {start} one b", f"b {start} one a") and len(sought) == 1
+
+
+def test_one_line_of_many_is_fetched():
+    text = "Ä 1\n\n  b\t 23 \u00a0c\nlast"
+    wanted = pa.array([[{"id": 7, "line": 2}, {"id": 8, "line": 0}], [{"id": 9, "line": 3}]], pa.list_(pa.struct([("id", pa.int64()), ("line", pa.int32())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([text, text]), wanted], names=["text", "wanted"])
+    for some in (batch, pa.RecordBatch.from_arrays([pa.array(["", text, text]), pa.concat_arrays([wanted.slice(0, 0), pa.array([None], wanted.type), wanted])], names=["text", "wanted"]).slice(1)):
+        assert [(r["id"], r["text"]) for b in fl._fetch(iter([some])) for r in b.to_pylist()] == [(7, "b 00 c"), (8, "ä 0"), (9, "last")]
+
+
+def test_open_pairs_of_several_tables_are_answered_together(monkeypatch):
+    """Groups come in several Arrow batches; what is left open is asked once, and links the rows of its own group."""
+    rng = random.Random(9)
+    texts, asked = [], []
+    for _ in range(40):
+        a = [rng.choice("abcdefgh") for _ in range(60)]
+        b = [c if i % 6 else "#" for i, c in enumerate(a)]
+        texts += ["".join(a), "".join(b) if rng.random() < 0.5 else "".join(reversed(a))]
+    code = fl.line_codes([x.encode() for x in texts]).view("<i8")
+    n = len(texts)
+    columns = {"g": [i // 2 for i in range(n)], "band": [minhash.ANY] * n, "bi": [0] * n, "bj": [0] * n, "own": [0] * n, "id": [100 + i for i in range(n)], **{c: code[:, k] for k, c in enumerate(minhash.CODES)}, "text": texts}
+    table = pa.table({k: pa.array(v) for k, v in columns.items()})
+
+    def together(pairs):
+        asked.append(len(pairs))
+        return fl.exactly_all(pairs)
+
+    run = minhash._forests("text", fl.BANDS, fl.LOOSE, str, lambda a, b: None, fl.exactly, together)
+    want = {(100 + i, 101 + i) for i in range(0, n, 2) if distance(texts[i], texts[i + 1]) <= 12}
+    for most in (minhash.TOGETHER, 7):
+        monkeypatch.setattr(minhash, "TOGETHER", most)
+        got = [(r["a"], r["b"]) for b in run(iter(table.to_batches(10))) for r in b.to_pylist()]
+        assert len(got) == len(want) and set(got) == want and 5 < len(want) < 35
+    assert asked == [40, *[7] * 5, 5]
+
+
 def brute(rows):
     """Kept texts of (doc_id, text) rows by comparing all pairs of classes."""
     first, classes = {}, {}
