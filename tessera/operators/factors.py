@@ -6,6 +6,10 @@ given these, the periods' side solves normal equations that are sums over units.
 packs its units into matrices, solves them together, and sends one row of sums a period. Between passes only the periods' side is kept, on
 the driver, whose size is checked: nothing of a unit is written, so a lost task is run again from the stored table.
 
+Without weights and covariates no pass is needed at all: units that are used in the same periods share their design, so every sum over
+units follows from their number and the first and second moments of their outcomes. One pass collects these moments for each set of used periods, and the
+steps are taken on them. Panels with too many such sets, those with weights and those with covariates take a pass a step.
+
 A rank that the penalty doesn't bind would cut the model short, so the nuclear-norm fit doubles its working rank until part of it is zero."""
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from . import additive
 
 #: Numbers in the periods' normal equations that the driver may hold: 64 M are 512 MB.
 MAX_SUMS = 64_000_000
+#: Numbers in the moments of all sets of used periods that the driver may hold: 2 M are 16 MB.
+MAX_MOMENTS = 2_000_000
 FORCES = ("unit", "time", "two-way")
 
 
@@ -62,6 +68,58 @@ def _matrices(batch: pa.RecordBatch, n_periods: int, x: tuple[str, ...]) -> tupl
     return out[0], out[1], np.stack(out[2:], axis=2) if x else np.zeros((len(lists), n_periods, 0))
 
 
+@dataclass
+class Moments:
+    """Per set of used periods, zero outside it: its periods (k x T), the number of its units (k), sums of outcomes (k x T) and of their
+    products (k x T x T). Outcomes are less ``centre``, so that products lose few digits."""
+
+    used: np.ndarray
+    n: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    centre: float
+
+    def about(self, xi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and second moments of outcomes less the period effects ``xi``."""
+        level = self.used * (xi - self.centre)
+        moved = self.n[:, None] * level
+        cross = self.first[:, :, None] * level[:, None, :]
+        return self.first - moved, self.second - cross - cross.transpose(0, 2, 1) + moved[:, :, None] * level[:, None, :]
+
+
+def moments(units: DataFrame, n_periods: int) -> Moments | None:
+    """The moments of packed ``units`` without weights and covariates; None where their sets of used periods are too many."""
+    most = MAX_MOMENTS // (n_periods * (n_periods + 2))
+    found = units.select(F.array_sort(F.transform("c", lambda c: c["t"])).alias("set")).distinct().limit(most + 1).toArrow().column("set").to_pylist()
+    if not found or len(found) > most:
+        return None
+    used = np.zeros((len(found), n_periods))
+    for k, periods in enumerate(found):
+        used[k, periods] = 1.0
+    of = {row.astype(bool).tobytes(): k for k, row in enumerate(used)}
+    centre = float(units.select(F.explode("c.y").alias("y")).agg(F.avg("y")).first()[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w, y, _ = _matrices(batch, n_periods, ())
+            keys = np.array([of[row.tobytes()] for row in w > 0])
+            for k in np.unique(keys):
+                z = np.where(w[keys == k] > 0, y[keys == k] - centre, 0.0)
+                part = np.concatenate([z.T @ z, z.sum(axis=0)[:, None], np.full((n_periods, 1), float(len(z)))], axis=1)
+                total[k] = total[k] + part if k in total else part
+        for k, part in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n_periods, k), pa.int64()), pa.array(np.arange(n_periods), pa.int32()), pa.array(list(part), pa.list_(pa.float64()))], names=["k", "i", "v"])
+
+    kind = "k long, i int, v array<double>"
+    got = units.select("c").mapInArrow(run, kind).groupBy("k", "i").applyInArrow(additive._summed, kind).toArrow()
+    rows = np.zeros((len(found), n_periods, n_periods + 2))
+    rows[got.column("k").to_numpy(), got.column("i").to_numpy()] = got.column("v").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
+    return Moments(used, rows[:, 0, -1], rows[:, :, -2], rows[:, :, :-2], centre)
+
+
 def _solved(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Minimum-norm solutions of many small normal equations."""
     return (np.linalg.pinv(gram, rcond=1e-11, hermitian=True) @ right[..., None])[..., 0]
@@ -113,16 +171,55 @@ def _sums(sides: Sides, force: str, rho: float, n_periods: int, x: tuple[str, ..
     return run
 
 
-def _step(units: DataFrame, sides: Sides, force: str, rho: float, x: tuple[str, ...]) -> Sides:
-    """One pass: the periods' side after every unit has solved its own."""
+def _operators(known: Moments, g: np.ndarray, ridge: np.ndarray) -> np.ndarray:
+    """k x q x T: what gives the coefficients of a set's units on ``g`` from their outcomes less the period effects."""
+    masked = known.used[:, :, None] * g
+    gram = masked.transpose(0, 2, 1) @ masked + np.diag(ridge)
+    return np.linalg.pinv(gram, rcond=1e-11, hermitian=True) @ masked.transpose(0, 2, 1)
+
+
+def _sums_of_moments(known: Moments, sides: Sides, force: str, rho: float) -> tuple[np.ndarray, np.ndarray]:
+    """What the passes of ``_sums`` add up to, without covariates."""
+    t, r = sides.factors.shape
+    own, q = int(force != "time"), r + int(force != "unit")
+    design = _design(sides, force)
+    solve = _operators(known, design, np.append(np.zeros(own), np.full(r, rho)))
+    first, second = known.about(sides.xi)
+    load = solve[:, own:]
+    mean, product = (load @ first[:, :, None])[..., 0], load @ second  # k x r, k x r x T
+    h = np.zeros((len(known.n), q, q))
+    h[:, q - r :, q - r :] = product @ load.transpose(0, 2, 1)
+    rest = first + known.n[:, None] * known.used * sides.xi
+    weighted = product + mean[:, :, None] * (known.used * sides.xi)[:, None, :]
+    if own:
+        alpha = solve[:, 0]
+        rest = rest - (alpha * first).sum(axis=1)[:, None]
+        weighted = weighted - product @ alpha[:, :, None]
+    right = weighted.transpose(0, 2, 1)
+    if q > r:
+        h[:, 0, 0], h[:, 0, 1:], h[:, 1:, 0] = known.n, mean, mean
+        right = np.concatenate([rest[:, :, None], right], axis=2)
+    per = np.concatenate([known.used.T @ h.reshape(len(h), -1), (known.used[:, :, None] * right).sum(axis=0)], axis=1)
+    left = known.used[:, :, None] * (np.eye(t) - design @ solve)
+    ssr = ((left @ second) * left).sum()
+    return per, np.array([ssr, (known.n[:, None] * known.used).sum(), known.n.sum()])
+
+
+def _sums_of_pass(units: DataFrame, sides: Sides, force: str, rho: float, x: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    t = len(sides.xi)
+    kind = "k long, i int, v array<double>"
+    got = units.select("c").mapInArrow(_sums(sides, force, rho, t, x), kind).groupBy("k", "i").applyInArrow(additive._summed, kind).toArrow()
+    by = dict(zip(got.column("i").to_pylist(), got.column("v").to_pylist(), strict=True))
+    return np.stack([np.array(by[i]) for i in range(t)]), np.array(by[t])
+
+
+def _step(units: DataFrame, sides: Sides, force: str, rho: float, x: tuple[str, ...], known: Moments | None = None) -> Sides:
+    """One step: the periods' side after every unit has solved its own, by a pass or from the moments."""
     t, p, r = len(sides.xi), len(x), sides.factors.shape[1]
     q = r + int(force != "unit")
     if t * (q * q + q + q * p) > MAX_SUMS:
         raise ValueError(f"{t} periods with {r} factors exceed the driver's bound")
-    kind = "k long, i int, v array<double>"
-    got = units.select("c").mapInArrow(_sums(sides, force, rho, t, x), kind).groupBy("k", "i").applyInArrow(additive._summed, kind).toArrow()
-    by = dict(zip(got.column("i").to_pylist(), got.column("v").to_pylist(), strict=True))
-    per, own = np.stack([np.array(by[i]) for i in range(t)]), np.array(by[t])
+    per, own = _sums_of_pass(units, sides, force, rho, x) if known is None else _sums_of_moments(known, sides, force, rho)
     gram, right = per[:, : q * q].reshape(t, q, q), per[:, q * q : q * q + q]
     gram = gram + rho * np.diag(np.append(np.zeros(q - r), np.ones(r)))
     beta = sides.beta
@@ -145,10 +242,26 @@ def _step(units: DataFrame, sides: Sides, force: str, rho: float, x: tuple[str,
     return Sides(xi, factors, beta, ssr=float(own[-3]), n_cells=int(own[-2]), n_units=int(own[-1]))
 
 
-def _start(units: DataFrame, xi: np.ndarray, beta: np.ndarray, rank: int, force: str, x: tuple[str, ...]) -> Sides:
+def _start(units: DataFrame, xi: np.ndarray, beta: np.ndarray, rank: int, force: str, x: tuple[str, ...], known: Moments | None = None) -> Sides:
     """Factors of the additive model's residuals, with unused cells at zero: the leading eigenvectors of their summed Gram matrix."""
     t = len(xi)
-    flat = Sides(xi, np.zeros((t, 0)), beta)
+    gram = _residual_gram(units, Sides(xi, np.zeros((t, 0)), beta), force, x) if known is None else _gram_of_moments(known, xi, force)
+    values, vectors = np.linalg.eigh(gram)
+    lead = vectors[:, ::-1][:, :rank]
+    return Sides(xi, lead * np.sqrt(t), beta, ssr=float(np.sqrt(max(values[-1], 0.0))))
+
+
+def _gram_of_moments(known: Moments, xi: np.ndarray, force: str) -> np.ndarray:
+    second = known.about(xi)[1]
+    if force != "time":
+        level = np.ones((len(xi), 1))
+        left = known.used[:, :, None] * (np.eye(len(xi)) - level @ _operators(known, level, np.zeros(1)))
+        second = left @ second @ left.transpose(0, 2, 1)
+    return second.sum(axis=0)
+
+
+def _residual_gram(units: DataFrame, flat: Sides, force: str, x: tuple[str, ...]) -> np.ndarray:
+    t, xi, beta = len(flat.xi), flat.xi, flat.beta
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((t, t))
@@ -164,9 +277,7 @@ def _start(units: DataFrame, xi: np.ndarray, beta: np.ndarray, rank: int, force:
     got = units.select("c").mapInArrow(run, kind).groupBy("k", "i").applyInArrow(additive._summed, kind).toArrow()
     gram = np.zeros((t, t))
     gram[got.column("i").to_numpy()] = np.stack(got.column("v").to_pylist())
-    values, vectors = np.linalg.eigh(gram)
-    lead = vectors[:, ::-1][:, :rank]
-    return Sides(xi, lead * np.sqrt(t), beta, ssr=float(np.sqrt(max(values[-1], 0.0))))
+    return gram
 
 
 def largest_penalty(cells: DataFrame, x: tuple[str, ...] = (), force: str = "two-way") -> float:
@@ -203,11 +314,12 @@ def fit(cells: DataFrame, x: tuple[str, ...] = (), r: int = 0, lam: float | None
         xi, beta = info["xi"] - info["xi"].mean(), info["beta"]
     rho = lam * n_periods * n_units if lam is not None else 0.0
     rank = r if lam is None else min(n_periods, n_units, max(4, r))
+    known = None if weighted or x else moments(units, n_periods)
     while True:
-        sides = _start(units, xi, beta, rank, force, x)
+        sides = _start(units, xi, beta, rank, force, x, known)
         if lam is not None and force == "two-way" and not weighted and rho >= sides.ssr:
             # at the top singular value of the additive model's residuals or above, that model is the minimum
-            sides = _step(units, Sides(xi, np.zeros((n_periods, 0)), beta), force, 0.0, x)
+            sides = _step(units, Sides(xi, np.zeros((n_periods, 0)), beta), force, 0.0, x, known)
             sides.xi, sides.beta, sides.n_iter, sides.converged = xi, beta, 1, True
             own = _units_solved(cells, units, sides, force, 0.0, x)
             return _surface(cells, own, sides, x), sides, own.select("unit", "loadings")
@@ -215,7 +327,7 @@ def fit(cells: DataFrame, x: tuple[str, ...] = (), r: int = 0, lam: float | None
             # halve the leading part's scale between both sides, as the penalty does at its minimum
             sides.factors = sides.factors / np.sqrt(n_periods) * np.sqrt(max(sides.ssr, 1e-12))
         for i in range(1, max_iter + 1):
-            new = _step(units, sides, force, rho, x)
+            new = _step(units, sides, force, rho, x, known)
             done = _distance(sides, new) <= tol
             sides, sides.n_iter = new, i
             if done:

@@ -101,7 +101,7 @@ def _spread(cells: DataFrame, options: FitOptions, x: tuple[str, ...], weighted:
 
 
 def _large(cells: DataFrame, x: tuple[str, ...], se: bool) -> bool:
-    return not se and jobs.dense_bytes(cells, len(x)) > jobs.DRIVER_BYTES
+    return not se and jobs.dense_bytes(cells, len(x)) > min(jobs.DRIVER_BYTES, jobs.MAX_PANEL_BYTES)
 
 
 def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: bool = False, vartype: str = "bootstrap", nboots: int = 200, seed: int = 1, select: bool = False, folds: int = 10, checked: bool = True, keep_surface: bool = False) -> FitResult:
@@ -139,7 +139,7 @@ def fit(df: DataFrame, spec: PanelSpec, options: FitOptions | None = None, se: b
     elif options.method == "fe" and options.force == "two-way" and options.sample == "notyettreated":
         out, info = additive.exact_fit(cells, x, weighted)
         scalars |= {f"beta_{spec.x[i]}": float(b) for i, b in enumerate(info["beta"])}
-    elif not select and _additive(cells, spec, options) and _large(cells, x, se):
+    elif not select and not options.distributed and _additive(cells, spec, options) and _large(cells, x, se):
         out, info = additive.exact_fit(cells, x, weighted)
         scalars |= {f"beta_{spec.x[i]}": float(b) for i, b in enumerate(info["beta"])}
         used = out.where("ii = 1").agg(F.sum((F.col("y") - F.col("y0")) ** 2), F.count(F.lit(1)), F.count_distinct("unit"), F.count_distinct("time_ix")).first()

@@ -61,6 +61,21 @@ def test_penalty_equals_the_kernel(spark, share):
     assert np.linalg.matrix_rank(low, tol=1e-6) >= 1 and sides.converged
 
 
+@pytest.mark.parametrize("force, arguments", [("two-way", {"r": 2}), ("unit", {"r": 1}), ("time", {"r": 1}), ("two-way", {"lam": 0.01}), ("two-way", {"lam": 1e9}), ("two-way", {"r": 1, "on_controls": True})])
+def test_moments_equal_passes(spark, monkeypatch, force, arguments):
+    """Steps from the moments of each set of used periods are the steps of passes over the units; with moments there is no pass."""
+    _, _, cells = made(spark)
+    few, passes = {"tol": 0.0, "max_iter": 4} | arguments, factors._sums_of_pass
+    monkeypatch.setattr(factors, "_sums_of_pass", lambda *a: pytest.fail("a pass over the units"))
+    near = factors.fit(cells, force=force, **few)
+    monkeypatch.setattr(factors, "_sums_of_pass", passes)
+    monkeypatch.setattr(factors, "MAX_MOMENTS", 14 * 16 * 2)  # more than two sets of periods are used
+    far = factors.fit(cells, force=force, **few)
+    a, b = ({(r["unit"], r["time_ix"]): r["y0"] for r in x[0].select("unit", "time_ix", "y0").collect()} for x in (near, far))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-7) for k in a)
+    assert near[1].ssr == pytest.approx(far[1].ssr, rel=1e-7) and (near[1].n_cells, near[1].n_units, near[1].n_iter) == (far[1].n_cells, far[1].n_units, far[1].n_iter)
+
+
 def test_fit_routes(spark, monkeypatch):
     df, spec, _ = made(spark)
     near = fit(df, spec, FitOptions(method="ife", r=2, min_t0=1, tol=1e-10, max_iter=50000))
