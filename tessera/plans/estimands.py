@@ -26,7 +26,7 @@ def imputed_outcomes(fit: FitResult, cells: str | Column | None = None, directio
     """unit, time, event_time, cohort, treated, y, y0, eff, w: one row for each observed cell with a counterfactual.
 
     With ``replicates``, the rows of treated units once for every replicate that holds the unit: job_id, n_drawn (how often the replicate
-    drew the unit), eff and y0 are the replicate's, all else the cell's own. The filter sees the fit's own rows and comes first, so that
+    drew the unit), eff and y0 are the replicate's, all else the cell's own; the closed jackknife's rows also name the unit left_out. The filter sees the fit's own rows and comes first, so that
     the replicates' surface is read for what it keeps alone."""
     rows = fit.cells.where("eff is not null")
     if direction == "on":

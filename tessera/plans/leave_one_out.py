@@ -16,12 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from ..sources.stored import stored
 
 KINDS = (("overall", None, "d = 1"), ("event", "t_on", "t_on is not null"), ("exit", "t_off", "t_off is not null"), ("calendar", "time_ix", "d = 1"))
-#: Units of a block of treated units, or of controls, that a task compares, and controls that it compares at once.
+#: Units (or cells) of a block that a task compares with another, and those that it compares at once.
 BLOCK, AT_ONCE = 2048, 128
 
 
@@ -98,6 +99,14 @@ def replicates(cells: DataFrame) -> DataFrame:
     return sums(cells).select("job_id", "left_out", "kind", "at", (F.col("s") / F.col("n")).alias("value"), F.col("n").alias("n_cells"), F.lit(None).cast("string").alias("error"))
 
 
+def _flat(table: pa.Table, name: str, *fields: str) -> tuple[np.ndarray, ...]:
+    """The rows that the entries of a list column belong to, and these fields of the entries."""
+    lists = table.column(name).combine_chunks()
+    of = np.repeat(np.arange(len(lists)), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+    inner = lists.flatten()
+    return of, *(inner.field(inner.type.get_field_index(f)).to_numpy(zero_copy_only=False) for f in fields)
+
+
 def _log_sums(n_periods: int, unit: str):
     def run(key: tuple, units: pa.Table, controls: pa.Table) -> pa.Table:
         """(left_out, at, s, n): sums of log y - log y0 over a block of treated units, without each control of another."""
@@ -105,17 +114,11 @@ def _log_sums(n_periods: int, unit: str):
         if not units.num_rows or not controls.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (controls.column("unit").type, pa.float64(), pa.float64(), pa.int64()), strict=True)})
 
-        def flat(table: pa.Table, name: str, *fields: str):
-            lists = table.column(name).combine_chunks()
-            of = np.repeat(np.arange(len(lists)), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
-            inner = lists.flatten()
-            return of, *(inner.field(inner.type.get_field_index(f)).to_numpy(zero_copy_only=False) for f in fields)
-
-        of, t, share = flat(units, "shares", "t", "share")
+        of, t, share = _flat(units, "shares", "t", "share")
         weight = np.zeros((units.num_rows, n_periods))
         weight[of, t] = share
-        row, t, at, y, y0 = flat(units, "cells", "t", "at", "y", "y0")
-        of, when, value = flat(controls, "deltas", "t", "delta")
+        row, t, at, y, y0 = _flat(units, "cells", "t", "at", "y", "y0")
+        of, when, value = _flat(controls, "deltas", "t", "delta")
         delta = np.zeros((controls.num_rows, n_periods))
         delta[of, when] = value
         out = []
@@ -176,21 +179,56 @@ def log_sums(cells: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame
     return out.unionByName(treated).where("n > 0").withColumn("job_id", F.xxhash64("left_out")).drop("left_out")
 
 
-def cell_replicates(cells: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` (unit, time_ix, eff and more) once for every unit left out, with that replicate's eff, its job_id and n_drawn 1.
+def _cell_moves(n_periods: int, unit: DataType, cells: StructType):
+    def run(key: tuple, asked: pa.Table, left: pa.Table) -> pa.Table:
+        """``asked`` with reps: for each unit of ``left``, what its absence adds to the cell's effect."""
+        names = [f.name for f in cells]
+        row, t, share = _flat(asked, "shares", "t", "share")
+        weight = np.zeros((asked.num_rows, n_periods))
+        weight[row, t] = share
+        of, when, value = _flat(left, "deltas", "t", "delta")
+        delta = np.zeros((left.num_rows, n_periods))
+        delta[of, when] = value
+        at, who = asked.column("time_ix").to_numpy() - 1, left.column("left_out").combine_chunks()
+        parts = []
+        for low in range(0, asked.num_rows if left.num_rows else 0, AT_ONCE):
+            part = asked.select(names).slice(low, AT_ONCE)
+            on = slice(low, low + part.num_rows)
+            moved = weight[on] @ delta.T - delta[:, at[on]].T
+            pairs = pa.StructArray.from_arrays([who.take(pa.array(np.tile(np.arange(len(who)), part.num_rows))), pa.array(moved.ravel())], ["left_out", "moved"])
+            offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(who))
+            parts.append(part.append_column("reps", pa.ListArray.from_arrays(offsets, pairs)))
+        kind = pa.list_(pa.struct([("left_out", who.type), ("moved", pa.float64())]))
+        return pa.concat_tables(parts) if parts else asked.select(names).slice(0, 0).append_column("reps", pa.array([], kind))
+
+    pair = StructType([StructField("left_out", unit), StructField("moved", DoubleType())])
+    return run, StructType([*cells.fields, StructField("reps", ArrayType(pair))])
+
+
+def cell_replicates(cells: DataFrame, rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``rows`` (unit, time_ix, eff and more) once for every unit left out (left_out), with that replicate's eff, its job_id and n_drawn 1.
 
     A control that is left out moves an effect at t by -delta_t plus the mean of delta over the unit's own periods; a treated unit takes only
-    its own rows away. Rows meet replicates by their period, and units meet them by theirs, so the relation is made by joins on the
-    period and never by pairing units."""
+    its own rows away. Blocks of rows meet blocks of units, each pair of blocks a group of its own: what is shuffled are rows and units, once for
+    each block of the others, and their pairs are made last."""
+    unit = cells.schema["unit"].dataType
     cells = _before(cells)
     deltas, alone = _deltas(cells)
-    # a control that isn't observed in a period moves nothing there
-    left = cells.select("unit", "time_ix", "ever").join(deltas, ["unit", "time_ix"], "left").select(F.col("unit").alias("left_out"), "time_ix", F.coalesce("delta", F.lit(0.0)).alias("delta"), "ever")
-    asked = _shares(cells).join(rows.select("unit").distinct(), "unit")
-    shift = asked.join(left.where("ever = 0").select("left_out", "time_ix", "delta"), "time_ix").groupBy("unit", "left_out").agg(F.sum(F.col("share") * F.col("delta")).alias("shift"))
-    met = rows.join(left.drop("ever"), "time_ix").where("unit <> left_out").join(shift, ["unit", "left_out"], "left")
-    out = met.withColumn("eff", F.col("eff") - F.col("delta") + F.coalesce("shift", F.lit(0.0))).drop("delta", "shift")
+    n_periods = int(cells.agg(F.max("time_ix")).first()[0])
+    t = (F.col("time_ix") - 1).alias("t")
+    asked = rows.join(_shares(cells).groupBy("unit").agg(F.collect_list(F.struct(t, "share")).alias("shares")), "unit", "left")
+    # treated units, and controls that are observed nowhere, move nothing
+    moves = deltas.groupBy(F.col("unit").alias("left_out")).agg(F.collect_list(F.struct(t, "delta")).alias("deltas"))
+    left = cells.select(F.col("unit").alias("left_out")).distinct().join(moves, "left_out", "left")
     if alone is not None:
-        again = rows.drop("eff").join(_refitted(cells, alone), ["unit", "time_ix"])
-        out = out.join(F.broadcast(alone), "left_out", "left_anti").unionByName(again)
-    return out.withColumn("job_id", F.xxhash64("left_out")).withColumn("n_drawn", F.lit(1)).drop("left_out")
+        left = left.join(F.broadcast(alone), "left_out", "left_anti")
+    ni, nj = (max(1, -(-n // block)) for n in (rows.count(), cells.select("unit").distinct().count()))
+    blocks = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    dealt = asked.withColumn("bi", F.pmod(F.xxhash64("unit", "time_ix"), F.lit(ni))).withColumn("bj", blocks(nj))
+    others = left.withColumn("bj", F.pmod(F.xxhash64("left_out"), F.lit(nj))).withColumn("bi", blocks(ni))
+    run, kind = _cell_moves(n_periods, unit, rows.schema)
+    met = dealt.groupBy("bi", "bj").cogroup(others.groupBy("bi", "bj")).applyInArrow(run, kind).withColumn("reps", F.explode("reps"))
+    out = met.where("unit <> reps.left_out").withColumn("left_out", F.col("reps.left_out")).withColumn("eff", F.col("eff") + F.col("reps.moved")).drop("reps")
+    if alone is not None:
+        out = out.unionByName(rows.drop("eff").join(_refitted(cells, alone), ["unit", "time_ix"]))
+    return out.withColumn("job_id", F.xxhash64("left_out")).withColumn("n_drawn", F.lit(1))

@@ -117,3 +117,16 @@ def test_log_sums_in_blocks(spark):
     rows = cells.where("d = 1 and eff is not null").selectExpr("unit", "time_ix", "cast(t_on as double) as at", "y", "y0")
     one, many = ({(r["job_id"], r["at"]): (r["s"], r["n"]) for r in leave_one_out.log_sums(cells, rows, block).collect()} for block in (2048, 4))
     assert one.keys() == many.keys() and all(many[k] == pytest.approx(one[k]) for k in one)
+
+
+@pytest.mark.parametrize("change", [lambda rows: rows, lonely], ids=["gaps", "a control alone"])
+def test_cell_replicates_in_blocks(spark, change):
+    """Blocks give the rows that one block gives, each pair of a cell and another unit once, and the plan shuffles no pairs."""
+    df = spark.createDataFrame([(i, t, y + 40, d) for i, t, y, d in change(rows_with_gaps())], "unit long, time int, y double, d int")
+    cells = fit(df, SPEC, FitOptions(sample="nevertreated", control_means=True)).cells
+    rows = cells.where("t_on = 2 and eff is not null").select("unit", "time", "time_ix", "eff", "g")
+    one, many = (leave_one_out.cell_replicates(cells, rows, block) for block in (2048, 4))
+    a, b = ({(r["unit"], r["time_ix"], r["left_out"]): r["eff"] for r in x.collect()} for x in (one, many))
+    assert len(a) == rows.count() * 29 == many.count() and a.keys() == b.keys() and all(b[k] == pytest.approx(a[k]) for k in a)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(reps" in plan and "Join" not in plan[: plan.index("Generate explode(reps")]
